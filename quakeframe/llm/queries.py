@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import langid, pii, rules, toxicity
 from .common import fold, table
 
 
@@ -15,5 +15,25 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", fold(5, 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity}
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.language_id(docs).select("doc_id", fold(4, 2).alias("held_out"), "lang_pred", "score", "confident")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rules.quality_rules(docs, table(spark, sf_dir, "labels")).select("doc_id", *rules.COUNTS, "base_failed", "anomaly", "kept")
+
+
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op4_pii": op4_pii,
+    "op7_language_id": op7_language_id,
+    "op10_quality_rules": op10_quality_rules,
+}
 ORACLE_SQL: dict[str, str] = {}
