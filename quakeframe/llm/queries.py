@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, packing, pii, records, rules, toxicity
+from . import contamination, jaccard, langid, lines, packing, pii, records, rules, toxicity
 from .common import fold, table
 
 
@@ -19,6 +19,10 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
@@ -28,6 +32,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination.leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.distance")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return langid.language_id(docs).select("doc_id", fold(4, 2).alias("held_out"), "lang_pred", "score", "confident")
@@ -61,8 +71,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_records": op2_token_records,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_pii": op4_pii,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
     "op8_line_dedup": op8_line_dedup,
     "op10_quality_rules": op10_quality_rules,
