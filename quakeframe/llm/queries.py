@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, jaccard, langid, lines, packing, pii, records, rules, toxicity
+from . import contamination, jaccard, langid, lines, mixing, packing, pii, records, rules, toxicity
 from .common import fold, table
 
 
@@ -63,6 +63,10 @@ FROM k
 """
 
 
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.language_model_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return rules.quality_rules(docs, table(spark, sf_dir, "labels")).select("doc_id", *rules.COUNTS, "base_failed", "anomaly", "kept")
@@ -77,6 +81,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
     "op8_line_dedup": op8_line_dedup,
+    "op9_context_mixing": op9_context_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL = {"op8_line_dedup": OP8_SQL}
