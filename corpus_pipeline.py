@@ -1,13 +1,63 @@
-"""The corpus pipeline: toxicity, line dedup, near duplicates, benchmark decontamination, packing."""
+"""The corpus pipeline: toxicity, line dedup, near duplicates, benchmark decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+one's docs. All but the last return the columns of documents. A row without a doc_id passes the near-duplicate stage
+unless toxic or contaminated, since nothing could name it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quakeframe.llm import contamination, jaccard, lines, packing, toxicity
+from quakeframe.llm.common import small, stored, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.where("predicted = 0").select(docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cleaned = lines.drop_boilerplate(docs)
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cleaned.select(docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the document with its smallest id stays; documents without words stay."""
+    found = stored(jaccard.near_duplicates(docs).select("doc_id", "component_id"), "groups")
+    gone = small(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    kept = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates()
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    flagged = contamination.leaks(docs, table(spark, sf_dir, "benchmark"))
+    return flagged.where(F.size("leaks") == 0).select(docs.columns)
 
-STAGES: list = []
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_duplicates", keep_one_of_each_group),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+#: classifiers, edit distances and token ids are beyond SQL
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

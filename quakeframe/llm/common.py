@@ -57,6 +57,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Stores a side of a join and marks it for broadcast if it is counted to have few rows; else it is shuffled."""
+    df = stored(df, "side")
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
