@@ -429,9 +429,10 @@ def scenario_quantiles(v):
     return rounded(scenarios(v))
 
 
-@query(rsql(f"{SCEN};; SELECT segment_id, year, CAST(row_number() OVER (PARTITION BY year ORDER BY round(p50, 9) DESC, segment_id) AS INTEGER) AS rank, p50 FROM sc WHERE year IN (0, 10, 30, 50, 100)", "segment_id, year, rank", "p50"))
+@query(rsql(f"{SCEN};; SELECT segment_id, year, CAST(row_number() OVER (PARTITION BY year ORDER BY round(p50, 9) DESC, segment_id) AS INTEGER) AS rank, 1e3 * p50 AS p50_milli FROM sc WHERE year IN (0, 10, 30, 50, 100)", "segment_id, year, rank", "p50_milli"))
 def rank_failure(v):
-    return rounded(faults.rank_failure(scenarios(v).withColumn("p50", F.round("p50", 9))).select("segment_id", "year", "rank", "p50"))
+    ranked = faults.rank_failure(scenarios(v).withColumns({"p50_milli": 1e3 * F.col("p50"), "p50": F.round("p50", 9)}))
+    return rounded(ranked.select("segment_id", "year", "rank", "p50_milli"))
 
 
 @query(rsql(f"{SCEN};; SELECT a.segment_id, a.year, a.p50 AS value, greatest(0e0, a.p50 - b.p50) AS increase FROM sc a JOIN sc b ON a.segment_id = b.segment_id AND b.year = 0 WHERE a.year IN (0, 30, 100)", "segment_id, year", "value, increase"))
@@ -783,9 +784,10 @@ def voxels(v) -> DataFrame:
     return imaging.voxel_lod(v("fx_splat"))
 
 
-@query(rsql(f"{VOX};; SELECT * FROM vx", "lod, ix, iy, iz, contribution_count, n_events", "density, weighted_amplitude, weighted_opacity, direct_density, reflected_density"))
+@query(rsql(f"{VOX};; SELECT *, 1e3 * weighted_amplitude AS amplitude_milli, 1e3 * weighted_opacity AS opacity_milli FROM vx", "lod, ix, iy, iz, contribution_count, n_events", "density, amplitude_milli, opacity_milli, direct_density, reflected_density"))
 def voxel_lod(v):
-    return rounded(voxels(v).select("lod", "ix", "iy", "iz", "contribution_count", "n_events", "density", "weighted_amplitude", "weighted_opacity", "direct_density", "reflected_density"))
+    out = voxels(v).withColumns({"amplitude_milli": 1e3 * F.col("weighted_amplitude"), "opacity_milli": 1e3 * F.col("weighted_opacity")})
+    return rounded(out.select("lod", "ix", "iy", "iz", "contribution_count", "n_events", "density", "amplitude_milli", "opacity_milli", "direct_density", "reflected_density"))
 
 
 _FL = lambda c: f"CAST(floor({c} / 64e0) AS BIGINT)"
@@ -951,7 +953,7 @@ _FR = lambda: {"corner_x_m": geo.fault_rectangle("center_x_m", "center_y_m", _C(
 scalar("fault_rectangle", "fx_candidate", ["p"], "center_x_m + sin(radians(strike)) * length_km * 500 + cos(radians(strike)) * cos(radians(60e0)) * width_km * 500 AS corner_x_m, center_depth_km * 1000 + sin(radians(60e0)) * width_km * 500 AS corner_z_m", _FR, "corner_x_m, corner_z_m")
 scalar("year_fraction", "fx_gnss", ["row_id"], f"2000 + {_YF} AS y", lambda: {"y": expr.year_fraction("date")}, "y")
 scalar("fault_score", "fx_candidate", ["p"], "greatest(0e0, least(1e0, 35e-2 * planarity + 25e-2 * fault_score + 2e-1 * 5e-1 + 1e-1 * planarity + 1e-1 * 5e-1)) AS s", lambda: {"s": expr.fault_score("planarity", "fault_score", F.lit(None).cast("double"), "planarity", F.lit(0.5))}, "s")
-scalar("confidence_from_score", "fx_candidate", ["p"], "greatest(0e0, least(1e0, 25e-2 + 75e-2 * fault_score * greatest(1e-1, least(1e0, n_events / 20e0)))) AS c", lambda: {"c": expr.confidence_from_score("fault_score", "n_events")}, "c")
+scalar("confidence_from_score", "fx_candidate", ["p"], "1e3 * greatest(0e0, least(1e0, 25e-2 + 75e-2 * fault_score * greatest(1e-1, least(1e0, n_events / 20e0)))) AS c", lambda: {"c": 1e3 * expr.confidence_from_score("fault_score", "n_events")}, "c")
 _RS = "greatest(CASE WHEN depth <= 20 THEN 1500e0 ELSE 5000e0 END, least(50000e0, greatest(CASE WHEN depth <= 20 THEN 5000e0 ELSE 10000e0 END, 5e-1 * (3500e0 / frequency_hz) / sqrt(greatest(1e0, 100000e0 / (3500e0 / frequency_hz))))))".replace("depth", "(projection_z_m / 1000e0)")
 scalar("resolution_sigma_m", "fx_projection", ["p"], f"{_RS} AS s_m", lambda: {"s_m": imaging.resolution_sigma_m(_C("frequency_hz"), F.lit(100.0), _C("projection_z_m") / 1000.0)}, "s_m")
 scalar("vertical_resolution_sigma_m", "fx_projection", ["p"], "CASE WHEN projection_z_m <= 20000 THEN greatest(2500e0, least(50000e0, 35e-2 * beam_power * 1e4)) ELSE greatest(12000e0, least(50000e0, 6e-1 * beam_power * 1e4)) END AS s_m", lambda: {"s_m": imaging.vertical_sigma_m(_C("projection_z_m") / 1000.0, F.greatest(_C("beam_power") * 1e4, F.lit(1.0)))}, "s_m")
