@@ -7,14 +7,17 @@ are words seen before: each is encoded once and kept, until the cache is full an
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
 
 END_ID = 0
-MAX_CACHED = 400_000
+MAX_CACHED = 1_000_000
 _SPACE = " \t\n\r\f\v"
+_OTHER_SPACE = re.compile(r"[^\S\n\0]")
+_SIGNS = ".,;:!?*#%&$|()-\"'"
 _PIECE = re.compile(rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 
@@ -31,29 +34,84 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self._bytes = self._byte_level(path)
+        self._signs: dict[str, bytes] = {}
+        self._newline = int(self._ids("\n")[0])
         self._spaced: dict[str, bytes] = {}
         self._raw: dict[str, bytes] = {}
         self._odd: set[str] = set()
         self._odd_raw: set[str] = set()
 
-    def _learn(self, cache: dict[str, bytes], keys: set[str], texts: list[str]) -> None:
+    @staticmethod
+    def _byte_level(path: str) -> dict[int, str] | None:
+        """Characters that stand for bytes in a byte-level BPE file; None for any other kind of tokenizer. Printable Latin-1
+        characters stand for themselves, the other bytes for those from U+0100 on, in order."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = spec.get("pre_tokenizer") or {}
+        if spec["model"].get("type") != "BPE" or spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            return None
+        own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+
+    def _learn(self, cache: dict[str, bytes], keys: list[str], texts: list[str]) -> None:
         for key, got in zip(keys, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             cache[key] = np.asarray(got.ids, dtype=self.dtype).tobytes()
 
+    def _learn_letters(self, keys: list[str]) -> list[str]:
+        """Learns the keys that are letters with signs after them: the tokenizer splits these in two before it merges
+        bytes, so both parts are kept and joined, and letters go to its model without a further split. Returns the rest."""
+        if not self._bytes:
+            return keys
+        rest, spaced, signs, model = [], self._spaced, self._signs, self.tokenizer.model
+        for k in keys:
+            letters = k.rstrip(_SIGNS)
+            if not letters.isalpha():
+                rest.append(k)
+                continue
+            if letters not in spaced:
+                text = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self._bytes)
+                spaced[letters] = np.array([t.id for t in model.tokenize("\u0120" + text)], dtype=self.dtype).tobytes()
+            if len(letters) < len(k):
+                after = k[len(letters) :]
+                if after not in signs:
+                    signs[after] = self._ids(after).tobytes()
+                spaced[k] = spaced[letters] + signs[after]
+        return rest
+
+    def _learn_words(self, keys: list[str]) -> None:
+        """Words without inner white space, in one call: a line end between them is always a token of its own."""
+        if not keys:
+            return
+        ids = self._ids("".join(f"\n {k}" for k in keys))
+        at = np.flatnonzero(ids == self._newline)
+        if len(at) != len(keys):
+            self._learn(self._spaced, keys, [f" {k}" for k in keys])
+            return
+        width, raw = self.dtype.itemsize, ids.tobytes()
+        first, last = ((at + 1) * width).tolist(), [*(at[1:] * width).tolist(), len(raw)]
+        self._spaced.update(zip(keys, [raw[a:b] for a, b in zip(first, last)]))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes of ``dtype``."""
         if len(self._spaced) + len(self._raw) > MAX_CACHED:
-            self._spaced, self._raw, self._odd, self._odd_raw = {}, {}, set(), set()
+            self._spaced, self._raw, self._signs, self._odd, self._odd_raw = {}, {}, {}, set(), set()
         plain: list[list[str] | None] = []
         for t in texts:
             usual = t and "  " not in t and "\n\n" not in t and " \n" not in t and "\n " not in t and t[0] not in " \n" and t[-1] not in " \n"
             plain.append(t.replace("\n", " \n").split(" ") if usual else None)
         new = set().union(*(p[1:] for p in plain if p)).difference(self._spaced, self._odd)
-        # other white space next to a space or a line end could join with it
-        odd = {k for k in new if any(c.isspace() for c in k[k[0] == "\n" :])}
-        self._odd |= odd
-        new -= odd
-        self._learn(self._spaced, new, [k if k[0] == "\n" else f" {k}" for k in new])
+        if _OTHER_SPACE.search("\0".join(new)):
+            # other white space next to a space or a line end could join with it
+            odd = {k for k in new if any(c.isspace() for c in k[k[0] == "\n" :])}
+            self._odd |= odd
+            new -= odd
+        lines = [k for k in new if k[0] == "\n"]
+        self._learn(self._spaced, lines, lines)
+        self._learn_words(self._learn_letters([k for k in new if k[0] != "\n"]))
         if self._odd:
             plain = [p if p is None or self._odd.isdisjoint(p) else None for p in plain]
         raw = [[p[0]] if p else _PIECE.findall(t) for p, t in zip(plain, texts)]
