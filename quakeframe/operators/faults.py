@@ -14,6 +14,13 @@ from ..functions import expr, geo
 BROADCAST_ROWS = 200_000
 
 
+def typed_empty(schema: str) -> pd.DataFrame:
+    """No rows, with the column types of a DDL schema."""
+    kinds = {"double": "float64", "int": "int32", "long": "int64", "boolean": "bool", "string": "object"}
+    parts = [c.split() for c in schema.split(", ")]
+    return pd.DataFrame({n: np.zeros(0, kinds[k]) for n, k in parts})
+
+
 def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast if counted to be small; else Spark plans the join without a hint."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr, geo
-from .faults import segments, small_side
+from .faults import segments, small_side, typed_empty
 
 MAX_DEPTH_KM, VELOCITY, MAX_DELAY_S, NEAR_SURFACE_KM = 100.0, 3.5, 30.0, 20.0
 # Weights of depth estimates.
@@ -136,7 +136,7 @@ def array_projection(rows: DataFrame, events: DataFrame, least: int = 4, top: in
     def run(g: pd.DataFrame) -> pd.DataFrame:
         names = [c.split()[0] for c in PROJECTION.split(", ")]
         if len(g) < least:
-            return pd.DataFrame({n: [] for n in names})
+            return typed_empty(PROJECTION)
         g = g.sort_values("station_id")
         array, e = _Array(g), g.iloc[0]
         offsets, step, steps = candidate_grid(float(e["depth_km"]))

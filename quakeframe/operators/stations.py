@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr, geo
-from .faults import small_side
+from .faults import small_side, typed_empty
 
 # ---------------------------------------------------------------- GNSS
 
@@ -175,7 +175,7 @@ def leave_one_event_out(spectra: DataFrame) -> DataFrame:
         event = pdf["event_id"].to_numpy()
         code, _ = pd.factorize(event)
         if code.max(initial=-1) < 1:
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+            return typed_empty(schema)
         out = pdf[["event_id", "log_amplitude", "phase_rad", "group_delay_s"]].copy()
         for source, target in (("log_amplitude", "predicted"), ("group_delay_s", "predicted_delay")):
             v = pdf[source].to_numpy(float)
