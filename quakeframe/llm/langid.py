@@ -66,7 +66,7 @@ def fit(docs: DataFrame, lang: str = "lang") -> Model:
 def _compressors(dictionaries: list[bytes]) -> list[list]:
     out = []
     for params in (
-        zstd.ZstdCompressionParameters.from_level(1, window_log=18, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False),
+        zstd.ZstdCompressionParameters.from_level(5, window_log=18, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False),
         zstd.ZstdCompressionParameters.from_level(15, window_log=18, min_match=3, strategy=zstd.STRATEGY_BTULTRA, write_content_size=False, write_checksum=False, write_dict_id=False),
     ):
         group = []
