@@ -1,6 +1,6 @@
 """Helpers that the corpus operators share: the shared folder, Arrow batches of text, and hashes of words.
 
-Words are hashed straight from the UTF-8 bytes of an Arrow column, a slice of about a megabyte at a time, so
+Words are hashed straight from the UTF-8 bytes of an Arrow column, a slice of about half a megabyte at a time, so
 no operator builds a Python object per word and memory stays bounded by the slice (or by one document).
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: ASCII white space, as in the word pattern [^\x20\x09-\x0D]+
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

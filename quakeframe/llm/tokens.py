@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 END_ID = 0
-MAX_CACHED = 1_000_000
+MAX_CACHED = 600_000
 _SPACE = " \t\n\r\f\v"
 _OTHER_SPACE = re.compile(r"[^\S\n\0]")
 _SIGNS = ".,;:!?*#%&$|()-\"'"
