@@ -176,6 +176,26 @@ def test_list_pairs_skip_nothing_needed():
     assert got == want
 
 
+def test_unlike_pairs_in_pieces():
+    rng = np.random.default_rng(4)
+    for x, y in ((rng.integers(0, 3, 50), rng.integers(0, 3, 70)), (np.zeros(9, int), np.zeros(4, int)), (np.arange(5), np.arange(5))):
+        got = [(int(a), int(b)) for i, j in jaccard._unlike(x, y, cells=16) for a, b in zip(i, j)]
+        assert sorted(got) == [(a, b) for a in range(len(x)) for b in range(len(y)) if x[a] != y[b]]
+
+
+def test_lists_split_by_own_counts(spark, docs_of):
+    """A table whose counters are all high splits no list, and one hot token splits only its own."""
+    docs = docs_of([prose(8, random.Random(i)) for i in range(6)]).coalesce(1)
+
+    def entries(counts):
+        return sum(len(r["entries"]) // 24 for r in jaccard._entries(docs, counts, 4).collect())
+
+    counts = np.full(1 << jaccard.COUNT_BITS, 2, np.uint32)
+    few = entries(counts)
+    assert entries(counts + np.uint32(50 * jaccard.MAX_LIST)) == few
+    assert jaccard._split(np.array([9], np.uint64), np.array([0]), np.array([3]), 5)[0].size == 3
+
+
 def brute_edit(p, t):
     row = [0] * (len(t) + 1)
     for i, c in enumerate(p, 1):
