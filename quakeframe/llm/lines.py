@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-MAX_RATIO, MIN_PAGES, BROADCAST_LINES = 0.05, 3, 100_000
+MAX_RATIO, MIN_PAGES, BROADCAST_LINES = 0.01, 3, 100_000
 
 
 def _key(line: Column) -> Column:
