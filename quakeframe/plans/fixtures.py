@@ -32,6 +32,8 @@ def _views(d: Dialect) -> dict[str, str]:
     text = "STRING" if d.spark else "VARCHAR"
     ll = lambda key, a, b: f"129.6 + (({key} * {a}) % 1900) / 1e3 AS lon, 31.8 + (({key} * {b}) % 1800) / 1e3 AS lat"
     far = lambda c: f"CAST({c} AS DOUBLE)"
+    # events of neighbouring keys: their number grows with the table, the rows of each stay few
+    block = lambda key, n: f"'ev' || CAST(CAST(({key} - {key} % {n}) / {n} AS BIGINT) AS {text})"
     return {
         "fx_event": f"""SELECT {k} AS k, 'ev' || CAST({k} AS {text}) AS event_id, CAST(129.5 AS DOUBLE) + (({k} * 7919) % 2100) / 1e3 AS lon,
             CAST(31.7 AS DOUBLE) + (({k} * 104729) % 2000) / 1e3 AS lat, (({k} * 31) % 450) / 1e1 AS depth_km, CAST(1.5 AS DOUBLE) + (({k} * 13) % 60) / 1e1 AS magnitude,
@@ -45,7 +47,7 @@ def _views(d: Dialect) -> dict[str, str]:
             p_retailprice * 1e15 AS scalar_moment_nm FROM {{part}}""",
         "fx_mechanism_origin": f"""SELECT m.p, m.mechanism_id, {d.after("e.time_utc", "0", "(m.p * 17) % 2001 - 1000")} AS origin_utc, e.lon + ((m.p % 7) - 3) / 1e1 AS lon,
             e.lat + ((m.p % 7) - 3) / 1e1 AS lat, e.magnitude + ((m.p % 5) - 2) / 1e1 AS magnitude FROM {{fx_mechanism}} m JOIN {{fx_event}} e ON m.event_id = e.event_id""",
-        "fx_spectrum": f"""SELECT 'ev' || CAST(l_orderkey % 200 AS {text}) AS event_id, 'ST' || CAST(l_suppkey AS {text}) AS station_id, l_returnflag AS channel,
+        "fx_spectrum": f"""SELECT {block("l_orderkey", 75)} AS event_id, 'ST' || CAST(l_suppkey AS {text}) AS station_id, l_returnflag AS channel,
             CASE l_linenumber % 5 WHEN 0 THEN 5e-1 WHEN 1 THEN 1e0 WHEN 2 THEN 2e0 WHEN 3 THEN 4e0 ELSE 8e0 END AS frequency_hz,
             l_extendedprice / 1e3 AS amplitude, ((l_partkey * 17) % 6283) / 1e3 - CAST(3.1415 AS DOUBLE) AS phase_rad, l_quantity / 1e1 AS group_delay_s,
             CAST(129.6 AS DOUBLE) + ((l_suppkey * 613) % 1900) / 1e3 AS lon, CAST(31.8 AS DOUBLE) + ((l_suppkey * 997) % 1800) / 1e3 AS lat,
@@ -67,13 +69,13 @@ def _views(d: Dialect) -> dict[str, str]:
             CASE l_linenumber % 4 WHEN 0 THEN 'direct' WHEN 1 THEN 'reflected' WHEN 2 THEN 'scattered' ELSE 'residual' END AS primitive_type,
             CASE WHEN l_linenumber % 4 = 0 THEN 'source_anchor' WHEN l_partkey % 3 = 0 THEN 'diagnostic_rejected' ELSE 'structure' END AS splat_role,
             l_quantity AS late_phase_delay_s, l_partkey % 7 = 0 AS late_delay_clipped, l_orderkey, l_partkey, l_linenumber FROM {{lineitem}}""",
-        "fx_projection": f"""SELECT 'ev' || CAST(p_partkey % 200 AS {text}) AS event_id, p_partkey AS p,
+        "fx_projection": f"""SELECT {block("p_partkey", 10)} AS event_id, p_partkey AS p,
             CASE p_partkey % 5 WHEN 0 THEN 5e-1 WHEN 1 THEN 1e0 WHEN 2 THEN 2e0 WHEN 3 THEN 4e0 ELSE 8e0 END AS frequency_hz,
             6378137e0 * radians(130.5e0) + ((p_partkey * 613) % 160000) - 80000 AS projection_x_m,
             6378137e0 * ln(tan(pi() / 4 + radians(32.7e0) / 2)) + ((p_partkey * 997) % 160000) - 80000 AS projection_y_m, ((p_partkey * 31) % 450) * 1e2 AS projection_z_m,
             ((p_partkey * 7) % 100) / 1e2 AS beam_energy, ((p_partkey * 13) % 100) / 1e2 AS array_coherence, ((p_partkey * 17) % 6283) / 1e3 - CAST(3.1415 AS DOUBLE) AS phase_resultant_rad,
             p_size AS projection_rank, CASE p_partkey % 4 WHEN 0 THEN 'direct' WHEN 1 THEN 'reflected' WHEN 2 THEN 'scattered' ELSE 'residual' END AS primitive_type,
-            ((p_partkey * 19) % 50) / 1e1 AS residual_spread_s, ((p_partkey * 23) % 310) / 1e1 AS late_phase_delay_s, ((p_partkey * 7) % 100) / 1e2 * 3 AS beam_power FROM {{part}} WHERE p_partkey < 2000""",
+            ((p_partkey * 19) % 50) / 1e1 AS residual_spread_s, ((p_partkey * 23) % 310) / 1e1 AS late_phase_delay_s, ((p_partkey * 7) % 100) / 1e2 * 3 AS beam_power FROM {{part}}""",
         "fx_candidate": f"""SELECT p_partkey AS p, 'c' || CAST(p_partkey AS {text}) AS candidate_id, {far("(p_partkey * 7919) % 200000")} AS center_x_m, {far("(p_partkey * 6007) % 150000")} AS center_y_m,
             {far("(p_partkey * 31) % 400")} / 1e1 AS center_depth_km, {far("(p_partkey * 37) % 360")} AS strike, CASE WHEN p_partkey % 50 = 0 THEN 900e0 ELSE {far("10 + p_partkey % 90")} END AS length_km,
             {far("5 + p_partkey % 30")} AS width_km, ((p_partkey * 53) % 1000) / 1e3 AS fault_score, ((p_partkey * 71) % 100) / 1e2 AS planarity, 4 + p_partkey % 40 AS n_events FROM {{part}}""",

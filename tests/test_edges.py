@@ -241,3 +241,15 @@ def test_no_faults_and_one_point_traces(spark):
     assert none["nearest_segment_id"] is None and none["fault_distance_km"] == float("inf")
     one = faults.nearest_fault(p, spark.createDataFrame([("f", [(3000.0, 4000.0)])], schema), "event_id").first()
     assert (one["nearest_segment_id"], one["fault_distance_km"]) == ("f", 5.0)
+
+
+@pytest.mark.parametrize("name, table", [("fx_projection", "part"), ("fx_spectrum", "lineitem")])
+def test_fixture_views_grow_with_their_tables(spark, name, table):
+    from quakeframe.plans.fixtures import view
+
+    events = []
+    for sf in ("0.01", "0.1"):
+        each = view(spark, f"/root/testdata/sf{sf}", name).groupBy("event_id").count().agg(F.sum("count"), F.count("*"), F.max("count")).first()
+        assert each[0] == view(spark, f"/root/testdata/sf{sf}", table).count() and each[2] < 500
+        events.append(each[1])
+    assert events[1] == 10 * events[0]
