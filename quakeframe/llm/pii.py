@@ -201,10 +201,14 @@ def disguised(text: str, plain: list[Span]) -> list[Span]:
 
 # ---------------------------------------------------------------- operator
 
-_TRIGGER = re.compile(rf"(?i)[\[({{<]\s*(?:at|arroba|@|dot|punkt|point|punto|\.)\s*[\])}}>]|\s(?:dot|punkt|punto)\s|(?<!\w)(?:{_WORD})[ ,-]+(?:{_WORD})[ ,-]+(?:{_WORD})(?!\w)")
+# A text without any of these, and without characters that _glyphs rewrites, is left as it is by normalise.
+_TRIGGER = re.compile(
+    rf"(?i)[\[({{<]\s*(?:at|arroba|@|dot|punkt|point|punto|\.)\s*[\])}}>]|\s(?:dot|punkt|punto)\s|{_PLUS.pattern.removeprefix('(?i)')}"
+    rf"|(?<!\w)(?:(?:{_WORD})(?:[ ,]|, |-)(?:{_WORD}|[0-9])|[0-9](?:[ ,]|, |-)(?:{_WORD}))(?!\w)"
+)
 _LEADS = np.zeros(256, dtype=bool)
-#: first bytes of Greek, Cyrillic, Arabic and Indic digits, general punctuation and fullwidth forms
-_LEADS[[*range(0xCD, 0xD3), *range(0xD9, 0xDC), *range(0xE0, 0xE4), 0xEF, 0xF0]] = True
+#: first bytes of all characters that _glyphs rewrites; a test holds them against every code point
+_LEADS[[0xC2, *range(0xCE, 0xD3), 0xD4, 0xD6, 0xD8, 0xD9, 0xDB, 0xDC, 0xDF, *range(0xE0, 0xE4), 0xEA, 0xEF, 0xF0, 0xF3]] = True
 _WATCH = np.zeros(256, dtype=bool)
 _WATCH[[*range(48, 58), 64]] = True
 
