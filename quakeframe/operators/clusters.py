@@ -76,6 +76,15 @@ def dbscan(points: DataFrame, eps: float, min_samples: int = 4) -> DataFrame:
     return points.select("event_id").join(every, "event_id", "left").select("event_id", F.col("label").alias("cluster"))
 
 
+def dbscan_members(points: DataFrame, eps: float, min_samples: int = 4) -> DataFrame:
+    """Members of the density clusters with at least min_samples events, in the columns of ``multiscale_tiles``."""
+    p = cut(points.select("event_id", "x_m", "y_m", "z_m"))
+    found = cut(dbscan(p, eps, min_samples).where("cluster is not null"))
+    full = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).drop("n")
+    kept = found.join(full, "cluster").join(p, "event_id")
+    return kept.select(F.concat(F.lit("global_dbscan_"), "cluster").alias("cluster_id"), F.lit("global_dbscan").alias("method"), "event_id", "x_m", "y_m", "z_m")
+
+
 def dedupe_candidates(df: DataFrame, km: float = 6.0, depth_km: float = 5.0, strike: float = 20.0, most: int | None = 300, rounds: int = 200) -> DataFrame:
     """Candidates in order of score (then planarity, events, p), less those near a kept better one in place, depth and strike.
     A candidate is kept when all its better neighbours are dropped, and dropped when one of them is kept: rounds of that

@@ -536,7 +536,11 @@ def plane_fit(v):
 
 @query()
 def infer_faults(v):
-    return faults.infer_faults(qc_events(v), v("fx_trace"), v("fx_mechanism"), strain(v))
+    e = clusters.cut(qc_events(v))
+    members = clusters.dbscan_members(e, faults.cluster_eps(e).first()["eps_m"], 4)
+    found = clusters.cut(faults.infer_faults(e, v("fx_trace"), v("fx_mechanism"), strain(v), members))
+    # ids that break ties; the reference keeps 1,000
+    return clusters.dedupe_candidates(faults.select_region_sheets(found).withColumn("p", F.xxhash64("cluster_id")), most=1000).drop("p")
 
 
 @query()

@@ -253,3 +253,27 @@ def test_fixture_views_grow_with_their_tables(spark, name, table):
         assert each[0] == view(spark, f"/root/testdata/sf{sf}", table).count() and each[2] < 500
         events.append(each[1])
     assert events[1] == 10 * events[0]
+
+
+def test_infer_faults_has_density_clusters_and_no_near_copies(spark):
+    from quakeframe.plans import queries
+    from quakeframe.plans.fixtures import view
+
+    def few(name):
+        df = view(spark, "/root/testdata/sf0.001", name)
+        if name != "fx_event_dup":
+            return df
+        return df.where("k < 150").withColumns({"lon": 130.5 + (F.col("k") % 10) * 5e-3, "lat": 32.7 + (F.col("k") % 7) * 5e-3, "depth_km": 10.0 + F.col("k") % 3})
+
+    n = queries.qc_events(few).count()
+    assert 4 <= n < 200  # too few for tiles
+    got = queries.infer_faults(few).collect()
+    assert [(r["cluster_id"].startswith("global_dbscan_"), r["n_events"]) for r in got] == [(True, n)]
+
+    kept = queries.infer_faults(lambda name: view(spark, "/root/testdata/sf0.001", name)).collect()
+    assert kept and all(r["length_km"] <= 800 and r["width_km"] <= 300 for r in kept)
+    for i, a in enumerate(kept):
+        for b in kept[:i]:
+            turn = abs((a["strike"] - b["strike"] + 180) % 360 - 180)
+            near = math.hypot(a["center_x_m"] - b["center_x_m"], a["center_y_m"] - b["center_y_m"]) <= 6000 and abs(a["center_depth_km"] - b["center_depth_km"]) <= 5
+            assert not (near and min(turn, abs(turn - 180)) <= 20)
