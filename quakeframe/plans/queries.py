@@ -697,7 +697,7 @@ def waveform_features(v):
 
 @query()
 def array_projection(v):
-    e = with_xy(v("fx_event").where("k < 200"))
+    e = with_xy(v("fx_event"))
     return imaging.array_projection(station_rows(v), e)
 
 

@@ -277,3 +277,14 @@ def test_infer_faults_has_density_clusters_and_no_near_copies(spark):
             turn = abs((a["strike"] - b["strike"] + 180) % 360 - 180)
             near = math.hypot(a["center_x_m"] - b["center_x_m"], a["center_y_m"] - b["center_y_m"]) <= 6000 and abs(a["center_depth_km"] - b["center_depth_km"]) <= 5
             assert not (near and min(turn, abs(turn - 180)) <= 20)
+
+
+def test_array_projection_takes_every_event(spark):
+    from quakeframe.plans import queries
+    from quakeframe.plans.fixtures import view
+
+    def moved(name):
+        df = view(spark, "/root/testdata/sf0.001", name)
+        return df.where("event_id = 'ev0'").withColumn("event_id", F.lit("ev1000")) if name == "fx_spectrum" else df
+
+    assert {r["event_id"] for r in queries.array_projection(moved).collect()} == {"ev1000"}
