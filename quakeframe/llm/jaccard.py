@@ -146,9 +146,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
             keep = []
             for r, (a, b, lead) in enumerate(zip(a_ids, b_ids, leads)):
                 if b != b_id:
-                    b_id, b_set, lead_id = b, dict(shingle_sets(texts_b.slice(r, 1)))[0], None
+                    b_id, b_set, lead_id = b, None, None
+                if b_set is None:
+                    own = dict(shingle_sets(texts_b.slice(r, 1)))[0]
+                    b_set = own if set_id(own) == b else None
                 s = sets_a[r]
-                if set_id(s) != a or set_id(b_set) != b:
+                if b_set is None or set_id(s) != a:
                     keep.append(False)  # the text of another row with the same id
                     continue
                 if lead != lead_id:

@@ -232,6 +232,19 @@ def test_decontamination(spark, docs_of):
     assert contamination.leaks(docs_of([]), bench).count() == 0
 
 
+def test_jaccard_with_rows_of_one_id(docs_of):
+    """Rows of one id with different texts: each keeps the link to its near copy."""
+    rng = random.Random(3)
+    texts, ids, odd = [], [], []
+    for g in range(40):
+        x, y = (" ".join(f"{prose(1, rng)}{rng.randrange(10**6)}" for _ in range(60)) for _ in range(2))
+        texts += [x, y, f"{x} more", f"{y} more"]
+        ids += [10 * g + 1, 10 * g + 1, 10 * g + 2, 10 * g + 3]
+        odd += ids[-2:]
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard.near_duplicates(docs_of(texts, ids)).where("doc_id % 10 > 1").collect()}
+    assert got == {i: (i - i % 10 + 1, 1) for i in odd}
+
+
 def test_pii():
     cases = {
         "mail bob.x@site.example.com now": ["email:5:27"],
