@@ -356,33 +356,79 @@ def test_lines_of_a_large_host(spark):
 
 
 def test_mixing(docs_of):
-    texts = ODD[:10] + [prose(RNG.randint(1, 60)) for _ in range(120)] + [prose(20).upper()]
-    ids = [None, *range(1, len(texts))]
-    got = {r["doc_id"]: r for r in mixing.language_model_scores(docs_of(texts, ids)).collect()}
-    toks = {i: [*words_of(t), "\n"] for i, t in zip(ids, texts)}
-    train = Counter(w for i, ws in toks.items() if i is None or zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    texts = ODD + [prose(RNG.randint(1, 60)) for _ in range(120)] + [prose(20).upper()]
+    ids = [None, *range(1, len(texts) - 1), 5]
+    got = defaultdict(list)
+    for r in mixing.language_model_scores(docs_of(texts, ids)).collect():
+        got[r["doc_id"]].append(r)
+    toks = [[*words_of(t), "\n"] for t in texts]
+    train = Counter(w for i, ws in zip(ids, toks) if i is None or zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
     n, v = sum(train.values()), len(train)
-    for i, ws in toks.items():
-        r = got[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(train[w] > 0 for w in ws), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((train[w] + 1) / (n + v + 1)) for w in ws))
-        assert r["score"] < 0
-    assert sum(got[i]["score"] for i in toks) / sum(map(len, toks.values())) > -5  # words of the same syllables are expected
+    want = defaultdict(list)
+    for i, ws in zip(ids, toks):
+        want[i].append((len(ws), sum(train[w] > 0 for w in ws), n, pytest.approx(sum(math.log10((train[w] + 1) / (n + v + 1)) for w in ws))))
+    assert set(got) == set(want)
+    for i, rows in got.items():
+        assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in rows) == sorted(want[i], key=lambda x: x[:3])
+        assert all(r["score"] < 0 for r in rows)
+    assert sum(r["score"] for rows in got.values() for r in rows) / sum(map(len, toks)) > -5  # words of the same syllables are expected
     assert mixing.language_model_scores(docs_of([])).count() == 0
 
 
-def test_mixing_sums_to_one():
-    """Of all next bytes after a beginning, the probabilities add up to 1."""
-    words = [w.encode() for w in prose(300).split()]
-    lens, chars = np.array([len(w) for w in words]), np.frombuffer(b"".join(words), np.uint8)
-    counts = np.zeros((2, int(mixing._START[-1])))
-    mixing.count_bits(lens, chars, np.ones(len(words)), counts)
-    model = mixing.train(counts, lens, chars, np.ones(len(words), np.int64))
-    total = 0.0
-    for b in range(256):
-        x, word, ctx = mixing._symbols(np.array([3]), np.frombuffer(b"ta" + bytes([b]), np.uint8))
-        total += float(np.exp(model._bits(x[2:3], [c[2:3] for c in ctx])[0]))
-    assert total == pytest.approx(1)
+def mixing_texts(texts):
+    out = mixing.Texts()
+    for lo, hi, data, offs in text_slices(filled(pa.array(texts))):
+        out.add(list(range(lo, hi)), [False] * (hi - lo), data, offs)
+    out.close()
+    return out
+
+
+def mixing_model(train, tune):
+    tune, train = mixing_texts(tune), mixing_texts(train)
+    code, bits = mixing.prefix_code(np.bincount(train.chars, minlength=256)), (18, 18, 18, 18)
+    tables = [np.zeros(2 << b, np.int32) for b in bits]
+    mixing.count_bits(train, np.ones(len(train.doc_ids), bool), code, bits, tables)
+    return mixing.learn(tune, code, bits, [mixing.log_odds(t) for t in tables])
+
+
+def test_mixing_model():
+    """Next bytes add up to 1, word order counts, a text's own past is learned from, and a text's score is its own."""
+    rng = random.Random(4)
+    vocabulary = [prose(1, rng) for _ in range(400)]
+    after = {w: rng.choices(vocabulary, k=3) for w in vocabulary}
+
+    def chain(n):
+        w = [rng.choice(vocabulary)]
+        while len(w) < n:
+            w.append(rng.choice(after[w[-1]]))
+        return " ".join(w)
+
+    model = mixing_model([chain(80) for _ in range(300)], [chain(80) for _ in range(60)])
+    for beginning in ("ta", "", "tarino"):
+        # the word "<beginning><byte>" against "<beginning>", bit by bit, at the place of the byte
+        total = 0.0
+        for b in [*range(9), *range(14, 32), *range(33, 65), *range(91, 256)]:
+            w = mixing.word_bits(np.array([len(beginning) + 1]), np.frombuffer(beginning.encode() + bytes([b]), np.uint8), model.code)
+            lo = int(model.code.length[list(beginning.encode())].sum()) if beginning else 0
+            at = np.arange(lo, lo + model.code.length[b])
+            odds = [t[mixing._slots(h, k)] for t, h, k in zip(model.odds, w.contexts, model.bits)]
+            total += float(np.exp(model.tail.cost([o[at] for o in odds], mixing._tail_gate(odds, at), w.node[at], w.bit[at]).sum()))
+        for b, closed in ((32, True), (10, False)):  # a space closes the word; the rest of the bytes stand for no text
+            w = mixing.word_bits(np.array([len(beginning) or 1]), np.frombuffer(beginning.encode() or b"\n", np.uint8), model.code)
+            if closed and beginning:
+                at = np.arange(len(w.bit) - model.code.length[32], len(w.bit))
+                odds = [t[mixing._slots(h, k)] for t, h, k in zip(model.odds, w.contexts, model.bits)]
+                total += float(np.exp(model.tail.cost([o[at] for o in odds], mixing._tail_gate(odds, at), w.node[at], w.bit[at]).sum()))
+        assert 0.9 < total <= 1 + 1e-3
+    tests = [chain(60) for _ in range(40)]
+    shuffled = [" ".join(rng.sample(t.split(), 60)) for t in tests]
+    costs, mixed = model.costs(mixing_texts(tests)), model.costs(mixing_texts(shuffled))
+    assert (mixed < costs).mean() > 0.95
+    once = [prose(50, rng) for _ in range(20)]
+    alone, twice = model.costs(mixing_texts(once)), model.costs(mixing_texts([f"{t} {t}" for t in once]))
+    assert (twice > 1.7 * alone).all()  # the second time costs less
+    assert model.costs(mixing_texts(list(reversed(tests))))[::-1] == pytest.approx(costs)
+    assert (model.costs(mixing_texts(["", "  ", "a" * 5000])) < 0).all()
 
 
 def brute_rules(t):
