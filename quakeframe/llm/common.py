@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,12 +35,14 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset in local mode."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
@@ -51,10 +55,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again: this cuts lineage and outlives lost executors."""
+    return stored_at(df, name)[0]
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``stored`` with the table's path."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def uri(path: str) -> str:
+    return path if "://" in path or path.startswith("file:") else f"file://{path}"
+
+
+def read_table(path: str) -> pa.Table:
+    """A stored table of checked size, read by a task from the shared folder."""
+    fs, root = pafs.FileSystem.from_uri(uri(path))
+    return pq.read_table(root, filesystem=fs)
 
 
 def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
@@ -63,6 +82,26 @@ def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def without(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` less its columns of these names in any case, as Spark resolves names."""
+    gone = {n.lower() for n in names}
+    return df.select(*(quoted(c) for c in df.columns if c.lower() not in gone)) if gone & {c.lower() for c in df.columns} else df
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -83,11 +122,11 @@ def with_columns(
     df: DataFrame, fields: list[T.StructField], make: Callable[[pa.Array], list[pa.Array]], text: str = "text"
 ) -> DataFrame:
     """Appends columns that ``make`` derives from the text column of each Arrow batch (nulls arrive as empty
-    texts). Columns of the same names are replaced; all others pass through unchanged."""
+    texts). Columns of the same names, in any case, are replaced; all others pass through unchanged."""
     names = [f.name for f in fields]
-    kept = df.drop(*names) if set(names) & set(df.columns) - {text} else df
+    kept = without(df, [n for n in names if n.lower() != text.lower()])
     schema = T.StructType([*kept.schema.fields, *fields])
-    at = kept.columns.index(text)
+    at = [c.lower() for c in kept.columns].index(text.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

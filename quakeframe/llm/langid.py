@@ -5,7 +5,9 @@ every dictionary, in pieces so that a long text does not become its own dictiona
 margin below ``LEAST_MARGIN`` marks the answer as rejected (column ``confident``).
 
 Defined results: null texts and texts without a letter give ``und`` with score 0; ties go to the language with more
-training rows, then by name; with no training row every text is ``und``.
+training rows, then by name; with no training row every text is ``und``; repeated rows get equal answers; an empty table
+gives no rows; columns named like the results, in any case, are replaced. More than ``MAX_LANGUAGES`` languages are an
+error, since every task holds a dictionary for each.
 """
 
 from __future__ import annotations
@@ -42,9 +44,11 @@ class Model:
 def fit(docs: DataFrame, lang: str = "lang") -> Model:
     """Learns from the rows outside the held-out fold (crc32(doc_id as text) mod 4 = 2) that have a language."""
     train = docs.where(~fold(4, 2)).where(F.col(lang).isNotNull() & F.col("text").isNotNull())
-    counts = train.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()
+    counts = train.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES + 1).collect()
     if not counts:
         return Model([], [])
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages; dictionaries are held by every task")
     # the hash of the id picks about SAMPLE_DOCS texts of each language, and of each a snippet at a random place
     unit = (F.xxhash64(F.col("doc_id"), F.lit(5)).bitwiseAND(0x7FFFFFFF)) / float(1 << 31)
     rate = F.create_map(*[F.lit(v) for r in counts for v in (r[lang], float(min(1.0, SAMPLE_DOCS / r["count"])))])

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filled, new_folder, stored, tune
+from .common import filled, new_folder, stored, tune, uri
 from .tokens import END_ID, default_path, encoder, groups
 
 _HEAD, _PAYLOAD = struct.Struct("<QI"), struct.Struct("<BBqI")
@@ -141,5 +141,4 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
 def token_records(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Writes all documents as records under the shared folder and reads them back."""
     folder = new_folder(docs.sparkSession, "token-records")
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    return read_records(write_records(docs, folder, path), folder)
+    return read_records(write_records(docs, uri(folder), path), uri(folder))

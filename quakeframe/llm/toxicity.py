@@ -6,7 +6,8 @@ words and word beginnings are trained with numpy on the non-negative, class-prio
 ``max_unlabelled``); every whole document is scored where it lies, without a shuffle.
 
 Defined results: a null or empty text has no features and gets the score of the biases; without any positive
-label every score is 0; repeated rows get equal scores; columns named like the results are replaced.
+label every score is 0; repeated rows get equal scores; of the texts of one id one is sampled; columns named like the
+results, in any case, are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,14 +49,16 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, max_p: int, max_u: int) -> DataFrame:
-    """(text, positive): a bounded sample. Ids come first, so that no text is shuffled to find them."""
+    """(text, positive): a bounded sample of at most max_p + max_u rows, one text of an id. Ids come first, so that no text is
+    shuffled to find them; rows of one id are reduced before a shuffle."""
     order = F.xxhash64(F.col("doc_id"))
     known = labels.where(~fold(5, 0)).where(F.col("doc_id").isNotNull())
     p_ids = known.where("toxic = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(max_p)
-    u_ids = docs.where(~fold(5, 0)).where(F.col("doc_id").isNotNull()).select("doc_id").orderBy(order, "doc_id").limit(max_u)
+    u_ids = docs.where(~fold(5, 0)).where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(order, "doc_id").limit(max_u)
     ids = p_ids.withColumn("positive", F.lit(1)).unionByName(u_ids.withColumn("positive", F.lit(0)))
     # at most max_p + max_u ids
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "positive")
+    of_ids = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return of_ids.groupBy("doc_id", "positive").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "positive")
 
 
 def fit(
