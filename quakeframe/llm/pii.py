@@ -3,9 +3,10 @@
 Plain identifiers (email, ip, card, phone) are matched on the text itself. Then a chain of small transducers
 rewrites a text: homoglyphs and invisible characters, spelled digits, at/dot disguises. Each rewriting keeps, for every
 output character, the source span it came from, so identifiers found in the normalised text are mapped back. Plain
-spans always stay; a disguised one is added where it overlaps no plain span.
+spans always stay; a disguised one is added where it overlaps no plain span, or holds each that it overlaps and is longer.
 
-Defined results: null and empty texts have no spans; spans count code points, end exclusive; equal rows give equal rows.
+Defined results: null and empty texts have no spans; spans count code points, end exclusive; equal rows give equal rows; an
+empty table gives no rows; columns named like the results, in any case, are replaced.
 """
 
 from __future__ import annotations
@@ -184,7 +185,8 @@ def normalise(text: str) -> Traced:
 
 
 def disguised(text: str, plain: list[Span]) -> list[Span]:
-    """Further spans of the source, found in the normalised text; none overlaps a plain one or another of its kind."""
+    """Further spans of the source, found in the normalised text; none overlaps another of its kind, or a plain one unless it
+    holds that whole and is longer (a plain match of the rest of a disguised name)."""
     traced = normalise(text)
     if traced.text == text:
         return []
@@ -194,7 +196,8 @@ def disguised(text: str, plain: list[Span]) -> list[Span]:
         # the gap swallowed after a spelled digit isn't part of the identifier
         while end > start and text[end - 1].isspace():
             end -= 1
-        if all(end <= s or start >= e for _, s, e in plain) and all(k != kind or end <= s or start >= e for k, s, e in out):
+        apart = all(end <= s or start >= e or (start <= s and e <= end and e - s < end - start) for _, s, e in plain)
+        if apart and all(k != kind or end <= s or start >= e for k, s, e in out):
             out.append((kind, start, end))
     return out
 
