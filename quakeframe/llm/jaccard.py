@@ -8,16 +8,18 @@ doc_id that links reach. Two relations between sets save work:
   skipped by size, the rest of a block from the first position at which the remaining tokens cannot reach the overlap.
 * Answer level. Equal sets share one answer. Of highly similar sets, a leader's answers come first: in each list the set
   with the most frequent tokens, which is what many near copies were made from, is compared with the others, and what
-  these links connect is never paired again in any list. Where a further set is compared with several sets of one
-  group, its overlap with the first is computed once and the others' overlaps are derived from it by their differences.
+  these links connect is never paired again in any list. A member keeps its differences to its leader (tokens gone and
+  tokens new). A further set is compared with the leader once; from that overlap and the differences follow the answers of
+  all members: most by their numbers alone, the rest by looking the few differing tokens up.
 
-Shingles are 64-bit hashes made from the text's bytes. No step emits all pairs of a group: first each list gives one pair for
-each member and its leader, then pairs between different components only; a list longer than ``MAX_LIST`` is split into
-sub-lists which hold every pair.
+Shingles are 64-bit hashes made from the text's bytes. A class is the rows of one set; it is known by the set's hash, never by a
+doc_id. No step holds all pairs of a group: first each list gives one pair for each member and its leader, then pairs between
+different components only, a bounded number at a time; a list longer than ``MAX_LIST`` is split into sub-lists which hold every
+pair.
 
 Defined results: null or wordless texts have empty sets, link with nothing and are their own component; texts of fewer than
-five words are one shingle; a row without a doc_id is linked through an equal set only; rows with equal ids are separate
-documents; an empty table gives an empty table.
+five words are one shingle; a row without a doc_id is linked like any other and named by the ids it reaches; rows with equal
+ids are separate documents; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,12 +31,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Words, filled, mix, shingle_hashes, signed, small, stored, text_slices, tune
+from .common import Words, filled, mix, read_table, shingle_hashes, small, stored, stored_at, text_slices, tune, unused, with_columns
 
 PERCENT = 80
 COUNT_BITS, BLOCK = 20, 4096
-MAX_LIST, BROADCAST_ROWS, LIST_BYTES = 20_000, 1_000_000, 8 << 20
+MAX_LIST, LOOKUP_ROWS, LIST_BYTES, MOST_PAIRS = 20_000, 1_000_000, 8 << 20, 1 << 20
 
 
 def enough(a: int, b: int, common: int) -> bool:
@@ -123,59 +126,90 @@ def _frequencies(first: DataFrame) -> np.ndarray:
 # ---------------------------------------------------------------- verification
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b) of classes, those that are similar. Pairs are sorted by b and the leader of a's group
-    (column lead: a itself if it has none): in a group the overlap of the first is computed, the others' are derived."""
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    chosen = wanted.join(classes.select("cid", "rep"), "cid")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(small(chosen, BROADCAST_ROWS), "rep").select("cid", "text")
-    texts = stored(texts, "texts")
+def _sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """cid and sorted tokens of the wanted classes, each once. Texts are found by the smallest doc_id of a class; rows that share
+    it with other sets are left out by their set's own hash."""
+    wanted = small(wanted.distinct().join(classes.select("cid", "rep"), "cid").select(F.col("cid").alias("asked"), "rep"), LOOKUP_ROWS)
+    found = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
 
-    def side(name: str) -> DataFrame:
-        return texts.select(F.col("cid").alias(name), F.col("text").alias(f"text_{name}"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(set_id(s), s.tobytes()) for _, s in shingle_sets(filled(batch.column(0))) if len(s)]
+            ids, blobs = zip(*got) if got else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["cid", "tokens"])
+
+    sets = found.mapInArrow(run, "cid long, tokens binary").join(wanted, F.col("cid") == F.col("asked"), "left_semi")
+    return stored(sets.groupBy("cid").agg(F.any_value("tokens").alias("tokens")), "sets")
+
+
+def _tokens(col: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in col.to_pylist()]
 
-    grouped = pairs.join(side("a"), "a").join(side("b"), "b").sortWithinPartitions("b", "lead", "a")
+
+def _star_links(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (leader, cid) those that are similar, with the tokens that the member lacks (gone) and adds (new)."""
+    pairs = stars.join(sets, "cid").join(sets.select(F.col("cid").alias("leader"), F.col("tokens").alias("lead_tokens")), "leader")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b_id = lead_id = b_set = lead_set = None
-        overlap = 0
         for batch in batches:
-            a_ids, b_ids, leads = (batch.column(i).to_pylist() for i in range(3))
-            texts_a, texts_b = filled(batch.column(3)), filled(batch.column(4))
-            sets_a = dict(shingle_sets(texts_a))
-            keep = []
-            for r, (a, b, lead) in enumerate(zip(a_ids, b_ids, leads)):
-                if b != b_id:
-                    b_id, b_set, lead_id = b, None, None
-                if b_set is None:
-                    own = dict(shingle_sets(texts_b.slice(r, 1)))[0]
-                    b_set = own if set_id(own) == b else None
-                s = sets_a[r]
-                if b_set is None or set_id(s) != a:
-                    keep.append(False)  # the text of another row with the same id
-                    continue
-                if lead != lead_id:
-                    # the first of a group: its overlap is computed, the others' are derived from it
-                    lead_id, lead_set = lead, s
-                    overlap = common = len(np.intersect1d(s, b_set, assume_unique=True))
-                else:
-                    gone = np.setdiff1d(lead_set, s, assume_unique=True)
-                    new = np.setdiff1d(s, lead_set, assume_unique=True)
-                    common = overlap - _inside(gone, b_set) + _inside(new, b_set)
-                keep.append(enough(len(s), len(b_set), common))
-            at = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
+            rows = []
+            for r, (own, lead) in enumerate(zip(_tokens(batch.column(2)), _tokens(batch.column(3)))):
+                shared = _within(own, lead)
+                if enough(len(own), len(lead), int(shared.sum())):
+                    rows.append((r, lead[~_within(lead, own)].tobytes(), own[~shared].tobytes()))
+            at, gone, new = zip(*rows) if rows else ((), (), ())
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(gone, pa.binary()), pa.array(new, pa.binary())], names=["leader", "cid", "gone", "new"])
 
-    found = grouped.select("a", "b", "lead", "text_a", "text_b").mapInArrow(run, "a long, b long")
-    return stored(found.distinct(), "links")
+    return stored(pairs.select("leader", "cid", "tokens", "lead_tokens").mapInArrow(run, "leader long, cid long, gone binary, new binary"), "star-links")
 
 
-def _inside(few: np.ndarray, many: np.ndarray) -> int:
-    """How many of ``few`` are in the sorted ``many``."""
+def _within(few: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Which of ``few`` are in the sorted ``many``."""
     if not len(few) or not len(many):
-        return 0
+        return np.zeros(len(few), dtype=bool)
     at = np.minimum(np.searchsorted(many, few), len(many) - 1)
-    return int((many[at] == few).sum())
+    return many[at] == few
+
+
+def _derived_links(pairs: DataFrame, links: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those that are similar. b meets a's leader once; a's answer follows from that overlap and from what sets
+    a apart from its leader."""
+    member = links.groupBy("cid").agg(F.min_by(F.struct("leader", "gone", "new"), "leader").alias("m")).select("cid", "m.*")
+    member = stored(member, "members")
+    size = classes.select("cid", "n")
+    apart = member.select(F.col("cid").alias("a"), "leader", (F.octet_length("gone") / 8).cast("long").alias("n_gone"), (F.octet_length("new") / 8).cast("long").alias("n_new"))
+    asked = pairs.join(apart, "a", "left").withColumns({"leader": F.coalesce("leader", "a"), "n_gone": F.coalesce("n_gone", F.lit(0)), "n_new": F.coalesce("n_new", F.lit(0))})
+    asked = asked.join(size.select(F.col("cid").alias("a"), F.col("n").alias("n_a")), "a").join(size.select(F.col("cid").alias("b"), F.col("n").alias("n_b")), "b")
+    asked = stored(asked, "asked")
+    sets = _sets(asked.select(F.col("leader").alias("cid")).union(asked.select("b")), docs, classes)
+    named = lambda name: sets.select(F.col("cid").alias(name), F.col("tokens").alias(f"tokens_{name}"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            common = [int(_within(x, y).sum()) for x, y in zip(_tokens(batch.column(2)), _tokens(batch.column(3)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64())], names=["leader", "b", "met"])
+
+    met = asked.select("leader", "b").distinct().join(named("b"), "b").join(named("leader"), "leader")
+    met = met.select("leader", "b", "tokens_leader", "tokens_b").mapInArrow(meet, "leader long, b long, met long")
+    known = stored(asked.join(met, ["leader", "b"]), "answers")
+    need = F.ceil(F.lit(PERCENT) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + PERCENT))
+    sure = known.where(F.col("met") - F.col("n_gone") >= need).select("a", "b")
+    open_ = known.where((F.col("met") - F.col("n_gone") < need) & (F.col("met") + F.col("n_new") >= need))
+    open_ = open_.join(member.select(F.col("cid").alias("a"), "gone", "new"), "a").join(named("b"), "b")
+
+    def derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b, met_, *_ = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            keep = []
+            for r, (gone, new, own) in enumerate(zip(*(_tokens(batch.column(i)) for i in (5, 6, 7)))):
+                common = met_[r] - int(_within(gone, own).sum()) + int(_within(new, own).sum())
+                keep.append(enough(n_a[r], n_b[r], common))
+            at = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
+
+    told = open_.select("a", "b", "n_a", "n_b", "met", "gone", "new", "tokens_b").mapInArrow(derive, "a long, b long")
+    return stored(sure.union(told), "derived-links")
 
 
 # ---------------------------------------------------------------- components
@@ -324,36 +358,43 @@ def _lists(entries: DataFrame, partitions: int) -> DataFrame:
     return moved.mapInArrow(run, "bucket int, entries binary")
 
 
-def _candidates(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) of sets that a list cannot rule out: without labels of leaders and members, else of sets of different
-    components. Labels are only of linked sets; they come to the lists by a lookup while there are few, else by a join."""
-    near = labels is None or labels.count() <= BROADCAST_ROWS
-    lookup = None
-    if labels is not None and near:
-        known = labels.toPandas().sort_values("cid")
-        lookup = lists.sparkSession.sparkContext.broadcast((known["cid"].to_numpy(np.int64), known["label"].to_numpy(np.int64)))
+def _candidates(lists: DataFrame, labels: tuple[DataFrame, str] | None) -> DataFrame:
+    """Pairs (a, b) of sets that a list cannot rule out: without labels of a leader (a) and a member, else of sets of different
+    components. Labels are only of linked sets; tasks read them from the shared folder while they are counted to be few, else
+    they are joined to the lists."""
+
+    def batch_of(found: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(2)], names=["a", "b"])
+
+    if labels is None:
+
+        def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for blob in batch.column(1).to_pylist():
+                    yield batch_of(star_pairs(*_decoded([blob])))
+
+        return lists.mapInArrow(lead, "a long, b long")
 
-    stars = labels is None
+    table, path = labels
 
-    def pairs(blob: bytes, cids: np.ndarray, comps: np.ndarray) -> np.ndarray:
-        token, cid, n, pos, weight = _decoded([blob])
+    def pairs(blob: bytes, cids: np.ndarray, comps: np.ndarray) -> Iterator[np.ndarray]:
+        token, cid, n, pos, _ = _decoded([blob])
         comp = cid.copy()
         if len(cids):
             at = np.minimum(np.searchsorted(cids, cid), len(cids) - 1)
             comp = np.where(cids[at] == cid, comps[at], cid)
-        return list_pairs(token, cid, comp, n, pos, weight if stars else None)
+        yield from list_pairs(token, cid, comp, n, pos)
 
-    def batch_of(found: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(2)], names=["a", "b"])
-
-    none = np.zeros(0, np.int64)
-    if near:
+    if table.count() <= LOOKUP_ROWS:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cids, comps = lookup.value if lookup else (none, none)
+            known = read_table(path)
+            cids, comps = (known[c].to_numpy() for c in ("cid", "label"))
+            order = np.argsort(cids)
             for batch in batches:
                 for blob in batch.column(1).to_pylist():
-                    yield batch_of(pairs(blob, cids, comps))
+                    for found in pairs(blob, cids[order], comps[order]):
+                        yield batch_of(found)
 
         return lists.mapInArrow(run, "a long, b long")
 
@@ -363,21 +404,25 @@ def _candidates(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
                 cid = np.unique(_decoded([blob])[1])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cid), bucket, np.int32)), pa.array(cid)], names=["bucket", "cid"])
 
-    def joined(lists_of: pd.DataFrame, labels_of: pd.DataFrame) -> pd.DataFrame:
-        known = labels_of.sort_values("cid")
-        out = [pairs(blob, known["cid"].to_numpy(np.int64), known["label"].to_numpy(np.int64)) for blob in lists_of["entries"]]
-        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                known = np.array([(x["cid"], x["label"]) for x in known or []], dtype=np.int64).reshape(-1, 2)
+                known = known[np.argsort(known[:, 0])]
+                for found in pairs(blob, known[:, 0], known[:, 1]):
+                    yield batch_of(found)
 
-    named = lists.mapInArrow(sets, "bucket int, cid long").join(labels.select("cid", "label"), "cid").select("bucket", "cid", "label")
-    return lists.groupBy("bucket").cogroup(named.groupBy("bucket")).applyInPandas(joined, "a long, b long")
+    # labels of a bucket's sets: as many as its lists hold
+    named = lists.mapInArrow(sets, "bucket int, cid long").join(table.select("cid", "label"), "cid")
+    named = named.groupBy("bucket").agg(F.collect_list(F.struct("cid", "label")).alias("known"))
+    return lists.join(named, "bucket", "left").select("entries", "known").mapInArrow(joined, "a long, b long")
 
 
-def list_pairs(token: np.ndarray, cid: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarray, weight: np.ndarray | None) -> np.ndarray:
-    """Candidate pairs of a bucket's lists. Entries are sorted by token, size and position, so that a list is a row of
-    blocks of equal size; blocks are skipped by size, and the rest of a block by position. With weights only pairs with
-    the heaviest set of a list."""
+def list_pairs(token: np.ndarray, cid: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[np.ndarray]:
+    """Candidate pairs of a bucket's lists between components, about MOST_PAIRS at a time. Entries are sorted by token, size and
+    position, so that a list is a row of blocks of equal size; blocks are skipped by size, and the rest of a block by position."""
     if not len(token):
-        return np.zeros((0, 2), np.int64)
+        return
     # lists within one component connect nothing new
     order = np.argsort(token, kind="stable")
     token, cid, comp = token[order], cid[order], comp[order]
@@ -386,20 +431,24 @@ def list_pairs(token: np.ndarray, cid: np.ndarray, comp: np.ndarray, n: np.ndarr
     keep = np.repeat(mixed, np.diff(np.append(start, len(token))))
     order, token, cid, comp = order[keep], token[keep], cid[keep], comp[keep]
     n, pos = n[order].astype(np.int64), pos[order].astype(np.int64)
-    if weight is not None:
-        return _stars(token, cid, n, pos, weight[order])
     if not len(token):
-        return np.zeros((0, 2), np.int64)
+        return
     order = np.lexsort((pos, n, token))
     token, cid, comp, n, pos = token[order], cid[order], comp[order], n[order], pos[order]
     start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     stop = np.append(start[1:], len(token))
-    out = []
+    held, size = [], 0
+
+    def merged() -> np.ndarray:
+        pairs = np.concatenate(held)
+        pairs.sort(axis=1)
+        return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+
     two = np.flatnonzero(stop - start == 2)
     i, j = start[two], start[two] + 1
     need = needed(n[i], n[j])
     ok = (comp[i] != comp[j]) & (100 * n[i] >= PERCENT * n[j]) & (n[i] - pos[i] >= need) & (n[j] - pos[j] >= need)
-    out.append(np.stack([cid[i[ok]], cid[j[ok]]], axis=1))
+    held.append(np.stack([cid[i[ok]], cid[j[ok]]], axis=1))
     for a, b in zip(start[stop - start > 2].tolist(), stop[stop - start > 2].tolist()):
         sizes, first = np.unique(n[a:b], return_index=True)
         first = np.append(first, b - a) + a
@@ -413,13 +462,17 @@ def list_pairs(token: np.ndarray, cid: np.ndarray, comp: np.ndarray, n: np.ndarr
                 if cut_x == first[x] or cut_y == first[y]:
                     continue
                 left, right = slice(first[x], cut_x), slice(first[y], cut_y)
-                out += [np.stack([cid[left][i], cid[right][j]], axis=1) for i, j in _unlike(comp[left], comp[right])]
-    pairs = np.concatenate(out)
-    pairs.sort(axis=1)
-    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+                for i, j in _unlike(comp[left], comp[right]):
+                    held.append(np.stack([cid[left][i], cid[right][j]], axis=1))
+                    size += len(i)
+                    if size >= MOST_PAIRS:
+                        yield merged()
+                        held, size = [], 0
+    if held:
+        yield merged()
 
 
-def _unlike(x: np.ndarray, y: np.ndarray, cells: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _unlike(x: np.ndarray, y: np.ndarray, cells: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(i, j) of all x[i] != y[j], compared a bounded piece at a time. The commonest value of y is not compared with
     itself: most of a long list is one component."""
     values, n = np.unique(y, return_counts=True)
@@ -431,44 +484,41 @@ def _unlike(x: np.ndarray, y: np.ndarray, cells: int = 1 << 22) -> Iterator[tupl
             yield rows[a + i], columns[j]
 
 
-def _stars(token: np.ndarray, cid: np.ndarray, n: np.ndarray, pos: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def star_pairs(token: np.ndarray, cid: np.ndarray, n: np.ndarray, pos: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Of each list in a bucket the pairs (leader, member) that it cannot rule out; the leader has the most frequent tokens."""
     if not len(token):
         return np.zeros((0, 2), np.int64)
     order = np.lexsort((cid, -weight.astype(np.int64), token))
-    token, cid, n, pos = token[order], cid[order], n[order], pos[order]
+    token, cid, n, pos = token[order], cid[order], n[order].astype(np.int64), pos[order].astype(np.int64)
     first = np.concatenate([[True], token[1:] != token[:-1]])
     lead = np.maximum.accumulate(np.where(first, np.arange(len(token)), 0))
     need = needed(n, n[lead])
     ok = ~first & (100 * np.minimum(n, n[lead]) >= PERCENT * np.maximum(n, n[lead])) & (n - pos >= need) & (n[lead] - pos[lead] >= need)
-    pairs = np.stack([cid[ok], cid[lead[ok]]], axis=1)
-    pairs.sort(axis=1)
-    return np.unique(pairs, axis=0)
+    return np.unique(np.stack([cid[lead[ok]], cid[ok]], axis=1), axis=0)
 
 
 # ---------------------------------------------------------------- operator
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (of its class, as found) of each row of ``docs``."""
+def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, cid) of each row, and cid, root, component_id and links_found of each class."""
     spark = docs.sparkSession
     tune(spark)
     docs = docs.select("doc_id", "text")
     first = stored(_first_pass(docs), "sets")
     rows = first.where("block is null").select("doc_id", "n", "cid")
-    classes = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"))
-    classes = stored(classes, "classes")
+    classes = stored(rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     counts = _frequencies(first)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     lists = stored(_lists(_entries(docs, counts, 4 * partitions), partitions), "lists")
 
-    stars = stored(_candidates(lists, None).distinct().withColumn("lead", F.col("a")), "stars")
-    links = _verified(stars, docs, classes)
-    labels = components(links)
+    stars = stored(_candidates(lists, None).distinct().select(F.col("a").alias("leader"), F.col("b").alias("cid")), "stars")
+    links = _star_links(stars, _sets(stars.select("cid").union(stars.select("leader")), docs, classes))
+    labels, path = stored_at(components(links.select(F.col("leader").alias("a"), F.col("cid").alias("b"))), "labels")
 
-    found = _candidates(lists, labels).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    found = found.join(labels.select(F.col("cid").alias("a"), F.col("label").alias("lead")), "a", "left").withColumn("lead", F.coalesce("lead", "a"))
-    found = stored(found.select("a", "b", "lead"), "candidates")
-    more = _verified(found, docs, classes)
+    tried = stars.select(F.least("leader", "cid").alias("a"), F.greatest("leader", "cid").alias("b"))
+    found = stored(_candidates(lists, (labels, path)).distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
+    more = _derived_links(found, links, docs, classes)
     # the second links join components of the first
     name = {s: labels.select(F.col("cid").alias(s), F.col("label").alias(f"l{s}")) for s in "ab"}
     joined = more.join(name["a"], "a", "left").join(name["b"], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
@@ -478,9 +528,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     roots = classes.join(top, "cid", "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
-    every = links.union(more)
-    degree = every.select(F.col("a").alias("cid")).union(every.select("b")).groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
-    named = stored(roots.join(least, "root").join(degree, "cid", "left").select("cid", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "components")
-    return rows.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_shingles"), "cid").join(named, "cid", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    every = links.select(F.col("leader").alias("cid")).union(links.select("cid")).union(more.select("a")).union(more.select("b"))
+    degree = every.groupBy("cid").agg(F.count(F.lit(1)).alias("links_found"))
+    return rows, stored(roots.join(least, "root").join(degree, "cid", "left").select("cid", "root", "component_id", F.coalesce("links_found", F.lit(0)).alias("links_found")), "components")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and links_found of each row of ``docs``. links_found counts the links of its class that were
+    met while components were spanned, not all similar classes."""
+    rows, groups = _groups(docs)
+    return rows.join(groups, "cid", "left").select(
+        "doc_id", F.coalesce("n", F.lit(0)).alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links_found", F.lit(0)).alias("links_found")
     )
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """``docs`` less all but one row of each group of linked documents: the row with the smallest doc_id (none comes last), of rows
+    that share it the one with the smallest set hash, of rows equal in both any one. Rows without words stay."""
+    rows, groups = _groups(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cid")
+    placed = rows.join(groups.select("cid", "root"), "cid")
+    best = placed.groupBy("root").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("root", "best")
+    # of each class in a group of several rows: the doc_id that stays, if it is the class of the row that stays
+    stays = F.col("cid") == F.col("best.cid")
+    met, id_, cid, stay, many = unused(docs, "__met", "__id", "__cid", "__stay", "__many")
+    hit = (placed["cid"] == F.col("best.cid")) & placed["doc_id"].eqNullSafe(F.col("best.doc_id"))
+    told = placed.join(best, "root").groupBy("cid").agg(F.bool_or(stays).alias(stay), F.max("best.doc_id").alias(id_), (F.count_if(hit) > 1).alias(many))
+    told = small(told.select(F.col("cid").alias(met), stay, id_, many), LOOKUP_ROWS)
+
+    def made(col: pa.Array) -> list[pa.Array]:
+        return [pa.array([set_id(s) if len(s) else None for _, s in shingle_sets(col)], pa.int64())]
+
+    marked = with_columns(docs, [T.StructField(cid, T.LongType())], made).join(told, F.col(cid) == F.col(met), "left")
+    kept = marked.where(F.col(met).isNull() | (F.col(stay) & F.col("doc_id").eqNullSafe(F.col(id_))))
+    columns = list(docs.columns)
+    if told.where(F.col(stay) & F.col(many)).isEmpty():
+        return kept.select(columns)
+    repeated = F.coalesce(F.col(many), F.lit(False))
+    return kept.where(~repeated).select(columns).union(kept.where(repeated).dropDuplicates([cid]).select(columns))
