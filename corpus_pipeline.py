@@ -1,8 +1,12 @@
 """The corpus pipeline: toxicity, line dedup, near duplicates, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents. A row without a doc_id passes the near-duplicate stage
-unless toxic or contaminated, since nothing could name it.
+one's docs. All but the last return the columns of documents.
+
+Defined results: a null or empty text is never toxic by its words, has no lines, no near copies and no benchmark passage, so its
+row stays and is packed as one end id; rows that share an id are separate documents, and rows without an id are documents like
+any other, in a group of near copies after those with one; rows repeated whole are near copies of each other; empty tables give empty
+tables; columns beside those of documents pass through every stage but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeframe.llm import contamination, jaccard, lines, packing, toxicity
-from quakeframe.llm.common import small, stored, table
+from quakeframe.llm.common import stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +31,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with its smallest id stays; documents without words stay."""
-    found = stored(jaccard.near_duplicates(docs).select("doc_id", "component_id"), "groups")
-    gone = small(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    kept = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates()
+    """Of each group of near copies one row stays, that with the smallest id; rows without words stay."""
+    return jaccard.one_of_each_group(docs).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
