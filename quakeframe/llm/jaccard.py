@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from .common import Words, filled, mix, read_table, shingle_hashes, small, stored, stored_at, text_slices, tune, unused, with_columns
 
-PERCENT = 80
+PERCENT, SKETCH_BITS = 80, 1024
 COUNT_BITS, BLOCK = 20, 4096
 MAX_LIST, LOOKUP_ROWS, LIST_BYTES, MOST_PAIRS = 20_000, 1_000_000, 8 << 20, 1 << 20
 
@@ -77,29 +77,47 @@ def _first_pass(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(1 << COUNT_BITS, np.int64), set()
         for batch in batches:
-            ids, n, cid, new = batch.column(0), [], [], []
+            ids, n, cid, marks, new = batch.column(0), [], [], [], []
             for _, s in shingle_sets(filled(batch.column(1))):
                 n.append(len(s))
                 cid.append(set_id(s) if len(s) else None)
+                marks.append(sketch(s) if len(s) else None)
                 if len(s) and cid[-1] not in seen:
                     seen.add(cid[-1])
                     new.append((s >> np.uint64(64 - COUNT_BITS)).astype(np.int64))
             if new:
                 counts += np.bincount(np.concatenate(new), minlength=len(counts))
             blank = [None] * len(n)
-            yield _rows(ids, n, cid, blank, blank)
+            yield _rows(ids, n, cid, marks, blank, blank)
         used = counts.reshape(-1, BLOCK)
         at = np.flatnonzero(used.any(axis=1))
         blobs = [np.minimum(used[b], 65535).astype("<u2").tobytes() for b in at]
         blank = [None] * len(at)
-        yield _rows(pa.nulls(len(at), pa.int64()), blank, blank, at.tolist(), blobs)
+        yield _rows(pa.nulls(len(at), pa.int64()), blank, blank, blank, at.tolist(), blobs)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cid long, block int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cid long, sketch array<long>, block int, counts binary")
 
 
-def _rows(ids, n, cid, block, counts) -> pa.RecordBatch:
-    arrays = [ids, pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(block, pa.int32()), pa.array(counts, pa.binary())]
-    return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "cid", "block", "counts"])
+def _rows(ids, n, cid, marks, block, counts) -> pa.RecordBatch:
+    arrays = [ids, pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(block, pa.int32()), pa.array(counts, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "cid", "sketch", "block", "counts"])
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """SKETCH_BITS parities of a set's tokens, as longs."""
+    odd = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that sketches do not rule out, with sizes: every parity in which two sets differ is a token of one alone, so
+    sets of so few common tokens are never similar. No similar pair is lost."""
+    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    total = F.col("n_a") + F.col("n_b")
+    most = (total - apart) / 2
+    return met.where(most >= F.ceil(F.lit(PERCENT) * total / F.lit(100 + PERCENT))).drop("s_a", "s_b")
 
 
 def _frequencies(first: DataFrame) -> np.ndarray:
@@ -129,7 +147,7 @@ def _frequencies(first: DataFrame) -> np.ndarray:
 def _sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """cid and sorted tokens of the wanted classes, each once. Texts are found by the smallest doc_id of a class; rows that share
     it with other sets are left out by their set's own hash."""
-    wanted = small(wanted.distinct().join(classes.select("cid", "rep"), "cid").select(F.col("cid").alias("asked"), "rep"), LOOKUP_ROWS)
+    wanted = small(wanted.distinct().join(classes.select("cid", "rep", "rows"), "cid").select(F.col("cid").alias("asked"), "rep", "rows"), LOOKUP_ROWS)
     found = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,8 +156,10 @@ def _sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
             ids, blobs = zip(*got) if got else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["cid", "tokens"])
 
-    sets = found.mapInArrow(run, "cid long, tokens binary").join(wanted, F.col("cid") == F.col("asked"), "left_semi")
-    return stored(sets.groupBy("cid").agg(F.any_value("tokens").alias("tokens")), "sets")
+    sets = stored(found.mapInArrow(run, "cid long, tokens binary").join(wanted, F.col("cid") == F.col("asked")).select("cid", "tokens", "rows"), "tokens")
+    # only classes of several rows can have come more than once
+    again = sets.where("rows > 1").groupBy("cid").agg(F.any_value("tokens").alias("tokens"))
+    return sets.where("rows = 1").select("cid", "tokens").union(again)
 
 
 def _tokens(col: pa.Array) -> list[np.ndarray]:
@@ -173,14 +193,12 @@ def _within(few: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def _derived_links(pairs: DataFrame, links: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those that are similar. b meets a's leader once; a's answer follows from that overlap and from what sets
+    """Of pairs (a, b), with sizes n_a and n_b, those that are similar. b meets a's leader once; a's answer follows from that overlap and from what sets
     a apart from its leader."""
     member = links.groupBy("cid").agg(F.min_by(F.struct("leader", "gone", "new"), "leader").alias("m")).select("cid", "m.*")
     member = stored(member, "members")
-    size = classes.select("cid", "n")
     apart = member.select(F.col("cid").alias("a"), "leader", (F.octet_length("gone") / 8).cast("long").alias("n_gone"), (F.octet_length("new") / 8).cast("long").alias("n_new"))
     asked = pairs.join(apart, "a", "left").withColumns({"leader": F.coalesce("leader", "a"), "n_gone": F.coalesce("n_gone", F.lit(0)), "n_new": F.coalesce("n_new", F.lit(0))})
-    asked = asked.join(size.select(F.col("cid").alias("a"), F.col("n").alias("n_a")), "a").join(size.select(F.col("cid").alias("b"), F.col("n").alias("n_b")), "b")
     asked = stored(asked, "asked")
     sets = _sets(asked.select(F.col("leader").alias("cid")).union(asked.select("b")), docs, classes)
     named = lambda name: sets.select(F.col("cid").alias(name), F.col("tokens").alias(f"tokens_{name}"))
@@ -507,17 +525,20 @@ def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select("doc_id", "text")
     first = stored(_first_pass(docs), "sets")
     rows = first.where("block is null").select("doc_id", "n", "cid")
-    classes = stored(rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
+    of_class = first.where("cid is not null").groupBy("cid")
+    classes = stored(of_class.agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.any_value("sketch").alias("sketch")), "classes")
     counts = _frequencies(first)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     lists = stored(_lists(_entries(docs, counts, 4 * partitions), partitions), "lists")
 
-    stars = stored(_candidates(lists, None).distinct().select(F.col("a").alias("leader"), F.col("b").alias("cid")), "stars")
+    met = stored(_candidates(lists, None).distinct(), "stars")
+    stars = stored(_possible(met, classes).select(F.col("a").alias("leader"), F.col("b").alias("cid")), "possible-stars")
     links = _star_links(stars, _sets(stars.select("cid").union(stars.select("leader")), docs, classes))
     labels, path = stored_at(components(links.select(F.col("leader").alias("a"), F.col("cid").alias("b"))), "labels")
 
-    tried = stars.select(F.least("leader", "cid").alias("a"), F.greatest("leader", "cid").alias("b"))
+    tried = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = stored(_candidates(lists, (labels, path)).distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
+    found = stored(_possible(found, classes), "possible")
     more = _derived_links(found, links, docs, classes)
     # the second links join components of the first
     name = {s: labels.select(F.col("cid").alias(s), F.col("label").alias(f"l{s}")) for s in "ab"}
