@@ -100,9 +100,10 @@ def score_or(c: C, default: float = 0.5) -> Column:
     return clamp01(F.coalesce(num(c), F.lit(float(default))))
 
 
-def fault_score(planarity: C, mechanism: C, proximity: C, gnss: C, waveform: C) -> Column:
-    parts = zip((0.35, 0.25, 0.20, 0.10, 0.10), (planarity, mechanism, proximity, gnss, waveform))
-    return clamp01(sum(w * score_or(c) for w, c in parts))
+def fault_score(planarity: C, mechanism: C, gnss: C, waveform: C, known_distance: C) -> Column:
+    """Weighted sum of five scores; a missing mechanism, GNSS or waveform score is neutral."""
+    told = 0.35 * clamp01(planarity) + 0.25 * score_or(mechanism) + 0.20 * score_or(gnss)
+    return clamp01(told + 0.10 * score_or(waveform) + 0.10 * clamp01(known_distance))
 
 
 def confidence_from_score(score: C, n_events: C) -> Column:
