@@ -4,17 +4,28 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoints to the folder in spark.checkpoint.dir, which executors share; sets a local one only where none is set."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which executors share; a local one is set in local mode only."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoints to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -62,49 +73,111 @@ def grid_components(points: DataFrame, eps: float, min_samples: int) -> DataFram
 
 def dbscan(points: DataFrame, eps: float, min_samples: int = 4) -> DataFrame:
     """event_id and cluster (null: noise), clusters named by their smallest core event. A border point goes to the cluster
-    of its smallest core neighbour's label. Cells as wide as eps meet their neighbours."""
-    p = cut(_cells(points.select("event_id", "x_m", "y_m", "z_m"), eps))
-    left = p.select("event_id", "x_m", "y_m", "z_m", _around().alias("c")).select("event_id", "x_m", "y_m", "z_m", "c.*")
-    r = p.select(F.col("event_id").alias("other"), F.col("x_m").alias("ox"), F.col("y_m").alias("oy"), F.col("z_m").alias("oz"), F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("cz").alias("nz"))
-    d2 = F.pow(F.col("x_m") - F.col("ox"), 2) + F.pow(F.col("y_m") - F.col("oy"), 2) + F.pow(F.col("z_m") - F.col("oz"), 2)
-    near = left.join(r, ["nx", "ny", "nz"]).where(d2 <= eps * eps).select("event_id", "other")
-    core = cut(near.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).select(F.col("event_id").alias("id")))
-    edges = near.where("event_id < other").join(core.select(F.col("id").alias("event_id")), "event_id", "left_semi").join(core.select(F.col("id").alias("other")), "other", "left_semi")
-    labels = cut(components(core, edges.select(F.col("event_id").alias("a"), F.col("other").alias("b"))))
-    border = near.join(core.select(F.col("id").alias("event_id")), "event_id", "left_anti").join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("event_id").agg(F.min("label").alias("label"))
-    every = labels.select(F.col("id").alias("event_id"), "label").union(border.select("event_id", "label"))
-    return points.select("event_id").join(every, "event_id", "left").select("event_id", F.col("label").alias("cluster"))
+    of its smallest core neighbour's label. Any two points of a cell lie within eps, so a cell with enough points is core as a
+    whole and one node; points of other cells are compared one by one, and between cells it only counts whether they touch."""
+    side = eps / 3**0.5 * (1 - 1e-9)
+    name = F.concat_ws(":", "cx", "cy", "cz")
+    p = _cells(points.select("event_id", "x_m", "y_m", "z_m"), side).withColumn("cell", name)
+    full = p.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).select("cell", F.lit(True).alias("full"))
+    p = cut(p.join(full, "cell", "left").withColumn("full", F.coalesce("full", F.lit(False))))
+
+    def near(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Pairs within eps: rows of ``left`` with other, o_cell of ``right``."""
+        l = left.select("event_id", "x_m", "y_m", "z_m", "cell", _around(range(-2, 3)).alias("c")).select("event_id", "x_m", "y_m", "z_m", "cell", "c.*")
+        r = right.select(F.col("event_id").alias("other"), F.col("x_m").alias("ox"), F.col("y_m").alias("oy"), F.col("z_m").alias("oz"), F.col("cell").alias("o_cell"), F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("cz").alias("nz"))
+        d2 = F.pow(F.col("x_m") - F.col("ox"), 2) + F.pow(F.col("y_m") - F.col("oy"), 2) + F.pow(F.col("z_m") - F.col("oz"), 2)
+        return l.join(r, ["nx", "ny", "nz"]).where(d2 <= eps * eps)
+
+    # cells that aren't full hold few points, so each point meets few of them
+    few = p.where("not full")
+    counted = near(few, p).groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).select("event_id")
+    core = cut(p.where("full").unionByName(few.join(counted, "event_id", "left_semi")))
+    nodes = core.groupBy("cell").agg(F.min("event_id").alias("least"))
+    touching = near(core, core).where("cell < o_cell").select(F.col("cell").alias("a"), F.col("o_cell").alias("b")).distinct()
+    # core points of one cell lie within eps of each other
+    found = components(nodes.select(F.col("cell").alias("id")), touching).join(nodes.withColumnRenamed("cell", "id"), "id")
+    labels = found.groupBy("label").agg(F.min("least").alias("cluster"))
+    of_cell = cut(found.join(labels, "label").select(F.col("id").alias("cell"), "cluster"))
+    inside = core.join(of_cell, "cell").select("event_id", "cluster")
+    edge = few.join(core.select("event_id"), "event_id", "left_anti")
+    border = near(edge, core).join(of_cell.withColumnRenamed("cell", "o_cell"), "o_cell").groupBy("event_id").agg(F.min("cluster").alias("cluster"))
+    return points.select("event_id").join(inside.unionByName(border), "event_id", "left").select("event_id", "cluster")
 
 
 def dbscan_members(points: DataFrame, eps: float, min_samples: int = 4) -> DataFrame:
     """Members of the density clusters with at least min_samples events, in the columns of ``multiscale_tiles``."""
-    p = cut(points.select("event_id", "x_m", "y_m", "z_m"))
+    extra = [c for c in ("time_utc", "lon", "lat") if c in points.columns]
+    p = cut(points.select("event_id", "x_m", "y_m", "z_m", *extra))
     found = cut(dbscan(p, eps, min_samples).where("cluster is not null"))
     full = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).drop("n")
     kept = found.join(full, "cluster").join(p, "event_id")
-    return kept.select(F.concat(F.lit("global_dbscan_"), "cluster").alias("cluster_id"), F.lit("global_dbscan").alias("method"), "event_id", "x_m", "y_m", "z_m")
+    return kept.select(F.concat(F.lit("global_dbscan_"), "cluster").alias("cluster_id"), F.lit("global_dbscan").alias("method"), "event_id", "x_m", "y_m", "z_m", *extra)
+
 
+RANK = ("fault_score", "planarity", "n_events")
+BLOCK_ROWS, MOST_BLOCK_ROWS = 4000, 200_000
 
-def dedupe_candidates(df: DataFrame, km: float = 6.0, depth_km: float = 5.0, strike: float = 20.0, most: int | None = 300, rounds: int = 200) -> DataFrame:
+
+def dedupe_candidates(df: DataFrame, km: float = 6.0, depth_km: float = 5.0, strike: float = 20.0, most: int | None = 1000) -> DataFrame:
     """Candidates in order of score (then planarity, events, p), less those near a kept better one in place, depth and strike.
-    A candidate is kept when all its better neighbours are dropped, and dropped when one of them is kept: rounds of that
-    give the greedy choice. ``most`` cuts afterwards, by rank."""
+    With ``most`` the first kept ones are numbered in rank order (segment_id): a candidate's fate depends on better ones alone, so
+    blocks are taken from the top, of bounded size, until enough are kept. Without it all are settled in distributed rounds."""
+    if most is None:
+        return df.join(_settled(df, km, depth_km, strike), "p", "left_semi")
+    places = ["p", "center_x_m", "center_y_m", "center_depth_km", "strike", *RANK]
+    rest = df.select(*places)
+    order = [*(F.desc(c) for c in RANK), "p"]
+    kept: list[pd.DataFrame] = []
+    n, block = 0, BLOCK_ROWS
+    while n < most:
+        top = rest.orderBy(*order).limit(block).toPandas()  # at most MOST_BLOCK_ROWS rows
+        kept = [_greedy(pd.concat([*kept, top]), n, km, depth_km, strike).head(most)] if len(top) else kept
+        n = len(kept[0]) if kept else 0
+        if len(top) < block:
+            break
+        last = top.iloc[-1]
+        after = F.lit(False)
+        for c, less in [("p", F.col("p") > int(last["p"])), *((c, F.col(c) < float(last[c])) for c in reversed(RANK))]:
+            after = less if c == "p" else less | ((F.col(c) == float(last[c])) & after)
+        rest, block = rest.where(after), min(MOST_BLOCK_ROWS, 2 * block)
+    ids = [(int(p), f"inferred_fault_{i:04d}") for i, p in enumerate(kept[0]["p"])] if kept else []
+    named = df.sparkSession.createDataFrame(ids, "p long, segment_id string")  # at most ``most`` rows
+    return df.join(F.broadcast(named), "p").orderBy("segment_id")
+
+
+def _greedy(rows: pd.DataFrame, settled: int, km: float, depth_km: float, strike: float) -> pd.DataFrame:
+    """Rows in rank order, of which the first ``settled`` are kept: those near no kept one."""
+    x, y, z, s = (rows[c].to_numpy(float) for c in ("center_x_m", "center_y_m", "center_depth_km", "strike"))
+    at = np.zeros(len(rows), dtype=np.int64)
+    at[:settled] = np.arange(settled)
+    n = settled
+    for i in range(settled, len(rows)):
+        k = at[:n]
+        turn = np.abs((s[i] - s[k] + 180) % 360 - 180)
+        near = (np.hypot(x[i] - x[k], y[i] - y[k]) <= km * 1000) & (np.abs(z[i] - z[k]) <= depth_km) & (np.minimum(turn, np.abs(turn - 180)) <= strike)
+        if not near.any():
+            at[n] = i
+            n += 1
+    return rows.iloc[at[:n]]
+
+
+def _settled(df: DataFrame, km: float, depth_km: float, strike: float, rounds: int = 1000) -> DataFrame:
+    """p of all kept candidates. Each round keeps those without a better neighbour among the open ones and drops their
+    neighbours; pairs of settled candidates leave."""
     w = km * 1000.0
-    base = df.select("p", "center_x_m", "center_y_m", "center_depth_km", "strike", F.struct(F.col("fault_score"), F.col("planarity"), F.col("n_events").cast("double"), -F.col("p").cast("double")).alias("o"))
+    base = df.select("p", "center_x_m", "center_y_m", "center_depth_km", "strike", F.struct(*(F.col(c).cast("double") for c in RANK), -F.col("p").cast("double")).alias("o"))
     base = cut(base.withColumns({"cx": F.floor(F.col("center_x_m") / w), "cy": F.floor(F.col("center_y_m") / w)}))
     around = F.explode(F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     other = base.select(F.col("p").alias("q"), F.col("center_x_m").alias("x"), F.col("center_y_m").alias("y"), F.col("center_depth_km").alias("z"), F.col("strike").alias("s"), F.col("o").alias("oq"), around.alias("c")).select("q", "x", "y", "z", "s", "oq", "c.*")
     close = (F.hypot(F.col("center_x_m") - F.col("x"), F.col("center_y_m") - F.col("y")) <= w) & (F.abs(F.col("center_depth_km") - F.col("z")) <= depth_km) & (expr.strike_difference_deg("strike", "s") <= strike)
     better = cut(base.join(other, ["cx", "cy"]).where(close & (F.col("oq") > F.col("o"))).select("p", "q"))
-    state = cut(base.select("p", F.lit(None).cast("boolean").alias("kept")))
+    open_, kept = base.select("p"), None
     for _ in range(rounds):
-        known = state.select(F.col("p").alias("q"), F.col("kept").alias("qk"))
-        seen = better.join(known, "q").groupBy("p").agg(F.bool_or(F.coalesce("qk", F.lit(False))).alias("hit"), F.bool_and(F.coalesce(~F.col("qk"), F.lit(False))).alias("free"))
-        new = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(F.coalesce("free", F.lit(True)), True)
-        state = cut(state.join(seen, "p", "left").select("p", new.alias("kept")))
-        if state.where("kept is null").isEmpty():
-            break
-    else:
-        raise RuntimeError("deduplication did not settle")
-    out = df.join(state.where("kept").select("p"), "p", "left_semi")
-    return out if most is None else out.orderBy(F.desc("fault_score"), F.desc("planarity"), F.desc("n_events"), "p").limit(most)
+        now = cut(open_.join(better.select("p").distinct(), "p", "left_anti"))
+        kept = now if kept is None else kept.unionByName(now)
+        gone = now.unionByName(better.join(now.withColumnRenamed("p", "q"), "q", "left_semi").select("p")).distinct()
+        open_ = cut(open_.join(gone, "p", "left_anti"))
+        if open_.isEmpty():
+            return kept
+        better = cut(better.join(open_, "p", "left_semi").join(open_.withColumnRenamed("p", "q"), "q", "left_semi"))
+    raise RuntimeError("deduplication did not settle")

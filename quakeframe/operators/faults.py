@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr, geo
+from .clusters import cut
 
 BROADCAST_ROWS = 200_000
 
@@ -21,9 +22,14 @@ def typed_empty(schema: str) -> pd.DataFrame:
     return pd.DataFrame({n: np.zeros(0, kinds[k]) for n, k in parts})
 
 
-def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+def is_small(df: DataFrame, most: int | None = None) -> bool:
+    most = BROADCAST_ROWS if most is None else most
+    return df.limit(most + 1).count() <= most
+
+
+def small_side(df: DataFrame, most: int | None = None) -> DataFrame:
     """Broadcast if counted to be small; else Spark plans the join without a hint."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if is_small(df, most) else df
 
 
 def segments(traces: DataFrame) -> DataFrame:
@@ -34,11 +40,38 @@ def segments(traces: DataFrame) -> DataFrame:
     return cut.select(F.col("segment_id").alias("near_segment_id"), F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
 
 
+def _reached(points: DataFrame, cuts: DataFrame, key: str, reach_m: float) -> DataFrame:
+    """key and nearest segment (m) of points that have one within reach: cells as wide as the reach meet the segments whose box,
+    widened by it, covers them."""
+    cell = lambda c: F.floor(c / reach_m)
+    span = lambda a, b: F.explode(F.sequence(cell(F.least(a, b) - reach_m), cell(F.greatest(a, b) + reach_m)))
+    spread = cuts.withColumn("tx", span("ax", "bx")).withColumn("ty", span("ay", "by"))
+    d = geo.point_segment_distance("px", "py", "ax", "ay", "bx", "by") / 1000.0
+    met = points.withColumns({"tx": cell(F.col("px")), "ty": cell(F.col("py"))}).join(spread, ["tx", "ty"]).withColumn("d", d)
+    return met.where(F.col("d") * 1000.0 <= reach_m).groupBy(key).agg(F.min(F.struct("d", "near_segment_id")).alias("m"))
+
+
+def _nearest(points: DataFrame, cuts: DataFrame, key: str, reach_m: float = 25_000.0, widenings: int = 5) -> DataFrame:
+    """key and m: the nearest segment of each point (px, py). A few segments are broadcast; many are met through cells whose
+    width grows fourfold for the points that have found none."""
+    if is_small(cuts):
+        d = geo.point_segment_distance("px", "py", "ax", "ay", "bx", "by") / 1000.0
+        return points.join(F.broadcast(cuts)).groupBy(key).agg(F.min(F.struct(d.alias("d"), "near_segment_id")).alias("m"))
+    cuts, left, found = cut(cuts), cut(points), None
+    for _ in range(widenings):
+        some = cut(_reached(left, cuts, key, reach_m))
+        found = some if found is None else found.unionByName(some)
+        left = cut(left.join(some.select(key), key, "left_anti"))
+        if left.isEmpty():
+            return found
+        reach_m *= 4
+    return found.unionByName(_reached(left, cuts, key, 1e8))  # farther than any two places of the plane
+
+
 def nearest_fault(points: DataFrame, traces: DataFrame, key: str, x: str = "x_m", y: str = "y_m") -> DataFrame:
     """For each point its nearest trace and the distance in km; without traces null and infinity. Equal distances go to
     the smaller id."""
-    d = geo.point_segment_distance(x, y, "ax", "ay", "bx", "by") / 1000.0
-    near = points.select(key, x, y).join(small_side(segments(traces))).groupBy(key).agg(F.min(F.struct(d.alias("d"), "near_segment_id")).alias("m"))
+    near = _nearest(points.select(key, F.col(x).alias("px"), F.col(y).alias("py")), segments(traces), key)
     out = points.join(near, key, "left")
     return out.withColumns({"nearest_segment_id": F.col("m.near_segment_id"), "fault_distance_km": F.coalesce("m.d", F.lit(float("inf")))}).drop("m")
 
@@ -51,11 +84,14 @@ def known_fault_distance(candidates: DataFrame, traces: DataFrame, key: str = "c
 
 
 def link_inferred_to_known(inferred: DataFrame, known: DataFrame, most_km: float = 50.0) -> DataFrame:
-    """Nearest known centre within ``most_km``."""
-    k = known.select(F.col("segment_id").alias("known_id"), F.col("x_m").alias("kx"), F.col("y_m").alias("ky"))
+    """Nearest known centre within ``most_km``: cells as wide as that meet their neighbours."""
+    cell = lambda c: F.floor(F.col(c) / (most_km * 1000.0))
+    k = known.select(F.col("segment_id").alias("known_id"), F.col("x_m").alias("kx"), F.col("y_m").alias("ky")).withColumns({"tx": cell("kx"), "ty": cell("ky")})
+    around = F.explode(F.array(*(F.struct((cell("x_m") + i).alias("tx"), (cell("y_m") + j).alias("ty")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     d = F.hypot(F.col("x_m") - F.col("kx"), F.col("y_m") - F.col("ky")) / 1000.0
-    near = inferred.join(small_side(k)).groupBy("segment_id").agg(F.min(F.struct(d.alias("d"), "known_id")).alias("m"))
-    return near.where(F.col("m.d") <= most_km).select("segment_id", F.col("m.known_id").alias("known_id"), F.col("m.d").alias("distance_km"))
+    met = inferred.select("segment_id", "x_m", "y_m", around.alias("c")).select("segment_id", "x_m", "y_m", "c.*").join(k, ["tx", "ty"]).withColumn("d", d)
+    near = met.where(F.col("d") <= most_km).groupBy("segment_id").agg(F.min(F.struct("d", "known_id")).alias("m"))
+    return near.select("segment_id", F.col("m.known_id").alias("known_id"), F.col("m.d").alias("distance_km"))
 
 
 def stress_pairs(events: DataFrame, faults: DataFrame) -> DataFrame:
@@ -148,8 +184,9 @@ def cluster_eps(points: DataFrame, low: float = 8000.0, high: float = 50000.0) -
 
 
 def multiscale_tiles(points: DataFrame, least_points: int = 200) -> DataFrame:
-    """Members (cluster_id, event_id, x_m, y_m, z_m, time_utc) of 20 tile grids, tiles with enough events only."""
-    spark = points.sparkSession
+    """Members (cluster_id, method, event_id, x_m, y_m, z_m, and time_utc, lon, lat where there) of 20 tile grids, tiles with enough
+    events only."""
+    spark, extra = points.sparkSession, [c for c in ("time_utc", "lon", "lat") if c in points.columns]
     specs = spark.createDataFrame([(t, d, n, f"{name}_offset{i}", sx * t, sy * t) for t, d, n, name in TILES for i, (sx, sy) in enumerate(SHIFTS)], "tile double, depth double, least int, method string, sx double, sy double")
     origin = points.agg(F.min("x_m").alias("x0"), F.min("y_m").alias("y0"), F.min("z_m").alias("z0"), F.count(F.lit(1)).alias("n_points"))  # one row
     p = points.crossJoin(F.broadcast(origin)).where(F.col("n_points") >= least_points).crossJoin(F.broadcast(specs))
@@ -157,7 +194,7 @@ def multiscale_tiles(points: DataFrame, least_points: int = 200) -> DataFrame:
     keyed = p.withColumns({"tx": cell[0], "ty": cell[1], "tz": cell[2]})
     full = keyed.groupBy("method", "least", "tx", "ty", "tz").agg(F.count(F.lit(1)).alias("n")).where("n >= least").drop("least", "n")
     name = F.concat_ws("_", "method", F.col("tx").cast("string"), F.col("ty").cast("string"), F.col("tz").cast("string"))
-    return keyed.join(full, ["method", "tx", "ty", "tz"]).select(name.alias("cluster_id"), "method", "event_id", "x_m", "y_m", "z_m")
+    return keyed.join(full, ["method", "tx", "ty", "tz"]).select(name.alias("cluster_id"), "method", "event_id", "x_m", "y_m", "z_m", *extra)
 
 
 def cluster_covariance(members: DataFrame, key: str = "cluster_id") -> DataFrame:
@@ -237,20 +274,42 @@ def union_faults(known: DataFrame, inferred: DataFrame) -> DataFrame:
 def candidate_attributes(planes: DataFrame) -> DataFrame:
     """Strike, dip, score, confidence, rake and depths of fitted clusters with their scores."""
     strike, dip = geo.plane_to_strike_dip("nx", "ny", "nz")
-    out = planes.withColumns({"strike": strike, "dip": dip, "center_depth_km": F.col("center_z_m") / 1000.0, "waveform_score": F.lit(0.5)})
+    out = planes.withColumns({"strike": strike, "dip": dip, "center_depth_km": F.greatest(F.lit(0.0), F.col("center_z_m") / 1000.0), "waveform_score": F.lit(0.5)})
     half = F.col("width_km") * F.sin(F.radians("dip")) / 2
-    out = out.withColumns({"fault_score": expr.fault_score("planarity", "mechanism_score", "proximity_score", "gnss_score", "waveform_score"), "top_depth_km": F.greatest(F.lit(0.0), F.col("center_depth_km") - half), "bottom_depth_km": F.col("center_depth_km") + half, "rake": F.when(F.col("mechanism_score") >= 0.5, -170.0).otherwise(0.0)})
-    near = F.when(F.col("fault_distance_km") <= 5, "known_fault_extension_candidate").otherwise("")
+    out = out.withColumns({"fault_score": expr.fault_score("planarity", "mechanism_score", "gnss_score", "waveform_score", "proximity_score"), "top_depth_km": F.greatest(F.lit(0.0), F.col("center_depth_km") - half), "bottom_depth_km": F.col("center_depth_km") + half, "rake": F.when(F.col("mechanism_score") >= 0.5, -170.0).otherwise(0.0)})
+    nearest = F.coalesce("nearest_segment_id", F.lit("no_known_faults_loaded"))
+    near = F.when(F.col("fault_distance_km") <= 5, "known_fault_extension_candidate").otherwise(F.concat(F.lit("unregistered_candidate; nearest_known="), nearest))
     return out.withColumns({"confidence": expr.confidence_from_score("fault_score", "n_events"), "notes": near})
 
 
+#: names of the score columns in a candidate's output
+SCORE_NAMES = {
+    "planarity": "seismicity_planarity_score", "mechanism_score": "mechanism_consistency_score", "gnss_score": "gnss_strain_gradient_score", "waveform_score": "waveform_residual_score",
+    "proximity_score": "distance_from_known_fault_score", "fault_distance_km": "distance_to_known_fault_km",
+}
+
+
+def candidate_traces(members: DataFrame) -> DataFrame:
+    """cluster_id, inference_method and the trace from a cluster's first to its last event by time."""
+    place, when = F.struct("lon", "lat"), F.struct("time_utc", "event_id")
+    return members.groupBy("cluster_id").agg(F.min("method").alias("inference_method"), F.array(F.min_by(place, when), F.max_by(place, when)).alias("trace"))
+
+
 def infer_faults(events: DataFrame, traces: DataFrame, mechanisms: DataFrame, stations: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """Clusters, plane fits and scores in one table; ``members`` may add clusters of another method to the tiles."""
     tiles = multiscale_tiles(events)
-    every = tiles if members is None else tiles.unionByName(members)
-    fitted = plane_fit(cluster_covariance(every))
+    every = cut(tiles if members is None else tiles.unionByName(members))
+    fitted = cut(plane_fit(cluster_covariance(every)))
     strike, _ = geo.plane_to_strike_dip("nx", "ny", "nz")
     fitted = fitted.withColumn("strike", strike)
     mech = mechanism_consistency(every, fitted, mechanisms)
     out = known_fault_distance(fitted.join(mech, "cluster_id"), traces, "cluster_id").join(gnss_proximity_score(fitted, stations), "cluster_id")
-    return candidate_attributes(out.drop("strike"))
+    return candidate_attributes(out.drop("strike")).join(candidate_traces(every), "cluster_id")
+
+
+def candidate_features(kept: DataFrame) -> DataFrame:
+    """Output rows of kept candidates: score names, provenance, and the local trace along strike through the centre."""
+    half = [F.col("length_km") * 500.0 * f(F.radians("strike")) for f in (F.sin, F.cos)]
+    end = lambda s: F.struct((F.col("center_x_m") + s * half[0]).alias("x"), (F.col("center_y_m") + s * half[1]).alias("y"))
+    out = kept.withColumns({"local_trace": F.array(end(-1), end(1)), "is_inferred": F.lit(True), "source": F.lit("seismicity_pca_multiscale"), "sensitivity_mode": F.lit("high_resolution_multiscale_overlapping_tiles")})
+    return out.withColumnsRenamed({**SCORE_NAMES, "cluster_id": "raw_cluster_id"})

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr, geo
-from .faults import segments, small_side, typed_empty
+from .clusters import cut
+from .faults import is_small, segments, small_side, typed_empty
+from .stations import exact_quantiles
 
 MAX_DEPTH_KM, VELOCITY, MAX_DELAY_S, NEAR_SURFACE_KM = 100.0, 3.5, 30.0, 20.0
 # Weights of depth estimates.
@@ -50,65 +52,80 @@ def dominant_source(rows: DataFrame, keys: list[str], family: str = "source_fami
 # ---------------------------------------------------------------- array projection
 
 PROJECTION = (
-    "event_id string, frequency_hz double, primitive_type string, projection_x_m double, projection_y_m double, n_stations int, phase_coherence double, "
-    "delay_fit double, beam_energy double, beam_power double, late_delay_s double, late_delay_clipped boolean, residual_spread_s double, positive_fraction double"
+    "event_id string, frequency_hz double, primitive_type string, event_x_m double, event_y_m double, event_z_m double, projection_x_m double, projection_y_m double, n_stations int, aperture_km double, mean_amplitude_log double, source_weight double, "
+    "raw_energy double, phase_coherence double, delay_fit double, phase_resultant_rad double, late_phase_delay_s double, late_delay_clipped boolean, residual_spread_s double, positive_residual_fraction double, "
+    "projection_refinement_dx_m double, projection_refinement_dy_m double, projection_refinement_score_gain double"
 )
+DELAY_SIGMA_S, LATE_SHARE, LEAST_LATE_ENERGY, HINET_BOOST = 0.35, 0.9, 0.08, 1.15
+# The order in which steps around a point are tried.
+STENCIL = [(0, 0), (-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (-1, 1), (1, -1), (1, 1)]
 
 
-def _wrap(v: np.ndarray) -> np.ndarray:
-    return (v + np.pi) % (2 * np.pi) - np.pi
+def source_weight(family: str = "dominant_source") -> Column:
+    return F.when(F.lower(family).contains("hinet_0101"), HINET_BOOST).otherwise(1.0)
 
 
 class _Array:
     """Scores of candidate points for the stations of one event and frequency; points x stations arrays."""
 
-    def __init__(self, g: pd.DataFrame, velocity: float = VELOCITY, sigma: float = 0.35):
+    def __init__(self, g: pd.DataFrame, velocity: float = VELOCITY, sigma: float = DELAY_SIGMA_S):
         self.x, self.y, self.phase = (g[c].to_numpy(float) for c in ("x_m", "y_m", "phase_rad"))
-        a, delay = g["amplitude"].to_numpy(float), g["group_delay_s"].to_numpy(float)
+        a, delay = np.maximum(g["amplitude"].to_numpy(float), 1e-30), g["group_delay_s"].to_numpy(float)
         self.f, self.v, self.sigma = float(g["frequency_hz"].iloc[0]), velocity, sigma
-        self.w = 0.25 + 0.75 * a / max(a.max(), 1e-30)
+        self.w = 0.25 + 0.75 * a / a.max()
         self.obs = delay - np.median(delay)
+        self.beam = self.w * np.exp(1j * self.phase)
+
+    def coherence(self, delay: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Length and direction of the mean of phases turned back, or forth if that is longer, by delays."""
+        turn = np.exp(-2j * np.pi * self.f * delay)
+        back, forth = (turn @ self.beam) / self.w.sum(), (turn.conj() @ self.beam) / self.w.sum()
+        best = np.where(np.abs(back) >= np.abs(forth), back, forth)
+        return np.minimum(1, np.abs(best)), np.angle(best)
 
     def parts(self, p: np.ndarray):
         d = np.hypot(p[:, :1] - self.x, p[:, 1:] - self.y) / 1000
         pred = (d - np.median(d, axis=1, keepdims=True)) / self.v
-        shift = 2 * np.pi * self.f * pred
-        beams = [np.abs((self.w * np.exp(1j * _wrap(self.phase - s * shift))).sum(axis=1)) / self.w.sum() for s in (1, -1)]
-        phase = np.maximum(*beams)
+        length, direction = self.coherence(pred)
         fit = np.exp(-0.5 * ((self.obs - pred) / self.sigma) ** 2).mean(axis=1)
-        return 0.65 * phase + 0.35 * fit, phase, fit, pred
+        return 0.65 * length + 0.35 * fit, length, fit, direction, pred
 
     def refined(self, p: np.ndarray, step: float, steps: int) -> np.ndarray:
         """Each point moves to better ones of the nine around its best so far; the step halves each time."""
         best = self.parts(p)[0]
         at = p.copy()
         for _ in range(steps):
-            for dx in (-step, 0.0, step):
-                for dy in (-step, 0.0, step):
-                    trial = at + (dx, dy)
-                    e = self.parts(trial)[0]
-                    better = e > best + 1e-12
-                    at[better], best[better] = trial[better], e[better]
+            for move in STENCIL:
+                trial = at + np.array(move) * step
+                e = self.parts(trial)[0]
+                better = e > best + 1e-12
+                at[better], best[better] = trial[better], e[better]
             step /= 2
         return at
 
-    def late(self, pred: np.ndarray):
-        """Late-phase metrics of one point: delay, clipped, energy, fraction, spread; None without enough late stations."""
-        res = self.obs - pred
-        threshold = max(0.05, 0.5 * self.sigma)
+    def late(self, pred: np.ndarray) -> dict[str, np.ndarray]:
+        """Late-phase metrics of all points; energy 0 where too few stations, or too little of their weight, are late."""
+        res, all_w = self.obs - pred, self.w.sum()
+        threshold, window = max(0.05, 0.5 * self.sigma), max(0.25, 2 * self.sigma)
         pos = res > threshold
-        fraction = self.w[pos].sum() / self.w.sum()
-        if pos.sum() < 2 or fraction < 0.20:
-            return None
-        order = np.argsort(res[pos], kind="stable")
-        total = np.cumsum(self.w[pos][order])
-        raw = res[pos][order][np.searchsorted(total, total[-1] / 2)]
-        delay = min(max(raw, threshold), MAX_DELAY_S)
-        fit = (self.w[pos] * np.exp(-0.5 * ((res[pos] - delay) / (2 * self.sigma)) ** 2)).sum() / self.w.sum()
-        shift = 2 * np.pi * self.f * (pred + delay)
-        phase = max(abs((self.w * np.exp(1j * _wrap(self.phase - s * shift))).sum()) / self.w.sum() for s in (1, -1))
-        energy = min(1.0, max(0.0, (0.55 * phase + 0.45 * fit) * (0.35 + 0.65 * fraction)))
-        return delay, bool(raw >= MAX_DELAY_S), energy, fraction, float(np.std(res[pos])), phase, fit
+        weight = np.where(pos, self.w, 0.0)
+        mass = weight.sum(axis=1)
+        fraction = np.minimum(1, mass / all_w)
+        enough = (pos.sum(axis=1) >= 2) & (fraction >= 0.20)
+        # the first late residual at which half the late weight is reached
+        order = np.argsort(np.where(pos, res, np.inf), axis=1, kind="stable")
+        run = np.cumsum(np.take_along_axis(weight, order, axis=1), axis=1)
+        middle = np.argmax(run >= 0.5 * run[:, -1:], axis=1)
+        raw = np.take_along_axis(res, np.take_along_axis(order, middle[:, None], axis=1), axis=1)[:, 0]
+        delay = np.clip(raw, threshold, MAX_DELAY_S)
+        near = np.exp(-0.5 * ((res - delay[:, None]) / window) ** 2)
+        fit = np.minimum(1, (np.where(res > 0, near, 0.0) @ self.w) / all_w)
+        length, direction = self.coherence(pred + delay[:, None])
+        safe = np.maximum(mass, 1e-12)
+        mean = (weight * res).sum(axis=1) / safe
+        spread = np.sqrt((weight * (res - mean[:, None]) ** 2).sum(axis=1) / safe)
+        energy = np.clip((0.55 * length + 0.45 * fit) * (0.35 + 0.65 * fraction), 0, 1)
+        return {"energy": np.where(enough, energy, 0.0), "phase": length, "direction": direction, "delay": delay, "clipped": raw >= MAX_DELAY_S, "spread": spread, "fraction": fraction}
 
 
 def candidate_grid(depth_km: float, radius_km: float = 80.0) -> tuple[np.ndarray, float, int]:
@@ -122,38 +139,79 @@ def candidate_grid(depth_km: float, radius_km: float = 80.0) -> tuple[np.ndarray
     return points, (max(50.0, g * 350) if shallow else max(100.0, g * 500)), 3 if shallow else 1
 
 
-def family_of(energy: float, fraction: float, spread: float, sigma: float = 0.35) -> str:
-    if energy >= 0.35 and fraction >= 0.45 and spread <= max(1.0, 4 * sigma):
-        return "reflected"
-    return "scattered" if energy >= 0.22 else "residual"
+def _late_families(late: dict[str, np.ndarray], sigma: float = DELAY_SIGMA_S) -> np.ndarray:
+    reflected = (late["energy"] >= 0.35) & (late["fraction"] >= 0.45) & (late["spread"] <= max(1.0, 4 * sigma))
+    return np.where(reflected, "reflected", np.where(late["energy"] >= 0.22, "scattered", "residual"))
 
 
-def array_projection(rows: DataFrame, events: DataFrame, least: int = 4, top: int = 4) -> DataFrame:
-    """Delay-and-sum over candidate points around each event, with direct and late rows and the best ``top`` of each event
-    and frequency. Station rows come in aggregated, so a group is at most the stations kept for an event."""
-    joined = rows.join(events.select("event_id", F.col("x_m").alias("ex"), F.col("y_m").alias("ey"), "depth_km"), "event_id")
+def array_projection(rows: DataFrame, events: DataFrame, least: int = 4, top: int | None = 4) -> DataFrame:
+    """Delay-and-sum over candidate points around each event: direct and late rows, the best ``top`` of either kind of each event
+    and frequency (None: all). Station rows come in aggregated, so a group is at most the stations kept for an event; a column
+    source_weight of theirs scales energies."""
+    weight = "source_weight" if "source_weight" in rows.columns else F.lit(1.0).alias("source_weight")
+    columns = ["event_id", "frequency_hz", "station_id", "amplitude", "phase_rad", "group_delay_s", "x_m", "y_m", weight]
+    joined = rows.select(*columns).join(events.select("event_id", F.col("x_m").alias("ex"), F.col("y_m").alias("ey"), "depth_km"), "event_id")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        names = [c.split()[0] for c in PROJECTION.split(", ")]
         if len(g) < least:
             return typed_empty(PROJECTION)
         g = g.sort_values("station_id")
         array, e = _Array(g), g.iloc[0]
         offsets, step, steps = candidate_grid(float(e["depth_km"]))
-        p = array.refined(offsets + (e["ex"], e["ey"]), step, steps)
-        energy, phase, fit, pred = array.parts(p)
-        out, n = [], len(g)
-        for i in range(len(p)):
-            base = (e["event_id"], array.f)
-            out.append((*base, "direct", *p[i], n, phase[i], fit[i], min(1.0, energy[i]), energy[i] * math.log1p(n), 0.0, False, 0.0, 0.0))
-            late = array.late(pred[i])
-            if late and late[2] >= 0.08:
-                delay, clipped, le, fraction, spread, lp, lf = late
-                out.append((*base, family_of(le, fraction, spread), *p[i], n, lp, lf, le, 0.9 * le * math.log1p(n), delay, clipped, spread, fraction))
-        rows_ = pd.DataFrame(out, columns=names)
-        return rows_.sort_values(["beam_power", "beam_energy", "projection_x_m", "projection_y_m", "primitive_type"], ascending=[False, False, True, True, True]).groupby(rows_["primitive_type"] == "direct", sort=False).head(top)
-
-    return joined.groupBy("event_id", "frequency_hz").applyInPandas(run, PROJECTION)
+        start = offsets + (e["ex"], e["ey"])
+        p = array.refined(start, step, steps)
+        energy, phase, fit, direction, pred = array.parts(p)
+        late = array.late(pred)
+        base = {
+            "event_id": e["event_id"], "frequency_hz": array.f, "event_x_m": e["ex"], "event_y_m": e["ey"], "event_z_m": float(e["depth_km"]) * 1000, "projection_x_m": p[:, 0], "projection_y_m": p[:, 1], "n_stations": len(g),
+            "aperture_km": float(np.hypot(np.ptp(array.x), np.ptp(array.y))) / 1000, "mean_amplitude_log": float(np.log(np.maximum(g["amplitude"], 1e-30)).mean()), "source_weight": float(e["source_weight"]),
+            "projection_refinement_dx_m": p[:, 0] - start[:, 0], "projection_refinement_dy_m": p[:, 1] - start[:, 1], "projection_refinement_score_gain": np.maximum(0, energy - array.parts(start)[0]),
+        }
+        direct = pd.DataFrame({**base, "primitive_type": "direct", "raw_energy": np.clip(energy, 0, 1), "phase_coherence": phase, "delay_fit": fit, "phase_resultant_rad": direction, "late_phase_delay_s": 0.0, "late_delay_clipped": False, "residual_spread_s": 0.0, "positive_residual_fraction": 0.0})
+        told = {
+            "primitive_type": _late_families(late), "raw_energy": late["energy"], "phase_coherence": late["phase"], "delay_fit": np.clip(1 / (1 + late["spread"] / array.sigma), 0, 1), "phase_resultant_rad": late["direction"], "late_phase_delay_s": late["delay"],
+            "late_delay_clipped": late["clipped"], "residual_spread_s": late["spread"], "positive_residual_fraction": late["fraction"],
+        }
+        other = pd.DataFrame({**base, **told})[late["energy"] >= LEAST_LATE_ENERGY]
+        order = {"by": ["raw_energy", "projection_x_m", "projection_y_m", "primitive_type"], "ascending": [False, True, True, True]}
+        kept = [f.sort_values(**order).head(len(f) if top is None else top) for f in (direct, other)]
+        return pd.concat(kept)[[c.split()[0] for c in PROJECTION.split(", ")]]
+
+    return projection_attributes(joined.groupBy("event_id", "frequency_hz").applyInPandas(run, PROJECTION))
+
+
+def projection_attributes(found: DataFrame) -> DataFrame:
+    """Energies with the source's weight, coherence, slowness, depths and their intervals of projected points."""
+    direct, delay, fraction = F.col("primitive_type") == "direct", F.col("late_phase_delay_s"), F.col("positive_residual_fraction")
+    power = F.col("raw_energy") * F.log1p(F.col("n_stations")) * F.col("source_weight")
+    sx, sy = slowness_vector(F.col("event_x_m"), F.col("event_y_m"), F.col("projection_x_m"), F.col("projection_y_m"))
+    whole = expr.integer_km("event_z_m")
+    unsure = F.when(whole, INTEGER_DEPTH_KM).otherwise(max(2.0, 0.25 * INTEGER_DEPTH_KM))
+    plain = expr.depth_interval(F.col("event_z_m") / 1000.0, unsure, MAX_DEPTH_KM)
+    late = late_depth_ensemble(F.col("event_z_m"), delay)
+    clipped = F.col("late_delay_clipped")
+    late_unsure = F.when(clipped, MAX_DEPTH_KM).otherwise(F.greatest(F.lit(1.0), late["half_width"], F.col("residual_spread_s") * VELOCITY))
+    excess = F.when(direct, 0.0).otherwise(F.greatest(F.lit(0.0), delay * VELOCITY))
+    sigma = resolution_sigma_m(F.col("frequency_hz"), F.col("aperture_km"), F.col("event_z_m") / 1000.0)
+    out = found.withColumns(
+        {
+            "path_family": F.when(direct, "direct").otherwise(F.concat(F.lit("late_phase_"), F.when(F.col("primitive_type") == "reflected", "reflection").when(F.col("primitive_type") == "scattered", "scattering").otherwise("residual"))),
+            "beam_energy": expr.clamp01(F.col("raw_energy") * F.col("source_weight")),
+            "beam_power": F.when(direct, power).otherwise(LATE_SHARE * power),
+            "array_coherence": expr.clamp01(F.when(direct, F.col("phase_coherence") * F.col("delay_fit")).otherwise(F.col("phase_coherence") * (0.5 + 0.5 * fraction))),
+            "scatter_weight": F.when(direct, 0.0).otherwise(expr.clamp01(F.col("raw_energy") * fraction)),
+            "slowness_x_s_per_km": sx,
+            "slowness_y_s_per_km": sy,
+            "depth_uncertainty_km": F.when(direct, unsure).otherwise(late_unsure),
+            "depth_p05_km": F.when(direct, plain["p05"]).when(clipped, 0.0).otherwise(late["p05"]),
+            "depth_p50_km": F.when(direct, plain["p50"]).otherwise(late["p50"]),
+            "depth_p95_km": F.when(direct, plain["p95"]).when(clipped, MAX_DEPTH_KM).otherwise(late["p95"]),
+            "projection_z_m": F.when(direct, F.col("event_z_m")).otherwise(late["p50"] * 1000.0),
+            "excess_path_km": excess,
+            "gaussian_splat_sigma_m": F.when(direct, sigma).otherwise(F.greatest(sigma, F.least(F.lit(50000.0), sigma + 250.0 * excess))),
+        }
+    )
+    return out.drop("raw_energy")
 
 
 def select_projection_topk(rows: DataFrame, k: int, key: str = "event_id", tie: str = "p") -> DataFrame:
@@ -287,7 +345,8 @@ def number_primitives(rows: DataFrame, order: list) -> DataFrame:
     """gs_00000000 and so on in rank order: rows are range-sorted, counted by partition, and numbered from offsets, so no
     task sees all rows."""
     ranked = rows.sort(*order).withColumn("__part", F.spark_partition_id())
-    ranked = ranked.withColumn("__i", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33))
+    # cut, so that a partition that is computed again has the same rows
+    ranked = cut(ranked.withColumn("__i", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33)))
     counts = ranked.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     first = counts.select("__part", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__first"))
@@ -324,7 +383,8 @@ def splat_primitives(rows: DataFrame, max_splats: int = 100_000, tie: str = "p")
     best = q.agg(F.greatest(F.max("structural_weight"), F.lit(1e-12)).alias("__top"))  # one row
     q = top_splats(q, max_splats, tie).crossJoin(F.broadcast(best))
     z = F.col("projection_z_m") / 1000.0
-    q = q.withColumns({"depth_p05_km": z - F.col("depth_uncertainty_km"), "depth_p50_km": z, "depth_p95_km": z + F.col("depth_uncertainty_km")})
+    if "depth_p50_km" not in rows.columns:  # a projection's own intervals count
+        q = q.withColumns({"depth_p05_km": z - F.col("depth_uncertainty_km"), "depth_p50_km": z, "depth_p95_km": z + F.col("depth_uncertainty_km")})
     out = depth_quadrature(q)
     raw = expr.clamp01("beam_energy")
     display = 0.45 + 0.55 * F.col("structural_weight") / F.col("__top")
@@ -395,7 +455,11 @@ def lod_summary(voxels: DataFrame) -> DataFrame:
 def view_image_base(projections: DataFrame, spectra: DataFrame) -> DataFrame:
     sx, sy = geo.mercator("lon", "lat")
     s = spectra.where("frequency_hz > 0").select("event_id", "station_id", F.col("frequency_hz").alias("sf"), sx.alias("sx"), sy.alias("sy"), "amplitude", F.col("phase_rad").alias("sp"), "group_delay_s")
-    j = projections.where("frequency_hz > 0").join(s, "event_id").where(F.abs(F.col("frequency_hz") - F.col("sf")) < 1e-9)
+    # frequencies within 1e-9 of each other have keys of a millionth that differ by at most one
+    key = lambda c: F.floor(F.col(c) * 1e6).cast("long")
+    near = F.explode(F.array(*(key("frequency_hz") + i for i in (-1, 0, 1))))
+    p = projections.where("frequency_hz > 0").withColumn("__f", near)
+    j = p.join(s.withColumn("__f", key("sf")), ["event_id", "__f"]).where(F.abs(F.col("frequency_hz") - F.col("sf")) < 1e-9)
     dx, dy = F.col("projection_x_m") - F.col("sx"), F.col("projection_y_m") - F.col("sy")
     return j.select(
         "event_id", "station_id", "frequency_hz", "primitive_type", "projection_rank", dx.alias("rel_x_m"), dy.alias("rel_y_m"), F.hypot(dx, dy).alias("range_m"), F.col("projection_z_m").alias("depth_m"),
@@ -437,16 +501,20 @@ def view_image_part_stats(pixels: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- diagnostics
 
+REACH_M = 250_000.0
+
 
 def category_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
 def numeric_summary(df: DataFrame, column: str) -> DataFrame:
+    """One row; quantiles by rank over range partitions, so that no task sees all values."""
     v = F.col(column)
-    q = F.percentile(v, [0.05, 0.5, 0.95])
-    out = df.where(expr.finite(column)).agg(F.count(v).alias("n"), F.min(v).alias("min"), q.alias("q"), F.avg(v).alias("mean"), F.max(v).alias("max"))
-    return out.select("n", "min", F.col("q")[0].alias("p05"), F.col("q")[1].alias("p50"), "mean", F.col("q")[2].alias("p95"), "max")
+    rows = df.where(expr.finite(column)).select(F.lit(0).alias("__all"), column)
+    plain = rows.agg(F.count(v).alias("n"), F.min(v).alias("min"), F.avg(v).alias("mean"), F.max(v).alias("max"))
+    ranks = exact_quantiles(rows, ["__all"], column, {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+    return plain.join(F.broadcast(ranks), F.lit(True), "left").select("n", "min", "p05", "p50", "mean", "p95", "max")  # one row each
 
 
 def depth_diagnostics(splats: DataFrame) -> DataFrame:
@@ -481,7 +549,15 @@ def fault_wave_interaction(splats: DataFrame, traces: DataFrame) -> DataFrame:
     # a fault is one row with its segments, so that the nearest is found within the row
     cut = segments(traces).groupBy("near_segment_id").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("cuts"))
     t = traces.join(cut, traces["segment_id"] == cut["near_segment_id"]).select("segment_id", "length_km", "width_km", "fault_depth_m", "cuts")
-    pairs = s.join(small_side(t))
+    if is_small(t):
+        pairs = s.join(F.broadcast(t))
+    else:
+        # beyond REACH_M the kernel is below 1e-15, so only cells within reach of a trace meet it
+        cell = lambda c: F.floor(F.col(c) / REACH_M)
+        ends = [F.array_min(F.transform("cuts", lambda c, k=k: F.least(c[f"a{k}"], c[f"b{k}"]))) for k in "xy"] + [F.array_max(F.transform("cuts", lambda c, k=k: F.greatest(c[f"a{k}"], c[f"b{k}"]))) for k in "xy"]
+        spans = [F.explode(F.sequence(F.floor(ends[k] / REACH_M) - 1, F.floor(ends[k + 2] / REACH_M) + 1)) for k in (0, 1)]
+        t = t.withColumn("tx", spans[0]).withColumn("ty", spans[1])
+        pairs = s.withColumns({"tx": cell("x_m"), "ty": cell("y_m")}).join(t, ["tx", "ty"])
     d = F.array_min(F.transform("cuts", lambda c: geo.point_segment_distance("x_m", "y_m", c["ax"], c["ay"], c["bx"], c["by"])))
     depth_sigma = F.greatest(F.lit(35000.0), 500.0 * F.greatest(F.lit(1.0), "width_km"))
     kernel = F.exp(-0.5 * F.pow(d / 30000.0, 2)) * F.exp(-0.5 * F.pow((F.col("z_m") - F.col("fault_depth_m")) / depth_sigma, 2))

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr, geo
-from .faults import small_side, typed_empty
+from .clusters import cut
 
 # ---------------------------------------------------------------- GNSS
 
@@ -90,31 +91,46 @@ def prepare_spectra(df: DataFrame) -> DataFrame:
 
 def resolve_spectrum_event(spectra: DataFrame, events: DataFrame) -> DataFrame:
     """resolved_event_id by id, else by the second, else by the minute of the time; of events in one slot the last by id
-    wins; unresolved rows are dropped."""
+    wins; unresolved rows are dropped. Only rows that no id resolves, and that have a time, go on to the slots."""
+    ids = events.select(F.col("event_id").alias("__id")).where("event_id is not null").distinct()
+    named = spectra.join(ids, spectra["event_id"] == F.col("__id"), "left")
+    known = named.where("__id is not null").withColumn("resolved_event_id", F.col("__id")).drop("__id")
     slot = lambda unit, name: events.groupBy(F.date_trunc(unit, "time_utc").alias(f"__{name}")).agg(F.max("event_id").alias(name))
-    ids = events.select(F.col("event_id").alias("__id"), F.col("event_id").alias("by_id")).distinct()
-    out = spectra.join(ids, spectra["event_id"] == F.col("__id"), "left")
-    out = out.join(slot("second", "by_second"), F.date_trunc("second", "time_utc") == F.col("__by_second"), "left")
-    out = out.join(slot("minute", "by_minute"), F.date_trunc("minute", "time_utc") == F.col("__by_minute"), "left")
-    out = out.withColumn("resolved_event_id", F.coalesce("by_id", "by_second", "by_minute"))
-    return out.where("resolved_event_id is not null").drop("__id", "__by_second", "__by_minute", "by_id", "by_second", "by_minute")
-
-
-def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Exact medians of a few huge groups: values are range-partitioned by key and value, partitions counted, and the
-    middle ranks picked, so that no task or hash table holds a group."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.where(F.col(value).isNotNull()).select(*keys, value).repartitionByRange(n, *keys, value)
-    rows = rows.withColumn("__part", F.spark_partition_id())
+    rest = named.where("__id is null and time_utc is not null").drop("__id")
+    rest = rest.join(slot("minute", "by_minute"), F.date_trunc("minute", "time_utc") == F.col("__by_minute"))  # a second's slot lies in a minute's
+    rest = rest.join(slot("second", "by_second"), F.date_trunc("second", "time_utc") == F.col("__by_second"), "left")
+    rest = rest.withColumn("resolved_event_id", F.coalesce("by_second", "by_minute")).drop("__by_second", "__by_minute", "by_second", "by_minute")
+    return known.unionByName(rest)
+
+
+def ranked(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of a few huge groups in range partitions by key and value (column __part), and of each group in a partition the
+    rows there (__n), before it (__before) and in all (__total), so that no task or hash table holds a group."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # cut, so that a partition that is computed again has the same rows
+    rows = cut(df.where(F.col(value).isNotNull()).repartitionByRange(n, *keys, value).withColumn("__part", F.spark_partition_id()))
     counts = rows.groupBy("__part", *keys).agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(*keys).orderBy("__part")
     ahead = counts.withColumns({"__before": F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__total": F.sum("__n").over(Window.partitionBy(*keys))})
-    lo, hi = F.floor((F.col("__total") + 1) / 2.0), F.floor(F.col("__total") / 2.0) + 1
-    middle = ahead.where((F.col("__before") < hi) & (F.col("__before") + F.col("__n") >= lo))
+    return rows, ahead
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, names: dict[str, float]) -> DataFrame:
+    """Exact quantiles, interpolated between ranks, of a few huge groups: only partitions that hold a wanted rank are looked at."""
+    rows, ahead = ranked(df.select(*keys, value), keys, value)
+    place = {name: q * (F.col("__total") - 1) for name, q in names.items()}  # from 0
+    low, high = {n: F.floor(p) + 1 for n, p in place.items()}, {n: F.ceil(p) + 1 for n, p in place.items()}
+    holds = [(F.col("__before") < high[n]) & (F.col("__before") + F.col("__n") >= low[n]) for n in names]
+    wanted = ahead.where(reduce(Column.__or__, holds))  # a few partitions of each group
     rank = F.col("__before") + F.row_number().over(Window.partitionBy("__part", *keys).orderBy(value))
-    picked = rows.join(F.broadcast(middle), ["__part", *keys]).withColumn("__rank", rank).where((F.col("__rank") == lo) | (F.col("__rank") == hi))
-    return picked.groupBy(*keys).agg(F.avg(value).alias(name))
+    found = rows.join(F.broadcast(wanted), ["__part", *keys]).withColumn("__rank", rank)
+    at = lambda r: F.max(F.when(F.col("__rank") == r, F.col(value)))
+    share = {n: F.max(p - F.floor(p)) for n, p in place.items()}
+    return found.groupBy(*keys).agg(*((at(low[n]) * (1 - share[n]) + at(high[n]) * share[n]).alias(n) for n in names))
+
+
+def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    return exact_quantiles(df, keys, value, {name: 0.5})
 
 
 def global_frequency_response(spectra: DataFrame) -> DataFrame:
@@ -165,33 +181,35 @@ def transfer_validation_insample(spectra: DataFrame, response: DataFrame, transf
     return _validity(out)
 
 
+def _median_of_others(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """For each station, frequency and event the median of ``value`` over the other events' rows. With rows numbered by value, the t-th of
+    the others stands at place t + j, where j counts the event's own rows up to there: its i-th row (from 0) at place q does
+    where q - i <= t."""
+    keys = ["station_id", "frequency_hz"]
+    every, ahead = ranked(rows.select(*keys, "event_id", value), keys, value)
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("__part", *keys).orderBy(value)) - 1
+    every = cut(every.join(ahead, ["__part", *keys]).select(*keys, "event_id", value, place.alias("q"), "__total"))
+    own = Window.partitionBy(*keys, "event_id")
+    i, k = F.row_number().over(own.orderBy("q")) - 1, F.count(F.lit(1)).over(own)
+    left = every.withColumns({"i": i, "m": F.col("__total") - k}).where("m > 0")
+    low, high = F.floor((F.col("m") - 1) / 2.0), F.floor(F.col("m") / 2.0)
+    upto = lambda t: F.count_if(F.col("q") - F.col("i") <= t)
+    at = left.groupBy(*keys, "event_id").agg((F.max(low) + upto(low)).alias("lo"), (F.max(high) + upto(high)).alias("hi"))
+    wanted = at.select(*keys, "event_id", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("q"))
+    return wanted.join(every.select(*keys, "q", value), [*keys, "q"]).groupBy(*keys, "event_id").agg(F.avg(value).alias(name))
+
+
 def leave_one_event_out(spectra: DataFrame) -> DataFrame:
     """Predictions for each row from the other events' rows of its station and frequency: the global response cancels, so
     these are their median and circular mean. Rows of a group without another event are left out."""
-    rows = spectra.select("event_id", "station_id", "frequency_hz", "log_amplitude", "phase_rad", "group_delay_s")
-    schema = "event_id string, log_amplitude double, phase_rad double, group_delay_s double, predicted double, predicted_phase double, predicted_delay double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        event = pdf["event_id"].to_numpy()
-        code, _ = pd.factorize(event)
-        if code.max(initial=-1) < 1:
-            return typed_empty(schema)
-        out = pdf[["event_id", "log_amplitude", "phase_rad", "group_delay_s"]].copy()
-        for source, target in (("log_amplitude", "predicted"), ("group_delay_s", "predicted_delay")):
-            v = pdf[source].to_numpy(float)
-            order = np.argsort(v, kind="stable")
-            vs, cs = v[order], code[order]
-            value = np.empty(len(v))
-            for c in range(code.max() + 1):
-                rest = vs[cs != c]
-                value[code == c] = (rest[(len(rest) - 1) // 2] + rest[len(rest) // 2]) / 2
-            out[target] = value
-        s, c = np.sin(pdf["phase_rad"].to_numpy(float)), np.cos(pdf["phase_rad"].to_numpy(float))
-        es, ec = np.bincount(code, weights=s), np.bincount(code, weights=c)
-        out["predicted_phase"] = np.arctan2((s.sum() - es)[code], (c.sum() - ec)[code])
-        return out
-
-    return rows.groupBy("station_id", "frequency_hz").applyInPandas(run, schema)
+    keys = ["station_id", "frequency_hz"]
+    rows = spectra.select("event_id", *keys, "log_amplitude", "phase_rad", "group_delay_s")
+    sums = rows.groupBy(*keys, "event_id").agg(F.sum(F.sin("phase_rad")).alias("s"), F.sum(F.cos("phase_rad")).alias("c"))
+    every = sums.groupBy(*keys).agg(F.sum("s").alias("all_s"), F.sum("c").alias("all_c"))
+    phase = sums.join(every, keys).select(*keys, "event_id", F.atan2(F.col("all_s") - F.col("s"), F.col("all_c") - F.col("c")).alias("predicted_phase"))
+    out = rows.join(_median_of_others(rows, "log_amplitude", "predicted"), [*keys, "event_id"])
+    out = out.join(_median_of_others(rows, "group_delay_s", "predicted_delay"), [*keys, "event_id"]).join(phase, [*keys, "event_id"])
+    return out.select("event_id", "log_amplitude", "phase_rad", "group_delay_s", "predicted", "predicted_phase", "predicted_delay")
 
 
 def transfer_validation_loo(spectra: DataFrame) -> DataFrame:

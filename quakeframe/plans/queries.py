@@ -176,13 +176,13 @@ def event_bin_summary(v):
 
 @query(
     """WITH a AS (SELECT event_id, station_id, channel, frequency_hz, min(l_orderkey * 10 + l_linenumber) AS row_order FROM fx_spectrum WHERE l_orderkey % 2 = 0 GROUP BY ALL),
-    b AS (SELECT event_id, station_id, channel, frequency_hz, min(l_orderkey * 10 + l_linenumber) AS row_order FROM fx_spectrum WHERE l_orderkey % 3 <> 0 GROUP BY ALL),
+    b AS (SELECT event_id, station_id, channel, frequency_hz, min(l_orderkey * 10 + l_linenumber) AS row_order FROM fx_spectrum WHERE l_orderkey % 2 = 1 OR l_orderkey % 3 = 0 GROUP BY ALL),
     u AS (SELECT 0 AS source_order, * FROM a UNION ALL SELECT 1, * FROM b WHERE (event_id, station_id, channel, frequency_hz) NOT IN (SELECT event_id, station_id, channel, frequency_hz FROM a))
     SELECT source_order, count(*) AS kept, CAST(sum(row_order) AS BIGINT) AS order_sum FROM u GROUP BY 1"""
 )
 def merge_dedupe(v):
     s = v("fx_spectrum").withColumn("row_order", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    kept = catalog.merge_dedupe([s.where("l_orderkey % 2 = 0").drop("lat"), s.where("l_orderkey % 3 <> 0")], ["event_id", "station_id", "channel", "frequency_hz"])
+    kept = catalog.merge_dedupe([s.where("l_orderkey % 2 = 0").drop("lat"), s.where("l_orderkey % 2 = 1 OR l_orderkey % 3 = 0")], ["event_id", "station_id", "channel", "frequency_hz"])
     return kept.groupBy("source_order").agg(F.count(F.lit(1)).alias("kept"), F.sum("row_order").alias("order_sum"))
 
 
@@ -321,13 +321,13 @@ def latest_mechanism_product(v):
 @query(
     rsql(
         f"""SELECT event_id, station_id, distance_km, CAST(row_number() OVER (PARTITION BY event_id ORDER BY round(distance_km, 9), station_id) AS INTEGER) AS rank
-        FROM (SELECT event_id, station_id, {HAV('e.lon', 'e.lat', 's.lon', 's.lat')} AS distance_km FROM fx_event e, fx_station s WHERE e.k % 10 = 0) WHERE distance_km <= 50 QUALIFY rank <= 5""",
+        FROM (SELECT event_id, station_id, {HAV('e.lon', 'e.lat', 's.lon', 's.lat')} AS distance_km FROM fx_event e, fx_station s) WHERE distance_km <= 50 QUALIFY rank <= 5""",
         "event_id, station_id, rank",
         "distance_km",
     )
 )
 def nearest_stations(v):
-    return rounded(stations.nearest_stations(v("fx_event").where("k % 10 = 0"), v("fx_station"), 50.0, 5))
+    return rounded(stations.nearest_stations(v("fx_event"), v("fx_station"), 50.0, 5))
 
 
 # ---------------------------------------------------------------- faults and stress
@@ -534,13 +534,17 @@ def plane_fit(v):
     return rounded(faults.plane_fit(faults.cluster_covariance(faults.multiscale_tiles(qc_events(v)))))
 
 
-@query()
-def infer_faults(v):
+def candidates(v) -> DataFrame:
     e = clusters.cut(qc_events(v))
     members = clusters.dbscan_members(e, faults.cluster_eps(e).first()["eps_m"], 4)
-    found = clusters.cut(faults.infer_faults(e, v("fx_trace"), v("fx_mechanism"), strain(v), members))
-    # ids that break ties; the reference keeps 1,000
-    return clusters.dedupe_candidates(faults.select_region_sheets(found).withColumn("p", F.xxhash64("cluster_id")), most=1000).drop("p")
+    return clusters.cut(faults.infer_faults(e, v("fx_trace"), v("fx_mechanism"), strain(v), members))
+
+
+@query()
+def infer_faults(v):
+    # ids that break ties
+    kept = clusters.dedupe_candidates(faults.select_region_sheets(candidates(v)).withColumn("p", F.xxhash64("cluster_id")))
+    return faults.candidate_features(kept).drop("p")
 
 
 @query()
@@ -640,11 +644,11 @@ def resolve_spectrum_event(v):
 
 
 STROWS = f"""WITH sr AS (SELECT event_id, frequency_hz, station_id, median(amplitude) AS amplitude, atan2(sum(amplitude * sin(phase_rad)), sum(amplitude * cos(phase_rad))) AS phase_rad, median(group_delay_s) AS group_delay_s,
-  min({XM()}) AS x_m, min({YM()}) AS y_m FROM fx_spectrum GROUP BY ALL), top AS (SELECT *, row_number() OVER (PARTITION BY event_id, frequency_hz ORDER BY amplitude DESC, station_id) AS rn FROM sr QUALIFY rn <= 40)"""
+  min({XM()}) AS x_m, min({YM()}) AS y_m FROM fx_spectrum GROUP BY ALL), top AS (SELECT *, row_number() OVER (PARTITION BY event_id, frequency_hz ORDER BY amplitude DESC, station_id) AS rn FROM sr QUALIFY rn <= 256)"""
 
 
 def station_rows(v) -> DataFrame:
-    return imaging.station_event_rows(with_xy(v("fx_spectrum")), 40)
+    return imaging.station_event_rows(with_xy(v("fx_spectrum")))
 
 
 @query(rsql(f"{STROWS};; SELECT * FROM top", "event_id, frequency_hz, station_id", "amplitude, phase_rad, group_delay_s"))
@@ -713,12 +717,13 @@ def select_projection_topk(v):
 
 
 @query(
-    """WITH r AS (SELECT event_id, row_number() OVER (ORDER BY magnitude DESC, time_utc, event_id) AS event_rank FROM fx_event WHERE k < 200 QUALIFY event_rank <= 50)
+    """WITH r AS (SELECT event_id, row_number() OVER (ORDER BY magnitude DESC, time_utc, event_id) AS event_rank FROM fx_event WHERE event_id IN (SELECT event_id FROM fx_projection) QUALIFY event_rank <= 50)
     SELECT event_id, p FROM fx_projection JOIN r USING (event_id) ORDER BY event_rank, projection_rank, p LIMIT 300"""
 )
 def limit_projection_rows(v):
     rows = v("fx_projection").withColumn("projection_rank", F.struct("projection_rank", "p"))
-    return imaging.limit_projection_rows(rows, v("fx_event").where("k < 200"), 50, 300).select("event_id", "p")
+    seen = v("fx_event").join(v("fx_projection").select("event_id").distinct(), "event_id", "left_semi")
+    return imaging.limit_projection_rows(rows, seen, 50, 300).select("event_id", "p")
 
 
 @query(rsql("WITH m AS (SELECT event_id, group_delay_s AS d, sum(l_linenumber) AS w FROM fx_spectrum GROUP BY ALL), r AS (SELECT *, sum(w) OVER (PARTITION BY event_id ORDER BY d) AS run, sum(w) OVER (PARTITION BY event_id) AS total FROM m);; SELECT event_id, min(d) AS weighted_median FROM r WHERE run >= total / 2e0 GROUP BY 1", "event_id", "weighted_median"))
@@ -956,7 +961,13 @@ scalar("plane_to_strike_dip", "fx_candidate", ["p"], f"{PMOD(f'degrees(atan2(-(2
 _FR = lambda: {"corner_x_m": geo.fault_rectangle("center_x_m", "center_y_m", _C("center_depth_km") * 1000, "strike", F.lit(60.0), "length_km", "width_km")[2]["x"], "corner_z_m": geo.fault_rectangle("center_x_m", "center_y_m", _C("center_depth_km") * 1000, "strike", F.lit(60.0), "length_km", "width_km")[2]["z"]}
 scalar("fault_rectangle", "fx_candidate", ["p"], "center_x_m + sin(radians(strike)) * length_km * 500 + cos(radians(strike)) * cos(radians(60e0)) * width_km * 500 AS corner_x_m, center_depth_km * 1000 + sin(radians(60e0)) * width_km * 500 AS corner_z_m", _FR, "corner_x_m, corner_z_m")
 scalar("year_fraction", "fx_gnss", ["row_id"], f"2000 + {_YF} AS y", lambda: {"y": expr.year_fraction("date")}, "y")
-scalar("fault_score", "fx_candidate", ["p"], "greatest(0e0, least(1e0, 35e-2 * planarity + 25e-2 * fault_score + 2e-1 * 5e-1 + 1e-1 * planarity + 1e-1 * 5e-1)) AS s", lambda: {"s": expr.fault_score("planarity", "fault_score", F.lit(None).cast("double"), "planarity", F.lit(0.5))}, "s")
+_FS = lambda: {"s": expr.fault_score("planarity", F.when(_C("p") % 6 != 0, _C("fault_score")), F.when(_C("p") % 7 != 0, (_C("p") * 29 % 100) / 1e2), F.when(_C("p") % 5 != 0, (_C("p") * 43 % 100) / 1e2), (_C("p") * 61 % 100) / 1e2)}
+scalar(
+    "fault_score", "fx_candidate", ["p"],
+    "greatest(0e0, least(1e0, 35e-2 * planarity + 25e-2 * CASE WHEN p % 6 = 0 THEN 5e-1 ELSE fault_score END + 2e-1 * CASE WHEN p % 7 = 0 THEN 5e-1 ELSE (p * 29 % 100) / 1e2 END"
+    " + 1e-1 * CASE WHEN p % 5 = 0 THEN 5e-1 ELSE (p * 43 % 100) / 1e2 END + 1e-1 * ((p * 61 % 100) / 1e2))) AS s",
+    _FS, "s",
+)
 scalar("confidence_from_score", "fx_candidate", ["p"], "1e3 * greatest(0e0, least(1e0, 25e-2 + 75e-2 * fault_score * greatest(1e-1, least(1e0, n_events / 20e0)))) AS c", lambda: {"c": 1e3 * expr.confidence_from_score("fault_score", "n_events")}, "c")
 _RS = "greatest(CASE WHEN depth <= 20 THEN 1500e0 ELSE 5000e0 END, least(50000e0, greatest(CASE WHEN depth <= 20 THEN 5000e0 ELSE 10000e0 END, 5e-1 * (3500e0 / frequency_hz) / sqrt(greatest(1e0, 100000e0 / (3500e0 / frequency_hz))))))".replace("depth", "(projection_z_m / 1000e0)")
 scalar("resolution_sigma_m", "fx_projection", ["p"], f"{_RS} AS s_m", lambda: {"s_m": imaging.resolution_sigma_m(_C("frequency_hz"), F.lit(100.0), _C("projection_z_m") / 1000.0)}, "s_m")

@@ -104,7 +104,7 @@ def test_grid_components(spark):
     assert got["p0004"] is None and len({got[f"p000{i}"] for i in range(4)}) == 1 and got["p0000"]
 
 
-def test_dedupe_is_greedy(spark):
+def test_dedupe_is_greedy(spark, monkeypatch):
     rng = random.Random(3)
     rows = [(i, rng.uniform(0, 60000), rng.uniform(0, 60000), rng.uniform(0, 20), rng.uniform(0, 360), round(rng.random(), 2), 0.5, 5) for i in range(200)]
     df = spark.createDataFrame(rows, "p long, center_x_m double, center_y_m double, center_depth_km double, strike double, fault_score double, planarity double, n_events int")
@@ -116,6 +116,11 @@ def test_dedupe_is_greedy(spark):
         if not any(map(near, kept)):
             kept.append(r)
     assert [r["p"] for r in clusters.dedupe_candidates(df, most=1000).collect()] == [r[0] for r in kept]
+    monkeypatch.setattr(clusters, "BLOCK_ROWS", 7)
+    some = clusters.dedupe_candidates(df, most=20).collect()
+    assert [(r["p"], r["segment_id"]) for r in some] == [(r[0], f"inferred_fault_{i:04d}") for i, r in enumerate(kept[:20])]
+    assert {r["p"] for r in clusters.dedupe_candidates(df, most=None).collect()} == {r[0] for r in kept}
+    assert clusters.dedupe_candidates(df.limit(0)).count() == 0
 
 
 def test_leave_one_out(spark):
