@@ -129,7 +129,7 @@ def write_table(v):
 @query(rsql("SELECT segment_id, n, length_km, strike FROM fx_trace", "segment_id, n", "length_km, strike"))
 def write_csv_export(v):
     t = v("fx_trace")
-    back = t.sparkSession.read.option("header", True).option("escape", '"').csv(as_csv(t, "traces"))
+    back = t.sparkSession.read.option("header", True).csv(as_csv(t, "traces"))
     whole = back.withColumn("trace", F.from_json("trace", "array<struct<x:double,y:double>>")).where(F.size("trace") == 3)
     return rounded(whole.select("segment_id", F.col("n").cast("long"), F.col("length_km").cast("double"), F.col("strike").cast("double")))
 
@@ -185,9 +185,9 @@ def drained(out: DataFrame, name: str) -> DataFrame:
     return out.sparkSession.read.schema(out.schema).parquet(path)
 
 
-@query(rsql(f"SELECT DISTINCT event_id, {XM()} AS x_m, {QUALITY} AS quality_score FROM (SELECT * FROM fx_event WHERE {INSIDE})", "event_id", "x_m, quality_score"))
+@query(rsql(f"SELECT DISTINCT event_id, {XM()} AS x_m, {QUALITY} AS quality_score FROM (SELECT * FROM fx_event WHERE {INSIDE} AND time_utc >= TIMESTAMP '1970-01-01')", "event_id", "x_m, quality_score"))
 def stream_catalog_qc(v):
-    """Events that come twice count once."""
+    """Events that come twice count once. A stream's watermark begins at 1970, so older events are late."""
     e = v("fx_event")
     twice = as_stream(e.unionByName(e.where("k % 3 = 0")), "qc-in")
     return rounded(drained(jobs.stream_catalog_qc(twice, RULES), "qc-out").select("event_id", "x_m", "quality_score"))
@@ -197,13 +197,13 @@ def stream_catalog_qc(v):
     rsql(
         """WITH w AS (SELECT DATE '1970-01-01' + CAST(floor(date_diff('day', DATE '1970-01-01', CAST(time_utc AS DATE)) / 30e0) * 30 AS INTEGER) AS day, CAST(floor(depth_km / 5e0) AS BIGINT) AS depth_bin, magnitude FROM fx_event),
     z AS (SELECT CAST(max(time_utc) AS TIMESTAMP) - INTERVAL 30 DAY AS mark FROM fx_event)
-    ;; SELECT day, depth_bin, count(*) AS event_count, avg(magnitude) AS magnitude_mean, max(magnitude) AS magnitude_max FROM w, z WHERE CAST(day + 30 AS TIMESTAMP) <= mark GROUP BY ALL""",
+    ;; SELECT day, depth_bin, count(*) AS event_count, avg(magnitude) AS magnitude_mean, max(magnitude) AS magnitude_max FROM w, z WHERE CAST(day + 30 AS TIMESTAMP) <= mark AND day + 30 > DATE '1970-01-01' GROUP BY ALL""",
         "day, depth_bin, event_count",
         "magnitude_mean, magnitude_max",
     )
 )
 def stream_bin_summary(v):
-    """In append mode: windows that the watermark has passed."""
+    """In append mode: windows that the watermark has passed; those that end by 1970, where it begins, are late."""
     out = drained(jobs.stream_bin_summary(as_stream(v("fx_event"), "bins-in")), "bins-out")
     return rounded(out.select(F.to_date("window.start").alias("day"), "depth_bin", "event_count", "magnitude_mean", "magnitude_max"))
 

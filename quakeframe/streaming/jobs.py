@@ -11,7 +11,7 @@ from ..operators.catalog import CatalogRules, catalog_filter
 
 
 def stream_catalog_qc(stream: DataFrame, rules: CatalogRules, delay: str = "30 days") -> DataFrame:
-    """The catalogue's filters and scores on a stream; an event id counts once within the watermark."""
+    """The catalogue's filters and scores on a stream; an event id counts once within the watermark, which begins at 1970."""
     x, y = geo.project_lonlat("lon", "lat", rules.bbox, rules.crs)
     kept = catalog_filter(stream.withWatermark("time_utc", delay), rules).dropDuplicatesWithinWatermark(["event_id"])
     return kept.withColumns({"x_m": x, "y_m": y, "z_m": F.col("depth_km") * 1000.0, "quality_score": expr.catalog_quality_score("magnitude_type", "depth_km")})
