@@ -486,25 +486,51 @@ _SPECS = ", ".join(f"({t}e0, {d}e0, {n}, '{name}_offset{i}', {sx * t}e0, {sy * t
 TILED = f"""{QC}, o AS (SELECT min(x_m) AS x0, min(y_m) AS y0, min(z_m) AS z0 FROM qc), sp AS (SELECT * FROM (VALUES {_SPECS}) t(tile, depth, least_n, method, sx, sy)),
 tl AS (SELECT method, least_n, event_id, x_m, y_m, z_m, CAST(floor((x_m - x0 + sx) / tile) AS BIGINT) AS tx, CAST(floor((y_m - y0 + sy) / tile) AS BIGINT) AS ty, CAST(floor((z_m - z0) / depth) AS BIGINT) AS tz FROM qc, o, sp),
 mb AS (SELECT *, method || '_' || CAST(tx AS VARCHAR) || '_' || CAST(ty AS VARCHAR) || '_' || CAST(tz AS VARCHAR) AS cluster_id, count(*) OVER (PARTITION BY method, tx, ty, tz) AS n FROM tl QUALIFY n >= least_n),
-cv AS (SELECT cluster_id, count(*) AS n_events, avg(x_m) AS center_x_m, avg(y_m) AS center_y_m, avg(z_m) AS center_z_m, covar_samp(x_m, x_m) / 1e6 AS cxx, covar_samp(x_m, y_m) / 1e6 AS cxy, covar_samp(z_m, z_m) / 1e6 AS czz FROM mb GROUP BY 1)"""
+cv AS (SELECT cluster_id, count(*) AS n_events, avg(x_m) AS center_x_m, avg(y_m) AS center_y_m, avg(z_m) AS center_z_m, covar_samp(x_m, x_m) / 1e6 AS cxx, covar_samp(x_m, y_m) / 1e6 AS cxy, covar_samp(x_m, z_m) / 1e6 AS cxz, covar_samp(y_m, y_m) / 1e6 AS cyy, covar_samp(y_m, z_m) / 1e6 AS cyz, covar_samp(z_m, z_m) / 1e6 AS czz FROM mb GROUP BY 1)"""
 
 
-@query(f"{TILED} SELECT method, count(*) AS n_members, count(DISTINCT cluster_id) AS n_clusters FROM mb GROUP BY 1")
+@query(f"{TILED} SELECT cluster_id, method, event_id FROM mb")
 def multiscale_tiles(v):
-    return faults.multiscale_tiles(qc_events(v)).groupBy("method", "cluster_id").agg(F.count(F.lit(1)).alias("n")).groupBy("method").agg(F.sum("n").alias("n_members"), F.count(F.lit(1)).alias("n_clusters"))
+    return faults.multiscale_tiles(qc_events(v)).select("cluster_id", "method", "event_id")
 
 
-@query(rsql(f"{TILED};; SELECT * FROM cv", "cluster_id, n_events", "center_x_m, center_y_m, center_z_m, cxx, cxy, czz"))
+@query(rsql(f"{TILED};; SELECT * FROM cv", "cluster_id, n_events", "center_x_m, center_y_m, center_z_m, cxx, cxy, cxz, cyy, cyz, czz"))
 def cluster_covariance(v):
     c = faults.cluster_covariance(faults.multiscale_tiles(qc_events(v)))
-    km = {k: F.col(k) / 1e6 for k in ("cxx", "cxy", "czz")}
-    return rounded(c.withColumns(km).select("cluster_id", "n_events", "center_x_m", "center_y_m", "center_z_m", "cxx", "cxy", "czz"))
+    km = {k: F.col(k) / 1e6 for k in ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")}
+    return rounded(c.withColumns(km).select("cluster_id", "n_events", "center_x_m", "center_y_m", "center_z_m", *km))
 
 
-@query(f"{TILED} SELECT 'tiles' AS kind, count(DISTINCT cluster_id) AS n FROM mb UNION ALL SELECT 'candidates', count(*) FROM fx_candidate")
+_DELTA = "(VALUES (-1), (0), (1))"
+_LABELS = """(WITH RECURSIVE cc(id, label) USING KEY (id) AS (SELECT id, id FROM nodes UNION
+  SELECT e.a, min(cc.label) FROM cc JOIN edges e ON e.b = cc.id JOIN recurring.cc AS own ON own.id = e.a WHERE cc.label < own.label GROUP BY e.a) SELECT id, label FROM cc)"""
+
+
+def density(eps: str) -> str:
+    """CTEs after ``qc``: labels of events by density, dn(event_id, cluster)."""
+    cell = ", ".join(f"CAST(floor({c}_m / {eps}) AS BIGINT) AS c{c}" for c in "xyz")
+    return f"""pt AS (SELECT event_id, x_m, y_m, z_m, {cell} FROM qc),
+    spread AS (SELECT event_id, x_m, y_m, z_m, cx + i AS nx, cy + j AS ny, cz + k AS nz FROM pt, {_DELTA} a(i), {_DELTA} b(j), {_DELTA} c(k)),
+    near AS (SELECT p.event_id AS a, q.event_id AS b FROM spread p JOIN pt q ON q.cx = nx AND q.cy = ny AND q.cz = nz WHERE pow(p.x_m - q.x_m, 2) + pow(p.y_m - q.y_m, 2) + pow(p.z_m - q.z_m, 2) <= {eps} * {eps}),
+    nodes AS (SELECT a AS id FROM near GROUP BY 1 HAVING count(*) >= 4),
+    edges AS (SELECT a, b FROM near WHERE a <> b AND a IN (SELECT id FROM nodes) AND b IN (SELECT id FROM nodes)),
+    lb AS (SELECT * FROM {_LABELS}),
+    border AS (SELECT a AS id, min(label) AS label FROM near JOIN lb ON near.b = lb.id WHERE a NOT IN (SELECT id FROM nodes) GROUP BY 1),
+    dn AS (SELECT event_id, coalesce(lb.label, border.label) AS cluster FROM qc LEFT JOIN lb ON lb.id = event_id LEFT JOIN border ON border.id = event_id)"""
+
+
+_EPS = "(SELECT greatest(8000e0, least(50000e0, greatest(max(x_m) - min(x_m), max(y_m) - min(y_m)) / 20e0)) FROM qc)"
+
+
+@query(
+    f"""{TILED}, {density(_EPS)}, every AS (SELECT method, cluster_id FROM mb UNION ALL SELECT 'global_dbscan', cluster FROM dn WHERE cluster IN (SELECT cluster FROM dn GROUP BY 1 HAVING count(*) >= 4))
+    SELECT method, count(DISTINCT cluster_id) AS n_clusters, count(*) AS n_members FROM every GROUP BY 1"""
+)
 def union_candidate_methods(v):
-    tiles = faults.multiscale_tiles(qc_events(v)).select("cluster_id").distinct().select(F.lit("tiles").alias("kind"))
-    return tiles.unionByName(v("fx_candidate").select(F.lit("candidates").alias("kind"))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    e = clusters.cut(qc_events(v))
+    every = faults.multiscale_tiles(e).unionByName(clusters.dbscan_members(e, faults.cluster_eps(e).first()["eps_m"], 4))
+    each = every.groupBy("method", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("method").agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("n").alias("n_members"))
 
 
 _MC = f"""{TILED}, pl AS (SELECT cluster_id, CAST(n_events * 37 % 180 AS DOUBLE) AS strike FROM cv),
@@ -547,19 +573,36 @@ def infer_faults(v):
     return faults.candidate_features(kept).drop("p")
 
 
-@query()
+@query(f"{QC}, {density('9000e0')} SELECT event_id, cluster FROM dn")
 def dbscan(v):
     return clusters.dbscan(qc_events(v), 9000.0, 4)
 
 
-@query()
+@query(
+    f"""{QC}, pc AS (SELECT event_id, CAST(floor(x_m / 9e3) AS BIGINT) AS cx, CAST(floor(y_m / 9e3) AS BIGINT) AS cy, CAST(floor(z_m / 9e3) AS BIGINT) AS cz FROM qc),
+    oc AS (SELECT cx, cy, cz, cx || ':' || cy || ':' || cz AS id, count(*) AS n FROM pc GROUP BY ALL), nodes AS (SELECT id FROM oc),
+    spread AS (SELECT id, cx + i AS nx, cy + j AS ny, cz + k AS nz FROM oc, {_DELTA} a(i), {_DELTA} b(j), {_DELTA} c(k)),
+    edges AS (SELECT s.id AS a, o.id AS b FROM spread s JOIN oc o ON o.cx = nx AND o.cy = ny AND o.cz = nz WHERE s.id <> o.id),
+    lb AS (SELECT * FROM {_LABELS}), big AS (SELECT label FROM lb JOIN oc USING (id) GROUP BY 1 HAVING sum(n) >= 4)
+    SELECT event_id, CASE WHEN label IN (SELECT label FROM big) THEN label END AS cluster FROM pc JOIN oc USING (cx, cy, cz) JOIN lb USING (id)"""
+)
 def grid_components(v):
     return clusters.grid_components(qc_events(v), 9000.0, 4)
 
 
-@query()
+_TURN = f"abs({PMOD('(a.strike - b.strike + 180)', '360e0')} - 180)"
+
+
+@query(
+    f"""WITH rk AS (SELECT *, row_number() OVER (ORDER BY fault_score DESC, planarity DESC, n_events DESC, p) AS r FROM fx_candidate WHERE NOT {_SHEET}),
+    nl AS (SELECT a.r, list(b.r) AS better FROM rk a JOIN rk b ON b.r < a.r AND sqrt(pow(a.center_x_m - b.center_x_m, 2) + pow(a.center_y_m - b.center_y_m, 2)) <= 6e3 AND abs(a.center_depth_km - b.center_depth_km) <= 5 AND least({_TURN}, abs({_TURN} - 180)) <= 20 GROUP BY 1),
+    step AS (SELECT rk.r, coalesce(better, []) AS better FROM rk LEFT JOIN nl USING (r)),
+    kept AS (SELECT * FROM (WITH RECURSIVE g(one, r, ids) USING KEY (one) AS (SELECT 1, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION
+      SELECT 1, s.r, CASE WHEN list_has_any(g.ids, s.better) THEN g.ids ELSE list_append(g.ids, s.r) END FROM g JOIN step s ON s.r = g.r + 1) SELECT unnest(ids[1:1000]) AS r, generate_subscripts(ids[1:1000], 1) - 1 AS i FROM g))
+    SELECT candidate_id, fault_score, 'inferred_fault_' || lpad(CAST(i AS VARCHAR), 4, '0') AS segment_id FROM kept JOIN rk USING (r)"""
+)
 def dedupe_candidates(v):
-    return clusters.dedupe_candidates(faults.select_region_sheets(v("fx_candidate"))).select("candidate_id", "fault_score")
+    return clusters.dedupe_candidates(faults.select_region_sheets(v("fx_candidate"))).select("candidate_id", "fault_score", "segment_id")
 
 
 # ---------------------------------------------------------------- spectra
@@ -568,7 +611,7 @@ WRAP = lambda x: f"({PMOD(f'({x} + pi())', '(2 * pi())')} - pi())"
 SPEC = f"""WITH sp AS (SELECT *, ln(greatest(amplitude, 1e-30)) AS log_amplitude, {WRAP('phase_rad')} AS ph FROM fx_spectrum),
 gl AS (SELECT frequency_hz, median(log_amplitude) AS global_log_amp, atan2(avg(sin(ph)), avg(cos(ph))) AS global_phase, median(group_delay_s) AS global_delay_s FROM sp GROUP BY 1)"""
 SITE = f"""{SPEC}, tf AS (SELECT station_id, frequency_hz, median(log_amplitude - global_log_amp) AS transfer_amp_log, atan2(avg(sin(ph - global_phase)), avg(cos(ph - global_phase))) AS transfer_phase_rad,
-  median(group_delay_s - global_delay_s) AS group_delay_s, count(DISTINCT event_id) AS n_events, exp(median(log_amplitude - global_log_amp)) AS transfer_amp_ratio FROM sp JOIN gl USING (frequency_hz) GROUP BY ALL)"""
+  median(group_delay_s - global_delay_s) AS group_delay_s, count(DISTINCT event_id) AS n_events, exp(median(log_amplitude - global_log_amp)) AS transfer_amp_ratio, min(lon) AS lon, min(lat) AS lat FROM sp JOIN gl USING (frequency_hz) GROUP BY ALL)"""
 
 
 def spectra(v) -> DataFrame:
@@ -591,9 +634,9 @@ def global_frequency_response(v):
     return rounded(stations.global_frequency_response(spectra(v)))
 
 
-@query(rsql(f"{SITE};; SELECT * FROM tf", "station_id, frequency_hz, n_events", "transfer_amp_log, transfer_phase_rad, group_delay_s, transfer_amp_ratio"))
+@query(rsql(f"{SITE};; SELECT * FROM tf", "station_id, frequency_hz, n_events", "transfer_amp_log, transfer_phase_rad, group_delay_s, transfer_amp_ratio, lon, lat"))
 def site_transfer_function(v):
-    return rounded(site(v)[1].drop("lon", "lat"))
+    return rounded(site(v)[1])
 
 
 @query(
@@ -624,7 +667,17 @@ def transfer_validation_insample(v):
     return rounded(stations.transfer_validation_insample(spectra(v), g, t))
 
 
-@query()
+@query(
+    rsql(
+        f"""{SPEC}, ev AS (SELECT DISTINCT event_id, station_id, frequency_hz FROM sp),
+    md AS (SELECT v.event_id, v.station_id, v.frequency_hz, median(o.log_amplitude) AS p, atan2(sum(sin(o.ph)), sum(cos(o.ph))) AS pp FROM ev v JOIN sp o ON o.station_id = v.station_id AND o.frequency_hz = v.frequency_hz AND o.event_id <> v.event_id GROUP BY ALL),
+    st AS (SELECT event_id, count(*) AS n, CASE WHEN var_pop(log_amplitude) <= 1e-15 OR var_pop(p) <= 1e-15 THEN 0e0 ELSE coalesce(corr(log_amplitude, p), 0) END AS r, median(abs(atan2(sin(ph - pp), cos(ph - pp)))) AS e, max(group_delay_s) - min(group_delay_s) AS d FROM sp JOIN md USING (event_id, station_id, frequency_hz) GROUP BY 1),
+    al AS (SELECT e.event_id AS heldout_event_id, coalesce(n, 0) AS n_observations, coalesce(r, 0) AS amplitude_prediction_corr, coalesce(e, pi()) AS phase_error_rad, coalesce(d, 0) AS delay_spread_s FROM (SELECT DISTINCT event_id FROM sp) e LEFT JOIN st USING (event_id))
+    ;; SELECT *, greatest(0e0, least(1e0, 55e-2 * greatest(0e0, amplitude_prediction_corr) + 3e-1 * (1 - least(phase_error_rad, pi()) / pi()) + 15e-2)) AS validity_score FROM al""",
+        "heldout_event_id, n_observations",
+        "amplitude_prediction_corr, phase_error_rad, delay_spread_s, validity_score",
+    )
+)
 def transfer_validation_loo(v):
     return rounded(stations.transfer_validation_loo(spectra(v)))
 
@@ -699,10 +752,24 @@ def waveform_features(v):
 # ---------------------------------------------------------------- projection and splats
 
 
+def projected(v) -> DataFrame:
+    """Projections of every event with the weight of its dominant source."""
+    spectra_ = v("fx_spectrum").join(F.broadcast(v("fx_station").select("station_id", "network")), "station_id").withColumn("source_family", expr.source_family("network", "station_id"))
+    weight = imaging.dominant_source(spectra_, ["event_id", "frequency_hz"]).select("event_id", "frequency_hz", imaging.source_weight().alias("source_weight"))
+    return imaging.array_projection(station_rows(v).join(weight, ["event_id", "frequency_hz"]), with_xy(v("fx_event")))
+
+
 @query()
 def array_projection(v):
-    e = with_xy(v("fx_event"))
-    return imaging.array_projection(station_rows(v), e)
+    return projected(v)
+
+
+@query()
+def projection_splats(v):
+    """The chain from spectra to splats: projections, the best of each event, primitives."""
+    keys = ["event_id", "frequency_hz", "primitive_type", "projection_x_m", "projection_y_m"]
+    best = imaging.select_projection_topk(projected(v).withColumn("p", F.xxhash64(*keys)), 6)
+    return rounded(imaging.splat_primitives(best).select("primitive_id", "event_id", "primitive_type", "quadrature_index", "x_m", "y_m", "z_m", "sigma_x_m", "sigma_z_m", "amplitude", "opacity"))
 
 
 @query(
@@ -750,17 +817,19 @@ def top_splats(v):
     return imaging.top_splats(imaging.splat_quality(v("fx_projection")), 500).select("p")
 
 
-@query(
-    rsql(
-        f"""{QUAL}, iv AS (SELECT *, greatest(0e0, least(100e0, projection_z_m / 1000e0 - depth_uncertainty_km)) AS lo, greatest(0e0, least(100e0, projection_z_m / 1000e0)) AS mid, greatest(0e0, least(100e0, projection_z_m / 1000e0 + depth_uncertainty_km)) AS hi FROM ql),
+QUAD = f"""{QUAL}, iv AS (SELECT *, greatest(0e0, least(100e0, projection_z_m / 1000e0 - depth_uncertainty_km)) AS lo, greatest(0e0, least(100e0, projection_z_m / 1000e0)) AS mid, greatest(0e0, least(100e0, projection_z_m / 1000e0 + depth_uncertainty_km)) AS hi FROM ql),
     nn AS (SELECT *, CASE WHEN lo <= 20 THEN 1e-1 ELSE 5e-1 END AS wd, CASE WHEN primitive_type = 'direct' OR splat_role <> 'structure' OR hi - lo < (CASE WHEN lo <= 20 THEN 1e-1 ELSE 5e-1 END) THEN 1 WHEN lo <= 20 THEN 9 ELSE 3 END AS n FROM iv),
     ee AS (SELECT *, unnest(range(0, n)) AS i FROM nn), dd AS (SELECT *, CASE WHEN n = 1 THEN mid WHEN (i + 5e-1) / n < 5e-1 THEN lo * (1 - ((i + 5e-1) / n) / 5e-1) + mid * (((i + 5e-1) / n) / 5e-1) ELSE mid * (1 - ((i + 5e-1) / n - 5e-1) / 5e-1) + hi * (((i + 5e-1) / n - 5e-1) / 5e-1) END AS depth_km FROM ee),
-    ww AS (SELECT *, exp(-5e-1 * pow((depth_km - mid) / greatest(wd, (hi - lo) / (2 * 16448536269514722e-16)), 2)) AS w FROM dd)
-    ;; SELECT p, CAST(i AS INTEGER) AS quadrature_index, depth_km, w / sum(w) OVER (PARTITION BY p) AS quadrature_weight FROM ww""",
-        "p, quadrature_index",
-        "depth_km, quadrature_weight",
-    )
-)
+    ww AS (SELECT *, exp(-5e-1 * pow((depth_km - mid) / greatest(wd, (hi - lo) / (2 * 16448536269514722e-16)), 2)) AS w FROM dd),
+    qd AS (SELECT *, CAST(i AS INTEGER) AS quadrature_index, w / sum(w) OVER (PARTITION BY p) AS quadrature_weight FROM ww)"""
+
+
+def sigma_sql(depth: str) -> str:
+    wave = "(3500e0 / frequency_hz)"
+    return f"greatest(CASE WHEN {depth} <= 20 THEN 1500e0 ELSE 5000e0 END, least(50000e0, greatest(CASE WHEN {depth} <= 20 THEN 5000e0 ELSE 10000e0 END, 5e-1 * {wave} / sqrt(greatest(1e0, 100000e0 / {wave})))))"
+
+
+@query(rsql(f"{QUAD};; SELECT p, quadrature_index, depth_km, quadrature_weight FROM qd", "p, quadrature_index", "depth_km, quadrature_weight"))
 def depth_quadrature(v):
     q = imaging.splat_quality(v("fx_projection"))
     z = F.col("projection_z_m") / 1000.0
@@ -768,7 +837,16 @@ def depth_quadrature(v):
     return rounded(imaging.depth_quadrature(q).select("p", "quadrature_index", "depth_km", "quadrature_weight"))
 
 
-@query()
+@query(
+    rsql(
+        f"""{QUAD}, sm AS (SELECT *, {sigma_sql('depth_km')} AS sigma_x_m, 45e-2 + 55e-2 * structural_weight / (SELECT greatest(max(structural_weight), 1e-12) FROM ql) AS display, {C01('beam_energy')} AS raw FROM qd),
+    pm AS (SELECT p, quadrature_index, projection_x_m AS x_m, projection_y_m AS y_m, depth_km * 1000e0 AS z_m, sigma_x_m, CASE WHEN depth_km <= 20 THEN greatest(2500e0, least(50000e0, 35e-2 * greatest(sigma_x_m, 1e0))) ELSE greatest(12000e0, least(50000e0, 6e-1 * greatest(sigma_x_m, 1e0))) END AS sigma_z_m,
+      raw * display AS amplitude, {C01('(raw * structural_weight)')} * quadrature_weight AS structure_amplitude, {C01('(1e-1 + 6e-1 * raw + 3e-1 * array_coherence)')} * display AS opacity FROM sm)
+    ;; SELECT *, 'gs_' || lpad(CAST(row_number() OVER (ORDER BY amplitude DESC, p, quadrature_index) - 1 AS VARCHAR), 8, '0') AS primitive_id FROM pm""",
+        "primitive_id, p, quadrature_index",
+        "x_m, y_m, z_m, sigma_x_m, sigma_z_m, amplitude, structure_amplitude, opacity",
+    )
+)
 def splat_primitives(v):
     out = imaging.splat_primitives(v("fx_projection"))
     return rounded(out.select("primitive_id", "p", "quadrature_index", "x_m", "y_m", "z_m", "sigma_x_m", "sigma_z_m", "amplitude", "structure_amplitude", "opacity"))
