@@ -1,12 +1,13 @@
 """Bulk-synchronous best-fit packing of token sequences.
 
 Documents are cut to pieces of at most ``capacity`` ids. Pieces of equal length are interchangeable, as are sequences of
-equal gaps, so both are handled as runs: lengths and gaps are range-sorted by size, and a piece is known by its length and its
-rank among pieces of that length. The ranks come from distributed counts. Each super-step takes the largest length that
-is left, sweeps the sorted gaps for the smallest that hold it (its successors), gives the k-th piece of the run to the k-th
-sequence of the gap's run (so conflicts are settled by rank), updates the gaps, and repeats; what finds no gap opens
-sequences. There are at most ``capacity`` lengths and gaps, whatever the number of documents, so the sweeps need no
-shuffle; the runs they give, some thousands, are looked up by every piece where it lies.
+equal gaps, so both are handled as runs: a piece is known by its length and its rank among pieces of that length, and the ranks come
+from distributed counts. Each round sorts runs of pieces and gaps into ranges of size; a task for each range sweeps it for the
+successors of its pieces, the k-th piece of a run going to the k-th sequence of a run of gaps (so conflicts are settled by rank), updates the
+gaps, and repeats within the range. What found none goes to the ranges further up, gaps move to the ranges of their new
+sizes, and the next round begins; when nothing is placed, sequences are opened, as many as the waiting ids fill. Long
+pieces come first, by halves of their length. There are at most ``capacity`` lengths, whatever the number of documents, so a round's
+state is some thousands of runs; the placements are looked up by every piece where it lies.
 
 Defined results: null and empty texts are one piece with the end id alone; rows with equal or null ids are packed as
 they come, each whole; an empty table gives no rows.
@@ -14,22 +15,22 @@ they come, each whole; an empty table gives no rows.
 
 from __future__ import annotations
 
-import bisect
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import filled, stored, tune
 from .tokens import END_ID, default_path, encoder, groups
 
-CAPACITY = 2048
+CAPACITY, RANGES = 2048, 8
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -70,50 +71,86 @@ class Runs:
     offset: np.ndarray
 
 
-def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> Runs:
-    """Best fit in decreasing order of length, a run of pieces against a run of gaps at a time."""
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap: runs of (first sequence, how many)
-    sizes: list[int] = []  # the gaps there are, sorted
-    out: list[tuple[int, int, int, int]] = []
-    opened = 0
+Run = tuple[int, int, int]  # size, first rank or sequence, how many
 
-    def put(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(sizes, gap)
-            gaps[gap].append((first, n))
-
-    for length in sorted((x for x in counts if counts[x]), reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            at = bisect.bisect_left(sizes, length)
-            if at == len(sizes):
-                break
-            gap = sizes[at]
-            first, n = gaps[gap].pop()
-            if not gaps[gap]:
-                del gaps[gap], sizes[at]
+
+def sweep(pieces: list[Run], gaps: list[Run], capacity: int) -> tuple[list[tuple], list[Run], list[Run]]:
+    """In order of size, each gap takes at most one piece: the largest open one that it holds, so a piece goes to the next gap up.
+    Of two runs that meet, the k-th piece goes to the k-th sequence. Returns placements (length, rank, sequence, offset, n), the
+    pieces that found no gap, and the gaps as they are then."""
+    placed, made, waiting = [], [], []
+    for size, is_gap, first, n in sorted([(s, 0, f, n) for s, f, n in pieces] + [(s, 1, f, n) for s, f, n in gaps]):
+        if not is_gap:
+            waiting.append([size, first, n])
+            continue
+        while n and waiting:
+            length, rank, left = waiting[-1]
             m = min(n, left)
-            out.append((length, rank, first, capacity - gap))
-            put(gap - length, first, m)
-            put(gap, first + m, n - m)
-            left, rank = left - m, rank + m
-        if left:
-            each = capacity // length
-            full, rest = divmod(left, each)
-            for k in range(each if full else 0):
-                out.append((length, rank, opened, k * length))
-                rank += full
-            put(capacity - each * length, opened, full)
-            opened += full
-            for k in range(rest):
-                out.append((length, rank, opened, k * length))
-                rank += 1
-            if rest:
-                put(capacity - rest * length, opened, 1)
-                opened += 1
-    columns = np.array(sorted(out), dtype=np.int64).reshape(-1, 4).T
+            placed.append((length, rank, first, capacity - size, m))
+            made.append((size - length, first, m))
+            waiting[-1][1:] = rank + m, left - m
+            if left == m:
+                waiting.pop()
+            first, n = first + m, n - m
+        if n:
+            made.append((size, first, n))
+    return placed, [tuple(w) for w in waiting], [g for g in made if g[0]]
+
+
+def _swept_ranges(spark: SparkSession, pieces: list[Run], gaps: list[Run], capacity: int) -> tuple[list[tuple], list[Run], list[Run]]:
+    """Sweeps of RANGES ranges of sizes, each in a task of its own, until nothing more fits within a range."""
+    width = -(-(capacity + 1) // RANGES)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        low = key[0] * width
+        rows = {k: [tuple(r) for r in pdf.loc[pdf["kind"] == k, ["size", "first", "n"]].to_numpy().tolist()] for k in (0, 1)}
+        mine, inside, outside, placed = rows[0], rows[1], [], []
+        while True:
+            some, mine, made = sweep(mine, inside, capacity)
+            inside, outside = [g for g in made if g[0] >= low], outside + [g for g in made if g[0] < low]
+            placed += some
+            if not some:
+                break
+        out = [(2, *p) for p in placed] + [(0, s, f, 0, 0, n) for s, f, n in mine] + [(1, s, f, 0, 0, n) for s, f, n in inside + outside]
+        return pd.DataFrame(out, columns=["kind", "size", "first", "sequence", "offset", "n"])
+
+    rows = [(0, *p) for p in pieces] + [(1, *g) for g in gaps]
+    state = spark.createDataFrame(rows, "kind int, size long, first long, n long").withColumn("range", (F.col("size") / width).cast("int"))
+    schema = "kind int, size long, first long, sequence long, offset long, n long"
+    found = state.groupBy("range").applyInPandas(run, schema).collect()  # runs, some thousands
+    placed = [tuple(r)[1:] for r in found if r["kind"] == 2]
+    return placed, *([(r["size"], r["first"], r["n"]) for r in found if r["kind"] == k] for k in (0, 1))
+
+
+def rounds(spark: SparkSession, counts: dict[int, int], capacity: int = CAPACITY) -> Runs:
+    """Bulk-synchronous best fit of runs of pieces; see the module's text."""
+    idle: list[Run] = sorted((int(s), 0, int(n)) for s, n in counts.items() if n)
+    gaps: list[Run] = []
+    placed: list[tuple] = []
+    opened = 0
+    while idle:
+        top = idle[-1][0]
+        least = top // 2 if top > capacity // 8 else 0  # long pieces first, the short ones together
+        active, idle = [p for p in idle if p[0] >= least], [p for p in idle if p[0] < least]
+        n = len(placed)
+        if gaps:
+            some, active, gaps = _swept_ranges(spark, active, gaps, capacity)
+            placed += some
+            # what found no gap in its own range goes to ranges further up
+            some, active, gaps = sweep(active, gaps, capacity)
+            placed += some
+        long = [p for p in active if 2 * p[0] > capacity]
+        for size, rank, m in long:  # no two of these share a sequence
+            placed.append((size, rank, opened, 0, m))
+            gaps += [(capacity - size, opened, m)] if size < capacity else []
+            opened += m
+        active = [p for p in active if 2 * p[0] <= capacity]
+        if active and not long and len(placed) == n:
+            m = -(-sum(s * k for s, _, k in active) // capacity)
+            gaps.append((capacity, opened, m))
+            opened += m
+        idle = sorted(idle + active)
+    columns = np.array(sorted(p[:4] for p in placed), dtype=np.int64).reshape(-1, 4).T
     return Runs(*columns)
 
 
@@ -123,7 +160,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     firsts = counts.select(F.col("length").alias("l"), F.col("part").alias("p"), F.coalesce(before, F.lit(0)).alias("first"))
     totals = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
-    runs = best_fit(totals, capacity)
+    runs = rounds(cut.sparkSession, totals, capacity)
     key = (runs.length << 40) + runs.rank
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

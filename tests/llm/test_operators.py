@@ -1,5 +1,6 @@
 """The corpus operators against brute force, exact round trips and held-out accuracy, with odd rows."""
 
+import bisect
 import itertools
 import math
 import os
@@ -101,18 +102,40 @@ def test_packing(docs_of, encoder):
     assert packing.best_fit_packing(docs_of([])).count() == 0
 
 
-def test_best_fit_runs_cover_every_rank():
-    counts = {int(k): int(v) for k, v in zip(*np.unique(np.random.default_rng(1).integers(1, 65, 5000), return_counts=True))}
-    runs = packing.best_fit(counts, 64)
-    load = Counter()
+def best_fit_decreasing(counts, capacity):
+    """Sequences that plain best fit in decreasing order opens, one piece at a time."""
+    gaps = []
+    n = 0
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            at = bisect.bisect_left(gaps, length)
+            n += at == len(gaps)
+            bisect.insort(gaps, (gaps.pop(at) if at < len(gaps) else capacity) - length)
+    return n
+
+
+@pytest.mark.parametrize("kind", ["even", "short", "half", "one"])
+def test_rounds_cover_every_rank(spark, kind):
+    """Every piece is placed once, no sequence overflows or has a hole, and about as many are opened as by plain best fit."""
+    rng = np.random.default_rng(1)
+    lengths = {"even": rng.integers(1, 65, 5000), "short": rng.geometric(0.2, 3000).clip(1, 64), "half": rng.integers(30, 36, 500), "one": np.full(3, 64)}[kind]
+    counts = {int(k): int(v) for k, v in zip(*np.unique(lengths, return_counts=True))}
+    runs = packing.rounds(spark, counts, 64)
+    inside = defaultdict(list)
     for length in counts:
         mine = np.flatnonzero(runs.length == length)
         starts = [*runs.rank[mine].tolist(), counts[length]]
         assert starts[0] == 0 and starts == sorted(set(starts))
         for r, a, b in zip(mine, starts, starts[1:]):
             for k in range(b - a):
-                load[int(runs.sequence[r]) + k] += length
-    assert max(load.values()) <= 64 and len(load) <= math.ceil(sum(k * v for k, v in counts.items()) / 64) * 1.02
+                inside[int(runs.sequence[r]) + k].append((int(runs.offset[r]), length))
+    for s in inside.values():
+        end = 0
+        for offset, length in sorted(s):
+            assert offset == end
+            end += length
+        assert end <= 64
+    assert len(inside) <= best_fit_decreasing(counts, 64) * 1.005 + 1
 
 
 def components(sets):
