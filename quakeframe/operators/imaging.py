@@ -549,15 +549,19 @@ def fault_wave_interaction(splats: DataFrame, traces: DataFrame) -> DataFrame:
     # a fault is one row with its segments, so that the nearest is found within the row
     cut = segments(traces).groupBy("near_segment_id").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("cuts"))
     t = traces.join(cut, traces["segment_id"] == cut["near_segment_id"]).select("segment_id", "length_km", "width_km", "fault_depth_m", "cuts")
-    if is_small(t):
+    few = is_small(t)
+    if few:
         pairs = s.join(F.broadcast(t))
     else:
         # beyond REACH_M the kernel is below 1e-15, so only cells within reach of a trace meet it
         cell = lambda c: F.floor(F.col(c) / REACH_M)
-        ends = [F.array_min(F.transform("cuts", lambda c, k=k: F.least(c[f"a{k}"], c[f"b{k}"]))) for k in "xy"] + [F.array_max(F.transform("cuts", lambda c, k=k: F.greatest(c[f"a{k}"], c[f"b{k}"]))) for k in "xy"]
-        spans = [F.explode(F.sequence(F.floor(ends[k] / REACH_M) - 1, F.floor(ends[k + 2] / REACH_M) + 1)) for k in (0, 1)]
-        t = t.withColumn("tx", spans[0]).withColumn("ty", spans[1])
-        pairs = s.withColumns({"tx": cell("x_m"), "ty": cell("y_m")}).join(t, ["tx", "ty"])
+
+        def span(a: str, b: str) -> Column:
+            low, high = F.array_min(F.transform("cuts", lambda c: F.least(c[a], c[b]))), F.array_max(F.transform("cuts", lambda c: F.greatest(c[a], c[b])))
+            return F.explode(F.sequence(F.floor(low / REACH_M) - 1, F.floor(high / REACH_M) + 1))
+
+        spread = t.withColumn("tx", span("ax", "bx")).withColumn("ty", span("ay", "by"))
+        pairs = s.withColumns({"tx": cell("x_m"), "ty": cell("y_m")}).join(spread, ["tx", "ty"])
     d = F.array_min(F.transform("cuts", lambda c: geo.point_segment_distance("x_m", "y_m", c["ax"], c["ay"], c["bx"], c["by"])))
     depth_sigma = F.greatest(F.lit(35000.0), 500.0 * F.greatest(F.lit(1.0), "width_km"))
     kernel = F.exp(-0.5 * F.pow(d / 30000.0, 2)) * F.exp(-0.5 * F.pow((F.col("z_m") - F.col("fault_depth_m")) / depth_sigma, 2))
@@ -567,6 +571,9 @@ def fault_wave_interaction(splats: DataFrame, traces: DataFrame) -> DataFrame:
     out = pairs.groupBy("segment_id", "length_km").agg(
         F.sum(e).alias("total"), F.sum(F.when(F.col("k") >= math.exp(-0.5), F.col("n")).otherwise(0)).alias("near_splat_count"), by(kind == "reflected").alias("reflected_energy"), by(kind == "scattered").alias("scattered_energy"), by(~kind.isin("reflected", "scattered")).alias("residual_energy")
     )
+    if not few:  # faults out of every splat's reach
+        names = ["near_splat_count", "total", "reflected_energy", "scattered_energy", "residual_energy"]
+        out = t.select("segment_id", "length_km").join(out.drop("length_km"), "segment_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in names})
     out = out.withColumn("raw_score", F.col("total") / F.sqrt(F.greatest(F.lit(1.0), "length_km")))
     most = out.agg(F.max("raw_score").alias("m"))  # one row
     score = F.when(F.col("m") > 0, F.col("raw_score") / F.col("m")).otherwise(0.0)

@@ -170,6 +170,96 @@ def test_projection_finds_the_source(spark):
     assert math.hypot(best["projection_x_m"] - 20000, best["projection_y_m"] + 20000) < 12000 and 0 <= best["beam_energy"] <= 1
 
 
+def plain_late(array, p):
+    """Late metrics of one point, station by station."""
+    d = [math.hypot(x - p[0], y - p[1]) / 1000 for x, y in zip(array.x, array.y)]
+    mid = float(np.median(d))
+    pred = [(v - mid) / array.v for v in d]
+    res = [o - q for o, q in zip(array.obs, pred)]
+    late = sorted((r, w) for r, w in zip(res, array.w) if r > 0.175)
+    total, mass = sum(array.w), sum(w for _, w in late)
+    if len(late) < 2 or mass / total < 0.2:
+        return None
+    run, raw = 0.0, None
+    for r, w in late:
+        run += w
+        if raw is None and run >= 0.5 * mass:
+            raw = r
+    delay = min(max(raw, 0.175), 30.0)
+    fit = sum(w * math.exp(-0.5 * ((r - delay) / 0.7) ** 2) for r, w in zip(res, array.w) if r > 0) / total
+    mean = sum(r * w for r, w in late) / mass
+    spread = math.sqrt(sum(w * (r - mean) ** 2 for r, w in late) / mass)
+    length = 0.0
+    for sign in (1, -1):
+        turned = [ph - sign * 2 * math.pi * array.f * (q + delay) for ph, q in zip(array.phase, pred)]
+        length = max(length, math.hypot(sum(w * math.cos(t) for t, w in zip(turned, array.w)), sum(w * math.sin(t) for t, w in zip(turned, array.w))) / total)
+    return delay, spread, mass / total, length, min(1.0, (0.55 * length + 0.45 * fit) * (0.35 + 0.65 * mass / total)), raw >= 30.0
+
+
+def test_late_phase_against_plain_loops():
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    seen = 0
+    for n in (4, 9, 40):
+        g = pd.DataFrame({"x_m": rng.uniform(-6e4, 6e4, n), "y_m": rng.uniform(-6e4, 6e4, n), "phase_rad": rng.uniform(-3, 3, n), "amplitude": rng.uniform(0, 5, n), "group_delay_s": rng.choice([0.0, 1.0, 40.0, 3.0], n) + rng.normal(0, 0.2, n), "frequency_hz": 2.0})
+        array = imaging._Array(g)
+        points = rng.uniform(-6e4, 6e4, (30, 2))
+        energy, length, fit, _, pred = array.parts(points)
+        got = array.late(pred)
+        assert ((0 <= length) & (length <= 1) & (0 <= fit) & (fit <= 1)).all() and energy == pytest.approx(0.65 * length + 0.35 * fit)
+        for i, p in enumerate(points):
+            want = plain_late(array, p)
+            if want is None:
+                assert got["energy"][i] == 0
+                continue
+            seen += 1
+            assert [got[k][i] for k in ("delay", "spread", "fraction", "phase", "energy", "clipped")] == pytest.approx(list(want))
+    assert seen > 30
+
+
+def test_projection_feeds_splats_and_views(spark):
+    from quakeframe.plans import queries
+    from quakeframe.plans.fixtures import view
+
+    v = lambda name: view(spark, "/root/testdata/sf0.001", name)
+    found = queries.projected(v).cache()
+    rows = found.collect()
+    assert {r["source_weight"] for r in rows} <= {1.0, 1.15} and all(0 <= r["array_coherence"] <= 1 and r["depth_p05_km"] <= r["depth_p50_km"] <= r["depth_p95_km"] for r in rows)
+    for r in rows:
+        if r["primitive_type"] == "direct":
+            assert r["array_coherence"] == pytest.approx(r["phase_coherence"] * r["delay_fit"]) and r["late_phase_delay_s"] == 0 and r["projection_z_m"] == r["event_z_m"]
+            assert r["beam_power"] >= r["beam_energy"] * math.log1p(r["n_stations"]) - 1e-9
+        gone = math.hypot(r["projection_x_m"] - r["event_x_m"], r["projection_y_m"] - r["event_y_m"])
+        assert math.hypot(r["slowness_x_s_per_km"], r["slowness_y_s_per_km"]) == pytest.approx(1 / imaging.VELOCITY if gone > 1e-6 else 0)
+    best = imaging.select_projection_topk(found.withColumn("p", F.xxhash64("event_id", "frequency_hz", "primitive_type", "projection_x_m", "projection_y_m")), 6)
+    assert best.groupBy("event_id").count().where("count > 6").isEmpty()
+    splats = imaging.splat_primitives(best)
+    assert splats.count() >= best.count() and splats.select("primitive_id").distinct().count() == splats.count()
+    pixels = imaging.view_image_pixels(imaging.view_image_base(best, v("fx_spectrum")))
+    voxels = imaging.voxel_lod(splats)
+    assert pixels.count() > 0 and voxels.count() > 0
+
+
+def test_nearest_by_cells_is_nearest(spark, monkeypatch):
+    """With traces beyond the broadcast bound, cells give the same faults and energies."""
+    rng = np.random.default_rng(6)
+    p = points(spark, rng.uniform(-3e5, 3e5, (120, 3)))
+    traces = spark.createDataFrame([(f"f{i:03d}", [(float(a), float(b)), (float(a + c), float(b + d))], 10.0 + i, 5.0, 8000.0) for i, (a, b, c, d) in enumerate(rng.uniform(-3e4, 3e4, (60, 4)) * [1, 1, 0.5, 0.5])] + [("far", [(9e6, 0.0)], 1.0, 1.0, 0.0)], "segment_id string, trace array<struct<x:double,y:double>>, length_km double, width_km double, fault_depth_m double")
+    splats = p.withColumns({"primitive_type": F.lit("reflected"), "splat_role": F.lit("structure"), "structure_amplitude": F.lit(0.5), "z_m": F.lit(9000.0)})
+
+    def found():
+        near = {r["event_id"]: (r["nearest_segment_id"], round(r["fault_distance_km"], 9)) for r in faults.nearest_fault(p, traces, "event_id").collect()}
+        waves = {r["segment_id"]: r["raw_score"] for r in imaging.fault_wave_interaction(splats, traces).collect()}
+        return near, waves
+
+    near, waves = found()
+    monkeypatch.setattr(faults, "BROADCAST_ROWS", 5)
+    again, cells = found()
+    assert near == again and len(near) == 120
+    assert cells == pytest.approx(waves, abs=1e-12)
+
+
 def test_readers(spark, tmp_path):
     p = tmp_path / "events.csv"
     p.write_text("event_id,time_utc,lat,lon,depth_km,magnitude,magnitude_type,catalog_source\na,2020-01-01T00:00:00Z,32,130,x,3,,c\n")
@@ -273,7 +363,13 @@ def test_infer_faults_has_density_clusters_and_no_near_copies(spark):
     n = queries.qc_events(few).count()
     assert 4 <= n < 200  # too few for tiles
     got = queries.infer_faults(few).collect()
-    assert [(r["cluster_id"].startswith("global_dbscan_"), r["n_events"]) for r in got] == [(True, n)]
+    assert [(r["raw_cluster_id"].startswith("global_dbscan_"), r["n_events"], r["segment_id"]) for r in got] == [(True, n, "inferred_fault_0000")]
+    r = got[0]
+    score = 0.35 * r["seismicity_planarity_score"] + 0.25 * r["mechanism_consistency_score"] + 0.2 * r["gnss_strain_gradient_score"] + 0.1 * r["waveform_residual_score"] + 0.1 * r["distance_from_known_fault_score"]
+    assert r["fault_score"] == pytest.approx(score) and r["inference_method"] == "global_dbscan" and r["is_inferred"] and len(r["trace"]) == len(r["local_trace"]) == 2
+    assert r["notes"] == "known_fault_extension_candidate" if r["distance_to_known_fault_km"] <= 5 else r["notes"].startswith("unregistered_candidate; nearest_known=known_")
+    a, b = r["local_trace"]
+    assert math.hypot(a["x"] - b["x"], a["y"] - b["y"]) / 1000 == pytest.approx(r["length_km"]) and (a["x"] + b["x"]) / 2 == pytest.approx(r["center_x_m"])
 
     kept = queries.infer_faults(lambda name: view(spark, "/root/testdata/sf0.001", name)).collect()
     assert kept and all(r["length_km"] <= 800 and r["width_km"] <= 300 for r in kept)
