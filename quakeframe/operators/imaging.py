@@ -240,11 +240,19 @@ def limit_projection_rows(rows: DataFrame, events: DataFrame, max_events: int, m
 
 
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
-    """First value at which the running weight reaches half the total. Equal values are summed first."""
+    """First value at which the running weight reaches half the total. Equal values are summed first; sums run over range partitions by
+    key and value, of which only those around the half are looked at, so that no task holds a large key."""
     merged = df.groupBy(*keys, value).agg(F.sum(weight).alias("__w"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # cut, so that a partition that is computed again has the same rows
+    rows = cut(merged.repartitionByRange(n, *keys, value).withColumn("__part", F.spark_partition_id()))
+    sums = rows.groupBy("__part", *keys).agg(F.sum("__w").alias("__sum"))
     w = Window.partitionBy(*keys)
-    run = merged.withColumns({"__run": F.sum("__w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "__all": F.sum("__w").over(w)})
-    return run.where(F.col("__run") >= F.col("__all") / 2).groupBy(*keys).agg(F.min(value).alias("weighted_median"))
+    before = F.coalesce(F.sum("__sum").over(w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = sums.withColumns({"__before": before, "__half": F.sum("__sum").over(w) / 2})
+    around = ahead.where((F.col("__before") <= F.col("__half")) & (F.col("__before") + F.col("__sum") >= F.col("__half"))).drop("__sum")
+    run = F.col("__before") + F.sum("__w").over(Window.partitionBy("__part", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(around, ["__part", *keys]).withColumn("__run", run).where("__run >= __half").groupBy(*keys).agg(F.min(value).alias("weighted_median"))
 
 
 # ---------------------------------------------------------------- splats
