@@ -431,7 +431,7 @@ def brute_lines(rows, ratio, pages):
 
 @pytest.mark.parametrize("broadcast", [100_000, 0])
 def test_lines(spark, broadcast):
-    rows = [(i, RNG.choice(["h1", "h1", "h2", None]), "\n".join(RNG.choices(["menu", " menu ", "", "foot", prose(3)], k=RNG.randint(1, 5)))) for i in range(200)] + [(200, "h1", None), (201, "h9", "menu"), (201, "h9", "menu"), (None, "h1", "menu\nmenu")]
+    rows = [(i, RNG.choice(["h1", "h1", "h2", None]), "\n".join(RNG.choices(["menu", " menu ", "", "foot", prose(3)], k=RNG.randint(1, 5)))) for i in range(200)] + [(200, "h1", None), (201, "h9", "menu"), (201, "h9", "menu"), (None, "h1", "menu\nmenu"), (202, "h1", "menu\n" * 20_000 + "x" * 50_000)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
     got = lines.drop_boilerplate(df, ratio=0.3, broadcast_lines=broadcast)
     assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == brute_lines(rows, 0.3, lines.MIN_PAGES)

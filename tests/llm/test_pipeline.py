@@ -40,6 +40,24 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
 
 
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, null and very long texts, repeated rows, and columns that clash with those of the stages."""
+    rng = random.Random(5)
+    long = prose(20_000, rng)
+    rows = [(1, None, "a", 1.0, "x", "y", "z"), (2, "", "a", 1.0, "x", "y", "z"), (3, long, "a", 1.0, "x", "y", "z"), (3, long, "a", 1.0, "x", "y", "z"), (None, prose(30, rng), None, 1.0, "x", "y", "z"), (4, prose(40, rng), "b", 1.0, "x", "y", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, Score double, Leaks string, __met string, __host string")
+    spark.createDataFrame([(i, int(i % 2)) for i in range(4)], "doc_id long, toxic int").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, prose(30, rng))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"out{k}"))
+        out = spark.read.parquet(str(tmp_path / f"out{k}"))
+        if k < 4:
+            assert out.columns == docs.columns and out.count() == (6 if k < 2 else 5), name
+            docs = out
+    assert {r["doc_id"] for r in out.collect()} == {1, 2, 3, 4, None}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_registered_queries_cover_all_documents(spark, name):
     n = spark.read.parquet(f"{DIR}/documents.parquet").count()
