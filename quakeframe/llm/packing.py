@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -101,9 +100,10 @@ def _swept_ranges(spark: SparkSession, pieces: list[Run], gaps: list[Run], capac
     """Sweeps of RANGES ranges of sizes, each in a task of its own, until nothing more fits within a range."""
     width = -(-(capacity + 1) // RANGES)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        low = key[0] * width
-        rows = {k: [tuple(r) for r in pdf.loc[pdf["kind"] == k, ["size", "first", "n"]].to_numpy().tolist()] for k in (0, 1)}
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        low = key[0].as_py() * width
+        every = list(zip(*(table[c].to_pylist() for c in ("kind", "size", "first", "n"))))
+        rows = {k: [r[1:] for r in every if r[0] == k] for k in (0, 1)}
         mine, inside, outside, placed = rows[0], rows[1], [], []
         while True:
             some, mine, made = sweep(mine, inside, capacity)
@@ -112,12 +112,13 @@ def _swept_ranges(spark: SparkSession, pieces: list[Run], gaps: list[Run], capac
             if not some:
                 break
         out = [(2, *p) for p in placed] + [(0, s, f, 0, 0, n) for s, f, n in mine] + [(1, s, f, 0, 0, n) for s, f, n in inside + outside]
-        return pd.DataFrame(out, columns=["kind", "size", "first", "sequence", "offset", "n"])
+        types = [pa.int32(), *[pa.int64()] * 5]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["kind", "size", "first", "sequence", "offset", "n"])
 
     rows = [(0, *p) for p in pieces] + [(1, *g) for g in gaps]
     state = spark.createDataFrame(rows, "kind int, size long, first long, n long").withColumn("range", (F.col("size") / width).cast("int"))
     schema = "kind int, size long, first long, sequence long, offset long, n long"
-    found = state.groupBy("range").applyInPandas(run, schema).collect()  # runs, some thousands
+    found = state.groupBy("range").applyInArrow(run, schema).collect()  # runs, some thousands
     placed = [tuple(r)[1:] for r in found if r["kind"] == 2]
     return placed, *([(r["size"], r["first"], r["n"]) for r in found if r["kind"] == k] for k in (0, 1))
 
