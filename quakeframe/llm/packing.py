@@ -100,10 +100,10 @@ def _swept_ranges(spark: SparkSession, pieces: list[Run], gaps: list[Run], capac
     """Sweeps of RANGES ranges of sizes, each in a task of its own, until nothing more fits within a range."""
     width = -(-(capacity + 1) // RANGES)
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        low = key[0].as_py() * width
-        every = list(zip(*(table[c].to_pylist() for c in ("kind", "size", "first", "n"))))
-        rows = {k: [r[1:] for r in every if r[0] == k] for k in (0, 1)}
+    names = ["kind", "size", "first", "sequence", "offset", "n"]
+
+    def swept(low: int, runs: list[dict]) -> pa.RecordBatch:
+        rows = {k: [(r["size"], r["first"], r["n"]) for r in runs if r["kind"] == k] for k in (0, 1)}
         mine, inside, outside, placed = rows[0], rows[1], [], []
         while True:
             some, mine, made = sweep(mine, inside, capacity)
@@ -112,13 +112,21 @@ def _swept_ranges(spark: SparkSession, pieces: list[Run], gaps: list[Run], capac
             if not some:
                 break
         out = [(2, *p) for p in placed] + [(0, s, f, 0, 0, n) for s, f, n in mine] + [(1, s, f, 0, 0, n) for s, f, n in inside + outside]
-        types = [pa.int32(), *[pa.int64()] * 5]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["kind", "size", "first", "sequence", "offset", "n"])
+        columns = list(zip(*out)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32(), *[pa.int64()] * 5])], names=names)
 
-    rows = [(0, *p) for p in pieces] + [(1, *g) for g in gaps]
-    state = spark.createDataFrame(rows, "kind int, size long, first long, n long").withColumn("range", (F.col("size") / width).cast("int"))
-    schema = "kind int, size long, first long, sequence long, offset long, n long"
-    found = state.groupBy("range").applyInArrow(run, schema).collect()  # runs, some thousands
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, runs in zip(*(c.to_pylist() for c in batch.columns)):
+                yield swept(at * width, runs)
+
+    ranges: dict[int, list[tuple]] = {}
+    for kind, runs in ((0, pieces), (1, gaps)):
+        for size, first, n in runs:
+            ranges.setdefault(size // width, []).append((kind, size, first, n))
+    # a row for each range, so that ranges are dealt to tasks without a shuffle
+    state = spark.createDataFrame(sorted(ranges.items()), "range int, runs array<struct<kind:int,size:long,first:long,n:long>>")
+    found = state.mapInArrow(run, "kind int, size long, first long, sequence long, offset long, n long").collect()  # runs, some thousands
     placed = [tuple(r)[1:] for r in found if r["kind"] == 2]
     return placed, *([(r["size"], r["first"], r["n"]) for r in found if r["kind"] == k] for k in (0, 1))
 
