@@ -595,8 +595,8 @@ _TURN = f"abs({PMOD('(a.strike - b.strike + 180)', '360e0')} - 180)"
 
 @query(
     f"""WITH rk AS (SELECT *, row_number() OVER (ORDER BY fault_score DESC, planarity DESC, n_events DESC, p) AS r FROM fx_candidate WHERE NOT {_SHEET}),
-    nl AS (SELECT a.r, list(b.r) AS better FROM rk a JOIN rk b ON b.r < a.r AND sqrt(pow(a.center_x_m - b.center_x_m, 2) + pow(a.center_y_m - b.center_y_m, 2)) <= 6e3 AND abs(a.center_depth_km - b.center_depth_km) <= 5 AND least({_TURN}, abs({_TURN} - 180)) <= 20 GROUP BY 1),
-    step AS (SELECT rk.r, coalesce(better, []) AS better FROM rk LEFT JOIN nl USING (r)),
+    nl AS MATERIALIZED (SELECT a.r, list(b.r) AS better FROM rk a JOIN rk b ON b.r < a.r AND sqrt(pow(a.center_x_m - b.center_x_m, 2) + pow(a.center_y_m - b.center_y_m, 2)) <= 6e3 AND abs(a.center_depth_km - b.center_depth_km) <= 5 AND least({_TURN}, abs({_TURN} - 180)) <= 20 GROUP BY 1),
+    step AS MATERIALIZED (SELECT rk.r, coalesce(better, []) AS better FROM rk LEFT JOIN nl USING (r)),
     kept AS (SELECT * FROM (WITH RECURSIVE g(one, r, ids) USING KEY (one) AS (SELECT 1, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION
       SELECT 1, s.r, CASE WHEN list_has_any(g.ids, s.better) THEN g.ids ELSE list_append(g.ids, s.r) END FROM g JOIN step s ON s.r = g.r + 1) SELECT unnest(ids[1:1000]) AS r, generate_subscripts(ids[1:1000], 1) - 1 AS i FROM g))
     SELECT candidate_id, fault_score, 'inferred_fault_' || lpad(CAST(i AS VARCHAR), 4, '0') AS segment_id FROM kept JOIN rk USING (r)"""
