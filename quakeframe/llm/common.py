@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,6 +115,33 @@ def fold(modulus: int, remainder: int) -> Column:
     return F.coalesce(crc_of_id() % modulus == remainder, F.lit(False))
 
 
+# ---------------------------------------------------------------- positions
+
+
+def ranked(df: DataFrame, group: list[str], order: list[str], position: str = "position", count: str = "group_rows") -> DataFrame:
+    """``df`` with the gapless position, from 0, of each row in its group by ``order`` (nulls first), and the group's count of rows.
+
+    Rows are ranged by group and order over all tasks and stored with a number; positions follow from how many rows of the group
+    the ranges before hold. Rows alike in all these columns are dealt over ranges too, so neither a hot group nor a hot row is one task.
+    """
+    tie, at, part, before, first = unused(df, "tie__", "at__", "part__", "before__", "first__")
+    keys = [*group, *order, tie]
+    ranged = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = stored(ranged.drop(tie).withColumn(at, F.monotonically_increasing_id()), "ranked")
+    of_row = F.shiftright(at, 33)
+    # at most a row for each range and one for each group
+    counts = rows.groupBy(of_row.alias(part), *group).agg(F.min(at).alias(first), F.count(F.lit(1)).alias(count))
+    whole = Window.partitionBy(*group)
+    sums = F.coalesce(F.sum(count).over(whole.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    named = {g: f"{part}{i}" for i, g in enumerate(group)}
+    counts = counts.select(F.col(part), *(F.col(g).alias(n) for g, n in named.items()), first, sums.alias(before), F.sum(count).over(whole).alias(count))
+    on = of_row == F.col(part)
+    for g, n in named.items():
+        on &= F.col(g).eqNullSafe(F.col(n))
+    joined = rows.join(small(counts), on)
+    return joined.select(*(quoted(c) for c in df.columns), (F.col(at) - F.col(first) + F.col(before)).alias(position), count)
+
+
 # ---------------------------------------------------------------- Arrow batches
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, jaccard, langid, lines, mixing, packing, pii, records, rules, toxicity
-from .common import fold, table
+from . import collocations, contamination, jaccard, langid, lines, merkle, mixing, packing, pii, records, rules, sharding, toxicity
+from .common import crc_of_id, fold, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(docs, table(spark, sf_dir, "labels")).select("doc_id", *rules.COUNTS, "base_failed", "anomaly", "kept")
 
 
+def op11_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(merkle.FIELDS)
+    # one more than the largest long still has a decimal form
+    longer = {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
+    found = merkle.manifest(docs, longer, crc_of_id() % 7 == 0, ("doc_id",))
+    folded = F.when(F.size("copied") > 0, F.element_at("copied", -1)).otherwise(F.col("version_leaf"))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), folded.alias("folded_root"), "verified")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_records": op2_token_records,
@@ -83,5 +100,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_context_mixing": op9_context_mixing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_jump_sharding": op11_jump_sharding,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_collocations": op13_collocations,
 }
 ORACLE_SQL = {"op8_line_dedup": OP8_SQL}
