@@ -3,7 +3,7 @@
 Every row is a leaf, the SHA-256 of its fields. Leaves of a language ascend by doc_id; two consecutive nodes at a time become their
 parent until one is left, the subroot; subroots, ordered by language, give the root in the same way.
 
-The tree is built in aligned blocks of ``BLOCK`` nodes: the leaves of a block give its top in one task, tops are the nodes of
+The tree is built in aligned blocks of 2 ** ``LEVELS`` nodes: the leaves of a block give its top in one task, tops are the nodes of
 the next round, and so on, so no task holds more than a block. A change of a leaf makes a version of the tree that shares all
 untouched nodes and copies the leaf's ancestors alone: those within its block in the block's task, those above by the path of the
 block's top, which is worked out once for each block, from the root down. Versions of a block meet its path alone, so upper levels, which
@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import quoted, ranked, small, stored
 
+#: levels of a block of 1024 nodes
 LEVELS = 10
-#: nodes of a block
-BLOCK = 1 << LEVELS
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 RESULTS = ["leaf", "subroot", "root", "siblings", "copied", "verified"]
 
@@ -85,35 +84,35 @@ def height(rows: int) -> int:
     return (rows - 1).bit_length()
 
 
-def _block(table: pa.Table) -> tuple[Block, list[int]]:
+def _block(table: pa.Table, levels: int) -> tuple[Block, list[int]]:
     """The block of a group's rows (g, pos, group_rows, hash, ...), and the places of its rows."""
     pos, rows, hashes = (table.column(c).to_pylist() for c in ("pos", "group_rows", "hash"))
     order = sorted(range(len(pos)), key=pos.__getitem__)
-    return Block([hashes[i] for i in order], min(LEVELS, height(rows[0]))), [pos[i] % BLOCK for i in range(len(pos))]
+    return Block([hashes[i] for i in order], min(levels, height(rows[0]))), [p % (1 << levels) for p in pos]
 
 
-def _block_of() -> Column:
-    return F.shiftright("pos", LEVELS)
+def _block_of(levels: int) -> Column:
+    return F.shiftright("pos", levels).alias("block")
 
 
-def _tops(nodes: DataFrame) -> DataFrame:
+def _tops(nodes: DataFrame, levels: int) -> DataFrame:
     """The top of each block of nodes (g, pos, group_rows, hash), as nodes of the next round."""
 
     def top(table: pa.Table) -> pa.Table:
-        block, _ = _block(table)
+        block, _ = _block(table, levels)
         g, pos, rows = (table.column(c)[0].as_py() for c in ("g", "pos", "group_rows"))
-        return pa.table({"g": pa.array([g], pa.int64()), "pos": pa.array([pos >> LEVELS], pa.int64()), "group_rows": pa.array([-(-rows // BLOCK)], pa.int64()), "hash": [block.top]})
+        return pa.table({"g": pa.array([g], pa.int64()), "pos": pa.array([pos >> levels], pa.int64()), "group_rows": pa.array([-(-rows >> levels)], pa.int64()), "hash": [block.top]})
 
-    keys = nodes.select("g", "pos", "group_rows", "hash").groupBy("g", _block_of().alias("block"))
+    keys = nodes.select("g", "pos", "group_rows", "hash").groupBy("g", _block_of(levels))
     return keys.applyInArrow(top, "g long, pos long, group_rows long, hash string")
 
 
-def _paths(nodes: DataFrame) -> DataFrame:
+def _paths(nodes: DataFrame, levels: int) -> DataFrame:
     """g, pos, siblings (upwards to the group's own root) and root of stored nodes (g, pos, group_rows, hash)."""
-    tops = stored(_tops(nodes), "merkle-tops")
+    tops = stored(_tops(nodes, levels), "merkle-tops")
     most = nodes.agg(F.max("group_rows")).first()[0] or 0
-    if most > BLOCK:
-        above = _paths(tops)
+    if most > 1 << levels:
+        above = _paths(tops, levels)
     else:
         above = tops.select("g", "pos", F.array().cast("array<string>").alias("siblings"), F.col("hash").alias("root"))
 
@@ -121,12 +120,12 @@ def _paths(nodes: DataFrame) -> DataFrame:
         names = ["g", "pos", "siblings", "root"]
         if not table.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string()))})
-        block, at = _block(table)
+        block, at = _block(table, levels)
         rest, root = up.column("siblings")[0].as_py(), up.column("root")[0].as_py()
         found = pa.array([block.siblings(i) + rest for i in at], pa.list_(pa.string()))
         return pa.table({"g": table.column("g").cast(pa.int64()), "pos": table.column("pos").cast(pa.int64()), "siblings": found, "root": pa.array([root] * len(at), pa.string())})
 
-    mine = nodes.select("g", "pos", "group_rows", "hash", _block_of().alias("block")).groupBy("g", "block")
+    mine = nodes.select("g", "pos", "group_rows", "hash", _block_of(levels)).groupBy("g", "block")
     found = mine.cogroup(above.groupBy("g", "pos")).applyInArrow(join, "g long, pos long, siblings array<string>, root string")
     return stored(found, "merkle-paths")
 
@@ -134,7 +133,7 @@ def _paths(nodes: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- operator
 
 
-def manifest(docs: DataFrame, changed: dict[str, Column] | None = None, where: Column | None = None, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
+def manifest(docs: DataFrame, changed: dict[str, Column] | None = None, where: Column | None = None, keep: tuple[str, ...] = ("doc_id", "lang"), levels: int = LEVELS) -> DataFrame:
     """A row for each of ``docs``: the kept columns, leaf, version_leaf, subroot, root, siblings (the proof, upwards), copied (the
     ancestors that the row's version copies) and verified (whether that version has the tree's root).
 
@@ -149,13 +148,13 @@ def manifest(docs: DataFrame, changed: dict[str, Column] | None = None, where: C
     # a language's number, in order: null first, then by bytes
     langs = stored(ranked(leaves.where("pos = 0").select("name"), [], ["name"], "g", "groups"), "merkle-langs")
     found = leaves.join(small(langs.select(F.col("name").alias("of"), "g")), F.col("name").eqNullSafe(F.col("of"))).drop("of", "id", "name")
-    above = _above(found.select("g", "pos", "group_rows", F.col("leaf").alias("hash")), langs)
+    above = _above(found.select("g", "pos", "group_rows", F.col("leaf").alias("hash")), langs, levels)
 
     made = {"subroot": pa.string(), "root": pa.string(), "siblings": pa.list_(pa.string()), "copied": pa.list_(pa.string()), "verified": pa.bool_()}
     passed = [*named, "leaf", "version_leaf"]
 
     def versions(_, table: pa.Table, up: pa.Table) -> pa.Table:
-        block, at = _block(table.rename_columns(["hash" if c == "leaf" else c for c in table.column_names]))
+        block, at = _block(table.rename_columns(["hash" if c == "leaf" else c for c in table.column_names]), levels)
         rest, subroot, root = (up.column(c)[0].as_py() for c in ("siblings", "subroot", "root"))
         proofs = [block.siblings(i) + rest for i in at]
         leaf = table.column("version_leaf").to_pylist()
@@ -164,20 +163,20 @@ def manifest(docs: DataFrame, changed: dict[str, Column] | None = None, where: C
         values = ([subroot] * len(at), [root] * len(at), proofs, copies, same)
         return pa.table({c: table.column(c) for c in passed} | {c: pa.array(v, t) for (c, t), v in zip(made.items(), values)})
 
-    found = found.select("g", "pos", "group_rows", *named, "leaf", F.coalesce("other", "leaf").alias("version_leaf"), _block_of().alias("block"))
+    found = found.select("g", "pos", "group_rows", *named, "leaf", F.coalesce("other", "leaf").alias("version_leaf"), _block_of(levels))
     schema = ", ".join(f"{n} {found.schema[n].dataType.simpleString()}" for n in passed)
     schema += ", subroot string, root string, siblings array<string>, copied array<string>, verified boolean"
     out = found.groupBy("g", "block").cogroup(above.groupBy("g", "pos")).applyInArrow(versions, schema)
     return out.select(*(F.col(n).alias(c) for c, n in zip(keep, named)), "leaf", "version_leaf", *made)
 
 
-def _above(leaves: DataFrame, langs: DataFrame) -> DataFrame:
+def _above(leaves: DataFrame, langs: DataFrame, levels: int) -> DataFrame:
     """For each block of leaves (g, pos): siblings of its top up to the root, its group's subroot, and the root."""
-    inner = _paths(stored(_tops(leaves), "merkle-tops"))
+    inner = _paths(stored(_tops(leaves, levels), "merkle-tops"), levels)
     tops = inner.where("pos = 0").select(F.col("g").alias("of"), F.col("root").alias("hash"))
     subroots = tops.join(small(langs.select("g", "groups")), F.col("of") == F.col("g"))
     subroots = stored(subroots.select(F.lit(0).cast("long").alias("g"), F.col("of").alias("pos"), F.col("groups").alias("group_rows"), "hash"), "merkle-subroots")
-    outer = _paths(subroots).select(F.col("pos").alias("of"), F.col("siblings").alias("outer"), F.col("root").alias("whole"))
+    outer = _paths(subroots, levels).select(F.col("pos").alias("of"), F.col("siblings").alias("outer"), F.col("root").alias("whole"))
     joined = inner.join(small(outer), F.col("g") == F.col("of"))
     return joined.select("g", "pos", F.concat("siblings", "outer").alias("siblings"), F.col("root").alias("subroot"), F.col("whole").alias("root"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import collocations, contamination, jaccard, langid, lines, merkle, mixing, packing, pii, records, rules, sharding, toxicity
 from .common import crc_of_id, fold, table
+from .oracles import OP11_SQL, OP12_SQL, OP13_SQL
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,4 +105,4 @@ QUERIES = {
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_collocations": op13_collocations,
 }
-ORACLE_SQL = {"op8_line_dedup": OP8_SQL}
+ORACLE_SQL = {"op8_line_dedup": OP8_SQL, "op11_jump_sharding": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_collocations": OP13_SQL}
