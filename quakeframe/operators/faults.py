@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import expr, geo
+from ..functions import expr, geo, linear
 from .clusters import cut
 
 BROADCAST_ROWS = 200_000
@@ -203,31 +201,33 @@ def cluster_covariance(members: DataFrame, key: str = "cluster_id") -> DataFrame
     return members.groupBy(key).agg(F.count(F.lit(1)).alias("n_events"), F.avg("x_m").alias("center_x_m"), F.avg("y_m").alias("center_y_m"), F.avg("z_m").alias("center_z_m"), *c)
 
 
-PLANE = "nx double, ny double, nz double, length_km double, width_km double, planarity double"
+#: eigenvalues closer than this share of the largest count as equal
+EQUAL = 1e-9
 
 
 def plane_fit(covariances: DataFrame) -> DataFrame:
-    """Eigen-decomposition of 3 x 3 covariances in batches: plane normal, extents and planarity. The normal points up;
-    a level one is turned so that its first component that isn't 0 is positive."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in covariances.schema) + ", " + PLANE
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            m = np.empty((len(pdf), 3, 3))
-            for i, j, c in ((0, 0, "cxx"), (0, 1, "cxy"), (0, 2, "cxz"), (1, 1, "cyy"), (1, 2, "cyz"), (2, 2, "czz")):
-                m[:, i, j] = m[:, j, i] = pdf[c].to_numpy(float)
-            val, vec = np.linalg.eigh(np.nan_to_num(m))
-            val = np.maximum(val, 0)
-            n = vec[:, :, 0]
-            n[np.abs(n) < 1e-12] = 0
-            lead = np.where(n[:, 2] != 0, n[:, 2], np.where(n[:, 0] != 0, n[:, 0], n[:, 1]))
-            n = n * np.where(lead < 0, -1, 1)[:, None]
-            count = np.maximum(pdf["n_events"].to_numpy(float), 1)
-            size = 4 * np.sqrt(val * ((count - 1) / count)[:, None]) / 1000
-            total = np.maximum(val.sum(axis=1), 1e-9)
-            yield pdf.assign(nx=n[:, 0], ny=n[:, 1], nz=n[:, 2], length_km=np.maximum(1, size[:, 2]), width_km=np.maximum(1, size[:, 1]), planarity=np.clip(1 - val[:, 0] / total, 0, 1))
-
-    return covariances.mapInPandas(run, schema)
+    """Plane normal, extents and planarity of 3 x 3 covariances, by their eigenvalues in closed form. The normal is the vector of the
+    smallest one; it points up, and a level one is turned so that its first component that isn't 0 is positive. Events on a line lie in many
+    planes: of these the flattest is taken (of a vertical line that across x); a cloud alike in all directions, or without extent, has the
+    level plane. Null covariances (of a single event) count as 0."""
+    made = ["nx", "ny", "nz", "length_km", "width_km", "planarity"]
+    kept = [c for c in covariances.columns if c not in made]
+    out = linear.symmetric_eigen(covariances.select(*kept), value="ev_", vector="en_")
+    out = out.withColumns({f"ev_{k}": F.greatest(F.lit(0.0), f"ev_{k}") for k in range(3)})
+    ball = F.col("ev_2") - F.col("ev_0") <= EQUAL * F.col("ev_2")
+    line = F.col("ev_1") - F.col("ev_0") <= EQUAL * F.col("ev_2")
+    slope = 1 - F.col("en_2z") * F.col("en_2z")
+    flattest = [F.when(slope < 1e-12, F.lit(1.0 if a == "x" else 0.0)).otherwise((F.lit(1.0 if a == "z" else 0.0) - F.col("en_2z") * F.col(f"en_2{a}")) / F.sqrt(slope)) for a in "xyz"]
+    normal = [F.when(ball, F.lit(1.0 if a == "z" else 0.0)).when(line, f).otherwise(F.col(f"en_0{a}")) for a, f in zip("xyz", flattest)]
+    out = out.withColumns({f"en_{a}": n for a, n in zip("xyz", normal)})
+    out = out.withColumns({f"en_{a}": F.when(F.abs(f"en_{a}") < 1e-12, 0.0).otherwise(F.col(f"en_{a}")) for a in "xyz"})
+    lead = F.when(F.col("en_z") != 0, F.col("en_z")).when(F.col("en_x") != 0, F.col("en_x")).otherwise(F.col("en_y"))
+    sign = F.when(lead < 0, -1.0).otherwise(1.0)
+    count = F.greatest(F.lit(1.0), F.col("n_events").cast("double"))
+    size = lambda k: F.greatest(F.lit(1.0), 4 * F.sqrt(F.col(f"ev_{k}") * ((count - 1) / count)) / 1000)
+    total = F.greatest(F.lit(1e-9), F.col("ev_0") + F.col("ev_1") + F.col("ev_2"))
+    values = [*(sign * F.col(f"en_{a}") for a in "xyz"), size(2), size(1), expr.clamp01(1 - F.col("ev_0") / total)]
+    return out.select(*kept, *(v.alias(n) for v, n in zip(values, made)))
 
 
 def mechanism_consistency(members: DataFrame, planes: DataFrame, mechanisms: DataFrame) -> DataFrame:

@@ -113,6 +113,8 @@ def oracle(sql: str) -> str:
     body = sql.strip()
     if not parts:
         return body
+    if body.startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + body.removeprefix("WITH RECURSIVE ")
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
     return "WITH " + ",\n".join(parts) + "\n" + body

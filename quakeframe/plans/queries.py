@@ -555,9 +555,35 @@ def gnss_proximity_score(v):
     return rounded(faults.gnss_proximity_score(v("fx_candidate"), strain(v), "candidate_id"))
 
 
-@query()
+def fitted(covariances: str) -> str:
+    """CTEs of planes, pf, from covariances in square kilometres: a rotation after another, with axes renamed in turn, leaves a diagonal of eigenvalues."""
+    turn = "CASE WHEN xy = 0 THEN 0e0 ELSE (CASE WHEN yy >= xx THEN 1 ELSE -1 END) * 2 * xy / (abs(yy - xx) + sqrt((yy - xx) * (yy - xx) + 4 * xy * xy)) END"
+    basis = ", ".join(f"{'y' if i == 'x' else 'z' if i == 'y' else 'x'}{k}" for i in "xyz" for k in "123")
+    assert basis == "y1, y2, y3, z1, z2, z3, x1, x2, x3"
+    rotated = ", ".join([f"s * x{k} + c * y{k}" for k in "123"] + [f"z{k}" for k in "123"] + [f"c * x{k} - s * y{k}" for k in "123"])
+    return f"""ja(cluster_id, i, xx, xy, xz, yy, yz, zz, x1, x2, x3, y1, y2, y3, z1, z2, z3) AS (
+      SELECT cluster_id, 0, {", ".join(f"coalesce({e} * 1e6, 0e0)" for e in ("cxx", "cxy", "cxz", "cyy", "cyz", "czz"))}, 1e0, 0e0, 0e0, 0e0, 1e0, 0e0, 0e0, 0e0, 1e0 FROM {covariances}
+      UNION ALL SELECT cluster_id, i + 1, yy + t * xy, s * xz + c * yz, 0e0, zz, c * xz - s * yz, xx - t * xy, {rotated}
+      FROM (SELECT *, 1 / sqrt(1 + t * t) AS c, t / sqrt(1 + t * t) AS s FROM (SELECT *, {turn} AS t FROM ja WHERE i < 30))),
+    jv AS (SELECT cluster_id, list_sort([(greatest(xx, 0), 1, [x1, x2, x3]), (greatest(yy, 0), 2, [y1, y2, y3]), (greatest(zz, 0), 3, [z1, z2, z3])]) AS ev FROM ja WHERE i = 30),
+    jn AS (SELECT cluster_id, ev[1][1] AS e0, ev[2][1] AS e1, ev[3][1] AS e2, ev[1][3] AS n0, ev[3][3] AS w FROM jv),
+    jl AS (SELECT *, list_transform(CASE WHEN e2 - e0 <= 1e-9 * e2 THEN [0e0, 0e0, 1e0] WHEN e1 - e0 > 1e-9 * e2 THEN n0 WHEN 1 - w[3] * w[3] < 1e-12 THEN [1e0, 0e0, 0e0]
+      ELSE [-w[3] * w[1] / sqrt(1 - w[3] * w[3]), -w[3] * w[2] / sqrt(1 - w[3] * w[3]), sqrt(1 - w[3] * w[3])] END, lambda x: CASE WHEN abs(x) < 1e-12 THEN 0e0 ELSE x END) AS n FROM jn),
+    js AS (SELECT *, CASE WHEN CASE WHEN n[3] <> 0 THEN n[3] WHEN n[1] <> 0 THEN n[1] ELSE n[2] END < 0 THEN -1 ELSE 1 END AS sg FROM jl),
+    pf AS (SELECT c.*, sg * n[1] AS nx, sg * n[2] AS ny, sg * n[3] AS nz, greatest(1e0, 4 * sqrt(e2 * (n_events - 1) / n_events) / 1000e0) AS length_km,
+      greatest(1e0, 4 * sqrt(e1 * (n_events - 1) / n_events) / 1000e0) AS width_km, {C01('(1 - e0 / greatest(e0 + e1 + e2, 1e-9))')} AS planarity FROM {covariances} c JOIN js USING (cluster_id))"""
+
+
+@query(
+    rsql(
+        f"{TILED.replace('WITH', 'WITH RECURSIVE', 1)}, {fitted('cv')};; SELECT * FROM pf",
+        "cluster_id, n_events",
+        "center_x_m, center_y_m, center_z_m, nx, ny, nz, length_km, width_km, planarity",
+    )
+)
 def plane_fit(v):
-    return rounded(faults.plane_fit(faults.cluster_covariance(faults.multiscale_tiles(qc_events(v)))))
+    found = faults.plane_fit(faults.cluster_covariance(faults.multiscale_tiles(qc_events(v))))
+    return rounded(found.drop("cxx", "cxy", "cxz", "cyy", "cyz", "czz"))
 
 
 def candidates(v) -> DataFrame:

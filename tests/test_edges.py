@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quakeframe.functions import expr, geo
+from quakeframe.functions import expr, geo, linear
 from quakeframe.operators import catalog, clusters, faults, imaging, stations
 from quakeframe.sources import readers, sinks
 from quakeframe.streaming import jobs
@@ -150,6 +150,45 @@ def test_plane_fit(spark):
     assert r["length_km"] == pytest.approx(4 * np.std(flat[:, 0]) / 1000, rel=0.02)
 
 
+def test_symmetric_eigen_like_lapack(spark):
+    rng = np.random.default_rng(1)
+    lams = [None, [0, 1, 1], [0, 0, 1], [1, 1, 1], [0, 0, 0], [1, 1 + 1e-7, 1e6], [1e-9, 1, 1 + 1e-9], [0, 1e-8, 1e8], "signed", [1e-30, 2e-30, 3e-30]]
+    ms = [np.diag([3.0, 1, 2]), np.array([[1.0, 1, 0], [1, 1, 0], [0, 0, 0]]), np.diag([1e300, 1, 1]), np.array([[0, 1.0, 0], [1, 0, 0], [0, 0, 0]])]
+    for k in range(400):
+        lam = lams[k % 10] if isinstance(lams[k % 10], list) else rng.uniform(0 if lams[k % 10] is None else -1, 1, 3)
+        q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+        m = q @ np.diag(lam) @ q.T
+        ms.append((m + m.T) / 2)
+    rows = [(i, *map(float, m[np.triu_indices(3)])) for i, m in enumerate(ms)] + [(len(ms), None, float("nan"), None, 0.0, None, None)]
+    df = spark.createDataFrame(rows, "I int, cxx double, cxy double, cxz double, cyy double, cyz double, czz double").withColumn("e3_q", F.lit("clash"))
+    for r in linear.symmetric_eigen(df).collect():
+        m = ms[r["I"]] if r["I"] < len(ms) else np.zeros((3, 3))
+        val, vec = np.array([r[f"val{k}"] for k in range(3)]), np.array([[r[f"vec{k}{a}"] for a in "xyz"] for k in range(3)]).T
+        scale = max(np.abs(m).max(), 1e-300)
+        want, axes = np.linalg.eigh(m)
+        assert np.allclose(val / scale, want / scale, atol=1e-12) and np.allclose(vec.T @ vec, np.eye(3), atol=1e-12)
+        assert np.allclose(m / scale @ vec, vec * (val / scale), atol=1e-12) and r["e3_q"] == "clash"
+        if (want[1] - want[0]) / scale > 1e-6:
+            assert abs(axes[:, 0] @ vec[:, 0]) == pytest.approx(1, abs=1e-6)
+
+
+def test_planes_of_lines_and_points(spark):
+    line = np.outer(np.arange(6), [3.0, 4.0, 5.0]) * 1000
+    upright, dot, ball = np.outer(np.arange(5), [0, 0, 700.0]), np.zeros((4, 3)), np.array([[1, 0, 0], [-1, 0, 0], [0, 1, 0], [0, -1, 0], [0, 0, 1], [0, 0, -1]]) * 5e3
+    want = {"line": np.array([-15.0, -20, 25]) / np.linalg.norm([-15.0, -20, 25]), "upright": [1, 0, 0], "dot": [0, 0, 1], "ball": [0, 0, 1], "one": [0, 0, 1]}
+    df = None
+    for name, xyz in (("line", line), ("upright", upright), ("dot", dot), ("ball", ball), ("one", dot[:1])):
+        more = points(spark, xyz).withColumn("cluster_id", F.lit(name))
+        df = more if df is None else df.unionByName(more)
+    planes = faults.plane_fit(faults.cluster_covariance(df))
+    for r in planes.collect():
+        assert [r["nx"], r["ny"], r["nz"]] == pytest.approx(list(want[r["cluster_id"]]), abs=1e-9), r
+        assert r["length_km"] >= 1 and r["width_km"] >= 1 and 0 <= r["planarity"] <= 1
+    plan = planes._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    assert faults.plane_fit(faults.cluster_covariance(df.limit(0))).count() == 0
+
+
 def test_waveforms(spark):
     t = np.arange(400) / 20
     df = spark.createDataFrame([("e", "s", 20.0, np.sin(2 * np.pi * 2 * t).tolist(), 3.0), ("short", "s", 20.0, [1.0] * 8, 3.0)], "event_id string, station_id string, sampling_rate double, samples array<double>, magnitude double")
