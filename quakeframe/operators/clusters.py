@@ -1,8 +1,9 @@
-"""Iterative jobs: connected components, density clusters, greedy deduplication. Rounds are cut by reliable checkpoints."""
+"""Iterative jobs: connected components, density clusters, greedy deduplication. Rounds are cut by tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -24,14 +25,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoints to the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Writes a table to the shared folder and reads it again. Unlike a checkpoint this runs the plan once, gives the planner true sizes, and
+    carries no constraints of earlier rounds, which else double with every round."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """id and label (the smallest id reached) of each node. Every round each node joins its smallest neighbour and edges are
-    contracted, until none is left."""
+    """id and label (the smallest id reached) of each node. Every round each node joins its smallest neighbour, and that one's, four steps
+    far, and edges are contracted, until none is left."""
     labels = nodes.select("id", F.col("id").alias("at"))
     edges = cut(edges.select("a", "b").where("a <> b").distinct())
     for _ in range(rounds):
@@ -39,6 +42,9 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
         least = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
         if least.isEmpty():
             break
+        for _ in range(2):
+            least = least.join(least.select(F.col("a").alias("to"), F.col("to").alias("far")), "to").select("a", F.col("far").alias("to"))
+        least = cut(least)
         labels = cut(labels.join(least, labels["at"] == least["a"], "left").select("id", F.coalesce("to", "at").alias("at")))
         l, r = least.select("a", F.col("to").alias("a2")), least.select(F.col("a").alias("b"), F.col("to").alias("b2"))
         edges = cut(edges.join(l, "a").join(r, "b").where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct())
@@ -71,36 +77,120 @@ def grid_components(points: DataFrame, eps: float, min_samples: int) -> DataFram
     return p.join(kept, ["cx", "cy", "cz"], "left").select("event_id", "cluster")
 
 
+XYZ = ("x_m", "y_m", "z_m")
+#: pairs of points that are compared one by one rather than split further, and the deepest split
+DIRECT, DEEPEST = 1024, 24
+
+
+def _nodes(points: DataFrame, key: str, level: int, side: float) -> DataFrame:
+    """Nodes of an octree over each key's points: count, box and the point next to the middle, by key and place (i, j, k). A cell's side is
+    halved ``level`` times; points of equal places count, and share a box without extent."""
+    scaled = [F.col(c) / side * float(1 << level) for c in XYZ]
+    at = {n: F.floor(x).cast("long") for n, x in zip("ijk", scaled)}
+    off = sum((F.pow(x - F.floor(x) - 0.5, 2) for x in scaled), F.lit(0.0))
+    ends = [f(c).alias(f"{n}_{c}") for c in XYZ for n, f in (("lo", F.min), ("hi", F.max))]
+    placed = points.withColumns(at).withColumn("off", off)
+    return placed.groupBy(key, "i", "j", "k").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct(*XYZ), F.struct("off", *XYZ)).alias("rep"), *ends)
+
+
+def _sided(nodes: DataFrame, side: str) -> DataFrame:
+    return nodes.withColumnsRenamed({c: f"{side}_{c}" for c in nodes.columns if c != side})
+
+
+def within(left: DataFrame, right: DataFrame, pairs: DataFrame, eps: float, side: float, least: int = 1) -> DataFrame:
+    """Of ``pairs`` (a, b) those with points of ``left`` (a, x_m, y_m, z_m) and of ``right`` (b, ...) within eps: a, b and hits.
+
+    Both sides are split as octrees, level by level, and only boxes whose gap is within eps go on. Boxes that lie within eps as a whole give
+    their hits at once, boxes of few points are compared point by point, and a pair with ``least`` hits goes no further. With ``least`` 1 two
+    middle points within eps settle a pair. Otherwise ``left`` has one point for each a, and hits below ``least`` are its whole number of
+    neighbours. So two dense clouds never give the pairs of their points, and no task holds a cloud.
+    """
+    d2 = lambda f: sum((F.pow(f(c), 2) for c in XYZ), F.lit(0.0))
+    gap = d2(lambda c: F.greatest(F.lit(0.0), F.col(f"a_lo_{c}") - F.col(f"b_hi_{c}"), F.col(f"b_lo_{c}") - F.col(f"a_hi_{c}")))
+    far = d2(lambda c: F.greatest(F.col(f"a_hi_{c}") - F.col(f"b_lo_{c}"), F.col(f"b_hi_{c}") - F.col(f"a_lo_{c}")))
+    reps = d2(lambda c: F.col(f"a_rep.{c}") - F.col(f"b_rep.{c}"))
+    hits = F.when(far <= eps * eps, F.col("b_n"))
+    if least == 1:
+        hits = hits.when(reps <= eps * eps, F.lit(1))
+    active = cut(pairs.select("a", "b"))
+    found = active.select("a", "b", F.lit(0).cast("long").alias("hits")).where("hits > 0")
+    if active.isEmpty():
+        return found
+    left, right = cut(left.select("a", *XYZ)), cut(right.select("b", *XYZ))
+    on = {s: [s] for s in "ab"}
+    for level in range(DEEPEST + 1):
+        for s, points in (("a", left), ("b", right)):
+            nodes = _sided(_nodes(points.join(active.select(s).distinct(), s, "left_semi"), s, level, side), s)
+            if level:
+                nodes = nodes.withColumns({f"{s}_p{n}": F.shiftright(f"{s}_{n}", 1) for n in "ijk"})
+            active = active.join(nodes, on[s])
+            on[s] = [s, *(f"{s}_p{n}" for n in "ijk")]
+        active = cut(active.where(gap <= eps * eps).withColumn("hits", hits))
+        direct = active.where(F.col("hits").isNull() & ((F.col("a_n") * F.col("b_n") <= DIRECT) | F.lit(level == DEEPEST)))
+        met = direct.select("a", "b", *(f"{s}_{n}" for s in "ab" for n in "ijk"))
+        for s, points in (("a", left), ("b", right)):
+            placed = points.select(s, *(F.floor(F.col(c) / side * float(1 << level)).cast("long").alias(f"{s}_{n}") for n, c in zip("ijk", XYZ)), F.struct(*XYZ).alias(f"{s}_at"))
+            met = met.join(placed, [s, *(f"{s}_{n}" for n in "ijk")])
+        met = met.where(d2(lambda c: F.col(f"a_at.{c}") - F.col(f"b_at.{c}")) <= eps * eps).select("a", "b", F.lit(1).cast("long").alias("hits"))
+        now = active.where("hits IS NOT NULL").select("a", "b", F.col("hits").cast("long").alias("hits")).unionByName(met)
+        found = cut(now.unionByName(found).groupBy("a", "b").agg(F.sum("hits").alias("hits")))
+        active = active.where(F.col("hits").isNull() & (F.col("a_n") * F.col("b_n") > DIRECT))
+        active = active.join(found.where(F.col("hits") >= least), ["a", "b"], "left_anti")
+        # children are met by their parents' places
+        active = cut(active.select("a", "b", *(F.col(f"{s}_{n}").alias(f"{s}_p{n}") for s in "ab" for n in "ijk")))
+        if active.isEmpty():
+            break
+    return found
+
+
 def dbscan(points: DataFrame, eps: float, min_samples: int = 4) -> DataFrame:
     """event_id and cluster (null: noise), clusters named by their smallest core event. A border point goes to the cluster
     of its smallest core neighbour's label. Any two points of a cell lie within eps, so a cell with enough points is core as a
-    whole and one node; points of other cells are compared one by one, and between cells it only counts whether they touch."""
+    whole and one node. Only occupied cells meet, and of two cells it only counts whether they touch (``within``); cells that touching ones
+    join already are not tested. Points of cells with few points are compared with their few neighbours one by one."""
     side = eps / 3**0.5 * (1 - 1e-9)
-    name = F.concat_ws(":", "cx", "cy", "cz")
-    p = _cells(points.select("event_id", "x_m", "y_m", "z_m"), side).withColumn("cell", name)
-    full = p.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).select("cell", F.lit(True).alias("full"))
-    p = cut(p.join(full, "cell", "left").withColumn("full", F.coalesce("full", F.lit(False))))
-
-    def near(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Pairs within eps: rows of ``left`` with other, o_cell of ``right``."""
-        l = left.select("event_id", "x_m", "y_m", "z_m", "cell", _around(range(-2, 3)).alias("c")).select("event_id", "x_m", "y_m", "z_m", "cell", "c.*")
-        r = right.select(F.col("event_id").alias("other"), F.col("x_m").alias("ox"), F.col("y_m").alias("oy"), F.col("z_m").alias("oz"), F.col("cell").alias("o_cell"), F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("cz").alias("nz"))
-        d2 = F.pow(F.col("x_m") - F.col("ox"), 2) + F.pow(F.col("y_m") - F.col("oy"), 2) + F.pow(F.col("z_m") - F.col("oz"), 2)
-        return l.join(r, ["nx", "ny", "nz"]).where(d2 <= eps * eps)
+    p = _cells(points.select("event_id", *XYZ), side).withColumn("cell", F.concat_ws(":", "cx", "cy", "cz"))
+    sizes = p.groupBy("cell", "cx", "cy", "cz").agg(F.count(F.lit(1)).alias("n"))
+    cells = cut(sizes.withColumn("full", F.col("n") >= min_samples))
+    p = cut(p.join(cells.select("cell", "full"), "cell"))
+
+    def neighbours(some: DataFrame, others: DataFrame) -> DataFrame:
+        """cell and o_cell: occupied ones that points within eps may be in."""
+        o = others.select(F.col("cell").alias("o_cell"), F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("cz").alias("nz"), F.col("full").alias("o_full"))
+        return some.select("cell", _around(range(-2, 3)).alias("c")).select("cell", "c.*").join(o, ["nx", "ny", "nz"]).select("cell", "o_cell", "o_full")
 
     # cells that aren't full hold few points, so each point meets few of them
     few = p.where("not full")
-    counted = near(few, p).groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).select("event_id")
-    core = cut(p.where("full").unionByName(few.join(counted, "event_id", "left_semi")))
-    nodes = core.groupBy("cell").agg(F.min("event_id").alias("least"))
-    touching = near(core, core).where("cell < o_cell").select(F.col("cell").alias("a"), F.col("o_cell").alias("b")).distinct()
-    # core points of one cell lie within eps of each other
-    found = components(nodes.select(F.col("cell").alias("id")), touching).join(nodes.withColumnRenamed("cell", "id"), "id")
-    labels = found.groupBy("label").agg(F.min("least").alias("cluster"))
-    of_cell = cut(found.join(labels, "label").select(F.col("id").alias("cell"), "cluster"))
+    near = cut(neighbours(cells.where("not full"), cells))
+    d2 = sum((F.pow(F.col(c) - F.col(f"o_{c}"), 2) for c in XYZ), F.lit(0.0))
+    around = few.join(near.where("not o_full"), "cell").join(few.select(F.col("cell").alias("o_cell"), *(F.col(c).alias(f"o_{c}") for c in XYZ)), "o_cell")
+    apart = around.where(d2 <= eps * eps).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
+    single = few.select(F.col("event_id").alias("a"), *XYZ)
+    beside = few.join(near.where("o_full"), "cell").select(F.col("event_id").alias("a"), F.col("o_cell").alias("b"))
+    dense = within(single, p.where("full").select(F.col("cell").alias("b"), *XYZ), beside, eps, side, min_samples)
+    counted = apart.unionByName(dense.select(F.col("a").alias("event_id"), F.col("hits").alias("n"))).groupBy("event_id").agg(F.sum("n").alias("n"))
+    core = cut(p.where("full").unionByName(few.join(counted.where(F.col("n") >= min_samples), "event_id", "left_semi")))
+
+    nodes = cut(core.groupBy("cell", "cx", "cy", "cz", "full").agg(F.min("event_id").alias("least")))
+    middles = _nodes(core.select("cell", *XYZ), "cell", 0, side).select("cell", *(F.col(f"rep.{c}").alias(c) for c in XYZ))
+    pairs = neighbours(nodes, nodes).where("cell < o_cell").select(F.col("cell").alias("a"), F.col("o_cell").alias("b"))
+    both = pairs.join(middles.withColumnRenamed("cell", "a"), "a").join(middles.select(F.col("cell").alias("b"), *(F.col(c).alias(f"o_{c}") for c in XYZ)), "b")
+    both = cut(both.select("a", "b", (d2 <= eps * eps).alias("touch")))
+    ids = nodes.select(F.col("cell").alias("id"))
+    first = cut(components(ids, both.where("touch").select("a", "b")))
+    of = lambda x: first.select(F.col("id").alias(x), F.col("label").alias(f"of_{x}"))
+    open_ = both.where("not touch").join(of("a"), "a").join(of("b"), "b").where("of_a <> of_b").select("a", "b")
+    mine = lambda x: core.select(F.col("cell").alias(x), *XYZ)
+    more = within(mine("a"), mine("b"), open_, eps, side).select("a", "b")
+    merged = first.select(F.col("label").alias("id"), "label").distinct() if more.isEmpty() else components(first.select(F.col("label").alias("id")).distinct(), more.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+    found = first.join(merged.select(F.col("id").alias("label"), F.col("label").alias("last")), "label").join(nodes.select(F.col("cell").alias("id"), "least"), "id")
+    labels = found.groupBy("last").agg(F.min("least").alias("cluster"))
+    of_cell = cut(found.join(labels, "last").select(F.col("id").alias("cell"), "cluster"))
     inside = core.join(of_cell, "cell").select("event_id", "cluster")
-    edge = few.join(core.select("event_id"), "event_id", "left_anti")
-    border = near(edge, core).join(of_cell.withColumnRenamed("cell", "o_cell"), "o_cell").groupBy("event_id").agg(F.min("cluster").alias("cluster"))
+    edge = cut(few.join(core.select("event_id"), "event_id", "left_anti"))
+    at_edge = edge.join(neighbours(edge.select("cell", "cx", "cy", "cz").distinct(), nodes), "cell")
+    reached = within(edge.select(F.col("event_id").alias("a"), *XYZ), mine("b"), at_edge.select(F.col("event_id").alias("a"), F.col("o_cell").alias("b")), eps, side)
+    border = reached.join(of_cell.withColumnRenamed("cell", "b"), "b").groupBy(F.col("a").alias("event_id")).agg(F.min("cluster").alias("cluster"))
     return points.select("event_id").join(inside.unionByName(border), "event_id", "left").select("event_id", "cluster")
 
 

@@ -757,7 +757,24 @@ def dominant_source(v):
     return imaging.dominant_source(s.withColumn("source_family", expr.source_family("network", "station_id")), ["event_id"])
 
 
-@query()
+_PART = lambda name, k, f: f"sum(y * {f}(2 * pi() * ((bin + {k}) * t % n) / n)) AS {name}"
+_STEP = lambda a, b: f"CASE WHEN {PMOD(f'({a} - {b} + pi())', '(2 * pi())')} <= 0 AND {a} > {b} THEN pi() ELSE {PMOD(f'({a} - {b} + pi())', '(2 * pi())')} - pi() END"
+
+
+@query(
+    rsql(
+        f"""WITH w AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS t, len(embedding) AS n, 'ev' || CAST(vec_id % 200 AS VARCHAR) AS event_id, 'ST' || CAST(label AS VARCHAR) AS station_id FROM embeddings WHERE len(embedding) >= 16),
+    m AS (SELECT vec_id, avg(x) AS mean, covar_pop(x, t) / var_pop(t) AS slope, greatest(1, n * 5 // 100) AS edge FROM w GROUP BY vec_id, n),
+    y AS (SELECT w.*, (x - mean - (t - (n - 1) / 2e0) * slope) * (5e-1 - 5e-1 * cos(2 * pi() * t / (n - 1))) * CASE WHEN t >= n - edge THEN 5e-1 - 5e-1 * cos(pi() * (n - 1 - t) / edge) WHEN t < edge THEN 5e-1 - 5e-1 * cos(pi() * t / edge) ELSE 1e0 END AS y FROM w JOIN m USING (vec_id)),
+    f AS (SELECT *, CAST(ceil(frequency_hz * n / 20e0 - 5e-1) AS BIGINT) AS bin FROM y, (VALUES (5e-1), (1e0), (2e0), (4e0), (8e0)) z(frequency_hz)),
+    s AS (SELECT vec_id, n, event_id, station_id, frequency_hz, {", ".join(_PART(f"re{i}", k, "cos") + ", " + _PART(f"im{i}", k, "-sin") for i, k in ((0, -1), (1, 0), (2, 1)))}
+      FROM f WHERE bin > 0 AND bin < n // 2 AND frequency_hz <= (n // 2) * 20e0 / n GROUP BY ALL),
+    a AS (SELECT *, atan2(im0, re0) AS p0, atan2(im1, re1) AS p1, atan2(im2, re2) AS p2 FROM s)
+    ;; SELECT event_id, station_id, frequency_hz, sqrt(re1 * re1 + im1 * im1) AS amplitude, p1 AS phase_rad, -({_STEP("p2", "p1")} + {_STEP("p1", "p0")}) / (4 * pi() * 20e0 / n) AS group_delay_s FROM a""",
+        "event_id, station_id",
+        "frequency_hz, amplitude, phase_rad, group_delay_s",
+    )
+)
 def spectra_from_waveforms(v):
     e = v("embeddings").select(F.concat(F.lit("ev"), (F.col("vec_id") % 200).cast("string")).alias("event_id"), F.concat(F.lit("ST"), F.col("label").cast("string")).alias("station_id"), F.lit(20.0).alias("sampling_rate"), F.col("embedding").alias("samples"))
     return rounded(stations.spectra_from_waveforms(e))

@@ -99,6 +99,43 @@ def test_dbscan(spark):
     assert [got[f"p{i:04d}"] for i in range(len(xyz))] == want
 
 
+def plain_dbscan(xyz, eps, least):
+    """The smallest core neighbour's label of each point (None: noise), by all distances."""
+    d = np.linalg.norm(xyz[:, None] - xyz[None], axis=2) <= eps
+    core = d.sum(axis=1) >= least
+    label = np.where(core, np.arange(len(xyz)), len(xyz))
+    while True:
+        low = np.where(core, np.where(d & core[None], label[None], len(xyz)).min(axis=1), len(xyz))
+        if (low == label).all():
+            break
+        label = low
+    out = np.where(core, label, np.where(d & core[None], label[None], len(xyz)).min(axis=1))
+    return [f"p{i:04d}" if i < len(xyz) else None for i in out]
+
+
+@pytest.mark.parametrize("case", ["walls", "shells", "copies"])
+def test_dbscan_of_dense_clouds(spark, monkeypatch, case):
+    """Cells with many points each, that meet only through boxes split several times."""
+    monkeypatch.setattr(clusters, "DIRECT", 4)
+    rng = np.random.default_rng(6)
+    if case == "walls":  # dense sheets, apart by a little less and a little more than eps
+        a = np.c_[rng.uniform(0, 3, (150, 2)), np.zeros(150)]
+        xyz = np.concatenate([a, a + [0, 0, 0.999], a + [0.3, 0.2, 2.05]])
+    elif case == "shells":
+        v = rng.normal(size=(360, 3))
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        xyz = np.concatenate([0.8 * v[:120], 1.85 * v[120:], rng.uniform(-4, 4, (60, 3))])
+    else:  # many events in one place, and single ones at distances of just eps
+        xyz = np.concatenate([np.zeros((200, 3)), np.tile([1.0, 0, 0], (100, 1)), [[2.0, 0, 0], [3.0, 0, 0], [0, 1.0000001, 0], [0, -1, 0]], rng.uniform(-3, 3, (60, 3))])
+    got = {r["event_id"]: r["cluster"] for r in clusters.dbscan(points(spark, xyz), 1.0, 5).collect()}
+    assert [got[f"p{i:04d}"] for i in range(len(xyz))] == plain_dbscan(xyz, 1.0, 5)
+
+
+def test_dbscan_without_events(spark):
+    assert clusters.dbscan(points(spark, [(0, 0, 0)]).limit(0), 1.0).count() == 0
+    assert [r["cluster"] for r in clusters.dbscan(points(spark, [(0, 0, 0), (9, 9, 9)]), 1.0).collect()] == [None, None]
+
+
 def test_grid_components(spark):
     got = {r["event_id"]: r["cluster"] for r in clusters.grid_components(points(spark, [(0, 0, 0), (9, 0, 0), (11, 0, 0), (21, 0, 0), (-500, 0, 0)]), 10.0, 4).collect()}
     assert got["p0004"] is None and len({got[f"p000{i}"] for i in range(4)}) == 1 and got["p0000"]
@@ -189,6 +226,34 @@ def test_planes_of_lines_and_points(spark):
     assert faults.plane_fit(faults.cluster_covariance(df.limit(0))).count() == 0
 
 
+def test_spectra_like_a_transform(spark):
+    """Bins, phases and delays of odd and even lengths against whole transforms."""
+    rng = np.random.default_rng(9)
+    rows = [(f"e{i}", "s", rate, (rng.normal(size=n) + 5 + 0.1 * np.arange(n)).tolist()) for i, (n, rate) in enumerate([(16, 20.0), (17, 20.0), (64, 20.0), (101, 50.0), (400, 100.0), (999, 17.5), (64, 3.0)])]
+    rows += [("null", "s", 20.0, None), ("hole", "s", 20.0, [1.0, None] * 10), ("nan", "s", 20.0, [1.0, float("nan")] * 10), ("inf", "s", 20.0, [float("inf")] * 20), ("none", "s", 20.0, []), ("short", "s", 20.0, [1.0] * 15), ("rate", "s", 0.0, [1.0] * 20)]
+    got = {(r["event_id"], r["frequency_hz"]): r for r in stations.spectra_from_waveforms(spark.createDataFrame(rows, "event_id string, station_id string, sampling_rate double, samples array<double>")).collect()}
+    want = set()
+    for name, _, rate, x in rows[:7]:
+        n = len(x)
+        x = np.array(x) - np.mean(x)
+        t = np.arange(n) - (n - 1) / 2
+        x -= t * (t @ x) / (t @ t)
+        m = max(1, int(0.05 * n))
+        taper = np.ones(n)
+        taper[:m] = 0.5 - 0.5 * np.cos(np.pi * np.arange(m) / m)
+        taper[-m:] = taper[:m][::-1]
+        spec = np.fft.rfft(x * taper * np.hanning(n))
+        freq, phase = np.fft.rfftfreq(n, 1 / rate), np.unwrap(np.angle(spec))
+        for f in (0.5, 1.0, 2.0, 4.0, 8.0):
+            i = int(np.argmin(np.abs(freq - f)))
+            if f <= freq[-1] and 0 < i < len(freq) - 1:
+                want.add((name, f))
+                r = got[name, f]
+                assert r["amplitude"] == pytest.approx(abs(spec[i]), rel=1e-9) and r["phase_rad"] == pytest.approx(np.angle(spec[i]), abs=1e-9)
+                assert r["group_delay_s"] == pytest.approx(-(phase[i + 1] - phase[i - 1]) / (2 * np.pi * (freq[i + 1] - freq[i - 1])), abs=1e-9)
+    assert set(got) == want and len(want) > 20
+
+
 def test_waveforms(spark):
     t = np.arange(400) / 20
     df = spark.createDataFrame([("e", "s", 20.0, np.sin(2 * np.pi * 2 * t).tolist(), 3.0), ("short", "s", 20.0, [1.0] * 8, 3.0)], "event_id string, station_id string, sampling_rate double, samples array<double>, magnitude double")
