@@ -163,9 +163,25 @@ def write_partitioned_parts(v):
     return first.join(F.broadcast(again))
 
 
-@query("SELECT event_id, magnitude FROM fx_event WHERE false")
+_TYPED = [("event_id", "string"), ("magnitude", "double"), ("time_utc", "timestamp")]
+
+
+@query(
+    f"""WITH t AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{c}', '{t}')" for i, (c, t) in enumerate(_TYPED))}) x(place, name, type)),
+    n AS (SELECT 'given' AS output, count(*) AS n_rows FROM fx_event UNION ALL SELECT 'absent', 0)
+    SELECT output, place, name, type, n_rows FROM t, n"""
+)
 def empty_outputs(v):
-    return sinks.empty_outputs(v("fx_event").sparkSession, "event_id string, magnitude double")
+    """The events' output, and the empty one of a run without events, whose types come from the output; both as read back."""
+    events = v("fx_event").select(*(c for c, _ in _TYPED))
+    given, absent = place(events, "given"), place(events, "absent")
+    events.write.parquet(given)
+    spark, out = events.sparkSession, None
+    for name, df in (("given", sinks.empty_outputs(events, given)), ("absent", sinks.empty_outputs(spark.read.parquet(given), absent))):
+        fields = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type")) for i, f in enumerate(df.schema)))
+        counted = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("output"), F.explode(fields).alias("f"), "n_rows").select("output", "f.*", "n_rows")
+        out = counted if out is None else out.unionByName(counted)
+    return out
 
 
 # ---------------------------------------------------------------- streams

@@ -71,5 +71,10 @@ def register_outputs(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(rows, "name string, path string, status string")
 
 
-def empty_outputs(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+def empty_outputs(like: DataFrame, path: str) -> DataFrame:
+    """Writes a table without rows in the columns and types of ``like`` where no output is at ``path`` yet, so that later stages of a
+    run whose input is absent find their tables; what is there stays. Returns the output as read back."""
+    spark = like.sparkSession
+    if not exists(spark, path):
+        spark.createDataFrame([], like.schema).write.parquet(path)
+    return spark.read.parquet(path)

@@ -408,7 +408,10 @@ def test_sinks(spark, tmp_path):
     lines = spark.createDataFrame([("a", [(130.0, 32.0), (131.0, 33.0)])], "name string, points array<struct<lon:double,lat:double>>")
     sinks.write_features(lines, str(tmp_path / "g"))
     assert json.loads(spark.read.text(str(tmp_path / "g")).first()[0])["geometry"]["coordinates"] == [[130.0, 32.0], [131.0, 33.0]]
-    assert sinks.empty_outputs(spark, "a int").count() == 0
+    like = spark.table("tt").withColumn("at", F.array(F.struct(F.lit(1.5).alias("x"))))
+    empty = sinks.empty_outputs(like, str(tmp_path / "no"))
+    assert empty.count() == 0 and empty.dtypes == like.dtypes
+    assert sinks.empty_outputs(like, str(tmp_path / "t")).count() == 20
 
 
 def test_streams(spark, tmp_path):
