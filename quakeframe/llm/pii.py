@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -93,8 +94,9 @@ _WORD = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?i)(?<!\w)(?:{_WORD}|[0-9])(?:(?:[ ,]|, |-|\s*\bdot\b\s*)(?:{_WORD}|[0-9])(?!\w))+")
 _SPELLED_PART = re.compile(rf"(?i){_WORD}|[0-9]|dot")
 _PLUS = re.compile(rf"(?i)(?<!\w)plus(?=[ -]?(?:[0-9]|{_WORD})(?!\w[a-z]))[ -]?")
-_BRACKET_AT = re.compile(r"(?i)\s*[\[({<]\s*(?:at|arroba|@)\s*[\])}>]\s*")
-_BRACKET_DOT = re.compile(r"(?i)\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*")
+# begins at the bracket: a run of spaces is never tried from each of its places
+_BRACKET_AT = re.compile(r"(?i)[\[({<]\s*(?:at|arroba|@)\s*[\])}>]\s*")
+_BRACKET_DOT = re.compile(r"(?i)[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*")
 _SPOKEN = re.compile(
     r"(?i)(?<=[A-Za-z0-9])\s+(?:at|arroba)\s+(?=[A-Za-z0-9-]+(?:(?:\s+(?:dot|punkt|punto)\s+|\.)[A-Za-z0-9-]+)*\s+(?:dot|punkt|punto)\s+[A-Za-z]{2,}(?![A-Za-z0-9]))"
 )
@@ -160,11 +162,23 @@ def _digits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _bracketed(pattern: re.Pattern, text: str, new: str) -> list[tuple[int, int, str]]:
+    """Matches with the white space before them."""
+    out, floor = [], 0
+    for m in pattern.finditer(text):
+        a = m.start()
+        while a > floor and text[a - 1].isspace():
+            a -= 1
+        floor = m.end()
+        out.append((a, floor, new))
+    return out
+
+
 def normalise(text: str) -> Traced:
     out = Traced(text)
     out.replace(_glyphs(out.text))
-    out.replace([(m.start(), m.end(), "@") for m in _BRACKET_AT.finditer(out.text)])
-    out.replace([(m.start(), m.end(), ".") for m in _BRACKET_DOT.finditer(out.text)])
+    out.replace(_bracketed(_BRACKET_AT, out.text, "@"))
+    out.replace(_bracketed(_BRACKET_DOT, out.text, "."))
     spoken = [(m.start(), m.end(), "@") for m in _SPOKEN.finditer(out.text)]
     out.replace(spoken)
     if "@" in out.text:
@@ -191,14 +205,29 @@ def disguised(text: str, plain: list[Span]) -> list[Span]:
     if traced.text == text:
         return []
     out: list[Span] = []
+    # spans of a kind are apart and in order, so those that a span meets follow each other
+    by_kind = {k: [x for x in plain if x[0] == k] for k in KINDS}
+    ends = {k: [e for _, _, e in x] for k, x in by_kind.items()}
+    last = dict.fromkeys(KINDS, 0)
     for kind, a, b in find(traced.text):
         start, end = int(traced.start[a]), int(traced.end[b - 1])
         # the gap swallowed after a spelled digit isn't part of the identifier
         while end > start and text[end - 1].isspace():
             end -= 1
-        apart = all(end <= s or start >= e or (start <= s and e <= end and e - s < end - start) for _, s, e in plain)
-        if apart and all(k != kind or end <= s or start >= e for k, s, e in out):
+        apart = start >= last[kind]
+        for k in KINDS if apart else ():
+            for i in range(bisect_right(ends[k], start), len(ends[k])):
+                _, s, e = by_kind[k][i]
+                if s >= end:
+                    break
+                apart = start <= s and e <= end and e - s < end - start
+                if not apart:
+                    break
+            if not apart:
+                break
+        if apart:
             out.append((kind, start, end))
+            last[kind] = end
     return out
 
 
