@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr, geo, linear
+from ..functions.trees import SegmentTree
 from .clusters import cut
 
 BROADCAST_ROWS = 200_000
@@ -49,12 +53,32 @@ def _reached(points: DataFrame, cuts: DataFrame, key: str, reach_m: float) -> Da
     return met.where(F.col("d") * 1000.0 <= reach_m).groupBy(key).agg(F.min(F.struct("d", "near_segment_id")).alias("m"))
 
 
+def _in_tree(points: DataFrame, cuts: DataFrame, key: str, batch_rows: int = 4000) -> DataFrame:
+    held = cuts.toPandas()  # at most BROADCAST_ROWS rows
+    ids = held["near_segment_id"].to_numpy(object)
+    ends = [held[c].to_numpy(float) for c in ("ax", "ay", "bx", "by")]
+    rank = np.empty(len(ids), np.int64)
+    rank[np.argsort(ids.astype(str), kind="stable")] = np.arange(len(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = SegmentTree(*ends) if len(ids) else None
+        for whole in batches:
+            for batch in (whole.slice(i, batch_rows) for i in range(0, whole.num_rows, batch_rows)) if tree else ():
+                x, y = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (1, 2))
+                there = np.flatnonzero(np.isfinite(x) & np.isfinite(y))
+                at, d = tree.nearest(x[there], y[there], rank)
+                m = pa.StructArray.from_arrays([pa.array(d / 1000.0), pa.array(ids[at], pa.string())], ["d", "near_segment_id"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(there)), m], names=[key, "m"])
+
+    kind = points.schema[key].dataType.simpleString()
+    return points.select(key, "px", "py").mapInArrow(run, f"`{key}` {kind}, m struct<d: double, near_segment_id: string>")
+
+
 def _nearest(points: DataFrame, cuts: DataFrame, key: str, reach_m: float = 25_000.0, widenings: int = 5) -> DataFrame:
-    """key and m: the nearest segment of each point (px, py). A few segments are broadcast; many are met through cells whose
-    width grows fourfold for the points that have found none."""
+    """key and m: the nearest segment of each point (px, py). Up to ``BROADCAST_ROWS`` segments go to all tasks, which look points up in a packed
+    tree; more are met through cells whose width grows fourfold for the points that have found none."""
     if is_small(cuts):
-        d = geo.point_segment_distance("px", "py", "ax", "ay", "bx", "by") / 1000.0
-        return points.join(F.broadcast(cuts)).groupBy(key).agg(F.min(F.struct(d.alias("d"), "near_segment_id")).alias("m"))
+        return _in_tree(points, cuts, key)
     cuts, left, found = cut(cuts), cut(points), None
     for _ in range(widenings):
         some = cut(_reached(left, cuts, key, reach_m))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quakeframe.functions import expr, geo, linear
+from quakeframe.functions.trees import SegmentTree
 from quakeframe.operators import catalog, clusters, faults, imaging, stations
 from quakeframe.sources import readers, sinks
 from quakeframe.streaming import jobs
@@ -226,6 +227,24 @@ def test_planes_of_lines_and_points(spark):
     assert faults.plane_fit(faults.cluster_covariance(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 7, 8, 9, 300, 5000])
+def test_segment_tree_like_all_distances(n):
+    rng = np.random.default_rng(n)
+    a = rng.uniform(-1e5, 1e5, (n, 2)) if n != 300 else rng.integers(-3, 4, (n, 2)).astype(float)  # many ties
+    b = a + (rng.normal(0, 2000, (n, 2)) if n != 300 else rng.integers(-1, 2, (n, 2)))
+    p = rng.uniform(-1.5e5, 1.5e5, (400, 2)) if n != 300 else rng.integers(-5, 6, (400, 2)).astype(float)
+    rank = rng.permutation(n)
+    at, d = SegmentTree(a[:, 0], a[:, 1], b[:, 0], b[:, 1]).nearest(p[:, 0], p[:, 1], rank)
+    v = b - a
+    size = (v**2).sum(axis=1)
+    t = np.where(size > 0, np.clip(((p[:, None] - a) * v).sum(axis=2) / np.where(size > 0, size, 1), 0, 1), 0)
+    every = np.hypot(*np.moveaxis(p[:, None] - a - t[..., None] * v, 2, 0))
+    assert d == pytest.approx(every.min(axis=1), abs=1e-9)
+    for i in range(len(p)):
+        equal = np.flatnonzero(every[i] <= every[i].min() + (0 if n == 300 else 1e-9))
+        assert at[i] in equal and (len(equal) == 1 or rank[at[i]] == rank[equal].min() or n != 300)
+
+
 def test_spectra_like_a_transform(spark):
     """Bins, phases and delays of odd and even lengths against whole transforms."""
     rng = np.random.default_rng(9)
