@@ -8,7 +8,7 @@ that owns its first word, and the overlap's first words belong to the later chun
 less than the longest phrase leaves every phrase whole in the chunk that owns it.
 
 Counting goes by length. Of phrases of n words only those are counted whose two parts of n - 1 words are frequent, as told by a
-bitmap of two positions a frequent part: it may let rare phrases through but never holds a frequent one back. Counts by 64-bit hash come first;
+bitmap of two positions a frequent part: it may let rare phrases through but never holds a frequent one back. Counts by 64-bit hash come first, dealt by spans of hashes;
 phrases in the next bitmap are then spelled out and counted again by their words, so results do not rest on hashes. After pairs are
 known, the dictionary shrinks to runs of words all of whose pairs are frequent. All counts are combined in tasks before they move.
 
@@ -22,10 +22,11 @@ one piece of any length; an empty table gives no rows; other columns are not rea
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,10 @@ OVERLAP, TRIGGER = LONGEST - 1, 16
 NO_LANG = "und"
 #: bits of a bitmap for each frequent phrase, and the least and most bits, as powers of two
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 20, 30
+#: spans of hashes for each shuffle partition, and phrases that a task spells before it gives them on
+SPANS_EACH, MOST_SPELLED = 4, 400_000
+#: keys that a task gathers before it combines them, and chunks of a batch (of at most 8 MB)
+MOST_KEYS, CHUNKS = 1 << 21, 50_000
 _BLANK, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _BLANK[[0x20, 0x09]] = True
 _MARK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -44,8 +49,11 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _lang_hash(lang: str) -> np.uint64:
-    return np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
+def _lang_hashes(langs: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each row's language."""
+    coded = langs.dictionary_encode()
+    known = [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in coded.dictionary.to_pylist()]
+    return np.array(known, np.uint64)[coded.indices.to_numpy(zero_copy_only=False)] if known else np.zeros(0, np.uint64)
 
 
 # ---------------------------------------------------------------- parse
@@ -131,16 +139,16 @@ def dictionary(docs: DataFrame, lang: str = "lang", text: str = "text", overlap:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = np.array([NO_LANG if x is None else x for x in batch.column(0).to_pylist()], dtype=object)
+            langs = pc.fill_null(batch.column(0), NO_LANG)
+            hashes = _lang_hashes(langs)
             for lo, _, data, offs in text_slices(filled(batch.column(1))):
                 for _, part, at in _sections(data, offs):
                     parse = Parse(part, at, overlap, trigger)
                     if not len(parse.first):
                         continue
-                    names, code = np.unique(langs[lo + parse.row].astype(str), return_inverse=True)
-                    hashes = np.array([_lang_hash(x) for x in names], np.uint64)[code]
-                    _, one, freq = np.unique(mix(parse.keys() ^ hashes), return_index=True, return_counts=True)
-                    columns = [pa.array(langs[lo + parse.row[one]], pa.string()), parse.spelled(one), pa.array(parse.own[one]), pa.array(freq)]
+                    keys = mix(parse.keys() ^ hashes[lo + parse.row])
+                    _, one, freq = _combined(keys, np.ones(len(keys), np.int64))
+                    columns = [langs.take(pa.array(lo + parse.row[one])), parse.spelled(one), pa.array(parse.own[one]), pa.array(freq)]
                     yield pa.RecordBatch.from_arrays([columns[0], columns[1].cast(pa.string()), *columns[2:]], names=["lang", "chunk", "own", "freq"])
 
     rows = docs.select(lang, text).mapInArrow(run, "lang string, chunk string, own long, freq long")
@@ -214,60 +222,145 @@ def _write_bitmap(keys: DataFrame) -> tuple[str, int]:
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Grams]]:
     own = batch.column(2).to_numpy(zero_copy_only=False)
-    langs = batch.column(0).to_pylist()
-    known = {x: _lang_hash(x) for x in set(langs)}
-    hashes = np.array([known[x] for x in langs], np.uint64)
+    hashes = _lang_hashes(batch.column(0))
     for lo, hi, data, offs in text_slices(filled(batch.column(1))):
         yield lo, hi, Grams(data, offs, own[lo:hi], hashes[lo:hi])
 
 
-def _count(chunks: DataFrame, n: int, parts: tuple[str, int] | None, spell: bool, count: bool) -> DataFrame:
-    """From the dictionary, rows (key, words, lang, phrase, freq), combined in batches: with ``count``, of phrases of n words whose
-    parts of n - 1 words are in the bitmap ``parts``, the key alone; with ``spell``, phrases of n - 1 words in the bitmap, spelled out."""
+def _combined(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once, a place where it stands, and the sum of its weights."""
+    if not len(keys):
+        return keys, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(keys)
+    ordered = keys[order]
+    begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[begins], order[begins], np.add.reduceat(weights[order], begins)
+
+
+class Spelled:
+    """Phrases of a task with their sums; each is spelled once."""
+
+    def __init__(self):
+        self.known, self.texts, self.parts = np.zeros(0, np.uint64), {}, []
+
+    def add(self, keys: np.ndarray, totals: np.ndarray, spell: Callable[[np.ndarray], Iterator[tuple[str, str]]]) -> None:
+        at = np.searchsorted(self.known, keys)
+        new = np.flatnonzero(self.known[np.minimum(at, max(0, len(self.known) - 1))] != keys) if len(self.known) else np.arange(len(keys))
+        self.texts |= zip(keys[new].tolist(), spell(new))
+        self.known = np.insert(self.known, at[new], keys[new])
+        self.parts.append((keys, totals))
+
+    def rows(self, spans: int) -> Iterator[pa.RecordBatch]:
+        """A row for each span of hashes, with lists of its phrases."""
+        if self.parts:
+            keys, _, totals = _combined(*(np.concatenate(x) for x in zip(*self.parts)))
+            some, edges = _spanned(keys, spans)
+            got = [self.texts[k] for k in keys.tolist()]
+            lists = {"lang": pa.array([x for x, _ in got], pa.string()), "phrase": pa.array([x for _, x in got], pa.string()), "freq": pa.array(totals)}
+            yield _record({"span": some} | {c: pa.ListArray.from_arrays(pa.array(edges, pa.int32()), x) for c, x in lists.items()}, len(some))
+        self.__init__()
+
+
+_COUNTED = {"span": pa.int32(), "lang": pa.list_(pa.string()), "phrase": pa.list_(pa.string()), "freq": pa.list_(pa.int64()), "keys": pa.binary(), "counts": pa.binary()}
+
+
+def _record(values: dict, n: int) -> pa.RecordBatch:
+    arrays = [x if isinstance(x := values.get(c), pa.Array) else pa.nulls(n, t) if x is None else pa.array(x, t) for c, t in _COUNTED.items()]
+    return pa.RecordBatch.from_arrays(arrays, names=list(_COUNTED))
+
+
+def _spanned(keys: np.ndarray, spans: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted keys: the spans of hashes that hold some, and where each begins, and the end."""
+    edges = np.searchsorted(_span(keys, spans), np.arange(spans + 1))
+    some = np.flatnonzero(edges[1:] > edges[:-1])
+    return some, np.append(edges[some], len(keys))
+
+
+def _count(chunks: DataFrame, n: int, parts: tuple[str, int] | None, spell: bool, count: bool, least: int, spans: int) -> DataFrame:
+    """One pass over the dictionary. With ``count``, phrases of n words whose parts of n - 1 words are in the bitmap ``parts``, as rows
+    (span, keys, counts): about MOST_KEYS of a task's keys at a time, in one of ``spans`` equal spans of hashes, with counts that stop at ``least``, as no more is asked of them.
+    With ``spell``, phrases of n - 1 words in the bitmap, spelled out and combined in the task, as rows (span, lists of lang, phrase and freq)."""
+    most = np.uint64(least)
+    width = "<u2" if least < 1 << 16 else "<u8"
+
+    def counted(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, _, total = _combined(*(np.concatenate(x) for x in zip(*found)))
+        some, edges = _spanned(keys, spans)
+        total = np.minimum(total.astype(np.uint64), most).astype(width)
+        blobs = [(keys[a:b].tobytes(), total[a:b].tobytes()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        return _record({"span": some, "keys": [x for x, _ in blobs], "counts": [x for _, x in blobs]}, len(some))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = _bitmap(parts)
+        bitmap, spelled, found = _bitmap(parts), Spelled(), []
         for batch in batches:
             if not batch.num_rows:
                 continue
             freq, langs = batch.column(3).to_numpy(zero_copy_only=False), batch.column(0)
-            keys, weights = [], []
             for lo, hi, grams in _slices(batch):
                 if not len(grams.h):
                     continue
-                inside = bitmap.has(grams.keys(n - 1)) if bitmap is not None and len(grams.h) >= n - 1 else None
-                if spell and inside is not None:
-                    at = np.flatnonzero(grams.whole(n - 1) & inside & grams.owned[: len(inside)])
-                    got, one, code = np.unique(grams.keys(n - 1)[at], return_index=True, return_inverse=True)
-                    total = _sums(code, freq[lo:hi][grams.doc[at]], len(got))
-                    one = at[one]
-                    w = grams.words
-                    text = [grams.data[a:b].tobytes().decode() for a, b in zip(w.starts[one].tolist(), w.ends[one + n - 2].tolist())]
-                    yield _rows(got, langs.take(pa.array(lo + grams.doc[one])), pa.array(text, pa.string()), n - 1, total)
+                inside = None
+                if bitmap is not None and len(grams.h) >= n - 1:
+                    keys = grams.keys(n - 1)
+                    inside = bitmap.has(keys)
+                    if spell:
+                        at = np.flatnonzero(grams.whole(n - 1) & inside & grams.owned[: len(inside)])
+                        got, one, total = _combined(keys[at], freq[lo:hi][grams.doc[at]])
+                        w, first = grams.words, at[one]
+
+                        def spell_out(new: np.ndarray, grams=grams, w=w, first=first, lo=lo, langs=langs) -> Iterator[tuple[str, str]]:
+                            i = first[new]
+                            named = langs.take(pa.array(lo + grams.doc[i])).to_pylist()
+                            return ((x, grams.data[a:b].tobytes().decode()) for x, a, b in zip(named, w.starts[i].tolist(), w.ends[i + n - 2].tolist()))
+
+                        spelled.add(got, total, spell_out)
                 if count and len(grams.h) >= n:
                     ok = grams.whole(n) & grams.owned[: len(grams.h) - n + 1]
                     if n > 1:
                         ok &= inside[:-1] & inside[1:]
                     at = np.flatnonzero(ok)
-                    keys.append(grams.keys(n)[at])
-                    weights.append(freq[lo:hi][grams.doc[at]])
-            if keys:
-                got, code = np.unique(np.concatenate(keys), return_inverse=True)
-                yield _rows(got, pa.nulls(len(got), pa.string()), pa.nulls(len(got), pa.string()), n, _sums(code, np.concatenate(weights), len(got)))
+                    found.append((grams.keys(n)[at], freq[lo:hi][grams.doc[at]]))
+            if sum(len(x) for x, _ in found) >= MOST_KEYS:
+                yield counted(found)
+                found = []
+            if len(spelled.known) >= MOST_SPELLED:
+                yield from spelled.rows(spans)
+        if found:
+            yield counted(found)
+        yield from spelled.rows(spans)
 
-    return chunks.mapInArrow(run, "key long, words int, lang string, phrase string, freq long")
+    return chunks.mapInArrow(run, "span int, lang array<string>, phrase array<string>, freq array<long>, keys binary, counts binary")
 
 
-def _sums(code: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Whole sums of values by code."""
-    out = np.zeros(n, np.int64)
-    np.add.at(out, code, values)
-    return out
+def _span(keys: np.ndarray, spans: int) -> np.ndarray:
+    """Which of the equal spans of hashes a key is in; in the order of keys."""
+    return ((keys >> np.uint64(32)) * np.uint64(spans) >> np.uint64(32)).astype(np.int64)
+
+
+def _frequent_keys(counted: DataFrame, least: int) -> DataFrame:
+    """The keys that reach ``least`` over all tasks; a span at a time."""
+    width = "<u2" if least < 1 << 16 else "<u8"
+
+    def add(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()])
+        counts = np.concatenate([np.frombuffer(x, width) for x in table.column("counts").to_pylist()]).astype(np.int64)
+        keys, _, total = _combined(keys, counts)
+        return pa.table({"key": pa.array(signed(keys[total >= least]), pa.int64())})
+
+    return counted.where("keys IS NOT NULL").select("span", "keys", "counts").groupBy("span").applyInArrow(add, "key long")
+
+
+def _frequent_words(counted: DataFrame, words: int, least: int) -> DataFrame:
+    """lang, words, phrase and freq of the spelled phrases that reach ``least`` over all tasks, by their words; a span at a time."""
 
+    def add(table: pa.Table) -> pa.Table:
+        flat = pa.table({c: table.column(c).combine_chunks().flatten() for c in ("lang", "phrase", "freq")})
+        found = flat.group_by(["lang", "phrase"]).aggregate([("freq", "sum")])
+        found = found.filter(pc.greater_equal(found.column("freq_sum"), least))
+        return pa.table({"lang": found.column("lang"), "phrase": found.column("phrase"), "freq": found.column("freq_sum")})
 
-def _rows(keys: np.ndarray, lang: pa.Array, phrase: pa.Array, words: int, freq: np.ndarray) -> pa.RecordBatch:
-    arrays = [pa.array(signed(keys)), pa.array(np.full(len(keys), words, np.int32)), lang, phrase, pa.array(freq)]
-    return pa.RecordBatch.from_arrays(arrays, names=["key", "words", "lang", "phrase", "freq"])
+    spelled = counted.where("phrase IS NOT NULL").select("span", "lang", "phrase", "freq").groupBy("span")
+    return spelled.applyInArrow(add, "lang string, phrase string, freq long").select("lang", F.lit(words).alias("words"), "phrase", "freq")
 
 
 def _runs(chunks: DataFrame, pairs: tuple[str, int]) -> DataFrame:
@@ -300,21 +393,24 @@ def _runs(chunks: DataFrame, pairs: tuple[str, int]) -> DataFrame:
 
 def frequent_phrases(chunks: DataFrame, longest: int = LONGEST, least: int = MIN_COUNT) -> DataFrame:
     """lang, words (how many), phrase and freq of all phrases of 1 to ``longest`` words found at least ``least`` times, from a stored dictionary."""
+    spark = chunks.sparkSession
+    spans = SPANS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = chunks.select("lang", "chunk", "own", "freq")
     spelled, bits = [], None
+    tune(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(CHUNKS))
     for n in range(1, longest + 2):
-        counted = _count(chunks, n, bits, spell=n > 1, count=n <= longest).groupBy("key", "words", "lang", "phrase").agg(F.sum("freq").alias("freq"))
-        counted = stored(counted.where(F.col("freq") >= least), f"phrases-{n}")
+        counted = stored(_count(chunks, n, bits, n > 1, n <= longest, least, spans), f"phrases-{n}")
         if n > 1:
-            # by words, in case of equal keys
-            spelled.append(counted.where("phrase IS NOT NULL").groupBy("lang", "words", "phrase").agg(F.sum("freq").alias("freq")))
+            spelled.append(_frequent_words(counted, n - 1, least))
         if n <= longest:
-            bits = _write_bitmap(counted.where("phrase IS NULL"))
+            bits = _write_bitmap(stored(_frequent_keys(counted, least), "phrase-keys"))
         if n == 2:
             chunks = stored(_runs(chunks, bits), "phrase-runs")
     out = spelled[0]
     for more in spelled[1:]:
         out = out.unionByName(more)
+    tune(spark)
     return out
 
 
