@@ -2,7 +2,8 @@
 
 A test item of m bytes may differ from a passage by k = floor(``BUDGET`` * m) edits. Cut into k + 1 pieces, at least one
 piece must occur unchanged, so a rolling hash finds exact piece hits in the whole text; each hit gives a window, which must
-hold enough of the item's 5-grams (an edit spoils at most five) and is then verified with Myers' bit-parallel distance.
+hold enough of the item's 5-grams (an edit spoils at most five). Windows of an item that overlap are verified as one, with Myers'
+bit-parallel distance, so a text that repeats a piece all along is gone through once.
 
 Both sides are compared with A-Z lower-cased and any white space as one space each; lengths and edits count UTF-8 bytes.
 Items are read in blocks of about ``BLOCK_BYTES``; up to ``PASS_BLOCKS`` blocks are held against all documents in one pass where they
@@ -138,6 +139,12 @@ class Pieces:
             a = b
 
 
+def _runs(new: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
+    """(first, after the last) of windows that overlap or meet, from windows in order; ``new`` begins another item."""
+    first = np.flatnonzero(new | np.concatenate([[True], lo[1:] > hi[:-1]]))
+    return list(zip(first.tolist(), np.append(first[1:], len(lo)).tolist()))
+
+
 class Index:
     """The pieces of a block of items."""
 
@@ -194,22 +201,46 @@ class Index:
                 item = pieces.item[piece]
                 lo = np.maximum(offs[doc], pos - pieces.at[piece] - self.k[item])
                 hi = np.minimum(offs[doc + 1], pos - pieces.at[piece] + self.m[item] + self.k[item])
-                for d, i, a, b in np.unique(np.stack([doc, item, lo, hi]), axis=1).T.tolist():
+                # of windows cut off at a text's ends many begin, or end, at one place
+                order = np.lexsort((hi, lo, item, doc))
+                doc, item, lo, hi = doc[order], item[order], lo[order], hi[order]
+                again = np.zeros(len(doc), bool)
+                again[1:] = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1])
+                same = again.copy()
+                same[1:] &= (lo[1:] == lo[:-1]) & (hi[1:] == hi[:-1])
+                doc, item, lo, hi, again = doc[~same], item[~same], lo[~same], hi[~same], again[~same]
+                for x, y in _runs(~again, lo, hi):
+                    d, i = int(doc[x]), int(item[x])
                     k, m = int(self.k[i]), int(self.m[i])
-                    best = found.get((d, i), k + 1)
-                    if best == 0 or b - a < m - k:
+                    if found.get((d, i)) == 0:
                         continue
                     need = m - GRAM + 1 - k * GRAM
+                    if need > 0 and grams is None:
+                        grams = (_rolled(sums, GRAM) >> np.uint64(48)).astype(np.uint16)
+                    if y - x == 1:
+                        a, b = int(lo[x]), int(hi[x])
+                        if b - a >= m - k and (need <= 0 or np.count_nonzero(self.grams(i)[grams[a : max(a, b - GRAM + 1)]]) >= need):
+                            folded = _FOLD[data] if folded is None else folded
+                            distance = self.myers(i).distance(folded[a:b].tobytes())
+                            if distance < found.get((d, i), k + 1):
+                                found[d, i] = distance
+                        continue
+                    a, b = lo[x:y], hi[x:y]
+                    held = b - a >= m - k
                     if need > 0:
-                        if grams is None:
-                            grams = (_rolled(sums, GRAM) >> np.uint64(48)).astype(np.uint16)
-                        if np.count_nonzero(self.grams(i)[grams[a : max(a, b - GRAM + 1)]]) < need:
-                            continue
+                        first = int(a[0])
+                        count = np.concatenate([[0], np.cumsum(self.grams(i)[grams[first : max(first, int(b[-1]) - GRAM + 1)]])])
+                        begin, end = (np.minimum(x - first, len(count) - 1) for x in (a, np.maximum(a, b - GRAM + 1)))
+                        held &= count[end] - count[begin] >= need
+                    if not held.any():
+                        continue
+                    a, b = a[held], b[held]
                     if folded is None:
                         folded = _FOLD[data]
-                    distance = self.myers(i).distance(folded[a:b].tobytes())
-                    if distance < best:
-                        found[d, i] = distance
+                    for x, y in _runs(np.arange(len(a)) == 0, a, b):
+                        distance = self.myers(i).distance(folded[a[x] : b[y - 1]].tobytes())
+                        if distance < found.get((d, i), k + 1):
+                            found[d, i] = distance
         for (d, i), distance in found.items():
             out[d][self.ids[i]] = min(distance, out[d].get(self.ids[i], distance))
         return out
