@@ -205,69 +205,100 @@ def dbscan_members(points: DataFrame, eps: float, min_samples: int = 4) -> DataF
 
 
 RANK = ("fault_score", "planarity", "n_events")
-BLOCK_ROWS, MOST_BLOCK_ROWS = 4000, 200_000
+#: rows of the first block of candidates, and of what one task settles by itself
+BLOCK_ROWS = 4000
+PLACE = ("center_x_m", "center_y_m", "center_depth_km", "strike")
 
 
 def dedupe_candidates(df: DataFrame, km: float = 6.0, depth_km: float = 5.0, strike: float = 20.0, most: int | None = 1000) -> DataFrame:
-    """Candidates in order of score (then planarity, events, p), less those near a kept better one in place, depth and strike.
-    With ``most`` the first kept ones are numbered in rank order (segment_id): a candidate's fate depends on better ones alone, so
-    blocks are taken from the top, of bounded size, until enough are kept. Without it all are settled in distributed rounds."""
-    if most is None:
-        return df.join(_settled(df, km, depth_km, strike), "p", "left_semi")
-    places = ["p", "center_x_m", "center_y_m", "center_depth_km", "strike", *RANK]
-    rest = df.select(*places)
-    order = [*(F.desc(c) for c in RANK), "p"]
-    kept: list[pd.DataFrame] = []
-    n, block = 0, BLOCK_ROWS
-    while n < most:
-        top = rest.orderBy(*order).limit(block).toPandas()  # at most MOST_BLOCK_ROWS rows
-        kept = [_greedy(pd.concat([*kept, top]), n, km, depth_km, strike).head(most)] if len(top) else kept
-        n = len(kept[0]) if kept else 0
-        if len(top) < block:
+    """Candidates in order of score (then planarity, events, the key p), less those near a kept better one in place, depth and strike. With ``most``
+    the first kept ones are numbered in rank order (segment_id). Null scores come last; a candidate without a place is near none.
+
+    A candidate's fate depends on better ones alone, so blocks by score are settled from the top until enough are kept; their bounds come
+    from one quantile summary and may be off, which only makes a block larger."""
+    named = df.select("p", *PLACE, F.struct(*(F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))).alias(c) for c in RANK), (-F.col("p")).alias("p")).alias("o"))
+    base, kept = cut(_placed(named, km, depth_km, strike)), None
+    for low, high in _score_blocks(base, most):
+        block = base.where((F.col("o.fault_score") >= low if low is not None else F.lit(True)) & (F.col("o.fault_score") < high if high is not None else F.lit(True)))
+        if kept is not None:
+            block = block.join(_near(block, kept, km, depth_km, strike).select("p").distinct(), "p", "left_anti")
+        more = _settled(cut(block), km, depth_km, strike)
+        kept = more if kept is None else cut(kept.unionByName(more))
+        if most is not None and kept.count() >= most:
             break
-        last = top.iloc[-1]
-        after = F.lit(False)
-        for c, less in [("p", F.col("p") > int(last["p"])), *((c, F.col(c) < float(last[c])) for c in reversed(RANK))]:
-            after = less if c == "p" else less | ((F.col(c) == float(last[c])) & after)
-        rest, block = rest.where(after), min(MOST_BLOCK_ROWS, 2 * block)
-    ids = [(int(p), f"inferred_fault_{i:04d}") for i, p in enumerate(kept[0]["p"])] if kept else []
-    named = df.sparkSession.createDataFrame(ids, "p long, segment_id string")  # at most ``most`` rows
-    return df.join(F.broadcast(named), "p").orderBy("segment_id")
-
-
-def _greedy(rows: pd.DataFrame, settled: int, km: float, depth_km: float, strike: float) -> pd.DataFrame:
-    """Rows in rank order, of which the first ``settled`` are kept: those near no kept one."""
-    x, y, z, s = (rows[c].to_numpy(float) for c in ("center_x_m", "center_y_m", "center_depth_km", "strike"))
-    at = np.zeros(len(rows), dtype=np.int64)
-    at[:settled] = np.arange(settled)
-    n = settled
-    for i in range(settled, len(rows)):
+    if most is None:
+        return df.join(kept.select("p"), "p", "left_semi")
+    first = kept.orderBy(F.desc("o")).limit(most).select("p", "o")  # at most ``most`` rows
+    number = F.format_string("inferred_fault_%04d", F.row_number().over(Window.orderBy(F.desc("o"))) - 1)
+    return df.join(F.broadcast(first.select("p", number.alias("segment_id"))), "p").orderBy("segment_id")
+
+
+def _score_blocks(base: DataFrame, most: int | None, growth: int = 16) -> list[tuple[float | None, float | None]]:
+    """Ranges of scores from the top, of about ``BLOCK_ROWS`` rows and then ``growth`` times as many each."""
+    n, size, shares = base.count(), BLOCK_ROWS, []
+    while most is not None and size < n:
+        shares.append(1 - size / n)
+        size *= growth
+    bounds = base.agg(F.percentile_approx("o.fault_score", shares, 10000)).first()[0] if shares else []
+    bounds = sorted(set(bounds), reverse=True)
+    return list(zip([*bounds, None], [None, *bounds]))
+
+
+def _placed(df: DataFrame, km: float, depth_km: float, strike: float) -> DataFrame:
+    """Cells as wide as the reach (cx, cy, cz), and small ones (small) of which any two members are near each other."""
+    w = km * 1000.0
+    cell = lambda c, width: F.floor(c / width)
+    x, y, z, s = (F.col(c) for c in PLACE)
+    tight = 1 - 1e-6
+    small = F.struct(cell(x, w * tight / 2**0.5).alias("x"), cell(y, w * tight / 2**0.5).alias("y"), cell(z, depth_km * tight).alias("z"), cell(F.pmod(s, F.lit(180.0)), strike * tight).alias("s"))
+    return df.withColumns({"cx": cell(x, w), "cy": cell(y, w), "cz": cell(z, depth_km), "small": small})
+
+
+def _near(df: DataFrame, others: DataFrame, km: float, depth_km: float, strike: float) -> DataFrame:
+    """p and o of rows, q and oq of other candidates near them. The others, few to a cell, go to the cells around theirs."""
+    around = F.explode(F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy"), (F.col("cz") + k).alias("cz")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1))))
+    there = others.select(F.col("p").alias("q"), F.col("o").alias("oq"), *(F.col(c).alias(f"q_{c}") for c in PLACE), around.alias("c")).select("*", "c.*").drop("c")
+    flat = F.hypot(F.col("center_x_m") - F.col("q_center_x_m"), F.col("center_y_m") - F.col("q_center_y_m")) <= km * 1000.0
+    close = flat & (F.abs(F.col("center_depth_km") - F.col("q_center_depth_km")) <= depth_km) & (expr.strike_difference_deg("strike", "q_strike") <= strike)
+    return df.join(there, ["cx", "cy", "cz"]).where(close & (F.col("p") != F.col("q"))).select("p", "o", "q", "oq")
+
+
+def _settled(open_: DataFrame, km: float, depth_km: float, strike: float, rounds: int = 1000) -> DataFrame:
+    """The kept candidates of ``open_``, as the greedy order keeps them.
+
+    Only the best open candidate of a small cell can be kept next, as all others of the cell are near it. In a round these leaders meet the open candidates around
+    them; a leader without a better one near it is kept and those near it go. A candidate meets a bounded number of leaders however
+    many lie in one place, so no round makes all pairs of a dense place. When at most ``BLOCK_ROWS`` are open, one task settles them."""
+    placeless = F.greatest(*(F.col(c).isNull() | F.isnan(c) for c in PLACE))
+    kept, open_ = open_.where(placeless), open_.where(~placeless)
+    columns = open_.columns
+
+    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
+        return _greedy(rows, km, depth_km, strike)
+
+    for _ in range(rounds):
+        if open_.limit(BLOCK_ROWS + 1).count() <= BLOCK_ROWS:
+            last = open_.select(*PLACE, "p", *(F.col(f"o.{c}").alias(f"o_{c}") for c in RANK))
+            ids = last.groupBy(F.lit("one")).applyInPandas(greedy, last.select("p").schema)  # at most BLOCK_ROWS rows
+            return cut(kept.unionByName(open_.join(ids, "p", "left_semi")))
+        leaders = cut(open_.groupBy("small").agg(F.max_by(F.struct(*columns), "o").alias("l")).select("l.*"))
+        beaten = _near(open_, leaders, km, depth_km, strike).where("o > oq").select(F.col("q").alias("p")).distinct()
+        now = cut(leaders.join(beaten, "p", "left_anti"))
+        gone = _near(open_, now, km, depth_km, strike).select("p").union(now.select("p")).distinct()
+        kept, open_ = kept.unionByName(now), cut(open_.join(gone, "p", "left_anti"))
+    raise RuntimeError("deduplication did not settle")
+
+
+def _greedy(rows: pd.DataFrame, km: float, depth_km: float, strike: float) -> pd.DataFrame:
+    """p of the rows that are near no better kept one."""
+    rows = rows.sort_values([*(f"o_{c}" for c in RANK), "p"], ascending=[False] * len(RANK) + [True])
+    x, y, z, s = (rows[c].to_numpy(float) for c in PLACE)
+    at, n = np.zeros(len(rows), dtype=np.int64), 0
+    for i in range(len(rows)):
         k = at[:n]
         turn = np.abs((s[i] - s[k] + 180) % 360 - 180)
         near = (np.hypot(x[i] - x[k], y[i] - y[k]) <= km * 1000) & (np.abs(z[i] - z[k]) <= depth_km) & (np.minimum(turn, np.abs(turn - 180)) <= strike)
         if not near.any():
             at[n] = i
             n += 1
-    return rows.iloc[at[:n]]
-
-
-def _settled(df: DataFrame, km: float, depth_km: float, strike: float, rounds: int = 1000) -> DataFrame:
-    """p of all kept candidates. Each round keeps those without a better neighbour among the open ones and drops their
-    neighbours; pairs of settled candidates leave."""
-    w = km * 1000.0
-    base = df.select("p", "center_x_m", "center_y_m", "center_depth_km", "strike", F.struct(*(F.col(c).cast("double") for c in RANK), -F.col("p").cast("double")).alias("o"))
-    base = cut(base.withColumns({"cx": F.floor(F.col("center_x_m") / w), "cy": F.floor(F.col("center_y_m") / w)}))
-    around = F.explode(F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    other = base.select(F.col("p").alias("q"), F.col("center_x_m").alias("x"), F.col("center_y_m").alias("y"), F.col("center_depth_km").alias("z"), F.col("strike").alias("s"), F.col("o").alias("oq"), around.alias("c")).select("q", "x", "y", "z", "s", "oq", "c.*")
-    close = (F.hypot(F.col("center_x_m") - F.col("x"), F.col("center_y_m") - F.col("y")) <= w) & (F.abs(F.col("center_depth_km") - F.col("z")) <= depth_km) & (expr.strike_difference_deg("strike", "s") <= strike)
-    better = cut(base.join(other, ["cx", "cy"]).where(close & (F.col("oq") > F.col("o"))).select("p", "q"))
-    open_, kept = base.select("p"), None
-    for _ in range(rounds):
-        now = cut(open_.join(better.select("p").distinct(), "p", "left_anti"))
-        kept = now if kept is None else kept.unionByName(now)
-        gone = now.unionByName(better.join(now.withColumnRenamed("p", "q"), "q", "left_semi").select("p")).distinct()
-        open_ = cut(open_.join(gone, "p", "left_anti"))
-        if open_.isEmpty():
-            return kept
-        better = cut(better.join(open_, "p", "left_semi").join(open_.withColumnRenamed("p", "q"), "q", "left_semi"))
-    raise RuntimeError("deduplication did not settle")
+    return rows.iloc[at[:n]][["p"]]

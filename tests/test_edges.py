@@ -159,6 +159,32 @@ def test_dedupe_is_greedy(spark, monkeypatch):
     assert [(r["p"], r["segment_id"]) for r in some] == [(r[0], f"inferred_fault_{i:04d}") for i, r in enumerate(kept[:20])]
     assert {r["p"] for r in clusters.dedupe_candidates(df, most=None).collect()} == {r[0] for r in kept}
     assert clusters.dedupe_candidates(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, None, 0.0, 1.0, 10.0, 0.5, 0.5, 5), (2, 0.0, 0.0, 1.0, 10.0, None, 0.5, 5), (3, 0.0, 1.0, 1.0, 190.0, 0.1, None, None), (4, None, 0.0, 1.0, 10.0, 0.5, 0.5, 5)], df.schema)
+    for block in (1, 100):
+        monkeypatch.setattr(clusters, "BLOCK_ROWS", block)
+        assert [r["p"] for r in clusters.dedupe_candidates(odd).collect()] == [1, 4, 3]
+
+
+def test_dedupe_of_a_dense_place(spark, monkeypatch):
+    """A third of all candidates lie in one place; rounds of leaders give the greedy rule's rows."""
+    rng = np.random.default_rng(11)
+    n = 1500
+    xyz = rng.uniform(0, 1, (n, 3)) * [90000, 90000, 20]
+    xyz[: n // 3] = rng.uniform(0, 1, (n // 3, 3)) * [3000, 3000, 3] + [40000, 40000, 5]
+    score = np.round(rng.uniform(0, 1, n), 2)
+    rows = [(i, *map(float, xyz[i]), float(rng.uniform(0, 360)), float(score[i]), 0.5, 5) for i in range(n)]
+    df = spark.createDataFrame(rows, "p long, center_x_m double, center_y_m double, center_depth_km double, strike double, fault_score double, planarity double, n_events int")
+    want = clusters.dedupe_candidates(df, most=2000).select("p", "segment_id").collect()
+    order = sorted(rows, key=lambda r: (-r[5], r[0]))
+    kept = []
+    for r in order:
+        d = [abs((r[4] - k[4] + 180) % 360 - 180) for k in kept]
+        if not any(math.hypot(r[1] - k[1], r[2] - k[2]) <= 6000 and abs(r[3] - k[3]) <= 5 and min(t, abs(t - 180)) <= 20 for k, t in zip(kept, d)):
+            kept.append(r)
+    assert [r["p"] for r in want] == [r[0] for r in kept]
+    monkeypatch.setattr(clusters, "BLOCK_ROWS", 150)
+    assert [tuple(r) for r in clusters.dedupe_candidates(df, most=2000).select("p", "segment_id").collect()] == [tuple(r) for r in want]
+    assert [r["p"] for r in clusters.dedupe_candidates(df, most=30).collect()] == [r[0] for r in kept[:30]]
 
 
 def test_leave_one_out(spark):
