@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr, geo, linear
+from ..functions.fields import WeightTree
 from ..functions.trees import SegmentTree
 from .clusters import cut
 
@@ -265,11 +266,40 @@ def mechanism_consistency(members: DataFrame, planes: DataFrame, mechanisms: Dat
 
 
 def gnss_proximity_score(clusters: DataFrame, stations: DataFrame, key: str = "cluster_id") -> DataFrame:
-    """Strain scores of all stations, each over its distance in km; 0.5 without stations."""
-    s = stations.select(F.col("x_m").alias("sx"), F.col("y_m").alias("sy"), "strain_gradient_score")
-    d = F.greatest(F.lit(1.0), F.hypot(F.col("center_x_m") - F.col("sx"), F.col("center_y_m") - F.col("sy")) / 1000.0)
-    scored = clusters.select(key, "center_x_m", "center_y_m").join(small_side(s)).groupBy(key).agg(expr.clamp01(10 * F.avg(F.col("strain_gradient_score") / d)).alias("s"))
-    return clusters.select(key).join(scored, key, "left").select(key, F.coalesce("s", F.lit(0.5)).alias("gnss_score"))
+    """Ten times the mean over all stations of strain score / distance in km (at least 1), between 0 and 1. Stations without a place or a score count
+    for nothing; without stations, or for a cluster without a centre, 0.5.
+
+    Tasks sum far groups of stations by their moments (``WeightTree``: off by a share below 4e-10), so a cluster takes log m steps for m stations.
+    Stations go to tasks in parts of about ``BROADCAST_ROWS``; the sums of further parts are added to those of the first."""
+    known = [F.col(c).cast("double").alias(n) for c, n in (("x_m", "x"), ("y_m", "y"), ("strain_gradient_score", "w"))]
+    s = stations.select(*known).where(" and ".join(f"{c} is not null and not isnan({c})" for c in "xyw"))
+    s = cut(s.withColumn("part", F.monotonically_increasing_id()))  # a part is the same rows each time it is read
+    n = s.count()
+    out = clusters.select(key, *(F.col(c).cast("double").alias(c) for c in ("center_x_m", "center_y_m")), F.lit(0.0).alias("total"))
+    parts = -(-n // BROADCAST_ROWS)
+    for part in range(parts):
+        out = _with_sums(out, s.where(F.col("part") % parts == part).toPandas(), key)  # about BROADCAST_ROWS rows
+        out = cut(out) if parts > 1 else out
+    score = F.when(F.col("center_x_m").isNotNull() & F.col("center_y_m").isNotNull(), expr.clamp01(10 * F.col("total") / n)) if n else F.lit(None)
+    return out.select(key, F.coalesce(score, F.lit(0.5)).alias("gnss_score"))
+
+
+def _with_sums(places: DataFrame, held: pd.DataFrame, key: str, batch_rows: int = 2000) -> DataFrame:
+    """``total`` more by the sum of weight / distance in km over the held stations."""
+    x, y, w = (held[c].to_numpy(float) for c in "xyw")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = WeightTree(x, y, w)
+        for whole in batches:
+            for batch in (whole.slice(i, batch_rows) for i in range(0, whole.num_rows, batch_rows)):
+                px, py, total = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (1, 2, 3))
+                there = np.isfinite(px) & np.isfinite(py)
+                total = total.copy()
+                total[there] += 1000.0 * tree.sums(px[there], py[there], 1000.0)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(total)], names=batch.schema.names)
+
+    kind = places.schema[key].dataType.simpleString()
+    return places.mapInArrow(run, f"`{key}` {kind}, center_x_m double, center_y_m double, total double")
 
 
 def is_regional_sheet():

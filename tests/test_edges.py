@@ -187,6 +187,29 @@ def test_dedupe_of_a_dense_place(spark, monkeypatch):
     assert [r["p"] for r in clusters.dedupe_candidates(df, most=30).collect()] == [r[0] for r in kept[:30]]
 
 
+def test_station_sums(spark, monkeypatch):
+    """Sums over a tree of stations, in one part or several, are the plain means."""
+    rng = np.random.default_rng(4)
+    m = 5000
+    xy = rng.uniform(-4e5, 4e5, (m, 2))
+    xy[: m // 3] = rng.uniform(0, 30, (m // 3, 2))
+    w = rng.uniform(0, 1, m)
+    s = spark.createDataFrame([(*map(float, p), float(v)) for p, v in zip(xy, w)] + [(None, 0.0, 1.0), (0.0, 0.0, None), (0.0, 0.0, float("nan"))], "x_m double, y_m double, strain_gradient_score double")
+    places = [*map(tuple, rng.uniform(-5e5, 5e5, (300, 2)).tolist()), tuple(xy[0].tolist()), tuple(xy[-1].tolist()), (None, 0.0)]
+    c = spark.createDataFrame([(f"c{i}", *p) for i, p in enumerate(places)], "cluster_id string, center_x_m double, center_y_m double")
+
+    def plain(x, y):
+        return 0.5 if x is None else min(1.0, 10 * np.mean(w / np.maximum(1, np.hypot(xy[:, 0] - x, xy[:, 1] - y) / 1000)))
+
+    for rows in (200_000, 1500):
+        monkeypatch.setattr(faults, "BROADCAST_ROWS", rows)
+        got = {r["cluster_id"]: r["gnss_score"] for r in faults.gnss_proximity_score(c, s).collect()}
+        assert len(got) == len(places)
+        assert [got[f"c{i}"] for i in range(len(places))] == pytest.approx([plain(*p) for p in places], rel=1e-9)
+    assert {r["gnss_score"] for r in faults.gnss_proximity_score(c, s.limit(0)).collect()} == {0.5}
+    assert faults.gnss_proximity_score(c.limit(0), s).count() == 0
+
+
 def test_leave_one_out(spark):
     rng = random.Random(1)
     rows = [(f"e{rng.randrange(6)}", f"s{rng.randrange(3)}", 1.0, rng.random(), rng.uniform(-3, 3), rng.random()) for _ in range(80)] + [("alone", "s9", 1.0, 0.1, 0.1, 0.1)]
