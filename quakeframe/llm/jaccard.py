@@ -479,7 +479,7 @@ def list_pairs(token: np.ndarray, cid: np.ndarray, comp: np.ndarray, n: np.ndarr
                 if cut_x == first[x] or cut_y == first[y]:
                     continue
                 left, right = slice(first[x], cut_x), slice(first[y], cut_y)
-                for i, j in _unlike(comp[left], comp[right]):
+                for i, j in _unlike(comp[left], comp[right], same=x == y):
                     held.append(np.stack([cid[left][i], cid[right][j]], axis=1))
                     size += len(i)
                     if size >= MOST_PAIRS:
@@ -489,16 +489,22 @@ def list_pairs(token: np.ndarray, cid: np.ndarray, comp: np.ndarray, n: np.ndarr
         yield merged()
 
 
-def _unlike(x: np.ndarray, y: np.ndarray, cells: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, j) of all x[i] != y[j], compared a bounded piece at a time. The commonest value of y is not compared with
-    itself: most of a long list is one component."""
+def _unlike(x: np.ndarray, y: np.ndarray, same: bool = False, cells: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of all x[i] != y[j], compared a bounded piece at a time; with ``same``, where y is x, each pair in one order. The commonest
+    value of y is not compared with itself: most of a long list is one component."""
     values, n = np.unique(y, return_counts=True)
     most = values[np.argmax(n)]
-    for rows, columns in ((np.flatnonzero(x == most), np.flatnonzero(y != most)), (np.flatnonzero(x != most), np.arange(len(y)))):
+    others = np.flatnonzero(y != most)
+    for rows, columns, ordered in ((np.flatnonzero(x == most), others, False), (np.flatnonzero(x != most), others if same else np.arange(len(y)), same)):
         step = max(1, cells // max(1, len(columns)))
         for a in range(0, len(rows) if len(columns) else 0, step):
-            i, j = np.nonzero(x[rows[a : a + step]][:, None] != y[columns][None, :])
-            yield rows[a + i], columns[j]
+            at = rows[a : a + step]
+            later = columns[np.searchsorted(columns, at[0], side="right") :] if ordered else columns
+            unlike = x[at][:, None] != y[later][None, :]
+            if ordered:
+                unlike &= at[:, None] < later[None, :]
+            i, j = np.nonzero(unlike)
+            yield at[i], later[j]
 
 
 def star_pairs(token: np.ndarray, cid: np.ndarray, n: np.ndarray, pos: np.ndarray, weight: np.ndarray) -> np.ndarray:

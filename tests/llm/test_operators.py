@@ -251,6 +251,16 @@ def test_unlike_pairs_in_pieces():
     for x, y in ((rng.integers(0, 3, 50), rng.integers(0, 3, 70)), (np.zeros(9, int), np.zeros(4, int)), (np.arange(5), np.arange(5))):
         got = [(int(a), int(b)) for i, j in jaccard._unlike(x, y, cells=16) for a, b in zip(i, j)]
         assert sorted(got) == [(a, b) for a in range(len(x)) for b in range(len(y)) if x[a] != y[b]]
+        own = [(int(a), int(b)) for i, j in jaccard._unlike(x, x, same=True, cells=16) for a, b in zip(i, j)]
+        assert sorted(tuple(sorted(p)) for p in own) == [(a, b) for a in range(len(x)) for b in range(a, len(x)) if x[a] != x[b]]
+
+
+def test_a_block_gives_each_pair_once(monkeypatch):
+    """2,000 unlike sets of one size: pairs leave once, even where batches are too small to see both orders."""
+    n = 2000
+    monkeypatch.setattr(jaccard, "MOST_PAIRS", 1000)
+    made = jaccard.list_pairs(np.zeros(n, np.uint32), np.arange(n), np.arange(n) // 2, np.full(n, 100, np.uint32), np.zeros(n, np.uint32))
+    assert sum(map(len, made)) == n * (n - 1) // 2 - n // 2
 
 
 def test_lists_split_by_own_counts(spark, docs_of):
