@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr, geo
 from .clusters import cut
-from .faults import is_small, segments, small_side, typed_empty
+from .faults import segments, small_side, typed_empty
 from .stations import exact_quantiles
 
 MAX_DEPTH_KM, VELOCITY, MAX_DELAY_S, NEAR_SURFACE_KM = 100.0, 3.5, 30.0, 20.0
@@ -550,26 +550,25 @@ def top_depth_bins(splats: DataFrame, n: int = 12) -> DataFrame:
 
 def fault_wave_interaction(splats: DataFrame, traces: DataFrame) -> DataFrame:
     """Structure splats near each trace by a Gaussian kernel in distance and depth, scaled to the largest score. Splats at one
-    place and of one type are summed first."""
+    place and of one type are summed first. Each trace has a row.
+
+    Splats meet the traces whose box, widened by ``REACH_M``, covers their cell. Of those beyond, the kernel is below exp(-(250 / 30)^2 / 2), that is
+    9e-16: a trace's energy lacks less than 9e-16 of the sum of all splats' weights."""
     kind = F.col("primitive_type")
     weight = F.when(kind == "reflected", 1.0).when(kind == "scattered", 0.82).otherwise(0.45) * F.col("structure_amplitude")
     s = splats.where("splat_role = 'structure'").groupBy("x_m", "y_m", "z_m", "primitive_type").agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("n"))
     # a fault is one row with its segments, so that the nearest is found within the row
-    cut = segments(traces).groupBy("near_segment_id").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("cuts"))
-    t = traces.join(cut, traces["segment_id"] == cut["near_segment_id"]).select("segment_id", "length_km", "width_km", "fault_depth_m", "cuts")
-    few = is_small(t)
-    if few:
-        pairs = s.join(F.broadcast(t))
-    else:
-        # beyond REACH_M the kernel is below 1e-15, so only cells within reach of a trace meet it
-        cell = lambda c: F.floor(F.col(c) / REACH_M)
-
-        def span(a: str, b: str) -> Column:
-            low, high = F.array_min(F.transform("cuts", lambda c: F.least(c[a], c[b]))), F.array_max(F.transform("cuts", lambda c: F.greatest(c[a], c[b])))
-            return F.explode(F.sequence(F.floor(low / REACH_M) - 1, F.floor(high / REACH_M) + 1))
-
-        spread = t.withColumn("tx", span("ax", "bx")).withColumn("ty", span("ay", "by"))
-        pairs = s.withColumns({"tx": cell("x_m"), "ty": cell("y_m")}).join(spread, ["tx", "ty"])
+    parts = segments(traces).groupBy("near_segment_id").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("cuts"))
+    t = traces.join(parts, traces["segment_id"] == parts["near_segment_id"]).select("segment_id", "length_km", "width_km", "fault_depth_m", "cuts")
+    cell = lambda c: F.floor(F.col(c) / REACH_M)
+
+    def span(a: str, b: str) -> Column:
+        low, high = F.array_min(F.transform("cuts", lambda c: F.least(c[a], c[b]))), F.array_max(F.transform("cuts", lambda c: F.greatest(c[a], c[b])))
+        return F.explode(F.sequence(F.floor((low - REACH_M) / REACH_M), F.floor((high + REACH_M) / REACH_M)))
+
+    # cells spread the faults, not the many splats; few faults go to all tasks by cell, many meet theirs in a shuffle
+    spread = t.withColumn("tx", span("ax", "bx")).withColumn("ty", span("ay", "by"))
+    pairs = s.withColumns({"tx": cell("x_m"), "ty": cell("y_m")}).join(small_side(spread), ["tx", "ty"])
     d = F.array_min(F.transform("cuts", lambda c: geo.point_segment_distance("x_m", "y_m", c["ax"], c["ay"], c["bx"], c["by"])))
     depth_sigma = F.greatest(F.lit(35000.0), 500.0 * F.greatest(F.lit(1.0), "width_km"))
     kernel = F.exp(-0.5 * F.pow(d / 30000.0, 2)) * F.exp(-0.5 * F.pow((F.col("z_m") - F.col("fault_depth_m")) / depth_sigma, 2))
@@ -579,10 +578,10 @@ def fault_wave_interaction(splats: DataFrame, traces: DataFrame) -> DataFrame:
     out = pairs.groupBy("segment_id", "length_km").agg(
         F.sum(e).alias("total"), F.sum(F.when(F.col("k") >= math.exp(-0.5), F.col("n")).otherwise(0)).alias("near_splat_count"), by(kind == "reflected").alias("reflected_energy"), by(kind == "scattered").alias("scattered_energy"), by(~kind.isin("reflected", "scattered")).alias("residual_energy")
     )
-    if not few:  # faults out of every splat's reach
-        names = ["near_splat_count", "total", "reflected_energy", "scattered_energy", "residual_energy"]
-        out = t.select("segment_id", "length_km").join(out.drop("length_km"), "segment_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in names})
-    out = out.withColumn("raw_score", F.col("total") / F.sqrt(F.greatest(F.lit(1.0), "length_km")))
+    # faults out of every splat's reach have no energy
+    names = ["near_splat_count", "total", "reflected_energy", "scattered_energy", "residual_energy"]
+    out = t.select("segment_id", "length_km").join(out.drop("length_km"), "segment_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in names})
+    out = cut(out.withColumn("raw_score", F.col("total") / F.sqrt(F.greatest(F.lit(1.0), "length_km"))))  # a row for each fault, read twice
     most = out.agg(F.max("raw_score").alias("m"))  # one row
     score = F.when(F.col("m") > 0, F.col("raw_score") / F.col("m")).otherwise(0.0)
     return out.crossJoin(F.broadcast(most)).withColumn("wave_interaction_score", score).drop("m", "total", "length_km")
