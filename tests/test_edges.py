@@ -564,3 +564,14 @@ def test_array_projection_takes_every_event(spark):
         return df.where("event_id = 'ev0'").withColumn("event_id", F.lit("ev1000")) if name == "fx_spectrum" else df
 
     assert {r["event_id"] for r in queries.array_projection(moved).collect()} == {"ev1000"}
+
+
+def test_splat_primitives_keeps_every_row(spark):
+    n = 100_003
+    rows = spark.range(n).select(
+        F.col("id").alias("p"), F.concat(F.lit("ev"), F.col("id")).alias("event_id"), F.lit("direct").alias("primitive_type"), F.lit(1.0).alias("frequency_hz"), F.lit(0.0).alias("projection_x_m"), F.lit(0.0).alias("projection_y_m"),
+        F.lit(5000.0).alias("projection_z_m"), (F.col("id") / n).alias("beam_energy"), F.lit(0.5).alias("array_coherence"), F.lit(1.0).alias("beam_power"), F.lit(0.0).alias("late_phase_delay_s"), F.lit(0.0).alias("residual_spread_s"),
+    )
+    ids = imaging.splat_primitives(rows).agg(F.count_distinct("p"), F.count_distinct("primitive_id"), F.max("primitive_id")).first()
+    assert tuple(ids) == (n, n, f"gs_{n - 1:08d}")
+    assert imaging.splat_primitives(rows, 10).agg(F.min("p")).first()[0] == n - 10
