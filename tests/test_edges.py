@@ -575,3 +575,26 @@ def test_splat_primitives_keeps_every_row(spark):
     ids = imaging.splat_primitives(rows).agg(F.count_distinct("p"), F.count_distinct("primitive_id"), F.max("primitive_id")).first()
     assert tuple(ids) == (n, n, f"gs_{n - 1:08d}")
     assert imaging.splat_primitives(rows, 10).agg(F.min("p")).first()[0] == n - 10
+
+
+def test_view_image_pixels_exchange_base_rows_alone(spark):
+    rows = [("e", "s1", 1.0, "direct", 1, 0.0, 0.0, 0.0, 0.0, 1.0, 2.0, 1.0, 1.0, 3.0), ("e", "s1", 1.0, "direct", 2, 5000.0, 0.0, 5000.0, 0.0, 0.5, 4.0, 1.0, 1.0, 1.0), ("e", "s2", 1.0, "direct", 3, 0.0, 0.0, 0.0, 0.0, 1.0, 2.0, 1.0, 1.0, 1.0)]
+    base = spark.createDataFrame(
+        rows, "event_id string, station_id string, frequency_hz double, primitive_type string, projection_rank int, rel_x_m double, rel_y_m double, range_m double, depth_m double, phase_alignment double, group_delay_s double, beam_energy double, array_coherence double, amplitude double"
+    )
+    pixels = imaging.view_image_pixels(base)
+    want = {}
+    for r in rows:
+        for plane, u, v in (("xy", r[5], r[6]), ("range_depth", r[7], r[8])):
+            for du in range(-2, 3):
+                for dv in range(-2, 3):
+                    if du * du + dv * dv <= 4:
+                        at = want.setdefault((r[1], plane, int(u // 5000) + du, int(v // 5000) + dv), [0.0, 0, 9, 0.0])
+                        at[:] = at[0] + r[13] * r[9] * math.exp(-0.5 * (du * du + dv * dv)), at[1] + 1, min(at[2], r[4]), at[3] + r[9]
+    got = {(p["station_id"], p["image_plane"], p["pixel_u"], p["pixel_v"]): p for p in pixels.collect()}
+    assert got.keys() == want.keys()
+    for k, (i, n, r, a) in want.items():
+        assert (got[k]["contribution_count"], got[k]["best_projection_rank"]) == (n, r)
+        assert got[k]["intensity"] == pytest.approx(i) and got[k]["phase_alignment_mean"] == pytest.approx(a / n)
+    plan = imaging.view_image_part_stats(imaging.with_parts(pixels, 16))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(event_id") == 2 and plan.count("Exchange") == 3  # the rows of both branches are one exchange
