@@ -622,3 +622,30 @@ def test_nearest_stations_of_dense_and_lonely_places(spark):
     assert "none" not in got
     dense = events.where("event_id in ('e0', 'e1', 'e2', 'e3')")  # each has 1,500 stations within the radius
     assert stations.station_pairs(dense.select("lon", "lat"), stations_, 50.0, 5).count() < 4 * 300
+
+
+def test_voxels_are_summed_without_events(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"e{i % 7}", *map(float, rng.uniform(-20000, 20000, 3)), *map(float, rng.uniform(1000, 9000, 3)), float(rng.uniform(0, 1)), float(rng.uniform(0, 1)), ("direct", "reflected", "scattered", "residual")[i % 4]) for i in range(200)]
+    splats = spark.createDataFrame(rows, "event_id string, x_m double, y_m double, z_m double, sigma_x_m double, sigma_y_m double, sigma_z_m double, structure_amplitude double, opacity double, primitive_type string")
+    for lods, radius in (([(0, 2500.0), (1, 5000.0)], 1), ([(0, 3000.0), (1, 7000.0)], 2)):
+        want = {}
+        for lod, size in lods:
+            for e, x, y, z, sx, sy, sz, a, o, t in rows:
+                for d in np.ndindex(*[2 * radius + 1] * 3):
+                    dx, dy, dz = (v - radius for v in d)
+                    if dx * dx + dy * dy + dz * dz <= radius * radius:
+                        c = math.exp(-0.5 * ((dx * size / sx) ** 2 + (dy * size / sy) ** 2 + (dz * size / sz) ** 2)) * a * o
+                        at = want.setdefault((lod, math.floor(x / size) + dx, math.floor(y / size) + dy, math.floor(z / size) + dz), [0.0, 0.0, 0.0, 0, set()])
+                        at[:3] = at[0] + c, at[1] + c * a, at[2] + c * (t == "direct")
+                        at[3] += 1
+                        at[4].add(e)
+        voxels = imaging.voxel_lod(splats, lods, radius)
+        got = {(r["lod"], r["ix"], r["iy"], r["iz"]): r for r in voxels.collect()}
+        assert got.keys() == {k for k, v in want.items() if v[0] > 1e-8}
+        for k, r in got.items():
+            c, ca, direct, n, events = want[k]
+            assert (r["contribution_count"], r["n_events"]) == (n, len(events))
+            assert (r["density"], r["weighted_amplitude"], r["direct_density"]) == pytest.approx((c, ca / c, direct))
+    plain = imaging.lod_summary(imaging.voxel_lod(splats, count_events=False))
+    assert "event_id" not in plain._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
