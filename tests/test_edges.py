@@ -649,3 +649,13 @@ def test_voxels_are_summed_without_events(spark):
             assert (r["density"], r["weighted_amplitude"], r["direct_density"]) == pytest.approx((c, ca / c, direct))
     plain = imaging.lod_summary(imaging.voxel_lod(splats, count_events=False))
     assert "event_id" not in plain._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+
+
+def test_turns_and_medians_of_arrays():
+    r = np.concatenate([np.random.default_rng(0).uniform(-500, 500, 5000), [0, 0.25, 0.5, -0.5, 0.75, 1e-9, -1e-9]])
+    c, s = imaging._turns(r)
+    part = r - np.rint(r)
+    assert np.abs(c - np.cos(2 * np.pi * part)).max() < 4e-15 and np.abs(s - np.sin(2 * np.pi * part)).max() < 4e-15
+    for n in (4, 5, 60):
+        d = np.random.default_rng(n).uniform(0, 9, (50, n))
+        assert (imaging._medians(d)[:, 0] == np.median(d, axis=1)).all()
