@@ -659,3 +659,39 @@ def test_turns_and_medians_of_arrays():
     for n in (4, 5, 60):
         d = np.random.default_rng(n).uniform(0, 9, (50, n))
         assert (imaging._medians(d)[:, 0] == np.median(d, axis=1)).all()
+
+
+def test_wave_energies_exchange_sums_alone(spark, monkeypatch):
+    """Energies like a plain loop, with unknown places and types; splats meet the traces in their tasks and no pair of them is a row."""
+    rng = np.random.default_rng(12)
+    kinds = ["direct", "reflected", "scattered", "residual", None]
+    rows = [(*map(float, rng.uniform(-5e4, 5e4, 2)), float(rng.uniform(0, 3e4)), kinds[i % 5], "structure", float(rng.uniform(0, 1))) for i in range(300)]
+    rows += [(None, 0.0, 0.0, "reflected", "structure", 1.0), (0.0, 0.0, 0.0, "reflected", "source_anchor", 1.0), (0.0, 0.0, 8000.0, "scattered", "structure", None)]
+    splats = spark.createDataFrame(rows, "x_m double, y_m double, z_m double, primitive_type string, splat_role string, structure_amplitude double")
+    traces = spark.createDataFrame([("a", [(0.0, 0.0), (1e4, 0.0), (1e4, 2e4)], 4.0, 100.0, 8000.0), ("b", [(5e3, 5e3)], 9.0, None, 3000.0), ("c", [(0.0, 0.0), (1.0, 1.0)], 1.0, 1.0, None)], "segment_id string, trace array<struct<x:double,y:double>>, length_km double, width_km double, fault_depth_m double")
+    plans = []
+    monkeypatch.setattr(imaging, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or clusters.cut(df))
+    got = {r["segment_id"]: r for r in imaging.fault_wave_interaction(splats, traces).collect()}
+    assert "mapinarrow" in plans[0].lower() and "array_min" not in plans[0]
+
+    def distance(x, y, points):
+        ends = list(zip(points, points[1:])) or [(points[0], points[0])]
+        out = []
+        for (ax, ay), (bx, by) in ends:
+            size = (bx - ax) ** 2 + (by - ay) ** 2
+            t = min(1, max(0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / size)) if size else 0
+            out.append(math.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay)))
+        return min(out)
+
+    for name, points_, width, deep in (("a", [(0, 0), (1e4, 0), (1e4, 2e4)], 100.0, 8000.0), ("b", [(5e3, 5e3)], 1.0, 3000.0)):
+        sums, near = dict.fromkeys(kinds, 0.0), 0
+        for x, y, z, kind, role, a in rows:
+            if role == "structure" and x is not None:
+                k = math.exp(-0.5 * (distance(x, y, points_) / 3e4) ** 2) * math.exp(-0.5 * ((z - deep) / max(35000, 500 * width)) ** 2)
+                sums[kind] += {"reflected": 1.0, "scattered": 0.82}.get(kind, 0.45) * (a or 0.0) * k
+                near += k >= math.exp(-0.5)
+        r = got[name]
+        assert r["near_splat_count"] == near
+        assert (r["reflected_energy"], r["scattered_energy"], r["residual_energy"]) == pytest.approx((sums["reflected"], sums["scattered"], sums["direct"] + sums["residual"]))
+        assert r["raw_score"] == pytest.approx(sum(sums.values()) / math.sqrt({"a": 4.0, "b": 9.0}[name]))
+    assert (got["c"]["raw_score"], got["c"]["near_splat_count"]) == (0.0, 0)
