@@ -695,3 +695,21 @@ def test_wave_energies_exchange_sums_alone(spark, monkeypatch):
         assert (r["reflected_energy"], r["scattered_energy"], r["residual_energy"]) == pytest.approx((sums["reflected"], sums["scattered"], sums["direct"] + sums["residual"]))
         assert r["raw_score"] == pytest.approx(sum(sums.values()) / math.sqrt({"a": 4.0, "b": 9.0}[name]))
     assert (got["c"]["raw_score"], got["c"]["near_splat_count"]) == (0.0, 0)
+
+
+def test_gnss_places_are_looked_up_once_in_many_tasks(spark, monkeypatch):
+    """Clusters and stations at the same places count each, but a place is looked up once, and one file of clusters is many tasks."""
+    rng = np.random.default_rng(3)
+    at = rng.uniform(-2e5, 2e5, (40, 2)).tolist()
+    s = spark.createDataFrame([(*at[i % 40], (i % 7) / 7) for i in range(400)], "x_m double, y_m double, strain_gradient_score double")
+    c = spark.createDataFrame([(i, float(i % 60) * 1e3, float(i % 60) * -2e3) for i in range(600)] + [(600, float("nan"), 0.0)], "cluster_id long, center_x_m double, center_y_m double").coalesce(1)
+    seen, sums = [], faults._with_sums
+    monkeypatch.setattr(faults, "PLACE_ROWS", 10)
+    monkeypatch.setattr(faults, "_with_sums", lambda places, held: seen.append((places.count(), places.rdd.getNumPartitions(), len(held))) or sums(places, held))
+    got = {r["cluster_id"]: r["gnss_score"] for r in faults.gnss_proximity_score(c, s).collect()}
+    assert seen == [(60, 6, 40)]
+    for i in (0, 59, 60, 599):
+        x, y = (i % 60) * 1e3, (i % 60) * -2e3
+        want = np.mean([(j % 7) / 7 / max(1, math.hypot(at[j % 40][0] - x, at[j % 40][1] - y) / 1000) for j in range(400)])
+        assert got[i] == pytest.approx(min(1.0, 10 * want), rel=1e-9)
+    assert len(got) == 601 and got[600] == 0.0
