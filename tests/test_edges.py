@@ -750,3 +750,22 @@ def test_an_id_and_a_second_are_resolved_once(spark, monkeypatch):
     got = {r["n"]: r["resolved_event_id"] for r in stations.resolve_spectrum_event(spectra, events).collect()}
     assert pairs == [len(cases)]
     assert got == {i: want for i, (_, _, want) in enumerate(cases * 50) if want}
+
+
+def test_tiles_are_counted_and_met_without_an_exchange_of_members(spark):
+    """Sizes of tiles without their members; members, and traces' ends, like plain loops."""
+    rng = np.random.default_rng(9)
+    start = datetime.datetime(2020, 1, 1)
+    rows = [(f"e{i:03d}", *map(float, rng.uniform(0, 6e4, 2)), float(rng.uniform(0, 2e4)), None if i == 7 else start + datetime.timedelta(days=int(rng.integers(20))), float(i), 1.0) for i in range(250)]
+    df = spark.createDataFrame(rows, "event_id string, x_m double, y_m double, z_m double, time_utc timestamp, lon double, lat double")
+    members = faults.multiscale_tiles(df)
+    plan = members._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    found = members.collect()
+    want = {}
+    for r in found:
+        want.setdefault((r["cluster_id"], r["method"]), []).append(r)
+    assert {(r["cluster_id"], r["method"]): r["n"] for r in faults.tile_sizes(df).collect()} == {k: len(v) for k, v in want.items()}
+    traces = {r["cluster_id"]: (r["inference_method"], [p["lon"] for p in r["trace"]]) for r in faults.candidate_traces(members).collect()}
+    when = lambda r: (r["time_utc"] or datetime.datetime.min, r["event_id"])
+    assert traces == {c: (m, [min(v, key=when)["lon"], max(v, key=when)["lon"]]) for (c, m), v in want.items()}
