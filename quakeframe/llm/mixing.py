@@ -9,8 +9,9 @@ is coded: where the previous word occurred before in the text, one bit says whet
 probability moves with how often that was so in this text and with the run of hits before.
 
 Statistics of contexts come from all training texts, each task counting its share and the shares being added by range of
-slots. Weights and maps are learned online, one small step after another, from up to ``TUNE_DOCS`` training texts which are left out of these
-statistics, so that what they teach is how far a context holds for a text not counted.
+slots. Weights and maps are learned from all training texts too: these fall into two halves, and each half is predicted from the statistics of
+the other, so that what a text teaches is how far a context holds for a text not counted. Each task learns online, one small step after
+another; its weights count in the mean by the bits it saw for each gate, and counts of maps are added. The prefix code follows the bytes of all training texts.
 
 Work on words is exchanged in blocks. Documents are read in chunks of about ``CHUNK_BYTES``: a chunk scores its texts,
 keeps the documents that each distinct word stands in, and sends its words' hashes and training counts to buckets of the hash range.
@@ -28,20 +29,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, _power, _R, filled, fold, stored, text_slices, tune
+from .common import SPACES, Words, _power, _R, filled, fold, stored, text_slices, tune
 
 CHUNK_BYTES, COUNT_BYTES, BUCKET_BYTES, MAX_BUCKETS, MAX_CHUNK_DOCS, MERGE_ENTRIES = 6 << 20, 4 << 20, 64 << 20, 16384, 60_000, 4 << 20
-#: training texts that fit weights and maps (a bounded sample of labelled rows: at most so many, so long, and of so large a share)
-TUNE_DOCS, TUNE_BYTES, TUNE_SHARE = 800, 64 << 10, 0.05
 TASK_BYTES, LEAST_TASK_BYTES = 128 << 20, 32 << 20  # text that a task counts before its counts are sent
 LEAST_BITS, MOST_BITS, SLOT_BYTES = 16, 22, 4  # slots of the largest table: about one for each SLOT_BYTES of text, within bounds
 HEAD, BATCH_BYTES, BATCH_TOKENS, BLOCK = 3, 1 << 15, 1 << 12, 1 << 14
+STEP_BYTES, STEP_TOKENS = 1 << 13, 1 << 10  # of words and tokens that a step of learning sees
 ODDS = 16.0  # log-odds are kept in sixteenths
-CELLS, SPREAD = 64, 8.0
+CELLS, SPREAD, MAP_PRIOR = 64, 8.0, 4.0
+_STEPS = np.arange(256, dtype=np.uint8).view(np.int8).astype(np.float64) / ODDS
 END = b"\n"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -209,15 +211,23 @@ class Texts:
 
 def count_bits(texts: Texts, wanted: np.ndarray, code: Code, bits: tuple[int, ...], tables: list[np.ndarray]) -> None:
     """Adds the wanted texts to counts of bits: tables[j][2 * slot + bit]."""
-    token = wanted[texts.all_doc]
-    times = np.bincount(texts.all_word[token], minlength=len(texts.lens)).astype(np.int32)
+    count_shares(texts, [wanted], code, bits, [tables])
+
+
+def count_shares(texts: Texts, shares: list[np.ndarray], code: Code, bits: tuple[int, ...], tables: list[list[np.ndarray]]) -> None:
+    """Adds each share of the texts to its own tables."""
+    tokens = [wanted[texts.all_doc] for wanted in shares]
+    times = [np.bincount(texts.all_word[t], minlength=len(texts.lens)).astype(np.int32) for t in tokens]
     keys, first, head, bit = [], [], [], []
     done = 0
     for a, b, chars in _batches(texts.lens, texts.chars):
         w = word_bits(texts.lens[a:b], chars, code)
-        weight = np.repeat(times[a:b], np.diff(np.append(w.first, len(w.bit))))
-        for table, h, k in zip(tables, w.contexts, bits):
-            np.add.at(table, 2 * _slots(h, k) + w.bit, weight)
+        per_word = np.diff(np.append(w.first, len(w.bit)))
+        weights = [np.repeat(n[a:b], per_word) for n in times]
+        for j, (h, k) in enumerate(zip(w.contexts, bits)):
+            slot = 2 * _slots(h, k) + w.bit
+            for table, weight in zip(tables, weights):
+                np.add.at(table[j], slot, weight)
         at = _ragged(w.first, w.head)
         keys.append(w.contexts[2][at])
         bit.append(w.bit[at])
@@ -225,12 +235,13 @@ def count_bits(texts: Texts, wanted: np.ndarray, code: Code, bits: tuple[int, ..
         head.append(w.head)
         done += len(at)
     keys, bit, first, head = (np.concatenate(x) for x in (keys, bit, first, head))
-    words, before = texts.all_word[token], texts.before[token]
-    for a in range(0, len(words), BATCH_TOKENS):
-        w = words[a : a + BATCH_TOKENS]
-        at = _ragged(first[w], head[w])
-        slot = _pair(keys[at], np.repeat(before[a : a + BATCH_TOKENS], head[w]), bits[3])
-        np.add.at(tables[3], 2 * slot + bit[at], _ONE)
+    for table, token in zip(tables, tokens):
+        words, before = texts.all_word[token], texts.before[token]
+        for a in range(0, len(words), BATCH_TOKENS):
+            w = words[a : a + BATCH_TOKENS]
+            at = _ragged(first[w], head[w])
+            slot = _pair(keys[at], np.repeat(before[a : a + BATCH_TOKENS], head[w]), bits[3])
+            np.add.at(table[3], 2 * slot + bit[at], _ONE)
 
 
 def log_odds(table: np.ndarray) -> np.ndarray:
@@ -243,20 +254,37 @@ def log_odds(table: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """Gated weights over log-odds (in sixteenths) and a refining map; both learn online."""
+    """Gated weights over log-odds (in sixteenths), learned online, and a refining map of what bits came where."""
 
     def __init__(self, gates: int, inputs: int):
         self.weights = np.full((gates, inputs + 1), 0.4)
         self.weights[:, -1] = 0
-        level = (np.arange(CELLS) + 0.5) * (2 * SPREAD / CELLS) - SPREAD
-        self.refine = np.tile(1 / (1 + np.exp(-level)), (256, 1)).astype(np.float32)
+        self.mass = np.zeros(gates)  # bits that taught each gate
+        self.seen, self.ones = np.zeros(256 * CELLS), np.zeros(256 * CELLS)  # of each cell of the map
+        self.freeze()
 
     def freeze(self) -> None:
-        """Tables of each gate's weight times each log-odds, for speed."""
-        steps = np.arange(256, dtype=np.uint8).view(np.int8).astype(np.float64) / ODDS
-        self.parts = [(self.weights[:, j : j + 1] * steps).astype(np.float32).reshape(-1) for j in range(self.weights.shape[1] - 1)]
+        """Tables of each gate's weight times each log-odds, for speed, and the map."""
+        self._tables()
+        level = np.tile((np.arange(CELLS) + 0.5) * (2 * SPREAD / CELLS) - SPREAD, 256)
+        self.refine = ((self.ones + MAP_PRIOR / (1 + np.exp(-level))) / (self.seen + MAP_PRIOR)).astype(np.float32)
+
+    def _tables(self) -> None:
+        self.parts = [(self.weights[:, j : j + 1] * _STEPS).astype(np.float32).reshape(-1) for j in range(self.weights.shape[1] - 1)]
         self.parts[0] += np.repeat(self.weights[:, -1], 256).astype(np.float32)
 
+    def sums(self) -> list[np.ndarray]:
+        """What adds up over tasks."""
+        return [np.concatenate([(self.weights * self.mass[:, None]).reshape(-1), self.mass]), np.concatenate([self.seen, self.ones])]
+
+    def mean_of(self, sums: list[np.ndarray]) -> None:
+        """Takes the means of weights by mass, and the map, from added-up sums."""
+        total, self.mass = np.split(sums[0], [self.weights.size])
+        met = self.mass > 0
+        self.weights[met] = total.reshape(self.weights.shape)[met] / self.mass[met, None]
+        self.seen, self.ones = np.split(sums[1], 2)
+        self.freeze()
+
     def _cell(self, dot: np.ndarray, node: np.ndarray) -> np.ndarray:
         return node.astype(np.int64) * CELLS + ((dot + SPREAD) * (CELLS / (2 * SPREAD))).astype(np.int64)
 
@@ -267,25 +295,32 @@ class Mixer:
         for part, o in zip(self.parts[1:], odds[1:]):
             dot += part[row + o.view(np.uint8)]
         np.clip(dot, -SPREAD, SPREAD - 1e-3, out=dot)
-        p = np.float32(0.5) / (1 + np.exp(-dot)) + np.float32(0.5) * self.refine.reshape(-1)[self._cell(dot, node)]
+        p = np.float32(0.5) / (1 + np.exp(-dot)) + np.float32(0.5) * self.refine[self._cell(dot, node)]
         return np.log(np.clip(np.where(bit == 1, p, 1 - p), np.float32(1e-5), None))
 
     def learn(self, odds: list[np.ndarray], gate: np.ndarray, node: np.ndarray, bit: np.ndarray, mass: np.ndarray | None = None, rate: float = 0.02) -> None:
         """One small step on bits that are predicted from what was learned before them."""
-        inputs = [*(o / ODDS for o in odds), np.ones(len(bit))]
-        w = self.weights[gate]
-        dot = np.clip(sum(w[:, j] * o for j, o in enumerate(inputs)), -SPREAD, SPREAD - 1e-3)
-        mass = np.ones(len(bit)) if mass is None else mass
-        error = mass * (bit - 1 / (1 + np.exp(-dot)))
-        total = np.bincount(gate, weights=mass, minlength=len(self.weights))
+        gates = len(self.weights)
+        row = gate.astype(np.int64) << 8
+        at = [row + o.view(np.uint8) for o in odds]
+        dot = self.parts[0][at[0]]
+        for part, i in zip(self.parts[1:], at[1:]):
+            dot += part[i]
+        np.clip(dot, -SPREAD, SPREAD - 1e-3, out=dot)
+        error = bit - 1 / (1 + np.exp(-dot))
+        cell = self._cell(dot, node)
+        if mass is not None:
+            error *= mass
+        total = np.bincount(gate, weights=mass, minlength=gates)
         pace = rate * np.minimum(total, 40.0) / np.maximum(total, 1e-9)
-        for j, o in enumerate(inputs):
-            self.weights[:, j] += pace * np.bincount(gate, weights=error * o, minlength=len(self.weights))
-        hit, back = np.unique(self._cell(dot, node), return_inverse=True)
-        seen = np.bincount(back, weights=mass)
-        mean = np.bincount(back, weights=mass * bit) / np.maximum(seen, 1e-9)
-        flat = self.refine.reshape(-1)
-        flat[hit] += (1 - 0.98**seen) * (mean - flat[hit])
+        by_odds = [np.bincount(i, weights=error, minlength=gates * 256).reshape(gates, 256) for i in at]
+        for j, e in enumerate(by_odds):
+            self.weights[:, j] += pace * (e @ _STEPS)
+        self.weights[:, -1] += pace * by_odds[0].sum(axis=1)
+        self.mass += total
+        self.seen += np.bincount(cell, weights=mass, minlength=len(self.seen))
+        self.ones += np.bincount(cell, weights=bit if mass is None else mass * bit, minlength=len(self.seen))
+        self._tables()
 
 
 #: how sure log-odds are, 0 to 3, by their byte
@@ -309,16 +344,20 @@ class Model:
         w = word_bits(texts.lens[lo:hi], chars, self.code)
         return w, [t[_slots(h, k)] for t, h, k in zip(self.odds, w.contexts, self.bits)]
 
-    def prepare(self, texts: Texts) -> dict:
-        """What depends on a word alone: the cost of its bits after the head, and for its head bits the inputs and keys."""
+    def prepare(self, texts: Texts, times: np.ndarray | None = None) -> dict:
+        """What depends on a word alone: the cost of its bits after the head, and for its head bits the inputs and keys. Where it is told
+        how often each word stands there, the tail's mixer learns and nothing is charged."""
         got: dict[str, list] = {k: [] for k in ("tail", "keys", "bit", "sign", "packed", "first", "head")}
         done = 0
-        for a, b, chars in _batches(texts.lens, texts.chars):
+        for a, b, chars in _batches(texts.lens, texts.chars, BATCH_BYTES if times is None else STEP_BYTES):
             w, odds = self._word_parts(texts, a, b, chars)
-            per_word = np.diff(np.append(w.first, len(w.bit)))
-            at = _ragged(w.first + w.head, per_word - w.head)
-            cost = self.tail.cost([o[at] for o in odds], _tail_gate(odds, at), w.node[at], w.bit[at])
-            got["tail"].append(np.bincount(np.repeat(np.arange(b - a), per_word - w.head), weights=cost, minlength=b - a))
+            per_word = np.diff(np.append(w.first, len(w.bit))) - w.head
+            at = _ragged(w.first + w.head, per_word)
+            of_tail = [o[at] for o in odds], _tail_gate(odds, at), w.node[at], w.bit[at]
+            if times is None:
+                got["tail"].append(np.bincount(np.repeat(np.arange(b - a), per_word), weights=self.tail.cost(*of_tail), minlength=b - a))
+            else:
+                self.tail.learn(*of_tail, np.repeat(np.minimum(times[a:b], 30), per_word).astype(np.float64))
             at = _ragged(w.first, w.head)
             got["keys"].append(w.contexts[2][at])
             got["bit"].append(w.bit[at])
@@ -327,7 +366,7 @@ class Model:
             got["first"].append(done + np.cumsum(w.head) - w.head)
             got["head"].append(w.head)
             done += len(at)
-        return {k: np.concatenate(v) for k, v in got.items()}
+        return {k: np.concatenate(v) for k, v in got.items() if v}
 
     def _pairs(self, texts: Texts, words: dict) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds of the pair context at the head bits of all tokens, and of each token whether the previous word told
@@ -416,114 +455,160 @@ def repeats(texts: Texts) -> tuple[np.ndarray, ...]:
     return asked, hit, run, np.minimum(RATES - 1, (share * RATES).astype(np.int64))
 
 
-def learn(texts: Texts, code: Code, bits: tuple[int, ...], odds: list[np.ndarray], rounds: int = 3) -> Model:
-    """Weights and maps from texts that the tables do not hold, in small steps; the last are the finest."""
-    model = Model(code, bits, odds, Mixer(16 * RATES, 4), Mixer(16, 3), np.full((RUNS, RATES), 0.1))
-    if not len(texts.all_word):
-        model.head.freeze(), model.tail.freeze()
-        return model
+def blank(code: Code, bits: tuple[int, ...], odds: list[np.ndarray]) -> Model:
+    """A model that has learned nothing but its tables."""
+    return Model(code, bits, odds, Mixer(16 * RATES, 4), Mixer(16, 3), again_of(np.zeros((2, RUNS, RATES))))
+
+
+def again_of(told: np.ndarray) -> np.ndarray:
+    """From how often it was asked, and hit, by run and rate. A rate that few texts showed stays near the steps' own meaning."""
+    return (told[1] + 2 * (np.arange(RATES) + 0.5) / RATES) / (told[0] + 2)
+
+
+def teach(model: Model, texts: Texts, told: np.ndarray) -> None:
+    """Weights and maps learn from texts that the tables do not hold; adds to told how often a follower was asked for and hit."""
     asked, hit, run, often = repeats(texts)
-    for r in range(RUNS):
-        for f in range(RATES):
-            at = asked & (run == r) & (often == f)
-            # a rate that no text showed stays near the steps' own meaning
-            model.again[r, f] = (hit[at].sum() + 2 * (f + 0.5) / RATES) / (at.sum() + 2)
-    model.head.freeze(), model.tail.freeze()
-    words = model.prepare(texts)
-    times = np.bincount(texts.all_word, minlength=len(texts.lens))
-    for k in range(rounds):
-        rate = 0.02 / (1 + 2 * k)
-        for _, _, odds_of, gate, node, bit in model._heads(texts, words, 256):
-            model.head.learn(odds_of, gate, node, bit, rate=rate)
-        for a, b, chars in _batches(texts.lens, texts.chars, 1 << 12):
-            w, got = model._word_parts(texts, a, b, chars)
-            per_word = np.diff(np.append(w.first, len(w.bit))) - w.head
-            at = _ragged(w.first + w.head, per_word)
-            mass = np.repeat(np.minimum(times[a:b], 30), per_word).astype(np.float64)
-            model.tail.learn([o[at] for o in got], _tail_gate(got, at), w.node[at], w.bit[at], mass, rate)
+    for k, which in enumerate((asked, hit)):
+        told[k] += np.bincount(run[which] * RATES + often[which], minlength=RUNS * RATES).reshape(RUNS, RATES)
+    words = model.prepare(texts, np.bincount(texts.all_word, minlength=len(texts.lens)))
+    for _, _, odds, gate, node, bit in model._heads(texts, words, STEP_TOKENS):
+        model.head.learn(odds, gate, node, bit)
+
+
+def learn(texts: Texts, code: Code, bits: tuple[int, ...], odds: list[np.ndarray]) -> Model:
+    """A model whose weights and maps come from these texts, which the tables do not hold."""
+    model, told = blank(code, bits, odds), np.zeros((2, RUNS, RATES))
+    teach(model, texts, told)
     model.head.freeze(), model.tail.freeze()
+    model.again = again_of(told)
     return model
 
 
 # ---------------------------------------------------------------- tables
 
 
-def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Texts]:
-    """Texts of about ``limit`` bytes from batches of doc_id, text and a flag."""
-    texts = Texts()
+def gathered(batches: Iterator[pa.RecordBatch], limit: int, apart: bool = False) -> Iterator[Texts]:
+    """Texts of about ``limit`` bytes from batches of doc_id, text and a flag; ``apart``: of one flag each."""
+    open_: dict[bool | None, Texts] = {}
     for batch in batches:
-        ids, held = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-        for lo, hi, data, offs in text_slices(filled(batch.column(1))):
-            if texts.parts and (texts.bytes + len(data) > limit or len(texts.doc_ids) + hi - lo > MAX_CHUNK_DOCS):
-                texts.close()
-                yield texts
-                texts = Texts()
-            texts.add(ids[lo:hi], held[lo:hi], data, offs)
-    if texts.parts:
+        for flag in (False, True) if apart else (None,):
+            part = batch if flag is None else batch.filter(pc.equal(batch.column(2), flag))
+            ids, held = part.column(0).to_pylist(), part.column(2).to_pylist()
+            for lo, hi, data, offs in text_slices(filled(part.column(1))):
+                texts = open_.setdefault(flag, Texts())
+                if texts.parts and (texts.bytes + len(data) > limit or len(texts.doc_ids) + hi - lo > MAX_CHUNK_DOCS):
+                    texts.close()
+                    yield texts
+                    texts = open_[flag] = Texts()
+                texts.add(ids[lo:hi], held[lo:hi], data, offs)
+    for texts in open_.values():
         texts.close()
         yield texts
 
 
-def tuning(n_rows: int) -> Column:
-    """True for a small share of the training rows, picked by a hash of the id."""
-    every = max(int(1 / TUNE_SHARE), n_rows // (TUNE_DOCS // 2))
-    return F.col("doc_id").isNotNull() & ~fold(7, 2) & (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(every)) == 0)
-
+def byte_counts(train: DataFrame) -> np.ndarray:
+    """How often each byte is coded: lower-cased, with a space after each word and an end mark after each text."""
 
-def fit(docs: DataFrame, text_bytes: int, n_rows: int) -> Model:
-    """Tables from all training texts but the tuning ones, mixer and maps from these."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(256, np.int64)
+        for batch in batches:
+            n[END[0]] += batch.num_rows
+            for _, _, data, offs in text_slices(filled(batch.column(0))):
+                shown = np.bincount(_LOWER[data], minlength=256)
+                shown[SPACES] = 0
+                n += shown
+                inside = ~SPACES[data]
+                begins = inside.copy()
+                begins[1:] &= ~inside[:-1]
+                edge = offs[1:-1][(offs[1:-1] > 0) & (offs[1:-1] < len(data))]
+                begins[edge] = inside[edge]
+                n[32] += int(begins.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(n)], names=["byte", "n"])
+
+    out = np.zeros(256, np.int64)
+    for r in train.select("text").mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():  # 256 rows
+        out[r["byte"]] = r["n"]
+    return out
+
+
+def fit(docs: DataFrame, text_bytes: int) -> Model:
+    """Tables from all training texts; mixers and maps from all of them too, each half predicted from tables of the other."""
     spark = docs.sparkSession
-    pick = docs.where(tuning(n_rows) & (F.coalesce(F.octet_length("text"), F.lit(0)) <= TUNE_BYTES))
-    # at most TUNE_DOCS texts of at most TUNE_BYTES
-    rows = pick.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(TUNE_DOCS).collect()
-    tune_on = Texts()
-    col = filled(pa.array([r["text"] for r in rows], pa.string()))
-    for lo, hi, data, offs in text_slices(col):
-        tune_on.add([r["doc_id"] for r in rows[lo:hi]], [False] * (hi - lo), data, offs)
-    if not tune_on.parts:
-        tune_on.add([], [], np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    tune_on.close()
-    words_at = tune_on.all_word
-    shown = np.bincount(tune_on.chars, minlength=256) * 4 + 1
-    shown[32] += 4 * len(words_at)
-    code, bits = prefix_code(shown), table_bits(text_bytes)
+    train = docs.where(~fold(7, 2)).select("doc_id", "text", (F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)) == 1).alias("half"))
+    code, bits = prefix_code(byte_counts(train)), table_bits(text_bytes)
     starts = np.concatenate([[0], np.cumsum([2 << b for b in bits])])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros(2 << b, np.int32) for b in bits]
+        halves = [[np.zeros(2 << b, np.int32) for b in bits] for _ in range(2)]
         for texts in gathered(batches, COUNT_BYTES):
-            count_bits(texts, np.ones(len(texts.doc_ids), bool), code, bits, tables)
-        for start, table in zip(starts, tables):
-            blocks = table.reshape(-1, BLOCK)
-            for b in np.flatnonzero(blocks.any(axis=1)):
-                at = np.flatnonzero(blocks[b])  # most slots of a share are empty
-                yield _batch([[int(start // BLOCK + b), at.astype("<u2").tobytes(), blocks[b][at].astype("<u4").tobytes()]], ["block", "at", "counts"], [pa.int32(), pa.binary(), pa.binary()])
+            half = np.array(texts.held, dtype=bool)
+            count_shares(texts, [~half, half], code, bits, halves)
+        for half, tables in enumerate(halves):
+            for start, table in zip(starts, tables):
+                blocks = table.reshape(-1, BLOCK)
+                for b in np.flatnonzero(blocks.any(axis=1)):
+                    at = np.flatnonzero(blocks[b])  # most slots of a share are empty
+                    row = [int(start // BLOCK + b), half, at.astype("<u2").tobytes(), blocks[b][at].astype("<u4").tobytes()]
+                    yield _batch([row], ["block", "half", "at", "counts"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, total = None, None
         for batch in batches:
-            for b, at, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            for b, half, at, counts in zip(*(c.to_pylist() for c in batch.columns)):
                 if b != block:
                     if block is not None:
                         yield _odds_of(block, total)
-                    block, total = b, np.zeros(BLOCK, np.float64)
-                total[np.frombuffer(at, "<u2")] += np.frombuffer(counts, "<u4")
+                    block, total = b, np.zeros((2, BLOCK), np.float64)
+                total[half, np.frombuffer(at, "<u2")] += np.frombuffer(counts, "<u4")
         if block is not None:
             yield _odds_of(block, total)
 
     def _odds_of(block: int, total: np.ndarray) -> pa.RecordBatch:
-        return _batch([[block, log_odds(total).tobytes()]], ["block", "odds"], [pa.int32(), pa.binary()])
+        odds = [log_odds(t).tobytes() for t in (*total, total.sum(axis=0))]
+        return _batch([[block, *odds]], ["block", *names], [pa.int32(), *[pa.binary()] * 3])
 
-    train = docs.where(~fold(7, 2) & ~tuning(n_rows)).select("doc_id", "text", F.lit(False).alias("held"))
+    names = ["first", "second", "both"]
     tasks = max(-(-text_bytes // TASK_BYTES), min(spark.sparkContext.defaultParallelism, -(-text_bytes // LEAST_TASK_BYTES)), 1)
-    parts = train.coalesce(tasks).mapInArrow(count, "block int, at binary, counts binary")
+    parts = train.coalesce(tasks).mapInArrow(count, "block int, half int, at binary, counts binary")
     partitions = min(int(starts[-1]) // BLOCK, max(8, 4 * tasks))
-    summed = parts.repartition(partitions, "block").sortWithinPartitions("block").mapInArrow(add, "block int, odds binary")
-    flat = np.zeros(int(starts[-1]) // 2, np.int8)
-    for r in stored(summed, "contexts").collect():  # at most 2 ** MOST_BITS * 2 bytes
-        flat[r["block"] * (BLOCK // 2) : (r["block"] + 1) * (BLOCK // 2)] = np.frombuffer(r["odds"], np.int8)
-    odds = [flat[a // 2 : b // 2] for a, b in zip(starts[:-1], starts[1:])]
-    return learn(tune_on, code, bits, odds)
+    summed = parts.repartition(partitions, "block").sortWithinPartitions("block").mapInArrow(add, "block int, first binary, second binary, both binary")
+    flat = np.zeros((3, int(starts[-1]) // 2), np.int8)
+    for r in stored(summed, "contexts").collect():  # at most 2 ** MOST_BITS * 6 bytes
+        for k, name in enumerate(names):
+            flat[k, r["block"] * (BLOCK // 2) : (r["block"] + 1) * (BLOCK // 2)] = np.frombuffer(r[name], np.int8)
+    first, second, both = ([f[a // 2 : b // 2] for a, b in zip(starts[:-1], starts[1:])] for f in flat)
+    model = blank(code, bits, both)
+    learned(train, blank(code, bits, first), blank(code, bits, second), model)
+    return model
+
+
+def learned(train: DataFrame, first: Model, second: Model, model: Model) -> None:
+    """Gives the model weights and maps that tasks learn from their training texts, each predicted from tables of the half it is not in."""
+    shared = train.sparkSession.sparkContext.broadcast((first.code, first.bits, first.odds, second.odds))  # at most 2 ** MOST_BITS * 4 bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, bits, first_odds, second_odds = shared.value
+        pupil, told = blank(code, bits, first_odds), np.zeros((2, RUNS, RATES))
+        for texts in gathered(batches, CHUNK_BYTES, apart=True):
+            pupil.odds = first_odds if texts.held[0] else second_odds
+            teach(pupil, texts, told)
+        for kind, values in enumerate((*pupil.head.sums(), *pupil.tail.sums(), told.reshape(-1))):
+            yield _batch([[kind, values.astype("<f8").tobytes()]], ["kind", "sums"], [pa.int32(), pa.binary()])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for kind, sums in zip(*(c.to_pylist() for c in batch.columns)):
+                total[kind] = total.get(kind, 0) + np.frombuffer(sums, "<f8")
+        for kind, values in total.items():
+            yield _batch([[kind, values.tobytes()]], ["kind", "sums"], [pa.int32(), pa.binary()])
+
+    schema = "kind int, sums binary"
+    sums = {r["kind"]: np.frombuffer(r["sums"], "<f8").copy() for r in train.mapInArrow(run, schema).repartition(8, "kind").mapInArrow(add, schema).collect()}  # 5 rows
+    if sums:
+        model.head.mean_of([sums[0], sums[1]])
+        model.tail.mean_of([sums[2], sums[3]])
+        model.again = again_of(sums[4].reshape(2, RUNS, RATES))
 
 
 # ---------------------------------------------------------------- chunks and buckets
@@ -639,9 +724,9 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     tune(spark)
     docs = docs.select("doc_id", "text")
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum((~fold(7, 2)).cast("long")), F.lit(0)).alias("ends")).first()
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"), F.coalesce(F.sum((~fold(7, 2)).cast("long")), F.lit(0)).alias("ends")).first()
     buckets, ends = min(MAX_BUCKETS, max(8, -(-size["n"] // BUCKET_BYTES))), int(size["ends"])
-    chunks = stored(chunked(docs, fit(docs, size["n"], size["rows"]), buckets), "chunks")
+    chunks = stored(chunked(docs, fit(docs, size["n"]), buckets), "chunks")
     partitions = max(buckets, 2 * spark.sparkContext.defaultParallelism)
     lex = lexicon(chunks, partitions)
     total = lex.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()

@@ -531,6 +531,20 @@ def test_mixing_model():
     assert (model.costs(mixing_texts(["", "  ", "a" * 5000])) < 0).all()
 
 
+def test_mixing_learns_from_all_training_texts(spark, docs_of):
+    """Every training text is counted and teaches the mixers, also long ones, and the prefix code follows all their bytes."""
+    texts = [prose(RNG.randint(1, 40)) for _ in range(1200)] + [prose(15_000), "ab\tcd", None, "x"]
+    size = sum(len(t or "") for t in texts)
+    model = mixing.fit(docs_of(texts), size)
+    train = [words_of(t) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    shown = Counter(c for ws in train for w in ws for c in w.encode() + b" ")
+    shown[10] = len(train)
+    assert dict(enumerate(mixing.byte_counts(docs_of(texts).where(~mixing.fold(7, 2))))) == {b: shown[b] for b in range(256)}
+    coded = [w.encode() + b" " for ws in train for w in ws] + [b"\n"] * len(train)
+    bits = sum(int(model.code.length[list(w[: mixing.HEAD])].sum()) for w in coded)
+    assert model.head.mass.sum() == model.head.seen.sum() == bits
+
+
 def brute_rules(t):
     t = t or ""
     w = WORD.findall(t)
