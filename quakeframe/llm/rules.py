@@ -1,29 +1,35 @@
 """Quality rules with an isolation forest.
 
 Rule statistics of each whole text (words, symbols, repeated lines and word windows) feed isolation forests: trees of
-random splits grown on a bounded sample of rows labelled good with a small share of unlabelled ones, the mean path
+random splits grown on all rows labelled good and, with a small weight, all unlabelled ones, the mean path
 length giving an anomaly score. Many statistics dilute what sets junk apart, so one forest is grown for each of a few
-sets of statistics (VIEWS); labelled rows calibrate the threshold of each, and the forest that separates them best while
+sets of statistics (VIEWS); all labelled rows calibrate the threshold of each, and the forest that separates them best while
 rejecting few good rows is used.
 
+Rows are dealt to the trees, so that each teaches as many trees as give a tree ``PER_TREE`` rows, and at least one. All trees grow by a level in a round: tasks
+find ranges and weights of their rows at each open node, these are put together, and the driver draws the splits. Thresholds come from
+counts by score, ranged over all tasks.
+
 Defined results: a null or empty text has zero counts and fails the base rule (fewer than 10 words); without labels
-of both kinds nothing is rejected beyond the base rule; repeated rows get equal verdicts; of the texts of one id one is
-sampled; columns named like the results, in any case, are replaced; an empty table gives no rows.
+of both kinds nothing is rejected beyond the base rule; repeated rows get equal verdicts; each row of a repeated id
+counts; columns named like the results, in any case, are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, Words, mix, text_slices, with_columns, _R
+from .common import SPACES, Words, filled, mix, stored, text_slices, tune, with_columns, _R
 
 SAMPLE_ROWS, SAMPLE_LABELS, TREES, PER_TREE = 8192, 20000, 100, 256
+STRIDE, SPANS = 37, 32  # between the trees that a row teaches; and parts that the nodes of a level are put together in
 MAX_GOOD_REJECTED, UNLABELLED_SHARE, LEAST_UNLABELLED = 0.005, 0.03, 32
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _NEWLINE = np.zeros(256, dtype=bool)
@@ -117,33 +123,74 @@ class Forest:
     view: list[int]
 
 
-def _expected(n: int) -> float:
-    """Mean path length of an unsuccessful search among n rows."""
-    return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
-
-
-def grow(x: np.ndarray, view: list[int] = VIEWS[0], trees: int = TREES, per_tree: int = PER_TREE, seed: int = 1) -> Forest:
-    x = x[:, view]
-    rng = np.random.default_rng(seed)
-    m = min(per_tree, len(x))
-    height = max(1, int(np.ceil(np.log2(max(2, m)))))
-    nodes = 2 ** (height + 1)
-    feature, split, depth = np.full((trees, nodes), -1), np.zeros((trees, nodes)), np.zeros((trees, nodes))
-    for t in range(trees):
-        open_ = [(1, x[rng.choice(len(x), m, replace=False)], 0)]
-        while open_:
-            node, rows, level = open_.pop()
-            low, high = rows.min(axis=0), rows.max(axis=0)
-            usable = np.flatnonzero(high > low)
-            if level == height or len(rows) <= 1 or not len(usable):
-                depth[t, node] = level + _expected(len(rows))
-                continue
-            f = rng.choice(usable)
-            at = rng.uniform(low[f], high[f])
-            feature[t, node], split[t, node] = f, at
-            left = rows[:, f] <= at
-            open_ += [(2 * node, rows[left], level + 1), (2 * node + 1, rows[~left], level + 1)]
-    return Forest(feature, split, depth, max(_expected(m), 1e-9), np.inf, view)
+def _expected(n) -> np.ndarray:
+    """Mean path length of an unsuccessful search among rows of weight n."""
+    n = np.asarray(n, dtype=np.float64)
+    more = np.maximum(n, 2.0)
+    return np.where(n <= 2, np.maximum(n - 1, 0.0), np.maximum(1.0, 2 * (np.log(more - 1) + np.euler_gamma) - 2 * (more - 1) / more))
+
+
+class Growth:
+    """Trees of all views, grown level by level: a tree's first node is 1, and node i has the children 2 i and 2 i + 1."""
+
+    def __init__(self, height: int, trees: int = TREES, seed: int = 1):
+        self.trees, self.height, self.level, self.rng = trees, height, 0, np.random.default_rng(seed)
+        shape = (len(VIEWS) * trees, 2 ** (height + 1))
+        self.feature, self.split, self.depth = np.full(shape, -1, np.int8), np.zeros(shape), np.zeros(shape)
+
+    def places(self, x: np.ndarray, tree: np.ndarray) -> np.ndarray:
+        """The node that each row has come to in its tree."""
+        rows, node = np.arange(len(x)), np.ones(len(x), dtype=np.int64)
+        while True:
+            f = self.feature[tree, node]
+            inner = f >= 0
+            if not inner.any():
+                return node
+            node = np.where(inner, 2 * node + (x[rows, np.maximum(f, 0)] > self.split[tree, node]), node)
+
+    def tally(self, x: np.ndarray, weight: np.ndarray, row: np.ndarray, copies: int) -> tuple[np.ndarray, ...]:
+        """Open nodes that rows have come to, as tree * nodes of the level + place, with the lowest and highest statistics and the weight of each."""
+        width, got = 1 << self.level, []
+        for c in range(copies):
+            bag = (row % np.uint64(self.trees)).astype(np.int64) + c * STRIDE
+            for v in range(len(VIEWS)):
+                tree = v * self.trees + bag % self.trees
+                node = self.places(x, tree)
+                at = np.flatnonzero(node >= width)
+                got.append(together(tree[at] * width + node[at] - width, x[at], x[at], weight[at]))
+        return together(*(np.concatenate(g) for g in zip(*got)))
+
+    def add_level(self, key: np.ndarray, low: np.ndarray, high: np.ndarray, weight: np.ndarray) -> None:
+        """Closes the level's nodes or draws their splits, from what all rows told."""
+        width, level = 1 << self.level, self.level
+        tree, node = key // width, key % width + width
+        self.depth[:, width : 2 * width] = level
+        self.depth[tree, node] += _expected(weight)
+        if level < self.height:
+            shown = np.zeros((len(VIEWS), low.shape[1]), dtype=bool)
+            for v, view in enumerate(VIEWS):
+                shown[v, view] = True
+            chance = np.where((weight[:, None] > 1) & (high > low) & shown[tree // self.trees], self.rng.random(low.shape), -1.0)
+            drawn, part = np.argmax(chance, axis=1), self.rng.random(len(key))
+            can, i = chance.max(axis=1) >= 0, np.arange(len(key))
+            self.feature[tree[can], node[can]] = drawn[can]
+            self.split[tree[can], node[can]] = (low[i, drawn] + part * (high[i, drawn] - low[i, drawn]))[can]
+        self.level += 1
+
+    def forests(self, mass: float) -> list[Forest]:
+        """A forest for each view, whose trees hold rows of so much weight."""
+        of_view = [slice(v * self.trees, (v + 1) * self.trees) for v in range(len(VIEWS))]
+        return [Forest(self.feature[s], self.split[s], self.depth[s], max(float(_expected(mass)), 1e-9), np.inf, VIEWS[0]) for s in of_view]
+
+
+def together(key: np.ndarray, low: np.ndarray, high: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One entry for each key."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    if not len(first):
+        return key, low, high, weight
+    return key[first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first), np.add.reduceat(weight[order], first)
 
 
 def anomaly(forest: Forest, x: np.ndarray) -> np.ndarray:
@@ -163,21 +210,27 @@ def anomaly(forest: Forest, x: np.ndarray) -> np.ndarray:
     return 2.0 ** (-(total / len(forest.feature)) / forest.scale)
 
 
-def calibrate(score: np.ndarray, good: np.ndarray, most: float = MAX_GOOD_REJECTED) -> tuple[float, float]:
-    """The threshold (scores above it are rejected) with the largest difference of rejected shares, bad less good, at
-    which at most ``most`` of the good rows are rejected, and that difference; infinite if none helps."""
-    if not good.any() or good.all():
-        return np.inf, 0.0
-    levels = np.unique(score)
-    bad_above = 1 - np.searchsorted(np.sort(score[~good]), levels, side="right") / (~good).sum()
-    good_above = 1 - np.searchsorted(np.sort(score[good]), levels, side="right") / good.sum()
-    gain = np.where(good_above <= most, bad_above - good_above, -1.0)
-    best = int(np.argmax(gain))
-    return (float(levels[best]), float(gain[best])) if gain[best] > 0 else (np.inf, 0.0)
+def calibrate(scored: DataFrame, most: float = MAX_GOOD_REJECTED) -> dict[int, tuple[float, float]]:
+    """From rows of view, score and whether good: for each view the threshold (scores above it are rejected) with the largest difference of
+    rejected shares, bad less good, at which at most ``most`` of the good rows are rejected, and that difference. A view that none helps is left out."""
+    levels = scored.groupBy("view", "score").agg(F.count_if(~F.col("good")).alias("bad"), F.count_if("good").alias("fine"))
+    # scores are ranged over the tasks, each of which holds few of them; a range's sums follow from the ranges before
+    ranged = levels.repartitionByRange("view", "score").withColumn("part", F.spark_partition_id())
+    levels = stored(ranged, "levels")
+    sums = levels.groupBy("view", "part").agg(F.sum("bad").alias("b"), F.sum("fine").alias("f"))
+    view = Window.partitionBy("view")
+    before = lambda c: F.coalesce(F.sum(c).over(view.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("view", "part", before("b").alias("bad_before"), before("f").alias("fine_before"), F.sum("b").over(view).alias("n_bad"), F.sum("f").over(view).alias("n_fine"))
+    within = Window.partitionBy("view", "part").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    shares = levels.select("view", "part", "score", F.sum("bad").over(within).alias("bad"), F.sum("fine").over(within).alias("fine")).join(F.broadcast(sums), ["view", "part"])  # a row for each range and view
+    above = lambda n, before_, total: 1 - (F.col(n) + F.col(before_)) / F.col(total)
+    shares = shares.where("n_bad > 0 and n_fine > 0").select("view", "score", above("bad", "bad_before", "n_bad").alias("b"), above("fine", "fine_before", "n_fine").alias("f"))
+    best = shares.where((F.col("f") <= most) & (F.col("b") > F.col("f"))).groupBy("view").agg(F.max(F.struct(F.col("b") - F.col("f"), -F.col("score"))).alias("m"))
+    return {r["view"]: (-r["m"][1], r["m"][0]) for r in best.collect()}  # a row for each view
 
 
 def sampled(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_labels: int = SAMPLE_LABELS) -> DataFrame:
-    """doc_id, good (null: unlabelled) and text of at most sample_rows + sample_labels rows."""
+    """doc_id, good (null: unlabelled) and text of at most sample_rows + sample_labels rows, for a look at them: forests and thresholds come from all rows."""
     order = F.xxhash64(F.col("doc_id"))
     ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(order, "doc_id").limit(sample_rows).withColumn("good", F.lit(None).cast("int"))
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
@@ -188,29 +241,102 @@ def sampled(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     return of_ids.groupBy("doc_id", "good").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_labels: int = SAMPLE_LABELS) -> Forest | None:
-    """Grows the forest on a bounded sample and calibrates it on a bounded sample of labelled rows."""
-    sample = sampled(docs, labels, sample_rows, sample_labels)
-    fields = [T.StructField("stats", T.ArrayType(T.LongType()))]
-    rows = with_columns(sample, fields, lambda col: [pa.array(list(statistics(col)), pa.list_(pa.int64()))]).select("doc_id", "good", "stats").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["stats"]))
-    stats = np.array([r["stats"] for r in rows], dtype=np.int64).reshape(-1, 11)
-    usual = ~_base_failed(stats)
-    plain = np.flatnonzero(np.array([r["good"] is None for r in rows], dtype=bool) & usual)
-    marked = np.array([r["good"] is not None for r in rows], dtype=bool) & usual
-    good = np.array([r["good"] == 1 for r in rows], dtype=bool)
-    clean = np.flatnonzero(marked & good)
-    few = np.random.default_rng(3).permutation(plain)[: max(LEAST_UNLABELLED, int(UNLABELLED_SHARE * len(clean)))]
-    grown_on = np.concatenate([clean, few]) if len(clean) >= 2 else plain
-    if len(grown_on) < 2:
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of each row that passes the base rule a hash, its ratios and good (1, 0; null: unlabelled), stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = statistics(filled(batch.column(1)))
+            usual = np.flatnonzero(~_base_failed(s))
+            x = ratios(s[usual])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.reshape(-1)))
+            at = pa.array(usual)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), lists], names=["doc_id", "row", "x"])
+
+    tune(docs.sparkSession)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    made = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).mapInArrow(run, f"doc_id {id_type}, row long, x array<double>")
+    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
+    return stored(made.join(known, "doc_id", "left").select("row", "x", "good"), "ratios")
+
+
+def _ratios_of(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+_TALLY = "span int, key binary, low binary, high binary, weight binary"
+
+
+def _told(span: int, sums: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([span], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in sums)], names=[c.split(" ")[0] for c in _TALLY.split(", ")])
+
+
+def _tally_of(row: dict) -> tuple[np.ndarray, ...]:
+    key = np.frombuffer(row["key"], np.int64)
+    low, high = (np.frombuffer(row[c], np.float64).reshape(len(key), -1) for c in ("low", "high"))
+    return key, low, high, np.frombuffer(row["weight"], np.float64)
+
+
+def grown(rows: DataFrame, good: int, plain: int, trees: int = TREES, per_tree: int = PER_TREE) -> list[Forest]:
+    """A forest for each view from all rows labelled good, with all unlabelled ones, or from the latter alone if fewer than two are good."""
+    share = min(1.0, max(LEAST_UNLABELLED, UNLABELLED_SHARE * good) / max(1, plain)) if good >= 2 else 1.0
+    rows = rows.where("good is null or good = 1") if good >= 2 else rows.where("good is null")
+    n, mass = (good + plain, good + share * plain) if good >= 2 else (plain, float(plain))
+    copies = max(1, min(trees, -(-per_tree * trees // n)))
+    in_tree = mass * copies / trees
+    growth = Growth(max(1, int(np.ceil(np.log2(max(2, min(per_tree, in_tree)))))), trees)
+    for _ in range(growth.height + 1):
+        shared = rows.sparkSession.sparkContext.broadcast(growth)  # trees of a bounded number of nodes
+
+        def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            so_far, whole = [], None
+            for batch in batches:
+                weight = np.where(batch.column("good").is_null().to_numpy(zero_copy_only=False), share, 1.0)
+                so_far.append(shared.value.tally(_ratios_of(batch), weight, batch.column("row").to_numpy().view(np.uint64), copies))
+                if len(so_far) == 16:
+                    so_far = [together(*(np.concatenate(g) for g in zip(*so_far)))]
+            if so_far:
+                whole = together(*(np.concatenate(g) for g in zip(*so_far)))
+                span = whole[0] * SPANS // (len(VIEWS) * trees << shared.value.level)
+                cut = np.searchsorted(span, np.arange(SPANS + 1))
+                for i in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+                    yield _told(i, tuple(a[cut[i] : cut[i + 1]] for a in whole))
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, tuple[np.ndarray, ...]] = {}
+            for batch in batches:
+                for row in batch.to_pylist():
+                    parts = [_tally_of(row), *([total[row["span"]]] if row["span"] in total else [])]
+                    total[row["span"]] = together(*(np.concatenate(g) for g in zip(*parts)))
+            for span, sums in total.items():
+                yield _told(span, sums)
+
+        told = rows.select("row", "x", "good").mapInArrow(tell, _TALLY).repartition(SPANS, "span").mapInArrow(add, _TALLY)
+        got = sorted(told.collect(), key=lambda r: r["span"])  # an entry for each node of the level
+        growth.add_level(*(np.concatenate(g) for g in zip(*map(_tally_of, got))))
+    return growth.forests(in_tree)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Forest | None:
+    """Grows forests on all rows and calibrates them on all labelled ones."""
+    rows = labelled(docs, labels)
+    n = rows.agg(F.count_if(F.col("good") == 1).alias("good"), F.count_if(F.col("good").isNull()).alias("plain")).first()
+    if (n["good"] if n["good"] >= 2 else n["plain"]) < 2:
         return None
-    x, best = ratios(stats), None
-    for view in VIEWS:
-        forest = grow(x[grown_on], view)
-        forest.threshold, gain = calibrate(anomaly(forest, x[marked]), good[marked])
-        if best is None or gain > best[0]:
-            best = gain, forest
-    return best[1]
+    forests = grown(rows, n["good"], n["plain"])
+    shared = rows.sparkSession.sparkContext.broadcast(forests)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, good = _ratios_of(batch), pa.array(batch.column("good").to_numpy(zero_copy_only=False) == 1)
+            for v, forest in enumerate(shared.value):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), v, np.int32)), pa.array(anomaly(forest, x)), good], names=["view", "score", "good"])
+
+    found = calibrate(rows.where("good is not null").select("x", "good").mapInArrow(score, "view int, score double, good boolean"))
+    best = max(sorted(found), key=lambda v: found[v][1], default=0)
+    if found:
+        forests[best].threshold = float(found[best][0])
+    return forests[best]
 
 
 def _base_failed(s: np.ndarray) -> np.ndarray:

@@ -575,6 +575,27 @@ def test_rules(spark, docs_of):
     assert rules.quality_rules(docs_of([]), labels.limit(0)).count() == 0
 
 
+def test_rules_learn_from_all_rows(spark, docs_of, monkeypatch):
+    """More rows than a sample held: all teach the trees, a repeated id with each text, and all labelled rows set the threshold."""
+    texts = [prose(12 + i % 9) for i in range(9000)] + ["too short"] * 5
+    ids = [*range(8000), *[7999] * 1000, *range(9000, 9005)]
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(0, 8000, 2)], "doc_id long, quality int")
+    told, add = [], rules.Growth.add_level
+    monkeypatch.setattr(rules.Growth, "add_level", lambda self, key, low, high, weight: (told.append((self.level, weight.sum())), add(self, key, low, high, weight))[1])
+    assert rules.fit(docs_of(texts, ids), labels) is not None
+    good, plain = 3200, 9000 - 4000
+    copies = -(-rules.PER_TREE * rules.TREES // (good + plain))
+    assert told[0] == (0, pytest.approx(len(rules.VIEWS) * copies * (good + rules.UNLABELLED_SHARE * good)))
+    rng = np.random.default_rng(3)
+    rows = [(v, round(float(rng.normal(0 if g else 1 + v)), 2), bool(g)) for v in range(2) for g in (rng.random(3000) < 0.8)] + [(2, 0.5, True)]
+    got = rules.calibrate(spark.createDataFrame(rows, "view int, score double, good boolean"), 0.01)
+    assert set(got) == {0, 1}
+    for v in got:
+        score, fine = (np.array([r[k] for r in rows if r[0] == v]) for k in (1, 2))
+        gains = {t: (score[~fine] > t).mean() - (score[fine] > t).mean() for t in np.unique(score) if (score[fine] > t).mean() <= 0.01}
+        assert got[v] == (max(gains, key=gains.get), pytest.approx(max(gains.values())))
+
+
 def test_samples_are_bounded_where_an_id_repeats(spark, docs_of):
     """10,000 rows of one id are one row of the sample."""
     docs = docs_of([f"text {i} of many" for i in range(10_000)] + [prose(20) for _ in range(50)], [1] * 10_000 + list(range(10, 60)))
