@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from operator import and_
+
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,18 +28,28 @@ def stream_bin_summary(stream: DataFrame, window: str = "30 days", delay: str =
 
 
 def stream_append_spectra(stream: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Appends rows whose keys are not stored yet, batch by batch."""
+    """Appends rows whose keys are not stored yet, batch by batch; a null in a key is a value like others.
+
+    Keys alone are exchanged to find those that are not stored; rows are exchanged only if theirs is one of them."""
     spark: SparkSession = stream.sparkSession
 
+    def same(left: DataFrame, right: DataFrame) -> Column:
+        return reduce(and_, (left[k].eqNullSafe(right[f"__{k}"]) for k in keys))
+
     def append(batch: DataFrame, _: int) -> None:
-        new = batch.dropDuplicates(keys)
+        fresh = None
         try:
-            stored = spark.read.parquet(path).select(*keys)
+            stored = spark.read.parquet(path).select(*(F.col(k).alias(f"__{k}") for k in keys))
         except Exception as e:  # nothing is stored before the first batch
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
         else:
-            new = new.join(stored, keys, "left_anti")
-        new.write.mode("append").parquet(path)
+            asked = batch.select(*keys)
+            fresh = asked.join(stored, same(asked, stored), "left_anti").select(*(F.col(k).alias(f"__{k}") for k in keys)).persist(StorageLevel.DISK_ONLY)
+            fresh.count()  # so that the join of the rows knows its size
+        rows = batch if fresh is None else batch.join(fresh, same(batch, fresh), "left_semi")
+        rows.dropDuplicates(keys).write.mode("append").parquet(path)
+        if fresh is not None:
+            fresh.unpersist()
 
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

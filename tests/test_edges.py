@@ -769,3 +769,16 @@ def test_tiles_are_counted_and_met_without_an_exchange_of_members(spark):
     traces = {r["cluster_id"]: (r["inference_method"], [p["lon"] for p in r["trace"]]) for r in faults.candidate_traces(members).collect()}
     when = lambda r: (r["time_utc"] or datetime.datetime.min, r["event_id"])
     assert traces == {c: (m, [min(v, key=when)["lon"], max(v, key=when)["lon"]]) for (c, m), v in want.items()}
+
+
+def test_append_stores_each_key_once(spark, tmp_path):
+    """Also a key with a null, and rows that come again beside new ones, which are stored with their own values."""
+    schema = "event_id string, channel string, amplitude double"
+    spark.createDataFrame([("a", "E", 1.0), ("a", None, 2.0), ("a", "E", 1.0)], schema).write.parquet(str(tmp_path / "in0"))
+    spark.createDataFrame([("a", "E", 1.0), ("a", None, 2.0), ("b", None, 3.0), (None, "E", 4.0), ("b", None, 3.0)], schema).write.parquet(str(tmp_path / "in1"))
+    for i in range(2):
+        for k in range(2):
+            stream = spark.readStream.schema(schema).parquet(str(tmp_path / f"in{i}"))
+            jobs.stream_append_spectra(stream, str(tmp_path / "out"), ["event_id", "channel"], str(tmp_path / f"cp{i}{k}")).awaitTermination(120)
+    got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got, key=lambda r: r[2]) == [("a", "E", 1.0), ("a", None, 2.0), ("b", None, 3.0), (None, "E", 4.0)]
