@@ -782,3 +782,20 @@ def test_append_stores_each_key_once(spark, tmp_path):
             jobs.stream_append_spectra(stream, str(tmp_path / "out"), ["event_id", "channel"], str(tmp_path / f"cp{i}{k}")).awaitTermination(120)
     got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert sorted(got, key=lambda r: r[2]) == [("a", "E", 1.0), ("a", None, 2.0), ("b", None, 3.0), (None, "E", 4.0)]
+
+
+def test_many_projections_are_not_broadcast(spark, monkeypatch):
+    """Beyond the bound the join is a merge, whose memory does not follow the projections; pairs are the same, also at the edges of keys."""
+    rng = np.random.default_rng(4)
+    freq = [0.5, 1.0, 1.0 + 8e-10, 1.0 + 2e-9, 4.0000005, 4.0000005 + 9e-10, 4.0000005 - 9e-10, 1.0000015, 0.0, None]
+    name = lambda i: f"ev{i % 3}"
+    p = [(name(i), f, float(i), 1.0, 2.0, 0.1, "direct", i, 0.5, 0.5) for i, f in enumerate(freq * 3)]
+    s = [(name(int(rng.integers(3))), f"ST{i}", f, 130.0, 32.0, 1.0, 0.2, 0.3) for i, f in enumerate(freq * 6)]
+    projections = spark.createDataFrame(p, "event_id string, frequency_hz double, projection_x_m double, projection_y_m double, projection_z_m double, phase_resultant_rad double, primitive_type string, projection_rank int, beam_energy double, array_coherence double")
+    spectra = spark.createDataFrame(s, "event_id string, station_id string, frequency_hz double, lon double, lat double, amplitude double, phase_rad double, group_delay_s double")
+    want = sorted((a[7], b[1]) for a in p for b in s if a[0] == b[0] and a[1] and b[2] and abs(a[1] - b[2]) < 1e-9)
+    for bound in (100, 5):
+        monkeypatch.setattr(imaging, "VIEW_ROWS", bound)
+        base = imaging.view_image_base(projections, spectra)
+        assert sorted((r["projection_rank"], r["station_id"]) for r in base.collect()) == want
+    assert "SortMergeJoin" in base._jdf.queryExecution().sparkPlan().toString()
