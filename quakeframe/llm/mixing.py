@@ -36,19 +36,18 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, Words, _power, _R, filled, fold, stored, text_slices, tune
 
-CHUNK_BYTES, COUNT_BYTES, BUCKET_BYTES, MAX_BUCKETS, MAX_CHUNK_DOCS, MERGE_ENTRIES = 6 << 20, 4 << 20, 64 << 20, 16384, 60_000, 4 << 20
+CHUNK_BYTES, COUNT_BYTES, BUCKET_BYTES, MAX_BUCKETS, MAX_CHUNK_DOCS, MERGE_ENTRIES = 6 << 20, 3 << 20, 64 << 20, 16384, 60_000, 4 << 20
 TASK_BYTES, LEAST_TASK_BYTES = 128 << 20, 32 << 20  # text that a task counts before its counts are sent
 LEAST_BITS, MOST_BITS, SLOT_BYTES = 16, 22, 4  # slots of the largest table: about one for each SLOT_BYTES of text, within bounds
-HEAD, BATCH_BYTES, BATCH_TOKENS, BLOCK = 3, 1 << 15, 1 << 12, 1 << 14
+HEAD, BATCH_BYTES, BATCH_PAIRS, BLOCK = 3, 1 << 15, 1 << 11, 1 << 14
 STEP_BYTES, STEP_TOKENS = 1 << 13, 1 << 10  # of words and tokens that a step of learning sees
 ODDS = 16.0  # log-odds are kept in sixteenths
 CELLS, SPREAD, MAP_PRIOR = 64, 8.0, 4.0
-_STEPS = np.arange(256, dtype=np.uint8).view(np.int8).astype(np.float64) / ODDS
+LANES = 8  # sums of neighbours in a step of learning are kept apart, so that none waits for the one before
 END = b"\n"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
-_ONE = np.int32(1)
 
 
 # ---------------------------------------------------------------- bits of bytes
@@ -59,8 +58,10 @@ class Code:
     """A prefix code: the bits of each byte and the inner node that each of them is decided at."""
 
     length: np.ndarray
-    node: np.ndarray  # byte x depth
+    start: np.ndarray  # of each byte's path in the arrays of all paths
+    node: np.ndarray
     bit: np.ndarray
+    salt: np.ndarray  # what a node adds to the hash of a context
 
 
 def prefix_code(frequency: np.ndarray) -> Code:
@@ -72,28 +73,58 @@ def prefix_code(frequency: np.ndarray) -> Code:
         a, b = heapq.heappop(heap), heapq.heappop(heap)
         parts[256 + len(parts)] = a[1], b[1]
         heapq.heappush(heap, (a[0] + b[0], 255 + len(parts)))
-    length, node, bit = np.zeros(256, np.int64), np.zeros((256, 255), np.uint8), np.zeros((256, 255), np.uint8)
+    paths: list[list[tuple[int, int]]] = [[] for _ in range(256)]
     todo: list[tuple[int, list[tuple[int, int]]]] = [(heap[0][1], [])]
     while todo:
         at, path = todo.pop()
         if at < 256:
-            length[at] = len(path)
-            for d, (n, b) in enumerate(path):
-                node[at, d], bit[at, d] = n, b
+            paths[at] = path
         else:
             todo += [(part, [*path, (at - 256, b)]) for b, part in enumerate(parts[at])]
-    most = int(length.max())
-    return Code(length, node[:, :most], bit[:, :most])
+    length = np.array([len(path) for path in paths])
+    node, bit = (np.array([step[k] for path in paths for step in path], np.uint8) for k in (0, 1))
+    return Code(length, np.cumsum(length) - length, node, bit, (node.astype(np.uint64) + np.uint64(1)) * _M3)
 
 
 def _ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     stop = np.cumsum(lens)
-    return np.repeat(starts - (stop - lens), lens) + np.arange(int(stop[-1]) if len(stop) else 0)
+    out = np.repeat(starts - (stop - lens), lens)
+    out += np.arange(len(out))
+    return out
+
+
+def _order(keys: np.ndarray) -> np.ndarray:
+    """The stable order of unsigned keys. They are sorted with their places in the low bits; of longer keys the low bits give way
+    where that leaves the order right."""
+    n = len(keys)
+    low = n.bit_length()
+    drop = max(0, (int(keys.max()).bit_length() if n else 0) + low - 64)
+    packed = (keys >> np.uint64(drop)) << np.uint64(low)
+    packed |= np.arange(n, dtype=np.uint64)
+    packed.sort()
+    packed &= np.uint64((1 << low) - 1)
+    order = packed.view(np.int64)
+    if drop:
+        found = keys[order]
+        if (found[1:] < found[:-1]).any():
+            return np.argsort(keys, kind="stable")
+    return order
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct key, in order of keys, and the number of each place's key."""
+    order = _order(keys)
+    found = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = found[1:] != found[:-1]
+    number = np.empty(len(keys), dtype=np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return order[new], number
 
 
 @dataclass
 class Bits:
-    """All bits of a batch of words, in order."""
+    """Bits of a batch of words, in order."""
 
     first: np.ndarray  # of each word
     head: np.ndarray  # how many of each word lie in its first HEAD bytes
@@ -102,8 +133,9 @@ class Bits:
     contexts: list[np.ndarray]  # hash of each context and node: two bytes, four bytes, the word so far
 
 
-def word_bits(lens: np.ndarray, chars: np.ndarray, code: Code) -> Bits:
-    """Bits of words with a closing space; the end mark, a word of its own, has none."""
+def word_bits(lens: np.ndarray, chars: np.ndarray, code: Code, lo: int = 0, hi: int | None = None) -> Bits:
+    """Bits of words with a closing space; the end mark, a word of its own, has none. With bounds, only those of the bytes from place
+    ``lo`` on and before place ``hi``."""
     n = len(lens)
     closed = np.ones(n, dtype=np.int64)
     size = lens + closed
@@ -130,28 +162,39 @@ def word_bits(lens: np.ndarray, chars: np.ndarray, code: Code) -> Bits:
     ends = np.flatnonzero(x[start] == 10) if n else np.zeros(0, np.int64)
     keep = np.ones(len(x), dtype=bool)
     keep[start[ends] + 1] = False
+    if lo:
+        keep &= place >= lo
+    if hi is not None:
+        keep &= place < hi
     bits_of = code.length[x] * keep
-    at = np.repeat(np.arange(len(x)), bits_of)
-    depth = np.arange(len(at)) - np.repeat(np.cumsum(bits_of) - bits_of, bits_of)
-    byte = x[at]
-    node = code.node[byte, depth]
-    salt = (node.astype(np.uint64) + np.uint64(1)) * _M3
-    contexts = [(h[at] ^ salt) * _M1 for h in hashes]
     per_word = np.add.reduceat(bits_of, start) if n else bits_of
     head = np.add.reduceat(bits_of * (place < HEAD), start) if n else bits_of
-    return Bits(np.cumsum(per_word) - per_word, head, code.bit[byte, depth], node, contexts)
+    asked = np.flatnonzero(keep)
+    bits_of = bits_of[asked]
+    at = np.repeat(asked, bits_of)
+    step = _ragged(code.start[x[asked]], bits_of)
+    salt = code.salt.take(step)
+    contexts = []
+    for h in hashes:
+        c = h.take(at)
+        c ^= salt
+        c *= _M1
+        contexts.append(c)
+    return Bits(np.cumsum(per_word) - per_word, head, code.bit.take(step), code.node.take(step), contexts)
 
 
 def _slots(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
+    return (h >> np.uint64(64 - bits)).view(np.int64)
 
 
 def _pair(word: np.ndarray, before: np.ndarray, bits: int) -> np.ndarray:
-    """Slots of the previous word with the word so far."""
-    return _slots((word ^ (before * _M3)) * _M1, bits)
+    """Slots of the previous word with the word so far; ``before``: its hash times _M3."""
+    h = word ^ before
+    h *= _M1
+    return _slots(h, bits)
 
 
-def _batches(lens: np.ndarray, chars: np.ndarray, size: int = BATCH_BYTES) -> Iterator[tuple[int, int, np.ndarray]]:
+def _batches(lens: np.ndarray, chars: np.ndarray, size: int) -> Iterator[tuple[int, int, np.ndarray]]:
     at = np.concatenate([[0], np.cumsum(lens)])
     a = 0
     while a < len(lens):
@@ -190,58 +233,69 @@ class Texts:
     def close(self) -> None:
         h, doc, starts, lens, data = (np.concatenate(x) for x in zip(*self.parts))
         self.parts = []
-        self.hash, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        inverse = inverse.astype(np.int32)
+        first, inverse = _distinct(h)
+        self.hash = h[first]
+        del h
         n, m = len(self.hash), len(self.doc_ids)
         self.doc, self.word = doc, inverse
         # texts with their end marks, whose word is number n
-        every = np.concatenate([doc, np.arange(m, dtype=np.int32)])
-        order = np.argsort(every, kind="stable")
-        self.all_doc = every[order]
-        self.all_word = np.concatenate([inverse, np.full(m, n, np.int32)])[order]
+        self.all_doc = np.repeat(np.arange(m, dtype=np.int32), np.bincount(doc, minlength=m) + 1)
+        self.all_word = np.full(len(doc) + m, n, np.int32)
+        self.all_word[np.arange(len(doc)) + doc] = inverse
         starts, lens = starts[first].astype(np.int64), lens[first].astype(np.int64)
         self.lens = np.append(lens, 1)
         self.chars = np.append(data[_ragged(starts, lens)], np.uint8(END[0]))
         self.keys = np.append(self.hash, _M1)
-        self.fresh = np.concatenate([[True], self.all_doc[1:] != self.all_doc[:-1]]) if len(every) else np.zeros(0, bool)
-        self.before = np.zeros(len(every), dtype=np.uint64)  # of a text's first word: 0
-        self.before[1:] = self.keys[self.all_word[:-1]]
-        self.before[self.fresh] = 0
+        self.fresh = np.concatenate([[True], self.all_doc[1:] != self.all_doc[:-1]]) if m else np.zeros(0, bool)
+
+    def pair(self) -> None:
+        """Finds the distinct heads of words, closing spaces included, and the distinct pairs of a previous word and a head, in order of heads: what
+        is the same for all tokens of a pair is made once."""
+        starts = np.cumsum(self.lens) - self.lens
+        key = np.zeros(len(self.lens), dtype=np.uint64)
+        for k in range(HEAD):
+            byte = np.where(k < self.lens, self.chars[np.minimum(starts + k, len(self.chars) - 1)], np.where(k == self.lens, 32, 0))
+            key |= byte.astype(np.uint64) << np.uint64(8 * k)
+        first, self.head = _distinct(key)  # number of each word's head
+        self.head_lens = np.minimum(self.lens[first], HEAD)
+        self.head_chars = self.chars[_ragged(starts[first], self.head_lens)]
+        n = len(self.lens)
+        before = np.empty(len(self.all_word), dtype=np.uint64)
+        before[1:] = self.all_word[:-1]
+        before[self.fresh] = n  # a text's first word
+        head = self.head[self.all_word]
+        key = head.astype(np.uint64)
+        key *= np.uint64(n + 1)
+        key += before
+        first, self.pairs = _distinct(key)  # number of each token's pair
+        self.pair_head = head[first]
+        self.pair_before = np.append(self.keys, np.uint64(0))[before[first].view(np.int64)] * _M3
 
 
 def count_bits(texts: Texts, wanted: np.ndarray, code: Code, bits: tuple[int, ...], tables: list[np.ndarray]) -> None:
     """Adds the wanted texts to counts of bits: tables[j][2 * slot + bit]."""
-    count_shares(texts, [wanted], code, bits, [tables])
-
-
-def count_shares(texts: Texts, shares: list[np.ndarray], code: Code, bits: tuple[int, ...], tables: list[list[np.ndarray]]) -> None:
-    """Adds each share of the texts to its own tables."""
-    tokens = [wanted[texts.all_doc] for wanted in shares]
-    times = [np.bincount(texts.all_word[t], minlength=len(texts.lens)).astype(np.int32) for t in tokens]
-    keys, first, head, bit = [], [], [], []
-    done = 0
-    for a, b, chars in _batches(texts.lens, texts.chars):
-        w = word_bits(texts.lens[a:b], chars, code)
-        per_word = np.diff(np.append(w.first, len(w.bit)))
-        weights = [np.repeat(n[a:b], per_word) for n in times]
-        for j, (h, k) in enumerate(zip(w.contexts, bits)):
-            slot = 2 * _slots(h, k) + w.bit
-            for table, weight in zip(tables, weights):
-                np.add.at(table[j], slot, weight)
-        at = _ragged(w.first, w.head)
-        keys.append(w.contexts[2][at])
-        bit.append(w.bit[at])
-        first.append(done + np.cumsum(w.head) - w.head)
-        head.append(w.head)
-        done += len(at)
-    keys, bit, first, head = (np.concatenate(x) for x in (keys, bit, first, head))
-    for table, token in zip(tables, tokens):
-        words, before = texts.all_word[token], texts.before[token]
-        for a in range(0, len(words), BATCH_TOKENS):
-            w = words[a : a + BATCH_TOKENS]
-            at = _ragged(first[w], head[w])
-            slot = _pair(keys[at], np.repeat(before[a : a + BATCH_TOKENS], head[w]), bits[3])
-            np.add.at(table[3], 2 * slot + bit[at], _ONE)
+    texts.pair()
+    token = wanted[texts.all_doc]
+    times = np.bincount(texts.all_word[token], minlength=len(texts.lens))
+
+    def add(w: Bits, weights: np.ndarray) -> None:
+        for table, h, k in zip(tables, w.contexts, bits):
+            np.add.at(table, 2 * _slots(h, k) + w.bit, weights)
+
+    for a, b, chars in _batches(texts.lens, texts.chars, BATCH_BYTES):
+        w = word_bits(texts.lens[a:b], chars, code, HEAD)
+        add(w, np.repeat(times[a:b].astype(np.int32), np.diff(np.append(w.first, len(w.bit)))))
+    w = word_bits(texts.head_lens, texts.head_chars, code, 0, HEAD)
+    add(w, np.repeat(np.bincount(texts.head, weights=times, minlength=len(w.head)).astype(np.int32), w.head))
+    times = np.bincount(texts.pairs[token], minlength=len(texts.pair_head)).astype(np.int32)
+    met = np.flatnonzero(times)
+    for a in range(0, len(met), BATCH_PAIRS):
+        pair = met[a : a + BATCH_PAIRS]
+        head = texts.pair_head[pair]
+        n = w.head[head]
+        at = _ragged(w.first[head], n)
+        slot = _pair(w.contexts[2][at], np.repeat(texts.pair_before[pair], n), bits[3])
+        np.add.at(tables[3], 2 * slot + w.bit[at], np.repeat(times[pair], n))
 
 
 def log_odds(table: np.ndarray) -> np.ndarray:
@@ -253,6 +307,17 @@ def log_odds(table: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- mixing
 
 
+_LANES = np.arange(1 << 16) % LANES * 256
+
+
+def input_rows(odds: list[np.ndarray]) -> np.ndarray:
+    """Log-odds in sixteenths as rows of four numbers, which are fetched at once; of three, the last is 0."""
+    rows = np.zeros((len(odds[0]), 4), np.float32)
+    for j, o in enumerate(odds):
+        rows[:, j] = o
+    return rows
+
+
 class Mixer:
     """Gated weights over log-odds (in sixteenths), learned online, and a refining map of what bits came where."""
 
@@ -261,20 +326,28 @@ class Mixer:
         self.weights[:, -1] = 0
         self.mass = np.zeros(gates)  # bits that taught each gate
         self.seen, self.ones = np.zeros(256 * CELLS), np.zeros(256 * CELLS)  # of each cell of the map
+        self.shown: list[np.ndarray] = []  # cells and bits not yet in them
         self.freeze()
 
     def freeze(self) -> None:
-        """Tables of each gate's weight times each log-odds, for speed, and the map."""
-        self._tables()
+        """The map, from what was shown."""
+        self._fill()
         level = np.tile((np.arange(CELLS) + 0.5) * (2 * SPREAD / CELLS) - SPREAD, 256)
         self.refine = ((self.ones + MAP_PRIOR / (1 + np.exp(-level))) / (self.seen + MAP_PRIOR)).astype(np.float32)
 
-    def _tables(self) -> None:
-        self.parts = [(self.weights[:, j : j + 1] * _STEPS).astype(np.float32).reshape(-1) for j in range(self.weights.shape[1] - 1)]
-        self.parts[0] += np.repeat(self.weights[:, -1], 256).astype(np.float32)
+    def _fill(self) -> None:
+        if self.shown:
+            self._add(np.bincount(np.concatenate(self.shown), minlength=2 * len(self.seen)))
+            self.shown = []
+
+    def _add(self, shown: np.ndarray) -> None:
+        zero, one = shown[0::2], shown[1::2]
+        self.seen += zero + one
+        self.ones += one
 
     def sums(self) -> list[np.ndarray]:
         """What adds up over tasks."""
+        self._fill()
         return [np.concatenate([(self.weights * self.mass[:, None]).reshape(-1), self.mass]), np.concatenate([self.seen, self.ones])]
 
     def mean_of(self, sums: list[np.ndarray]) -> None:
@@ -286,51 +359,100 @@ class Mixer:
         self.freeze()
 
     def _cell(self, dot: np.ndarray, node: np.ndarray) -> np.ndarray:
-        return node.astype(np.int64) * CELLS + ((dot + SPREAD) * (CELLS / (2 * SPREAD))).astype(np.int64)
+        return node.astype(np.int32) * CELLS + ((dot + np.float32(SPREAD)) * np.float32(CELLS / (2 * SPREAD))).astype(np.int32)
+
+    def _dot(self, rows: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        """Weighted sums of rows of log-odds, within bounds."""
+        inputs = self.weights.shape[1] - 1
+        weights = np.zeros((len(self.weights), 8), np.float32)
+        weights[:, :inputs] = self.weights[:, :-1] / ODDS
+        weights[:, -1] = self.weights[:, -1]
+        weights = weights.take(gate, axis=0)
+        dot = weights[:, -1].copy()
+        for j in range(inputs):
+            dot += weights[:, j] * rows[:, j]
+        return np.clip(dot, -SPREAD, SPREAD - 1e-3, out=dot)
 
     def cost(self, odds: list[np.ndarray], gate: np.ndarray, node: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """Log of the probability of each bit."""
-        row = gate.astype(np.int64) << 8
-        dot = self.parts[0][row + odds[0].view(np.uint8)]
-        for part, o in zip(self.parts[1:], odds[1:]):
-            dot += part[row + o.view(np.uint8)]
-        np.clip(dot, -SPREAD, SPREAD - 1e-3, out=dot)
-        p = np.float32(0.5) / (1 + np.exp(-dot)) + np.float32(0.5) * self.refine[self._cell(dot, node)]
-        return np.log(np.clip(np.where(bit == 1, p, 1 - p), np.float32(1e-5), None))
-
-    def learn(self, odds: list[np.ndarray], gate: np.ndarray, node: np.ndarray, bit: np.ndarray, mass: np.ndarray | None = None, rate: float = 0.02) -> None:
+        return self.cost_of(input_rows(odds), gate, node, bit)
+
+    def cost_of(self, rows: np.ndarray, gate: np.ndarray, node: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        dot = self._dot(rows, gate)
+        p = self.refine.take(self._cell(dot, node))
+        np.negative(dot, out=dot)
+        np.exp(dot, out=dot)
+        dot += 1
+        p += np.reciprocal(dot, out=dot)
+        p *= np.float32(0.5)
+        # 1 - p where the bit is 0
+        p *= bit * np.float32(2) - 1
+        p += 1 - bit
+        np.maximum(p, np.float32(1e-5), out=p)
+        return np.log(p, out=p)
+
+    def learn(self, rows: np.ndarray, gate: np.ndarray, node: np.ndarray, bit: np.ndarray, mass: np.ndarray | None = None, rate: float = 0.02) -> None:
         """One small step on bits that are predicted from what was learned before them."""
         gates = len(self.weights)
-        row = gate.astype(np.int64) << 8
-        at = [row + o.view(np.uint8) for o in odds]
-        dot = self.parts[0][at[0]]
-        for part, i in zip(self.parts[1:], at[1:]):
-            dot += part[i]
-        np.clip(dot, -SPREAD, SPREAD - 1e-3, out=dot)
-        error = bit - 1 / (1 + np.exp(-dot))
-        cell = self._cell(dot, node)
-        if mass is not None:
+        dot = self._dot(rows, gate)
+        shown = 2 * self._cell(dot, node) + bit
+        np.negative(dot, out=dot)
+        np.exp(dot, out=dot)
+        dot += 1
+        error = bit - np.reciprocal(dot, out=dot)
+        if mass is None:
+            self.shown.append(shown.astype(np.uint16))
+            if len(self.shown) > 100:
+                self._fill()
+        else:
             error *= mass
-        total = np.bincount(gate, weights=mass, minlength=gates)
+            self._add(np.bincount(shown, weights=mass, minlength=2 * len(self.seen)))
+        lane = _LANES[: len(gate)] if len(gate) <= len(_LANES) else np.arange(len(gate)) % LANES * 256
+        lane = lane + gate
+
+        def total_of(values: np.ndarray | None) -> np.ndarray:
+            return np.bincount(lane, weights=values, minlength=LANES * 256).reshape(LANES, 256).sum(axis=0)[:gates]
+
+        total = total_of(mass)
         pace = rate * np.minimum(total, 40.0) / np.maximum(total, 1e-9)
-        by_odds = [np.bincount(i, weights=error, minlength=gates * 256).reshape(gates, 256) for i in at]
-        for j, e in enumerate(by_odds):
-            self.weights[:, j] += pace * (e @ _STEPS)
-        self.weights[:, -1] += pace * by_odds[0].sum(axis=1)
+        for j in range(self.weights.shape[1] - 1):
+            self.weights[:, j] += pace / ODDS * total_of(error * rows[:, j])
+        self.weights[:, -1] += pace * total_of(error)
         self.mass += total
-        self.seen += np.bincount(cell, weights=mass, minlength=len(self.seen))
-        self.ones += np.bincount(cell, weights=bit if mass is None else mass * bit, minlength=len(self.seen))
-        self._tables()
 
 
 #: how sure log-odds are, 0 to 3, by their byte
-_SURE = np.digitize(np.abs(np.arange(256, dtype=np.uint8).view(np.int8).astype(np.int64)), [1, 20, 40]).astype(np.int32)
+_SURE = np.digitize(np.abs(np.arange(256, dtype=np.uint8).view(np.int8).astype(np.int64)), [1, 20, 40])
 _SURE4 = 4 * _SURE
 
 
 RATES, RUNS = 4, 6
 
 
+@dataclass
+class Heads:
+    """Head bits of distinct heads, and log-odds of the pair context at the head bits of distinct pairs."""
+
+    bits: Bits
+    rows: np.ndarray  # log-odds of the word's contexts; in place of a fourth, in bytes: how sure the whole word is, node, bit
+    size: np.ndarray  # bits of each pair
+    first: np.ndarray
+    pair_odds: np.ndarray
+    rate: np.ndarray  # of each token
+
+    def bits_of(self, texts: Texts, pair: np.ndarray, rate: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of pairs at rates: how many bits each has, and inputs, gates, nodes and bits of all of them."""
+        n = self.size[pair]
+        rows = self.rows.take(_ragged(self.bits.first[texts.pair_head[pair]], n), axis=0)
+        packed = rows[:, 3].copy().view(np.uint8).reshape(-1, 4)
+        odds = self.pair_odds.take(_ragged(self.first[pair], n)).view(np.uint8)
+        gate = _SURE4.take(odds)
+        gate += packed[:, 0]
+        gate += np.repeat(16 * rate, n)
+        rows[:, 3] = odds.view(np.int8)
+        return n, rows, gate, packed[:, 1], packed[:, 2]
+
+
 @dataclass
 class Model:
     code: Code
@@ -340,70 +462,68 @@ class Model:
     tail: Mixer
     again: np.ndarray  # run of hits x rate of hits in the text: probability that a follower comes again
 
-    def _word_parts(self, texts: Texts, lo: int, hi: int, chars: np.ndarray):
-        w = word_bits(texts.lens[lo:hi], chars, self.code)
-        return w, [t[_slots(h, k)] for t, h, k in zip(self.odds, w.contexts, self.bits)]
-
-    def prepare(self, texts: Texts, times: np.ndarray | None = None) -> dict:
-        """What depends on a word alone: the cost of its bits after the head, and for its head bits the inputs and keys. Where it is told
-        how often each word stands there, the tail's mixer learns and nothing is charged."""
-        got: dict[str, list] = {k: [] for k in ("tail", "keys", "bit", "sign", "packed", "first", "head")}
-        done = 0
-        for a, b, chars in _batches(texts.lens, texts.chars, BATCH_BYTES if times is None else STEP_BYTES):
-            w, odds = self._word_parts(texts, a, b, chars)
-            per_word = np.diff(np.append(w.first, len(w.bit))) - w.head
-            at = _ragged(w.first + w.head, per_word)
-            of_tail = [o[at] for o in odds], _tail_gate(odds, at), w.node[at], w.bit[at]
-            if times is None:
-                got["tail"].append(np.bincount(np.repeat(np.arange(b - a), per_word), weights=self.tail.cost(*of_tail), minlength=b - a))
-            else:
-                self.tail.learn(*of_tail, np.repeat(np.minimum(times[a:b], 30), per_word).astype(np.float64))
-            at = _ragged(w.first, w.head)
-            got["keys"].append(w.contexts[2][at])
-            got["bit"].append(w.bit[at])
-            got["sign"].append(2 * w.bit[at].astype(np.int8) - 1)
-            got["packed"].append(np.stack([*(o[at].view(np.uint8) for o in odds), w.node[at]], axis=1).view(np.uint32)[:, 0])
-            got["first"].append(done + np.cumsum(w.head) - w.head)
-            got["head"].append(w.head)
-            done += len(at)
-        return {k: np.concatenate(v) for k, v in got.items() if v}
-
-    def _pairs(self, texts: Texts, words: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds of the pair context at the head bits of all tokens, and of each token whether the previous word told
-        it: by log-odds of more than 2 for a byte on average."""
-        pairs, told = [], []
-        for a in range(0, len(texts.all_word), BATCH_TOKENS):
-            word, before = texts.all_word[a : a + BATCH_TOKENS], texts.before[a : a + BATCH_TOKENS]
-            n = words["head"][word]
-            at = _ragged(words["first"][word], n)
-            pair = self.odds[3][_pair(words["keys"][at], np.repeat(before, n), self.bits[3])]
-            said = np.add.reduceat(pair * words["sign"][at].astype(np.int16), np.cumsum(n) - n, dtype=np.int64)
-            told.append(said > 2 * ODDS * np.minimum(HEAD, texts.lens[word] + 1))
-            pairs.append(pair)
-        return np.concatenate(pairs), np.concatenate(told)
-
-    def _heads(self, texts: Texts, words: dict, tokens: int) -> Iterator[tuple]:
-        """For each batch of tokens: their range, the first of their head bits, and inputs, gates, nodes and bits of these."""
-        pairs, told = self._pairs(texts, words)
-        rate = _rate_so_far(told, texts.fresh)
-        done = 0
-        for a in range(0, len(rate), tokens):
-            word = texts.all_word[a : a + tokens]
-            n = words["head"][word]
-            at = _ragged(words["first"][word], n)
-            pair = pairs[done : done + len(at)]
-            done += len(at)
-            packed = words["packed"][at].view(np.uint8).reshape(-1, 4)
-            two, four, whole, node = (np.ascontiguousarray(packed[:, j]) for j in range(4))
-            gate = _SURE4[pair.view(np.uint8)] + _SURE[whole] + np.repeat(16 * rate[a : a + tokens], n)
-            yield slice(a, a + tokens), np.cumsum(n) - n, [two.view(np.int8), four.view(np.int8), whole.view(np.int8), pair], gate, node, words["bit"][at]
+    def _odds(self, w: Bits) -> list[np.ndarray]:
+        return [t.take(_slots(h, k)) for t, h, k in zip(self.odds, w.contexts, self.bits)]
+
+    def _tails(self, texts: Texts, size: int) -> Iterator[tuple]:
+        """For each batch of words: their range, how many bits each has after its head, the first of them, and inputs, gates, nodes and bits of these."""
+        for a, b, chars in _batches(texts.lens, texts.chars, size):
+            w = word_bits(texts.lens[a:b], chars, self.code, HEAD)
+            odds = self._odds(w)
+            yield slice(a, b), np.diff(np.append(w.first, len(w.bit))), w.first, odds, _tail_gate(odds, slice(None)), w.node, w.bit
+
+    def tail_costs(self, texts: Texts) -> np.ndarray:
+        """Of each distinct word the cost of its bits after the head."""
+        out = np.zeros(len(texts.lens))
+        for s, n, first, *bits in self._tails(texts, BATCH_BYTES):
+            has = n > 0
+            if has.any():
+                out[s][has] = np.add.reduceat(self.tail.cost(*bits), first[has], dtype=np.float64)
+        return out
+
+    def heads(self, texts: Texts) -> Heads:
+        """Inputs of the head bits of each distinct pair, and of each token how often, so far in its text, the previous word told the next one."""
+        texts.pair()
+        w = word_bits(texts.head_lens, texts.head_chars, self.code, 0, HEAD)
+        size = w.head[texts.pair_head]
+        first = np.cumsum(size) - size
+        sign = 2 * w.bit.astype(np.int8) - 1
+        # the previous word told it: by log-odds of more than 2 for a byte on average
+        enough = 2 * ODDS * np.minimum(HEAD, texts.lens + 1)
+        least = np.zeros(len(w.head))
+        least[texts.head] = enough
+        odds, told = np.empty(int(size.sum()), np.int8), np.empty(len(size), dtype=bool)
+        for a in range(0, len(size), BATCH_PAIRS):
+            s = slice(a, a + BATCH_PAIRS)
+            head, n = texts.pair_head[s], size[s]
+            at = _ragged(w.first[head], n)
+            found = self.odds[3].take(_pair(w.contexts[2].take(at), np.repeat(texts.pair_before[s], n), self.bits[3]))
+            odds[first[a] : first[a] + len(at)] = found
+            told[s] = np.add.reduceat(found * sign.take(at).astype(np.int16), first[s] - first[a], dtype=np.int64) > least[head]
+        own = self._odds(w)
+        rows = input_rows(own)
+        rows.view(np.uint8).reshape(-1, 16)[:, 12:15] = np.stack([_SURE[own[2].view(np.uint8)], w.node, w.bit], axis=1)
+        return Heads(w, rows, size, first, odds, _rate_so_far(told[texts.pairs], texts.fresh))
+
+    def head_costs(self, texts: Texts) -> np.ndarray:
+        """Of each token the cost of its head bits: once for each distinct pair and rate."""
+        h = self.heads(texts)
+        key = texts.pairs * np.int64(RATES) + h.rate
+        met = np.zeros(RATES * len(h.size), dtype=bool)
+        met[key] = True
+        number = np.flatnonzero(met)
+        out = np.zeros(len(met))
+        for a in range(0, len(number), BATCH_PAIRS):
+            of = number[a : a + BATCH_PAIRS]
+            pair, rate = of // RATES, of % RATES
+            n, *bits = h.bits_of(texts, pair, rate)
+            out[of] = np.add.reduceat(self.head.cost_of(*bits), np.cumsum(n) - n, dtype=np.float64)
+        return out[key]
 
     def token_costs(self, texts: Texts) -> np.ndarray:
         """Log of the probability of each token, in the order of the texts."""
-        words = self.prepare(texts)
-        out = words["tail"][texts.all_word]
-        for s, first, odds, gate, node, bit in self._heads(texts, words, BATCH_TOKENS):
-            out[s] += np.add.reduceat(self.head.cost(odds, gate, node, bit), first, dtype=np.float64)
+        out = self.head_costs(texts)
+        out += self.tail_costs(texts)[texts.all_word]
         asked, hit, run, often = repeats(texts)
         p = self.again[run, often]
         return np.where(asked, np.where(hit, np.log(p), np.log(1 - p) + out), out)
@@ -414,7 +534,7 @@ class Model:
 
 
 def _tail_gate(odds: list[np.ndarray], at: np.ndarray) -> np.ndarray:
-    return _SURE4[odds[1][at].view(np.uint8)] + _SURE[odds[2][at].view(np.uint8)]
+    return _SURE4.take(odds[1][at].view(np.uint8)) + _SURE.take(odds[2][at].view(np.uint8))
 
 
 def _before(values: np.ndarray, fresh: np.ndarray) -> np.ndarray:
@@ -434,10 +554,11 @@ def repeats(texts: Texts) -> tuple[np.ndarray, ...]:
     and of the tokens before it in the text the run of hits and the rate of hits, in steps."""
     word, fresh = texts.all_word, texts.fresh
     n = len(word)
-    key = texts.all_doc.astype(np.int64) * (len(texts.lens) + 1) + word
-    order = np.argsort(key, kind="stable")
+    key = texts.all_doc.astype(np.uint64) * np.uint64(len(texts.lens) + 1) + word.astype(np.uint64)
+    order = _order(key)
     last = np.full(n, -1, dtype=np.int64)  # the place of the word before in its text
-    same = key[order[1:]] == key[order[:-1]]
+    key = key[order]
+    same = key[1:] == key[:-1]
     last[order[1:][same]] = order[:-1][same]
     asked, follower = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64)
     at = np.flatnonzero(~fresh)
@@ -470,9 +591,14 @@ def teach(model: Model, texts: Texts, told: np.ndarray) -> None:
     asked, hit, run, often = repeats(texts)
     for k, which in enumerate((asked, hit)):
         told[k] += np.bincount(run[which] * RATES + often[which], minlength=RUNS * RATES).reshape(RUNS, RATES)
-    words = model.prepare(texts, np.bincount(texts.all_word, minlength=len(texts.lens)))
-    for _, _, odds, gate, node, bit in model._heads(texts, words, STEP_TOKENS):
-        model.head.learn(odds, gate, node, bit)
+    times = np.minimum(np.bincount(texts.all_word, minlength=len(texts.lens)), 30).astype(np.float64)
+    for s, n, _, odds, *bits in model._tails(texts, STEP_BYTES):
+        if n.any():
+            model.tail.learn(input_rows(odds), *bits, np.repeat(times[s], n))
+    h = model.heads(texts)
+    for a in range(0, len(h.rate), STEP_TOKENS):
+        _, *bits = h.bits_of(texts, texts.pairs[a : a + STEP_TOKENS], h.rate[a : a + STEP_TOKENS])
+        model.head.learn(*bits)
 
 
 def learn(texts: Texts, code: Code, bits: tuple[int, ...], odds: list[np.ndarray]) -> Model:
@@ -540,9 +666,9 @@ def fit(docs: DataFrame, text_bytes: int) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         halves = [[np.zeros(2 << b, np.int32) for b in bits] for _ in range(2)]
-        for texts in gathered(batches, COUNT_BYTES):
-            half = np.array(texts.held, dtype=bool)
-            count_shares(texts, [~half, half], code, bits, halves)
+        for texts in gathered(batches, COUNT_BYTES, apart=True):
+            count_bits(texts, np.ones(len(texts.doc_ids), bool), code, bits, halves[texts.held[0]])
+            del texts  # before the next ones are gathered
         for half, tables in enumerate(halves):
             for start, table in zip(starts, tables):
                 blocks = table.reshape(-1, BLOCK)
@@ -592,6 +718,7 @@ def learned(train: DataFrame, first: Model, second: Model, model: Model) -> None
         for texts in gathered(batches, CHUNK_BYTES, apart=True):
             pupil.odds = first_odds if texts.held[0] else second_odds
             teach(pupil, texts, told)
+            del texts
         for kind, values in enumerate((*pupil.head.sums(), *pupil.tail.sums(), told.reshape(-1))):
             yield _batch([[kind, values.astype("<f8").tobytes()]], ["kind", "sums"], [pa.int32(), pa.binary()])
 
@@ -653,6 +780,7 @@ def chunked(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
         for i, texts in enumerate(gathered(batches, CHUNK_BYTES)):
             for row in _chunk_rows(texts, shared.value.costs(texts), (part << 32) + i, buckets):
                 yield _batch([row], _NAMES, _TYPES)
+            del texts
 
     return docs.select("doc_id", "text", fold(7, 2).alias("held_out")).mapInArrow(run, CHUNKS)
 

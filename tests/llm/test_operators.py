@@ -531,6 +531,44 @@ def test_mixing_model():
     assert (model.costs(mixing_texts(["", "  ", "a" * 5000])) < 0).all()
 
 
+def test_mixing_works_once_for_each_pair(monkeypatch):
+    """What is counted and charged once for each distinct head, pair and rate equals a plain loop over tokens, at far fewer bits."""
+    rng = random.Random(8)
+    lines_ = [prose(rng.randint(1, 12), rng) for _ in range(12)] + ["é ab a ééé\x00 a\x00", "", "AB ab abc abcd"]
+    texts = mixing_texts([f"{rng.choice(lines_)} {rng.choice(lines_)}" for _ in range(400)])
+    model = mixing_model([prose(40, rng) for _ in range(60)], lines_)
+    wanted = np.arange(len(texts.doc_ids)) % 3 > 0
+    tables, plain = ([np.zeros(2 << b, np.int32) for b in model.bits] for _ in range(2))
+    mixing.count_bits(texts, wanted, model.code, model.bits, tables)
+    starts = np.cumsum(texts.lens) - texts.lens
+    rate, want, bits = model.heads(texts).rate, [], 0
+    for i, word in enumerate(texts.all_word):
+        w = mixing.word_bits(texts.lens[word : word + 1], texts.chars[starts[word] : starts[word] + texts.lens[word]], model.code)
+        before = np.uint64(0) if texts.fresh[i] else texts.keys[texts.all_word[i - 1]]
+        own = [mixing._slots(h, k) for h, k in zip(w.contexts, model.bits)]
+        n = w.head[0]
+        pair = mixing._slots((w.contexts[2][:n] ^ (np.full(n, before) * mixing._M3)) * mixing._M1, model.bits[3])
+        if wanted[texts.all_doc[i]]:
+            for table, slot in zip(plain, [*own, pair]):
+                np.add.at(table, 2 * slot + w.bit[: len(slot)], 1)
+        odds = [t[slot] for t, slot in zip(model.odds, [*own, pair])]
+        head, tail = [o[:n] for o in odds], [o[n:] for o in odds[:3]]
+        gate = mixing._SURE4[head[3].view(np.uint8)] + mixing._SURE[head[2].view(np.uint8)] + 16 * rate[i]
+        cost = model.head.cost(head, gate, w.node[:n], w.bit[:n]).sum(dtype=float)
+        want.append(cost + model.tail.cost(tail, mixing._tail_gate(tail, slice(None)), w.node[n:], w.bit[n:]).sum(dtype=float))
+        bits += n
+    assert all((a == b).all() for a, b in zip(tables, plain))
+    asked, hit, run, often = mixing.repeats(texts)
+    p = model.again[run, often]
+    want = np.where(asked, np.where(hit, np.log(p), np.log(1 - p) + want), want)
+    done, cell = [], mixing.Mixer._cell
+    monkeypatch.setattr(mixing.Mixer, "_cell", lambda self, dot, node: (done.append(len(dot)), cell(self, dot, node))[1])
+    assert model.token_costs(texts) == pytest.approx(want, rel=1e-4)
+    assert sum(done) < bits / 4
+    keys = np.array([rng.choice([5, 5 << 60, (5 << 60) + 1, (1 << 64) - 1]) for _ in range(500)], dtype=np.uint64)
+    assert (mixing._order(keys) == np.argsort(keys, kind="stable")).all()
+
+
 def test_mixing_learns_from_all_training_texts(spark, docs_of):
     """Every training text is counted and teaches the mixers, also long ones, and the prefix code follows all their bytes."""
     texts = [prose(RNG.randint(1, 40)) for _ in range(1200)] + [prose(15_000), "ab\tcd", None, "x"]
