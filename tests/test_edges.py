@@ -799,3 +799,96 @@ def test_many_projections_are_not_broadcast(spark, monkeypatch):
         base = imaging.view_image_base(projections, spectra)
         assert sorted((r["projection_rank"], r["station_id"]) for r in base.collect()) == want
     assert "SortMergeJoin" in base._jdf.queryExecution().sparkPlan().toString()
+
+
+def plain_energy(array, p):
+    """Energy of one point, station by station."""
+    d = [math.hypot(x - p[0], y - p[1]) / 1000 for x, y in zip(array.x, array.y)]
+    mid = float(np.median(d))
+    pred = [(v - mid) / array.v for v in d]
+    length = 0.0
+    for sign in (1, -1):
+        turned = [ph - sign * 2 * math.pi * float(array.f) * q for ph, q in zip(array.phase, pred)]
+        length = max(length, math.hypot(sum(w * math.cos(t) for t, w in zip(turned, array.w)), sum(w * math.sin(t) for t, w in zip(turned, array.w))) / sum(array.w))
+    return 0.65 * min(1.0, length) + 0.35 * sum(math.exp(-0.5 * ((o - q) / array.sigma) ** 2) for o, q in zip(array.obs, pred)) / len(d)
+
+
+def station_table(groups, rng):
+    """Rows of groups given by event, frequency, depth and number of stations, in the order of their keys."""
+    import pyarrow as pa
+
+    rows = []
+    for event, f, depth, n in groups:
+        x, y, phase = rng.uniform(-6e4, 6e4, n), rng.uniform(-6e4, 6e4, n), rng.uniform(-3, 3, n)
+        rows += [{"event_id": event, "frequency_hz": f, "station_id": f"s{i}", "amplitude": float(i), "phase_rad": phase[i], "group_delay_s": float(rng.integers(1, 51)) / 10, "x_m": x[i], "y_m": y[i], "source_weight": 1.15, "ex": 1000.0, "ey": -2000.0, "depth_km": depth} for i in range(n)]
+    return pa.Table.from_pylist(rows)
+
+
+def test_groups_projected_together_are_like_plain_loops():
+    rng = np.random.default_rng(8)
+    groups = [("a", 0.5, 12.0, 5), ("a", 8.0, 12.0, 5), ("a", 8.5, 12.0, 3), ("b", 8.0, 33.0, 5), ("b", 8.5, 33.0, 6), ("c", 2.0, 33.0, 5), ("d", 2.0, 20.0, 4)]
+    table = station_table(groups, rng)
+    got = [r for b in imaging._project_groups(table, 4, 4) for r in b.to_pylist()]
+    assert {(r["event_id"], r["frequency_hz"]) for r in got} == {g[:2] for g in groups if g[3] >= 4}
+    for event, f, depth, n in groups:
+        if n < 4:
+            continue
+        array = imaging._Array(table.to_pandas().query("event_id == @event and frequency_hz == @f"))
+        offsets, step, steps = imaging.candidate_grid(depth)
+        ends = []
+        for at in offsets + (1000.0, -2000.0):
+            best, s = plain_energy(array, at), step
+            for _ in range(steps):
+                for move in imaging.STENCIL:
+                    trial = at + np.array(move) * s
+                    e = plain_energy(array, trial)
+                    if e > best + 1e-12:
+                        at, best = trial, e
+                s /= 2
+            ends.append((best, *at))
+        mine = [r for r in got if (r["event_id"], r["frequency_hz"]) == (event, f)]
+        assert {r["n_stations"] for r in mine} == {n} and {r["event_z_m"] for r in mine} == {depth * 1000} and {r["source_weight"] for r in mine} == {1.15}
+        direct = [r for r in mine if r["primitive_type"] == "direct"]
+        assert [r["raw_energy"] for r in direct] == pytest.approx([e[0] for e in sorted(ends, reverse=True)[:4]], abs=1e-9)
+        for r in direct:
+            near = min(ends, key=lambda e: math.hypot(e[1] - r["projection_x_m"], e[2] - r["projection_y_m"]))
+            assert near == pytest.approx((r["raw_energy"], r["projection_x_m"], r["projection_y_m"]), abs=1e-6)
+            begun = (r["projection_x_m"] - r["projection_refinement_dx_m"], r["projection_y_m"] - r["projection_refinement_dy_m"])
+            assert r["projection_refinement_score_gain"] == pytest.approx(r["raw_energy"] - plain_energy(array, begun), abs=1e-9)
+        late = sorted((x[4] for x in (plain_late(array, e[1:]) for e in ends) if x and x[4] >= 0.08), reverse=True)[:4]
+        assert [r["raw_energy"] for r in mine if r["primitive_type"] != "direct"] == pytest.approx(late, abs=1e-9)
+
+
+def test_quick_energies_keep_their_bound():
+    rng = np.random.default_rng(10)
+    for n, f in ((2, 0.5), (5, 0.5), (60, 8.0), (256, 8.0)):
+        g = {"x_m": rng.uniform(-2e6, 2e6, (3, n)), "y_m": rng.uniform(-2e6, 2e6, (3, n)), "phase_rad": rng.uniform(-3, 3, (3, n)), "amplitude": rng.uniform(0, 5, (3, n)), "group_delay_s": rng.uniform(0, 40, (3, n)), "frequency_hz": np.full((3, n), f)}
+        g["x_m"][0], g["y_m"][0] = 7.0, 9.0  # all in one place
+        array, p = imaging._Array(g), rng.uniform(-9e4, 9e4, (3, 50, 2))
+        assert np.abs(array.quick(p) - array.parts(p)[0]).max() < array.tolerance
+        at, best = array.refined(p, 3500.0, 2)
+        assert np.abs(best - array.parts(at)[0]).max() < array.tolerance and (best >= array.quick(p)).all()
+        one = imaging._Array({k: v[1] for k, v in g.items()})
+        assert (one.refined(p[1], 3500.0, 2)[0] == at[1]).all()
+
+
+def test_groups_of_station_rows_stay_whole():
+    table = station_table([("a", 1.0, 5.0, 7), ("a", 2.0, 5.0, 1), ("b", 2.0, 5.0, 30), ("c", 2.0, 5.0, 2)], np.random.default_rng(1))
+    for size in (1, 3, 100):
+        parts = list(imaging._whole_groups(iter(table.to_batches(max_chunksize=size)), 5))
+        assert [r for p in parts for r in p.to_pylist()] == table.to_pylist() and (len(parts) > 1 or size == 100)
+        seen = [set(zip(p["event_id"].to_pylist(), p["frequency_hz"].to_pylist())) for p in parts]
+        assert sum(map(len, seen)) == len(set().union(*seen)) == 4
+
+
+def test_projection_takes_groups_in_arrow_batches_and_runs_once(spark, monkeypatch):
+    from quakeframe.plans import queries
+    from quakeframe.plans.fixtures import view
+
+    v = lambda name: view(spark, "/root/testdata/sf0.001", name)
+    runs = lambda df: [w for line in df._jdf.queryExecution().executedPlan().toString().splitlines() for w in ("MapInArrow", "FlatMapGroupsIn") if w in line]
+    assert runs(queries.array_projection(v)) == ["MapInArrow"]
+    seen, whole = [], clusters.cut
+    for module in (imaging, clusters):
+        monkeypatch.setattr(module, "cut", lambda df: seen.extend(runs(df)) or whole(df))
+    assert queries.projection_splats(v).count() > 0 and seen == ["MapInArrow"]
