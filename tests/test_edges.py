@@ -886,9 +886,26 @@ def test_projection_takes_groups_in_arrow_batches_and_runs_once(spark, monkeypat
     from quakeframe.plans.fixtures import view
 
     v = lambda name: view(spark, "/root/testdata/sf0.001", name)
+    spark.catalog.clearCache()
     runs = lambda df: [w for line in df._jdf.queryExecution().executedPlan().toString().splitlines() for w in ("MapInArrow", "FlatMapGroupsIn") if w in line]
     assert runs(queries.array_projection(v)) == ["MapInArrow"]
     seen, whole = [], clusters.cut
     for module in (imaging, clusters):
         monkeypatch.setattr(module, "cut", lambda df: seen.extend(runs(df)) or whole(df))
     assert queries.projection_splats(v).count() > 0 and seen == ["MapInArrow"]
+
+
+def test_station_rows_hold_medians_of_known_values(spark):
+    rng = np.random.default_rng(4)
+    rows = [("e", f, f"s{n}", float(a), 0.5, None if i % 4 == 3 or n == 6 else float(d), 1.0, 2.0) for f in (1.0, 2.0) for n in (1, 2, 3, 4, 5, 6, 12) for i, (a, d) in enumerate(rng.uniform(0, 9, (n, 2)))]
+    rows += [("e", 1.0, "none", None, 0.5, 1.0, 1.0, 2.0), ("e", -1.0, "s1", 1.0, 0.5, 1.0, 1.0, 2.0), ("e", 2.0, "nan", float("nan"), 0.5, float("nan"), 1.0, 2.0), ("e", 2.0, "nan", 7.0, 0.5, 3.0, 1.0, 2.0), ("e", 2.0, "nan", 4.0, 0.5, 2.0, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "event_id string, frequency_hz double, station_id string, amplitude double, phase_rad double, group_delay_s double, x_m double, y_m double")
+    found = imaging.station_event_rows(df)
+    got = {(r["frequency_hz"], r["station_id"]): (r["amplitude"], r["group_delay_s"]) for r in found.collect()}
+    assert len(got) == 16 and got[1.0, "none"] == (1e-30, 1.0) and got[2.0, "nan"] == (7.0, 3.0)
+    for (f, s), (a, d) in got.items():
+        if s[1:].isdigit():
+            mine = [r for r in rows if (r[1], r[2]) == (f, s)]
+            known = [r[5] for r in mine if r[5] is not None]
+            assert a == pytest.approx(np.median([r[3] for r in mine])) and (d is None if not known else d == pytest.approx(np.median(known)))
+    assert "percentile" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
